@@ -128,19 +128,19 @@ def sampled(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
     return out
 
 
-def predicted(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score, predicted from text alone; columns of these names are replaced."""
+def clear(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs, with all their columns, of which a language is told with a score of least or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def run(texts):
+    @F.pandas_udf("boolean")
+    def told(texts):
         import pandas as pd
 
         cache: dict[str, list[int]] = {}
-        return pd.DataFrame([shared.value.predict(t, cache) for t in texts], columns=["lang_pred", "score"])
+        found = (shared.value.predict(t, cache) for t in texts)
+        return pd.Series([lang != UNKNOWN and score >= least for lang, score in found], dtype=bool)
 
-    own = docs.drop("lang_pred", "score")
-    return own.withColumn("__lang", run(F.col("text").cast("string"))).select(*own.columns, "__lang.lang_pred", "__lang.score")
+    return docs.where(told(F.col("text").cast("string")))
 
 
 def identified(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
