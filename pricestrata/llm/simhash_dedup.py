@@ -6,9 +6,9 @@ any such pair a segment (or a choice of several) differs by one bit at most: bot
 variant of it with one bit left out. An equality join on these variants finds every pair, and
 counting the differing bits verifies it.
 
-Within a variant's bucket neighbours in the order of the fingerprints are linked first; components
-of those links leave only pairs across components to be compared, so thousands of near copies cost
-a sort and not a square. Every link that joins two components is found, which is all that
+Within a variant's bucket each fingerprint is first held against the LAGS before it in their order,
+which is every pair of a small bucket. Components of these links leave only pairs across components
+of larger buckets to be compared, so thousands of near copies cost a sort and not a square. Every link that joins two components is found, which is all that
 components need.
 
 Nulls and texts of no words have the fingerprint zero, which links like any other. Repeated rows
@@ -30,6 +30,7 @@ from .common import components, kept
 
 WORDS = 4
 RADIUS = 4
+LAGS = 4
 SEED = 42
 _BLOCK = 1 << 15
 
@@ -92,20 +93,22 @@ def signatures(fp: Column, segments: int, chosen: int) -> Column:
 
 def linked(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, component): distinct fingerprints that link to others, and one fingerprint that names their component."""
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
+    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= radius
     own = fps.select("fp").distinct()
     segments, chosen = cuts(own.count(), radius)
     by = Window.partitionBy("key")
     keyed = own.select("fp", F.explode(signatures(F.col("fp"), segments, chosen)).alias("key"))
-    shared = kept(keyed.withColumn("before", F.lag("fp").over(by.orderBy("fp"))).withColumn("n", F.count("*").over(by)).where("n > 1").drop("n"))
-    first = shared.where(near("before", "fp")).select(F.col("before").alias("src"), F.col("fp").alias("dst")).distinct()
-    first = kept(first)
+    # A fingerprint against the LAGS before it: all pairs of a bucket of few, a chain through one of many.
+    before = F.filter(F.array(*(F.lag("fp", i).over(by.orderBy("fp")) for i in range(1, LAGS + 1))), lambda x: x.isNotNull() & near(x, F.col("fp")))
+    tested = keyed.withColumn("n", F.count("*").over(by)).withColumn("before", before)
+    tested = kept(tested.where((F.size("before") > 0) | (F.col("n") > LAGS + 1)))
+    first = kept(tested.where(F.size("before") > 0).select(F.explode("before").alias("src"), F.col("fp").alias("dst")).distinct())
     named = kept(components(first).select(F.col("node").alias("fp"), "component"))
-    held = shared.select("key", "fp").join(named, "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("component"))
-    mixed = held.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    held = kept(held.join(mixed, "key"))
+    # What is left: pairs across components in the larger buckets.
+    held = tested.where(F.col("n") > LAGS + 1).select("key", "fp").join(named, "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("component"))
+    held = kept(held.withColumn("a", F.min("component").over(by)).withColumn("b", F.max("component").over(by)).where("a <> b").select("key", "fp", "component"))
     a, b = held.toDF("key", "fp_a", "a"), held.toDF("key", "fp_b", "b")
-    across = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & near("fp_a", "fp_b")).select(F.col("fp_a").alias("src"), F.col("fp_b").alias("dst")).distinct()
+    across = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & near(F.col("fp_a"), F.col("fp_b"))).select(F.col("fp_a").alias("src"), F.col("fp_b").alias("dst")).distinct()
     return components(first.unionAll(across)).select(F.col("node").alias("fp"), "component")
 
 
