@@ -84,7 +84,7 @@ def component_ids(fps, radius=4):
 
     def top(x):
         while root[x] != x:
-            x = root[x] = root[root[x]]
+            x = root[x]
         return x
 
     for i, a in enumerate(own):
