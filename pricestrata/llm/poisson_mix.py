@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept
+
 SEED = 20
 #: Weights are sizes to this power, so that a source of a third of the bytes does not rule the mixture.
 TEMPERATURE = 0.5
@@ -52,9 +54,9 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
         weight = F.lit(0.0)
         for name, w in weights.items():
             weight = F.when(F.col("mix_source") == name, F.lit(float(w))).otherwise(weight)
-    by = by.withColumn("mix_weight", weight).where("mix_weight > 0")
-    total = by.agg(F.sum(F.col("mix_weight").cast("decimal(38,12)")).cast("double").alias("all_weight"), F.sum("mix_bytes").alias("all_bytes"))
-    out = by.join(F.broadcast(total)).withColumn("mix_rate", F.col("mix_weight") / F.col("all_weight") * F.col("all_bytes") / F.col("mix_bytes"))  # one row of totals
+    by = kept(by.withColumn("mix_weight", weight).where("mix_weight > 0"))
+    total = by.agg(F.sum(F.col("mix_weight").cast("decimal(38,12)")).cast("double").alias("weight"), F.sum("mix_bytes").alias("bytes")).first()
+    out = by.withColumn("mix_rate", F.col("mix_weight") / F.lit(total["weight"]) * F.lit(total["bytes"]) / F.col("mix_bytes"))
     out = out.withColumn("mix_parts", F.greatest(F.ceil(F.col("mix_rate") / MEAN), F.lit(1)).cast("int"))
     return out.select("mix_source", "mix_rate", "mix_parts", cdf(F.col("mix_rate") / F.col("mix_parts")).alias("mix_cdf"))
 
@@ -64,8 +66,6 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
 
     Adds mix_rate, mix_copies, mix_copy (from 1) and mix_key (32 hex digits).
     """
-    from .common import kept
-
     own = docs.drop("mix_rate", "mix_copies", "mix_copy", "mix_key")
     by = kept(rates(docs, weights, temperature))
     side = F.broadcast(by) if by.count() <= BROADCAST_ROWS else by
