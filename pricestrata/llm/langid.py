@@ -24,9 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import kept
+
 SAMPLE_ROWS = 500
 #: Of a sampled row at most so many characters are learnt from, at even steps over the whole text.
 SAMPLE_CHARS = 20_000
+#: Ids of the sample that may be broadcast (there are SAMPLE_ROWS for each language); more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 GRAMS = 4
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -119,6 +123,8 @@ def sampled(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id"))
     own = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = own.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= rows).select("doc_id").distinct()
+    chosen = kept(chosen)
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     found = own.select("doc_id", "lang", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(chosen, "doc_id", "left_semi").collect()
     out = []
     for r in sorted(found, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
