@@ -20,6 +20,7 @@ from __future__ import annotations
 import functools
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,31 +70,17 @@ def _fields(b: bytes) -> Iterator[tuple[int, int, int | bytes]]:
         yield k >> 3, k & 7, v
 
 
-def _field(number: int, wire: int, v: int | bytes) -> bytes:
-    def varint(n: int) -> bytes:
-        out = b""
-        while n > 127:
-            out += bytes([n & 127 | 128])
-            n >>= 7
-        return out + bytes([n])
-
-    return varint(number << 3 | wire) + (varint(v) if wire == 0 else (varint(len(v)) if wire == 2 else b"") + v)
-
-
 class Pieces:
     """The pieces of a model file, with the best segmentation of texts and the matrices of chunks."""
 
     def __init__(self, path: str) -> None:
-        import sentencepiece
-
         with open(path, "rb") as f:
             raw = f.read()
         self.ids: dict[str, int] = {}
         self.bytes_id: dict[int, int] = {}
         surface: list[bytes] = []
         scores: list[float] = []
-        changed = b""
-        for number, wire, v in _fields(raw):
+        for number, _, v in _fields(raw):
             if number == 1:
                 own = {k: x for k, _, x in _fields(v)}
                 text, kind = own.get(1, b""), own.get(3, NORMAL)
@@ -104,22 +91,15 @@ class Pieces:
                     self.bytes_id[int(text[1:-1], 16)] = len(scores)
                 surface.append(bytes([int(text[1:-1], 16)]) if kind == BYTE else text if kind in (NORMAL, USER) else b"")
                 scores.append(score)
-            elif number == 2:  # the trainer's settings: the pieces as a lattice
-                v = b"".join(_field(k, w, 1 if k == 3 else x) for k, w, x in _fields(v))
-            elif number == 3:  # the normalizer's: parts of a text get no space before them
-                v = b"".join(_field(k, w, 0 if k == 3 else x) for k, w, x in _fields(v))
-            changed += _field(number, wire, v)
         self.surface, self.scores = surface, scores
         self.longest = max(map(len, self.ids))
         self.unknown = min(scores[i] for i in self.ids.values()) - 10
-        self.quick = sentencepiece.SentencePieceProcessor(model_proto=changed)
+        # The score of every piece, and None for what only begins one: a search ends where neither is found.
+        self.table: dict[str, float | None] = {p[:n]: None for p in self.ids for n in range(1, len(p))}
+        self.table |= {p: scores[i] for p, i in self.ids.items()}
         # Where no piece spans a boundary, the parts on both sides are encoded apart.
         apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) or "\n" in p for p in self.ids)
         self.part = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n") if apart else re.compile("(?s).+")
-        # The library adds up floats: parts it could round, with unknown characters or very low scores, are done here.
-        low = {p for p, i in self.ids.items() if scores[i] < -1e6}
-        known = "".join(re.escape(p) for p in self.ids if len(p) == 1)
-        self.slow = re.compile("|".join([f"[^{known}]", *(re.escape(p) for p in low if not any(q != p and q in p for q in low))]))
         self.cache: dict[str, tuple[bytes, float]] = {}
 
     def normal(self, text: str) -> str:
@@ -138,21 +118,23 @@ class Pieces:
         else:
             for i, x in enumerate(entry[: len(text) + 1]):
                 best[i] = float(x)
-        ids, scores = self.ids, self.scores
+        get, end = self.table.get, len(text)
         for s in range(n):
             own = best[s]
             if own == _NONE:
                 continue
-            for e in range(s + 1, min(s + self.longest, len(text)) + 1):
-                i = ids.get(text[s:e])
-                if i is not None:
-                    x = own + scores[i]
-                elif e == s + 1:
-                    x = own + self.unknown
-                else:
-                    continue
-                if x > best[e]:
-                    best[e], back[e] = x, s
+            e = s + 1
+            score = get(text[s:e], False)
+            if score is None or score is False:
+                if own + self.unknown > best[e]:
+                    best[e], back[e] = own + self.unknown, s
+            while score is not False:
+                if score is not None and own + score > best[e]:
+                    best[e], back[e] = own + score, s
+                if e == end:
+                    break
+                e += 1
+                score = get(text[s:e], False)
         return best, back
 
     def traced(self, text: str, back: list[int], end: int) -> tuple[list[int], int]:
@@ -170,15 +152,11 @@ class Pieces:
         cache = self.cache
         if len(cache) > _CACHE:
             cache.clear()
-        new = list({p for p in names if p not in cache})
-        fast = [p for p in new if len(p) <= 64 and not self.slow.search(p)]
-        for p, found in zip(fast, self.quick.encode(fast, num_threads=1)):
-            cache[p] = struct.pack(f"<{len(found)}i", *found), float(sum(self.scores[i] for i in found))
+        new = {p for p in names if p not in cache}
         for p in new:
-            if p not in cache:
-                best, back = self.lattice(p, len(p))
-                found, _ = self.traced(p, back, len(p))
-                cache[p] = struct.pack(f"<{len(found)}i", *found), best[-1]
+            best, back = self.lattice(p, len(p))
+            found, _ = self.traced(p, back, len(p))
+            cache[p] = array("i", found).tobytes(), best[-1]
         got = [cache[p] for p in names]
         return b"".join([g[0] for g in got]), sum([g[1] for g in got])
 
@@ -225,7 +203,7 @@ class Pieces:
             return b""
         entry = np.where(np.arange(self.longest) == enter, 0.0, _NONE)
         p, q, names = self._ends(chunk)
-        pack = lambda x: struct.pack(f"<{len(x)}i", *x)
+        pack = lambda x: array("i", x).tobytes()
         whole = chunk + ahead
         if p < 0:
             return pack(self.traced(whole, self.lattice(whole, n, entry)[1], n + leave)[0])
@@ -343,6 +321,9 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([None if i.as_py() is None else own.decode(i.as_py()) for i in b.column(1)], pa.string())], names=["doc_id", "ids", "score", "text"])
+            ids = b.column(1)
+            flat, at = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_pylist()
+            text = [own.decode(flat[i:j].tolist()) if there else None for i, j, there in zip(at, at[1:], ids.is_valid().to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], names=["doc_id", "ids", "score", "text"])
 
     return rows.select("doc_id", "ids", "score").mapInArrow(run, "doc_id long, ids array<int>, score double, text string")
