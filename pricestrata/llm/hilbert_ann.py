@@ -4,7 +4,8 @@ Each of ORDERS orderings projects the vectors on DIMS random directions, shifts
 into a grid, and sorts all rows by their place on the grid's Hilbert curve. The sorted rows are cut
 into key ranges (windows) of about ROWS rows. A query visits the window of its own key and as many
 neighbouring windows as hold the share REACH of all rows; exact inner products rerank each window,
-and the best of all orderings merge. For inner products a further coordinate brings all vectors to
+and the best of all orderings merge. The k-th best score of the home windows is a bound: neighbouring
+windows send back only what reaches it. For inner products a further coordinate brings all vectors to
 one length; a query has 0 there, so its nearest vector is the one of the largest product.
 
 REACH is large because the vectors at hand are close to isotropic: twenty neighbours at cosines of
@@ -20,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import kept
 
 K = 20
-ORDERS = 8
+ORDERS = 6
 DIMS = 3
 BITS = 10
 ROWS = 2048
@@ -97,8 +97,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, ids, scores) of the k nearest of rows, for each query; equal rows score equal to the last bit."""
+def best(queries: np.ndarray, query_ids: np.ndarray, least: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query id, ids, scores) of the k nearest of rows that score least or more; equal rows score equal to the last bit."""
     for i in range(0, len(queries), 256):
         rough = queries[i : i + 256] @ rows.T
         rough[query_ids[i : i + 256, None] == ids] = -np.inf
@@ -106,10 +106,11 @@ def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.n
             n = min(k, int((line > -np.inf).sum()))
             if not n:
                 continue
-            least = np.partition(line, len(line) - n)[len(line) - n]
-            at = np.flatnonzero((line >= least - 1e-9 * max(1.0, abs(least))) & (line > -np.inf))
+            bound = max(np.partition(line, len(line) - n)[len(line) - n], least[i + j])
+            at = np.flatnonzero((line >= bound - 1e-9 * max(1.0, abs(bound))) & (line > -np.inf))
             exact = (rows[at] * queries[i + j]).sum(axis=1)
             first = np.lexsort((ids[at], -exact))[:n]
+            first = first[exact[first] >= least[i + j]]
             yield query_ids[i + j], ids[at[first]], exact[first]
 
 
@@ -152,28 +153,50 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = K, orders: int = O
     if windows == 1:
         bounds = {o: np.array([], dtype=np.int64) for o in bounds}
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            order, key, asks = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
-            home = np.zeros(len(key), dtype=np.int64)
-            for o in np.unique(order):
-                home[order == o] = np.searchsorted(bounds[o], key[order == o], side="left")
-            for d in range(-halo, halo + 1):
-                to = home + d
-                at = np.flatnonzero((asks.astype(bool) | (d == 0)) & (to >= 0) & (to < windows))
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(order[at]), pa.array(to[at]), pa.array(asks[at].astype(bool))], names=["vec_id", "v", "ordering", "window", "asks"])
-
-    def rerank(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks = pdf["asks"].to_numpy(dtype=bool)
-        v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        ids = pdf["vec_id"].to_numpy()
-        found = list(best(v[asks], ids[asks], v[~asks], ids[~asks], k)) if asks.any() and not asks.all() else []
-        if not found:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return pd.DataFrame({"query_id": np.repeat([q for q, _, _ in found], [len(i) for _, i, _ in found]), "vec_id": np.concatenate([i for _, i, _ in found]), "score": np.concatenate([s for _, _, s in found])})
-
-    sent = placed.mapInArrow(send, f"vec_id long, v {kind}, ordering int, window long, asks boolean")
-    found = sent.groupBy("ordering", "window").applyInPandas(rerank, "query_id long, vec_id long, score double").distinct()
+    sent_as = f"vec_id long, v {kind}, ordering int, window long, asks boolean, least double"
+
+    def send(steps: list[int]):
+        """Rows to their own window, and queries to those at these steps from it."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                order, key, asks = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
+                asks = asks.astype(bool)
+                home = np.zeros(len(key), dtype=np.int64)
+                for o in np.unique(order):
+                    home[order == o] = np.searchsorted(bounds[o], key[order == o], side="left")
+                for d in sorted({0, *steps}):
+                    to = home + d
+                    at = np.flatnonzero(((asks & (d in steps)) | (~asks & (d == 0))) & (to >= 0) & (to < windows))
+                    if len(at):
+                        some = b.take(pa.array(at))
+                        yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.array(to[at]), some.column(4), some.column(5)], names=["vec_id", "v", "ordering", "window", "asks", "least"])
+
+        return run
+
+    def rerank(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        asks = group.column("asks").to_numpy().astype(bool)
+        ids = group.column("vec_id").to_numpy()
+        found = []
+        if asks.any() and not asks.all():
+            v = _matrix(group.column("v").chunk(0))
+            least = group.column("least").to_numpy()[asks]
+            found = list(best(v[asks], ids[asks], np.where(np.isnan(least), -np.inf, least), v[~asks], ids[~asks], k))
+        flat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+        query = np.repeat(np.array([q for q, _, _ in found], np.int64), [len(i) for _, i, _ in found])
+        return pa.table({"query_id": query, "vec_id": flat([i for _, i, _ in found], np.int64), "score": flat([s for _, _, s in found], np.float64)})
+
+    def searched(rows: DataFrame, steps: list[int]) -> DataFrame:
+        return rows.mapInArrow(send(steps), sent_as).groupBy("ordering", "window").applyInArrow(rerank, "query_id long, vec_id long, score double")
+
+    found = kept(searched(placed.withColumn("least", F.lit(None).cast("double")), [0]).distinct())
+    if halo and windows > 1:
+        order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        least = found.withColumn("order", order).where(F.col("order") <= k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
+        queries = placed.where("asks").join(least.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").select("vec_id", "v", "ordering", "key", "asks", "least")
+        rows_of = placed.where(~F.col("asks")).withColumn("least", F.lit(None).cast("double"))
+        more = searched(queries.unionAll(rows_of), [d for d in range(-halo, halo + 1) if d])
+        found = found.unionAll(more).distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
