@@ -1,22 +1,583 @@
-"""All queries of the library and their SQL, by name."""
+"""All queries of the library over the driver's tables and their SQL, by name.
+
+A name starts with the operators it shows. Doubles that come of sums are rounded to 4 places.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-FLAGSHIP = "a1_group_summary"
+from ..functions import numeric as N
+from ..functions import pages as P
+from ..functions import text as X
+from ..operators import aggregates as A
+from ..operators import history as H
+from ..operators import keys as K
+from ..operators import market as M
+from ..operators import quality as Q
+from ..operators import splits as S
+
+FLAGSHIP = "w1_w6_point_in_time"
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
 
+def query(sql: str | None = None):
+    def add(f):
+        name = f.__name__
+        _QUERIES[name] = lambda spark, sf_dir: f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+        if sql:
+            _SQL[name] = sql
+        return f
 
-def a1_group_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_brand").agg(F.count("*").alias("n"), F.median("p_retailprice").alias("median_price"))
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"a1_group_summary": a1_group_summary}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"a1_group_summary": "SELECT p_brand, count(*) AS n, median(p_retailprice) AS median_price FROM part GROUP BY p_brand"}
+    return dict(_SQL)
+
+
+def r4(c, name: str):
+    return F.round(c, 4).alias(name)
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 4).alias(c) if t == "double" else F.col(c).cast("string").alias(c) if t in ("date", "timestamp") else F.col(c) for c, t in df.dtypes))
+
+
+# Projections, filters and predicates
+
+
+@query("SELECT p_partkey AS part_id, p_name AS part_name, p_brand AS brand, p_retailprice AS price FROM part")
+def p1_p4_prune_and_rename(t):
+    return t("part").select("p_partkey", "p_name", "p_brand", "p_retailprice").withColumnsRenamed({"p_partkey": "part_id", "p_name": "part_name", "p_brand": "brand", "p_retailprice": "price"})
+
+
+@query("SELECT p_brand, p_partkey, p_name, p_type, p_size FROM part")
+def p2_p3_drop_and_reorder(t):
+    return Q.reordered(t("part").drop("p_retailprice"), ["p_brand", "p_partkey"], ("p_type", "p_size"))
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE lower(trim(c_mktsegment)) = 'building' AND c_acctbal BETWEEN 0 AND 5000")
+def p5_p6_equal_and_between(t):
+    return t("customer").where((F.lower(F.trim("c_mktsegment")) == "building") & F.col("c_acctbal").between(0, 5000)).select("c_custkey", "c_acctbal")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_acctbal BETWEEN 0 AND 5000 THEN s_acctbal END AS balance, CASE WHEN s_acctbal > 1000 THEN s_acctbal END AS large, CASE WHEN s_acctbal > 1000 THEN 0 ELSE 1 END AS large_missing FROM supplier")
+def p7_p8_null_out_of_range(t):
+    large = N.above(F.col("s_acctbal"), 1000)
+    return t("supplier").select("s_suppkey", N.within(F.col("s_acctbal"), 0, 5000).alias("balance"), large.alias("large"), large.isNull().cast("int").alias("large_missing"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE value > 50")
+def p9_p10_drop_nulls(t):
+    return t("events").withColumn("v", N.above(F.col("value"), 50)).dropna(subset=["v"]).select("event_id", "user_id")
+
+
+@query("SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-02-03' AND DATE '1995-02-18' AND o_custkey IS NOT NULL")
+def p11_p12_date_window(t):
+    day = F.col("o_orderdate").cast("date")
+    return t("orders").where(day.between("1995-02-03", "1995-02-18") & F.col("o_custkey").isNotNull()).select("o_orderkey", day.cast("string").alias("day"))
+
+
+@query("SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority IN ('1-URGENT', '2-HIGH')) AS urgent FROM customer")
+def p13_p14_membership_flag(t):
+    urgent = t("orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select("o_custkey")
+    return Q.member(t("customer").select("c_custkey"), ["c_custkey"], urgent, ["o_custkey"], "urgent")
+
+
+@query("SELECT p_type, count(*) AS n FROM part WHERE regexp_matches(p_type, '(?i)econ|promo|standard') AND NOT regexp_matches(p_type, '(?i)dard$') GROUP BY p_type")
+def p15_p16_pattern_search(t):
+    return t("part").where(X.contains_word(F.col("p_type"), "econ|promo|standard") & ~X.is_total(F.col("p_type"), "dard")).groupBy("p_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey FROM part WHERE CAST(p_size AS VARCHAR) = '15'")
+def p17_dynamic_filter(t):
+    return Q.equal_filters(t("part"), {"p_size": 15, "p_brand": "Any", "p_type": None, "p_name": ""}).select("p_partkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 40 AND l_discount > 0.05 THEN 'bulk' WHEN l_returnflag = 'R' THEN 'returned' WHEN NOT (l_linestatus = 'O') THEN 'closed' ELSE 'open' END AS status FROM lineitem")
+def p18_p19_p22_ordered_cases(t):
+    status = F.when((F.col("l_quantity") > 40) & (F.col("l_discount") > 0.05), "bulk").when(F.col("l_returnflag") == "R", "returned").when(~(F.col("l_linestatus") == "O"), "closed").otherwise("open")
+    return t("lineitem").select("l_orderkey", "l_linenumber", status.alias("status"))
+
+
+@query("SELECT * FROM (VALUES ('p_partkey', 'numeric'), ('p_name', 'text'), ('p_brand', 'categorical'), ('p_size', 'numeric'), ('p_retailprice', 'numeric')) AS v(column_name, kind)")
+def p20_p21_conceptual_types(t):
+    own = t("part").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
+    kinds = Q.conceptual_types(own)
+    return own.sparkSession.createDataFrame(list(kinds.items()), "column_name string, kind string")
+
+
+@query("SELECT p_brand, count(*) AS size FROM part GROUP BY p_brand HAVING count(*) > 1")
+def p23_text_predicate(t):
+    return t("part").groupBy("p_brand").agg(F.count("*").alias("size")).where("size > 1")
+
+
+# Joins
+
+
+@query("SELECT c_custkey, c_name, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+def j1_many_to_one(t):
+    return Q.lookup_join(t("customer"), t("nation"), ["c_nationkey"], ["n_nationkey"]).select("c_custkey", "c_name", "n_name")
+
+
+@query("SELECT c_custkey, CASE WHEN o.k IS NULL THEN 'left_only' ELSE 'both' END AS merge_status, o.n FROM customer LEFT JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey) o ON c_custkey = o.k")
+def j2_j3_j4_marked_join(t):
+    n = t("orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    return Q.lookup_join(t("customer"), n, ["c_custkey"], ["o_custkey"], unique_left=True, marker="merge_status").select("c_custkey", "merge_status", "n")
+
+
+@query("SELECT p_brand, count(*) AS n, count(CASE WHEN p_size > 25 THEN 1 END) AS large, min(p_retailprice) AS least FROM part GROUP BY p_brand")
+def j5_j7_one_aggregate_for_many(t):
+    return t("part").groupBy("p_brand").agg(F.count("*").alias("n"), F.count(F.when(F.col("p_size") > 25, 1)).alias("large"), F.min("p_retailprice").alias("least"))
+
+
+@query("SELECT n_name, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
+def j6_lookup(t):
+    return Q.lookup_join(t("nation"), t("region"), ["n_regionkey"], ["r_regionkey"]).select("n_name", "r_name")
+
+
+@query(
+    "WITH tr AS (SELECT * FROM part WHERE p_partkey % 3 <> 0), m AS (SELECT p_brand, p_size, median(p_retailprice) AS med FROM tr GROUP BY ALL) "
+    "SELECT p_partkey, round(coalesce(med, (SELECT median(p_retailprice) FROM tr)), 4) AS predicted FROM part LEFT JOIN m USING (p_brand, p_size) WHERE p_partkey % 3 = 0"
+)
+def j8_median_lookup(t):
+    part = t("part")
+    out = K.median_lookup(part.where("p_partkey % 3 <> 0"), part.where("p_partkey % 3 = 0"), ["p_brand", "p_size"], "p_retailprice")
+    return out.select("p_partkey", r4(F.col("predicted"), "predicted"))
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
+def j9_fan_out(t):
+    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o_orderkey")
+
+
+@query("SELECT 'o_custkey' AS \"column\", round(avg(CASE WHEN o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 4 <> 0) THEN 0.0 ELSE 1.0 END), 4) AS unseen_share FROM orders WHERE o_orderkey % 4 = 0")
+def j10_unseen_share(t):
+    o = t("orders")
+    return K.unseen_share(o.where("o_orderkey % 4 <> 0"), o.where("o_orderkey % 4 = 0"), "o_custkey").select("column", r4(F.col("unseen_share"), "unseen_share"))
+
+
+# Aggregates
+
+
+@query(
+    "SELECT p_brand, count(*) AS n, round(avg(p_retailprice), 4) AS p_retailprice_mean, round(median(p_retailprice), 4) AS p_retailprice_median, round(avg(p_size), 4) AS p_size_mean, median(p_size) AS p_size_median, "
+    "round(avg(CASE WHEN p_size > 25 THEN 1.0 ELSE 0.0 END), 4) AS large_share, round(avg(CASE WHEN regexp_matches(p_type, 'PROMO') THEN 1.0 ELSE 0.0 END), 4) AS promo_share FROM part GROUP BY p_brand"
+)
+def a1_a2_a3_group_summary(t):
+    return rounded(A.group_summary(t("part"), ["p_brand"], ["p_retailprice", "p_size"], {"large_share": F.col("p_size") > 25, "promo_share": F.col("p_type").rlike("PROMO")}))
+
+
+@query("SELECT p_brand, p_size, n, round(n / sum(n) OVER (), 6) AS share_of_total, round(n / sum(n) OVER (PARTITION BY p_brand), 6) AS share_of_parent FROM (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY ALL)")
+def a4_a5_w11_shares(t):
+    out = A.with_shares(t("part").groupBy("p_brand", "p_size").agg(F.count("*").alias("n")), "n", ["p_brand"])
+    return out.select("p_brand", "p_size", "n", F.round("share_of_total", 6).alias("share_of_total"), F.round("share_of_parent", 6).alias("share_of_parent"))
+
+
+@query(
+    "WITH f AS (SELECT o_custkey % 50 AS brand, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY ALL) SELECT brand, CAST(sum(n) AS BIGINT) AS total, round(coalesce(sum(n) FILTER (y BETWEEN 1996 AND 1998), 0) / sum(n), 4) AS recent_share, "
+    "round(coalesce(sum(n) FILTER (y <= 1995), 0) / sum(n), 4) AS old_share, round(sum(n * y) / sum(n), 4) AS mean_year, CAST(max(y) FILTER (n > 0) - min(y) FILTER (n > 0) AS INT) AS year_span, CAST(-(max({'n': n, 'y': -y})).y AS INT) AS peak_year, max(n) AS peak_count FROM f GROUP BY brand"
+)
+def a6_d6_lifecycle(t):
+    f = t("orders").groupBy((F.col("o_custkey") % 50).alias("brand"), F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"))
+    return rounded(A.lifecycle(f, ["brand"], "y", "n", (1996, 1998), 1995))
+
+
+@query("SELECT count(DISTINCT p_brand) AS brands, count(DISTINCT p_type) AS types, percentile_cont(0.25) WITHIN GROUP (ORDER BY p_retailprice) AS q25, mode(p_size) FILTER (p_size = 7) AS size_mode FROM part")
+def a7_a8_a25_distinct_quantile_mode(t):
+    return t("part").agg(F.count_distinct("p_brand").alias("brands"), F.count_distinct("p_type").alias("types"), F.percentile("p_retailprice", 0.25).alias("q25"), F.mode(F.when(F.col("p_size") == 7, F.col("p_size")), True).alias("size_mode"))
+
+
+@query(
+    "SELECT count(l_extendedprice) AS count, round(avg(l_extendedprice), 4) AS mean, round(stddev_samp(l_extendedprice), 4) AS std, min(l_extendedprice) AS min, "
+    + ", ".join(f"round(quantile_cont(l_extendedprice, {p}), 4) AS p{round(100 * p)}" for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99))
+    + ", max(l_extendedprice) AS max FROM lineitem"
+)
+def a9_described(t):
+    return rounded(A.described(t("lineitem"), "l_extendedprice"))
+
+
+@query("SELECT p_type, count(*) AS n FROM part GROUP BY p_type ORDER BY n DESC, p_type LIMIT 10")
+def a10_t7_top_values(t):
+    return A.value_counts(t("part"), ["p_type"], 10)
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL")
+def a11_pair_counts(t):
+    return A.value_counts(t("orders"), ["o_orderstatus", "o_orderpriority"], keep_nulls=False)
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers, round(avg(l_extendedprice), 4) AS mean, round(median(l_extendedprice), 4) AS median FROM lineitem GROUP BY ALL")
+def a12_rows_distinct_mean_median(t):
+    return t("lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.count_distinct("l_suppkey").alias("suppliers"), r4(F.avg("l_extendedprice"), "mean"), r4(F.median("l_extendedprice"), "median"))
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS missing, 0.0::DOUBLE AS missing_percent, count(DISTINCT {c}) AS distinct, "
+        + (f"min({c})::DOUBLE AS least, max({c})::DOUBLE AS largest, round(avg({c}), 4) AS mean, round(median({c})::DOUBLE, 4) AS median" if numeric else "NULL::DOUBLE AS least, NULL::DOUBLE AS largest, NULL::DOUBLE AS mean, NULL::DOUBLE AS median")
+        + " FROM supplier"
+        for c, numeric in (("s_suppkey", 1), ("s_name", 0), ("s_nationkey", 1), ("s_acctbal", 1))
+    ).replace("AS rows", 'AS "rows"').replace("AS distinct", 'AS "distinct"')
+)
+def a13_a14_column_profile(t):
+    return rounded(Q.profile(t("supplier")))
+
+
+@query("SELECT a, b, round(c, 4) AS correlation FROM (SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, corr(l_quantity, l_extendedprice) AS c FROM lineitem UNION ALL SELECT 'l_quantity', 'l_discount', corr(l_quantity, l_discount) FROM lineitem UNION ALL SELECT 'l_extendedprice', 'l_discount', corr(l_extendedprice, l_discount) FROM lineitem)")
+def a15_correlations(t):
+    return rounded(A.correlations(t("lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]))
+
+
+_PREDICTED = "(SELECT l_suppkey, l_extendedprice AS actual, l_quantity * 1500 AS predicted FROM lineitem)"
+_METRICS = (
+    "count(*) AS n, round(avg(abs(actual - predicted)), 3) AS mae, round(sqrt(avg((actual - predicted) ** 2)), 3) AS rmse, round(1 - sum((actual - predicted) ** 2) / (var_pop(actual) * count(*)), 4) AS r2, round(median(abs(actual - predicted)), 3) AS median_ae, "
+    "round(avg(abs(actual - predicted) / greatest(actual, 1.0)), 4) AS mape, round(avg(predicted - actual), 3) AS bias"
+)
+
+
+def _predicted(t):
+    return t("lineitem").select("l_suppkey", F.col("l_extendedprice").alias("actual"), (F.col("l_quantity") * 1500).alias("predicted"))
+
+
+def _metrics(df):
+    return [F.round(c, 3).alias(c) if c in ("mae", "rmse", "median_ae", "bias") else F.round(c, 4).alias(c) for c in ("mae", "rmse", "r2", "median_ae", "mape", "bias")]
+
+
+@query(f"SELECT {_METRICS} FROM {_PREDICTED}")
+def a20_a21_regression_metrics(t):
+    out = _predicted(t).agg(*A.regression_metrics())
+    return out.select("n", *_metrics(out))
+
+
+@query(f"SELECT l_suppkey, {_METRICS}, round(avg(CASE WHEN abs(actual - predicted) <= 10000 THEN 1.0 ELSE 0.0 END), 4) AS within_10000 FROM {_PREDICTED} GROUP BY l_suppkey HAVING count(*) >= 20")
+def a16_a17_group_errors(t):
+    out = A.group_errors(_predicted(t), "l_suppkey", "actual", "predicted", 20, (10000,))
+    return out.select("l_suppkey", "n", *_metrics(out), r4(F.col("within_10000"), "within_10000"))
+
+
+@query(
+    f"SELECT band, count(*) AS n, round(avg(abs(actual - predicted)), 3) AS mae FROM (SELECT *, CASE WHEN actual >= 0 AND actual < 10000 THEN 'low' WHEN actual >= 10000 AND actual < 50000 THEN 'middle' WHEN actual >= 50000 AND actual < 1000000 THEN 'high' END AS band FROM {_PREDICTED}) GROUP BY band"
+)
+def a18_f45_error_bands(t):
+    band = N.fixed_bins(F.col("actual"), [0, 10_000, 50_000, 1_000_000], ["low", "middle", "high"], right=False)
+    return _predicted(t).groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("actual") - F.col("predicted"))), 3).alias("mae"))
+
+
+@query(
+    f"WITH p AS {_PREDICTED}, e AS (SELECT quantile_cont(actual, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS q FROM p) SELECT CAST(greatest(len(list_filter(q, lambda x: x < actual)) - 1, 0) AS INT) AS bin, predicted > actual AS over, count(*) AS n FROM p, e GROUP BY ALL"
+)
+def a19_f46_quantile_bands(t):
+    own = _predicted(t)
+    edges = own.agg(N.quantile_edges(F.col("actual")).alias("e")).first()["e"]
+    return own.groupBy(N.bin_of(F.col("actual"), F.lit(edges)).alias("bin"), (F.col("predicted") > F.col("actual")).alias("over")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT round(avg(mae), 3) AS mae_mean, round(stddev_pop(mae), 3) AS mae_std, round(min(mae), 3) AS mae_min, round(max(mae), 3) AS mae_max FROM (SELECT l_suppkey % 4 AS fold, avg(abs(actual - predicted)) AS mae FROM {_PREDICTED} GROUP BY ALL)")
+def a22_fold_summary(t):
+    by = _predicted(t).groupBy((F.col("l_suppkey") % 4).alias("fold")).agg(*A.regression_metrics())
+    out = A.fold_summary(by, ["mae"])
+    return out.select(*(F.round(c, 3).alias(c) for c in out.columns))
+
+
+@query("SELECT coalesce(nullif(lower(trim(event_type)), ''), '__missing__') AS v, count(*) AS n, round(avg(value), 4) AS mean, round(avg(abs(value)), 4) AS mean_abs FROM events GROUP BY 1 HAVING count(*) >= 15")
+def a23_f12_category_effects(t):
+    return t("events").groupBy(X.group_value(F.col("event_type")).alias("v")).agg(F.count("*").alias("n"), r4(F.avg("value"), "mean"), r4(F.avg(F.abs("value")), "mean_abs")).where("n >= 15")
+
+
+@query(
+    "SELECT g AS \"group\", round(sum(v), 3) AS v, round(sum(v) / sum(sum(v)) OVER (), 4) AS share FROM (SELECT CASE WHEN p_brand = 'Brand#11' THEN 'one' WHEN p_brand = 'Brand#12' THEN 'two' ELSE 'other' END AS g, p_retailprice AS v FROM part) GROUP BY g"
+)
+def a24_rolled_up_importance(t):
+    out = A.rolled_up(t("part").select("p_brand", F.col("p_retailprice").alias("v")), "p_brand", {"Brand#11": "one", "Brand#12": "two"}, "v")
+    return out.select("group", F.round("v", 3).alias("v"), r4(F.col("share"), "share"))
+
+
+@query("SELECT round(stddev_pop(m), 4) AS spread FROM (SELECT median(p_retailprice) AS m FROM part GROUP BY p_brand)")
+def a26_spread_of_medians(t):
+    return t("part").groupBy("p_brand").agg(F.median("p_retailprice").alias("m")).agg(r4(F.stddev_pop("m"), "spread"))
+
+
+@query("SELECT round(avg(n), 4) AS mean, median(n) AS median, max(n) AS largest FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)")
+def a27_group_sizes(t):
+    return t("orders").groupBy("o_custkey").agg(F.count("*").alias("n")).agg(r4(F.avg("n"), "mean"), F.median("n").alias("median"), F.max("n").alias("largest"))
+
+
+@query("SELECT l_partkey, count(DISTINCT l_suppkey) AS owners, CASE WHEN count(DISTINCT l_suppkey) = 1 THEN min(l_suppkey) END AS l_suppkey FROM lineitem GROUP BY l_partkey")
+def a28_unambiguous_owner(t):
+    return A.unambiguous(t("lineitem"), "l_partkey", "l_suppkey")
+
+
+# Rows of groups, duplicates
+
+
+@query("SELECT DISTINCT lower(trim(regexp_replace(p_type, '\\s+', ' ', 'g'))) AS p_type, p_brand FROM part")
+def d1_f2_distinct_rows(t):
+    return t("part").select(F.lower(X.strip(X.collapse(F.col("p_type")))).alias("p_type"), "p_brand").dropDuplicates()
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1")
+def d2_d3_keep_first(t):
+    return Q.keep_first(t("orders"), ["o_custkey"], F.desc("o_totalprice"), "o_orderkey").select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY (CASE WHEN value > 50 THEN 1 ELSE 0 END) DESC, event_id) = 1")
+def d4_fullest_per_day(t):
+    own = t("events").select("event_id", "user_id", F.col("ts").cast("date").alias("day"), N.above(F.col("value"), 50).alias("v"))
+    return H.fullest_per_day(own, ["user_id", "day"], "event_id").select("event_id", "user_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_partkey, l_suppkey) > 1 AS repeated FROM lineitem")
+def d5_repeats(t):
+    return Q.repeats(t("lineitem"), ["l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "repeated")
+
+
+@query("SELECT p_partkey, CASE WHEN (SELECT count(DISTINCT q.p_type) FROM part q WHERE q.p_brand = part.p_brand) > 1 THEN p_brand || ' [' || p_type || ']' ELSE p_brand END AS label FROM part")
+def d11_distinct_labels(t):
+    return Q.distinct_labels(t("part").withColumn("label", F.col("p_brand")), "label", "p_type").select("p_partkey", "label")
+
+
+# Windows
+
+
+@query(
+    "WITH e AS (SELECT user_id, event_id, CAST(ts AS DATE) AS d, value, ts FROM events), w AS (SELECT *, row_number() OVER s AS observations_so_far, date_diff('day', min(d) OVER (PARTITION BY user_id), d) AS days_since_first_seen, first_value(value) OVER (PARTITION BY user_id ORDER BY d, event_id) AS first_price, "
+    "CASE WHEN lag(value) OVER s <> value THEN 1 ELSE 0 END AS price_change_event FROM e WINDOW s AS (PARTITION BY user_id ORDER BY d, event_id)) "
+    "SELECT event_id, user_id, CAST(observations_so_far AS INT) AS observations_so_far, CAST(days_since_first_seen AS INT) AS days_since_first_seen, first_price, price_change_event, CAST(sum(price_change_event) OVER (PARTITION BY user_id ORDER BY d, event_id) AS BIGINT) AS price_changes_so_far, "
+    "round(value - first_price, 4) AS absolute_change_so_far, round(CASE WHEN first_price <> 0 THEN (value - first_price) / first_price * 100 END, 4) AS relative_change_so_far FROM w"
+)
+def w1_w6_point_in_time(t):
+    own = t("events").select("user_id", "event_id", F.col("ts").cast("date").alias("d"), "value")
+    return rounded(H.point_in_time(own, "user_id", "d", "value", "event_id").select("event_id", "user_id", "observations_so_far", "days_since_first_seen", "first_price", "price_change_event", "price_changes_so_far", "absolute_change_so_far", "relative_change_so_far"))
+
+
+@query(
+    "WITH e AS (SELECT user_id, event_id, CAST(ts AS DATE) AS d, CASE WHEN value > 20 THEN value END AS v FROM events), k AS (SELECT user_id, v, lag(v) OVER (PARTITION BY user_id ORDER BY d, event_id) AS b FROM e WHERE v IS NOT NULL), "
+    "c AS (SELECT user_id, CAST(sum(CASE WHEN b <> v THEN 1 ELSE 0 END) AS BIGINT) AS price_changes FROM k GROUP BY user_id) "
+    "SELECT user_id, count(*) AS times_observed, CAST(min(d) AS VARCHAR) AS first_seen, CAST(max(d) AS VARCHAR) AS last_seen, coalesce(max(price_changes), 0) AS price_changes, arg_min(v, {'d': d, 'e': event_id}) FILTER (v IS NOT NULL) AS first_price, arg_max(v, {'d': d, 'e': event_id}) FILTER (v IS NOT NULL) AS last_price, "
+    "CAST(date_diff('day', min(d), max(d)) AS INT) AS span_days FROM e LEFT JOIN c USING (user_id) GROUP BY user_id"
+)
+def w7_w10_full_history(t):
+    own = t("events").select("user_id", "event_id", F.col("ts").cast("date").alias("d"), N.above(F.col("value"), 20).alias("v"))
+    return rounded(H.full_history(own, "user_id", "d", "v", "event_id").select("user_id", "times_observed", "first_seen", "last_seen", "price_changes", "first_price", "last_price", "span_days"))
+
+
+@query(
+    "WITH b AS (SELECT p_brand, avg(p_retailprice) AS mae, stddev_pop(p_retailprice) AS rmse FROM part GROUP BY p_brand) SELECT p_brand, CAST(dense_rank() OVER (ORDER BY mae) AS INT) AS mae_rank, CAST(dense_rank() OVER (ORDER BY rmse) AS INT) AS rmse_rank, round(mae - max(CASE WHEN p_brand = 'Brand#11' THEN mae END) OVER (), 4) AS mae_delta FROM b"
+)
+def w8_w9_ranks_and_deltas(t):
+    b = t("part").groupBy("p_brand").agg(F.avg("p_retailprice").alias("mae"), F.stddev_pop("p_retailprice").alias("rmse"))
+    whole = Window.partitionBy()
+    return b.select("p_brand", F.dense_rank().over(Window.orderBy("mae")).alias("mae_rank"), F.dense_rank().over(Window.orderBy("rmse")).alias("rmse_rank"), r4(F.col("mae") - F.max(F.when(F.col("p_brand") == "Brand#11", F.col("mae"))).over(whole), "mae_delta"))
+
+
+# Sorting and sets
+
+
+@query("SELECT p_partkey, p_brand, p_retailprice FROM part ORDER BY p_brand, p_retailprice DESC, p_partkey")
+def t1_mixed_sort(t):
+    return t("part").select("p_partkey", "p_brand", "p_retailprice").orderBy("p_brand", F.desc("p_retailprice"), "p_partkey")
+
+
+@query("SELECT p_brand, p_type, mae FROM (SELECT p_brand, p_type, round(avg(p_retailprice), 4) AS mae, count(*) AS n FROM part GROUP BY ALL) ORDER BY mae, n, p_brand, p_type LIMIT 1")
+def t2_best_row(t):
+    return t("part").groupBy("p_brand", "p_type").agg(r4(F.avg("p_retailprice"), "mae"), F.count("*").alias("n")).orderBy("mae", "n", "p_brand", "p_type").limit(1).drop("n")
+
+
+@query("SELECT l_orderkey, l_linenumber, round(abs(l_extendedprice - l_quantity * 1500), 4) AS error FROM lineitem ORDER BY abs(l_extendedprice - l_quantity * 1500) DESC, l_orderkey, l_linenumber LIMIT 40")
+def t3_t4_worst_rows(t):
+    e = F.abs(F.col("l_extendedprice") - F.col("l_quantity") * 1500)
+    return t("lineitem").orderBy(e.desc(), "l_orderkey", "l_linenumber").limit(40).select("l_orderkey", "l_linenumber", r4(e, "error"))
+
+
+@query("SELECT p_partkey, p_retailprice FROM part ORDER BY abs(p_retailprice - 1200), p_partkey LIMIT 50")
+def t5_t6_nearest(t):
+    return K.nearest(t("part"), "p_retailprice", 1200, 50, "p_partkey").select("p_partkey", "p_retailprice")
+
+
+@query("SELECT o_custkey AS k, 'orders' AS origin FROM orders UNION ALL SELECT c_custkey, 'customer' FROM customer")
+def u1_u7_tagged_union(t):
+    return t("orders").select(F.col("o_custkey").alias("k"), F.lit("orders").alias("origin")).unionByName(t("customer").select(F.lit("customer").alias("origin"), F.col("c_custkey").alias("k")))
+
+
+@query("SELECT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'")
+def u2_shared_keys(t):
+    keys = lambda f: t("lineitem").where(F.col("l_returnflag") == f).select(F.col("l_partkey").alias("k"))
+    return keys("R").intersect(keys("A"))
+
+
+@query("SELECT md5(concat_ws(',', CASE WHEN v IS NULL THEN '-' ELSE length(v) || ':' || v END, length(user_id::VARCHAR) || ':' || user_id)) AS f FROM (SELECT user_id, CASE WHEN event_id % 5 > 0 THEN event_type END AS v FROM events)")
+def u3_fingerprints(t):
+    return t("events").select(X.fingerprint(F.when(F.col("event_id") % 5 > 0, F.col("event_type")), F.col("user_id")).alias("f"))
+
+
+@query("SELECT p_brand AS term FROM part UNION SELECT p_type FROM part")
+def u4_u5_term_set(t):
+    return t("part").select(F.col("p_brand").alias("term")).union(t("part").select("p_type")).distinct()
+
+
+# Texts, numbers, dates
+
+
+@query("SELECT p_partkey, upper(trim(p_name)) AS upper_name, nullif(lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))), '') AS key, CASE WHEN lower(p_brand) = 'brand#11' THEN 'house' ELSE lower(p_brand) END AS alias, split_part(p_brand, '#', 2) AS code FROM part")
+def f1_f4_keys_and_aliases(t):
+    return t("part").select("p_partkey", F.upper(X.strip(F.col("p_name"))).alias("upper_name"), X.key(F.col("p_name")).alias("key"), X.replaced(F.lower("p_brand"), {"brand#11": "house"}).alias("alias"), F.get(F.split("p_brand", "#"), F.lit(1)).alias("code"))
+
+
+@query("SELECT p_partkey, nullif(trim(CASE WHEN starts_with(p_name || ' ', split_part(p_name, ' ', 1) || ' ') THEN substr(p_name, length(split_part(p_name, ' ', 1)) + 1) END), '') AS rest FROM part")
+def f5_f7_without_prefix(t):
+    return t("part").select("p_partkey", X.without_prefix(F.col("p_name"), F.get(F.split("p_name", " "), F.lit(0))).alias("rest"))
+
+
+@query("SELECT o_orderkey, split_part(o_orderpriority, '-', 1) AS low, nullif(split_part(o_orderpriority, '-', 2), '') AS high, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS padded FROM orders")
+def f8_f10_split_and_pad(t):
+    low, high = X.split_range(F.col("o_orderpriority"))
+    return t("orders").select("o_orderkey", low.alias("low"), X.null_if(high, "").alias("high"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("padded"))
+
+
+@query("SELECT event_id, TRY_CAST(replace(s, ',', '.') AS DOUBLE) AS n FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '-' WHEN 1 THEN replace(CAST(event_id AS VARCHAR) || '.5', '.', ',') WHEN 2 THEN 'abc' ELSE CAST(event_id AS VARCHAR) END AS s FROM events)")
+def f9_f40_count_numbers(t):
+    e = F.col("event_id")
+    s = F.when(e % 4 == 0, "-").when(e % 4 == 1, F.concat(e.cast("string"), F.lit(",5"))).when(e % 4 == 2, "abc").otherwise(e.cast("string"))
+    return t("events").select("event_id", N.count_number(s).alias("n"))
+
+
+@query("SELECT p_partkey, concat_ws('|', lower(trim(p_name)), lower(trim(p_brand)), CASE WHEN p_size > 25 THEN CAST(p_size AS VARCHAR) ELSE '__missing__' END) AS identity FROM part")
+def f11_g4_part_identity(t):
+    return t("part").select("p_partkey", X.identity(F.col("p_name"), F.col("p_brand"), N.above(F.col("p_size"), 25)).alias("identity"))
+
+
+@query("SELECT o_orderkey, year(o_orderdate) AS y, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS INT) AS off, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS a, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS b FROM orders")
+def f33_f38_dates(t):
+    d = F.col("o_orderdate").cast("date")
+    return t("orders").select("o_orderkey", F.year(d).alias("y"), N.day_offset(d, F.lit("1992-01-01").cast("date")).alias("off"), N.finnish_date(F.date_format(d, "d.M.yyyy")).cast("string").alias("a"), N.compact_date(F.concat(F.date_format(d, "yyyyMMdd"), F.lit(".0"))).cast("string").alias("b"))
+
+
+@query("SELECT o_orderkey, CASE WHEN y <= 1996 THEN 'early' WHEN y <= 1998 THEN 'middle' ELSE 'late' END AS band, 2025 - y AS age FROM (SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y FROM orders)")
+def f43_f44_bands_and_ages(t):
+    y = F.year("o_orderdate")
+    return t("orders").select("o_orderkey", N.fixed_bins(y, [1900, 1996, 1998, 2100], ["early", "middle", "late"]).alias("band"), (2025 - y).alias("age"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(ln(l_extendedprice), 6) AS log_price, round(exp(least(greatest(ln(l_extendedprice), ln(1e-3)), ln(1000000.0))), 2) AS euros, round(CASE WHEN l_discount <> 0 THEN l_tax / l_discount END, 6) AS ratio, greatest(l_quantity - 1.645 * 10, 0) AS low FROM lineitem")
+def f41_f42_f48_f51_numbers(t):
+    low, _ = M.confidence_band(F.col("l_quantity"), 10)
+    return t("lineitem").select("l_orderkey", "l_linenumber", F.round(F.ln("l_extendedprice"), 6).alias("log_price"), F.round(N.to_euros(F.ln("l_extendedprice"), True, 100_000.0), 2).alias("euros"), F.round(N.ratio(F.col("l_tax"), F.col("l_discount")), 6).alias("ratio"), low.alias("low"))
+
+
+# Pages
+
+
+@query()
+def f23_f29_parsed_pages(t):
+    return P.parsed(t("pages"))
+
+
+@query("SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*href=[\"'']([^\"'']+)[\"'']', 1)) AS href FROM pages")
+def f30_f31_links(t):
+    return P.links(t("pages"))
+
+
+# Keys
+
+
+@query("WITH a AS (SELECT DISTINCT split_part(lower(p_name), ' ', 1) AS alias FROM part UNION SELECT DISTINCT split_part(lower(p_name), ' ', 1) || ' ' || split_part(lower(p_name), ' ', 2) FROM part) SELECT p_partkey, (SELECT upper(arg_max(alias, length(alias))) FROM a WHERE starts_with(lower(p_name) || ' ', alias || ' ')) AS brand, nullif(trim(substr(lower(p_name), 1 + (SELECT max(length(alias)) FROM a WHERE starts_with(lower(p_name) || ' ', alias || ' ')))), '') AS model FROM part")
+def k1_longest_prefix(t):
+    own = t("part").select("p_partkey", F.lower("p_name").alias("label"))
+    first, second = F.get(F.split("label", " "), F.lit(0)), F.get(F.split("label", " "), F.lit(1))
+    aliases = own.select(first.alias("alias")).union(own.select(F.concat_ws(" ", first, second))).distinct().withColumn("brand", F.upper("alias"))
+    return K.longest_prefix(own, "label", aliases).select("p_partkey", "brand", "model")
+
+
+@query(
+    "WITH l AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'b' || (o_custkey % 20) WHEN 1 THEN 'm' || (o_custkey % 10) ELSE 'x' END AS brand, CASE o_orderkey % 2 WHEN 0 THEN 'm' || (o_custkey % 10) ELSE 'brake' END AS model FROM orders), "
+    "pairs AS (SELECT DISTINCT 'b' || (c_custkey % 20) AS brand, 'm' || (CASE WHEN c_custkey % 20 < 5 THEN c_custkey % 20 ELSE c_custkey % 10 END) AS model FROM customer), o AS (SELECT model AS family, count(DISTINCT brand) AS owners, min(brand) AS owner FROM pairs GROUP BY model) "
+    "SELECT o_orderkey, CASE WHEN EXISTS (SELECT 1 FROM pairs p WHERE p.brand = l.brand AND p.model = l.model) THEN 'original_valid' WHEN owners = 1 AND l.model = 'brake' THEN 'repaired_from_brand_model_family' WHEN owners > 1 THEN 'ambiguous_unrepaired' WHEN l.model = 'brake' THEN 'invalid_part_taxonomy_in_model' ELSE 'unknown_brand_model' END AS key_status, "
+    "CASE WHEN NOT EXISTS (SELECT 1 FROM pairs p WHERE p.brand = l.brand AND p.model = l.model) AND owners = 1 AND l.model = 'brake' THEN owner ELSE l.brand END AS key_brand FROM l LEFT JOIN o ON l.brand = o.family"
+)
+def k2_k3_key_repair(t):
+    k = F.col("o_orderkey")
+    b = lambda n: (F.col("o_custkey") % n).cast("string")
+    own = t("orders").select("o_orderkey", F.when(k % 3 == 0, F.concat(F.lit("b"), b(20))).when(k % 3 == 1, F.concat(F.lit("m"), b(10))).otherwise("x").alias("brand"), F.when(k % 2 == 0, F.concat(F.lit("m"), b(10))).otherwise("brake").alias("model"), F.lit("Brakes").alias("category"), F.lit("brake").alias("subcategory"))
+    c = F.col("c_custkey")
+    pairs = t("customer").select(F.concat(F.lit("b"), (c % 20).cast("string")).alias("brand"), F.concat(F.lit("m"), F.when(c % 20 < 5, c % 20).otherwise(c % 10).cast("string")).alias("model"))
+    return K.repaired(K.looks_like_taxonomy(own, "model", "category", "subcategory"), pairs).select("o_orderkey", "key_status", "key_brand")
+
+
+@query("SELECT round(avg(CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0.0 END), 4) AS before, CAST(sum(CASE WHEN l_quantity < l_linenumber THEN 1 ELSE 0 END) AS BIGINT) AS illogical FROM lineitem")
+def k5_k8_match_share_and_logic(t):
+    return t("lineitem").agg(r4(K.match_share(F.col("l_quantity") > 25), "before"), F.sum((F.col("l_quantity") < F.col("l_linenumber")).cast("long")).alias("illogical"))
+
+
+@query("SELECT c_nationkey, c_custkey FROM customer")
+def k6_k7_k10_guards(t):
+    own = Q.require_no_nulls(Q.require_unique(t("customer"), ["c_custkey"]), ["c_custkey", "c_nationkey"])
+    return Q.require_columns(own, ["c_nationkey", "c_custkey"])
+
+
+@query("SELECT p_partkey::DOUBLE AS p_partkey, p_name, p_brand, p_type, p_size::DOUBLE AS p_size, p_retailprice FROM part")
+def k9_coerced(t):
+    return Q.coerced(t("part"), ("price", "size", "key"), N.to_number)
+
+
+# Splits
+
+
+@query(
+    "WITH g AS (SELECT c_nationkey * 1000 + c_custkey % 40 AS g FROM customer GROUP BY 1), r AS (SELECT g, row_number() OVER (ORDER BY md5(g || ':42'), g) AS k, count(*) OVER () AS n FROM g) SELECT g, CASE WHEN k <= round_even(n * 0.7, 0) THEN 'train' WHEN k <= round_even(n * 0.7, 0) + round_even(n * 0.15, 0) THEN 'validation' ELSE 'test' END AS split FROM r"
+)
+def g1_g3_group_split(t):
+    return S.group_split(t("customer").select((F.col("c_nationkey") * 1000 + F.col("c_custkey") % 40).alias("g")), "g")
+
+
+@query()
+def g2_group_folds(t):
+    return S.group_folds(t("orders"), "o_custkey")
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_linenumber % 2) > 1)) AS group_overlap, (SELECT count(*) FROM (SELECT l_partkey, l_suppkey FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_linenumber % 2) > 1)) AS row_overlap, 'FAIL' AS group_check, 'WARN' AS row_check")
+def g5_m25_fold_report(t):
+    own = t("lineitem").select("l_orderkey", (F.col("l_linenumber") % 2).alias("fold"), X.fingerprint(F.col("l_partkey"), F.col("l_suppkey")).alias("row"))
+    return S.fold_report(own, "fold", "l_orderkey", "row")
+
+
+@query("SELECT c_custkey FROM customer ORDER BY md5(c_custkey || ':42'), c_custkey LIMIT 100")
+def g6_sampled(t):
+    return S.sampled(t("customer"), "c_custkey", 100).select("c_custkey")
+
+
+@query(
+    "WITH a AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders), b AS (SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY md5(o_orderkey || ':42'), o_orderkey) AS k FROM orders) SELECT o_orderkey, o_custkey, o_totalprice FROM a JOIN b USING (o_custkey, k)"
+)
+def g7_permuted_within(t):
+    return S.permuted(t("orders"), "o_totalprice", "o_orderkey", ["o_custkey"]).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+# Serving
+
+
+@query(
+    "WITH q AS (SELECT p_partkey AS query_id, lower(p_type) AS a, lower(p_brand) AS b, p_size AS mileage, 1200.0::DOUBLE AS prediction FROM part WHERE p_partkey % 40 = 0), r AS (SELECT p_partkey AS ref_id, lower(p_type) AS a, lower(p_brand) AS b, p_size AS m, p_retailprice AS price FROM part), "
+    "f AS (SELECT query_id, 0 AS level, ref_id, price, abs(mileage - m) AS away FROM q JOIN r USING (a, b) UNION ALL SELECT query_id, 1, ref_id, price, abs(mileage - m) FROM q JOIN r USING (b)), l AS (SELECT query_id, min(level) AS level FROM (SELECT query_id, level FROM f GROUP BY ALL HAVING count(*) >= 5) GROUP BY query_id), "
+    "n AS (SELECT f.* FROM f JOIN l USING (query_id, level) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY away, ref_id) <= 50), s AS (SELECT query_id, quantile_cont(price, 0.1) AS p10, quantile_cont(price, 0.9) AS p90, count(*) AS comparables FROM n GROUP BY query_id) "
+    "SELECT query_id, round(CASE WHEN p10 IS NULL THEN 1125.0 ELSE least(p10, 1080.0) END, 4) AS low, round(CASE WHEN p10 IS NULL THEN 1275.0 ELSE greatest(p90, 1320.0) END, 4) AS high, coalesce(comparables, 0) AS comparables, CASE WHEN p10 IS NULL THEN 'fallback' ELSE 'comparable_rows' END AS source, CASE WHEN comparables >= 20 THEN 'Strong' WHEN comparables >= 8 THEN 'Moderate' ELSE 'Limited' END AS support FROM q LEFT JOIN s USING (query_id)"
+)
+def v1_v5_comparable_range(t):
+    part = t("part").select(F.col("p_partkey").alias("ref_id"), "p_type", "p_brand", F.col("p_size").alias("mileage"), F.col("p_retailprice").alias("price"))
+    asked = part.where("ref_id % 40 = 0").select(F.col("ref_id").alias("query_id"), "p_type", "p_brand", "mileage", F.lit(1200.0).alias("prediction"))
+    out = M.comparable_range(asked, part, (("p_type", "p_brand"), ("p_brand",)))
+    return out.select("query_id", r4(F.col("low"), "low"), r4(F.col("high"), "high"), "comparables", "source", M.support_label(F.col("comparables")).alias("support"))
+
+
+@query("SELECT DISTINCT p_brand AS option FROM part WHERE trim(p_brand) <> '' ORDER BY 1")
+def v3_options(t):
+    return M.options(t("part"), "p_brand")
