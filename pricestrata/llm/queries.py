@@ -30,7 +30,7 @@ def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = poisson_mix.mixed(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "source", "mix_rate", "mix_copies", "mix_copy", "mix_key")
+    return out.select("doc_id", "source", F.round("mix_rate", 9).alias("mix_rate"), "mix_copies", "mix_copy", "mix_key")
 
 
 def op5_maxplus_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,5 +66,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+def _op3_sql() -> str:
+    """The checksum runs over a text's bits, lowest first, by the reversed polynomial."""
+    n = slots.SHARDS
+    versions = slots.slot_maps(n + 1)
+    return f"""
+WITH r AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + {slots.OVERHEAD} AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT % {slots.SLOTS} AS v,
+    xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+      lambda h: list_transform(range(8), lambda k: (('0x' || h)::BIGINT >> k) & 1)))), lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384))) AS crc
+  FROM documents),
+m AS (SELECT unnest(range({slots.SLOTS})) AS v, unnest({versions[n - 1]}) AS shard, unnest({versions[n]}) AS grown)
+SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY v, doc_id, crc, size) - 1 AS slot, grown AS grown_shard, v AS virtual_slot, (sum(size) OVER (PARTITION BY v))::BIGINT AS slot_bytes, {n} AS map_version
+FROM r JOIN m USING (v)"""
+
+
+def _op4_sql() -> str:
+    bytes_of = "octet_length(encode(coalesce(text, '')))"
+    return f"""
+WITH RECURSIVE s AS (SELECT source, sum({bytes_of})::BIGINT AS b FROM documents GROUP BY source HAVING sum({bytes_of}) > 0),
+w AS (SELECT source, b, pow(b::DOUBLE, {poisson_mix.TEMPERATURE}) AS w FROM s),
+r AS (SELECT source, w / (SELECT sum(w::DECIMAL(38, 12))::DOUBLE FROM w) * (SELECT sum(b)::BIGINT FROM w) / b AS rate FROM w),
+t AS (SELECT source, rate, greatest(ceil(rate / {poisson_mix.MEAN}), 1)::INT AS parts, rate / greatest(ceil(rate / {poisson_mix.MEAN}), 1) AS m FROM r),
+c(source, k, p, c) AS (SELECT source, 0, exp(-m), exp(-m) FROM t UNION ALL SELECT t.source, k + 1, p * m / (k + 1), c + p * m / (k + 1) FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE k < ceil(m + 12 * sqrt(m) + 30)),
+u AS (SELECT doc_id, d.source, rate, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{poisson_mix.SEED}:' || j), 1, 13))::BIGINT / 4503599627370496.0 AS u, row_number() OVER () AS place
+  FROM (SELECT doc_id, d.source, rate, unnest(range(parts)) AS j FROM documents d JOIN t ON d.source IS NOT DISTINCT FROM t.source) d),
+n AS (SELECT doc_id, u.source, rate, count(*) FILTER (c <= u) AS n FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source GROUP BY ALL)
+SELECT doc_id, source, round(rate, 9) AS mix_rate, n::INT AS mix_copies, i::INT AS mix_copy, md5('order:' || coalesce(doc_id::VARCHAR, 'null') || ':{poisson_mix.SEED}:' || i) AS mix_key FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM n WHERE n > 0)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that it can express; it assumes distinct doc_ids. The others are tested against brute force."""
+    return {"op3_virtual_slots": _op3_sql(), "op4_poisson_mixture": _op4_sql()}

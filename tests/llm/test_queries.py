@@ -1,0 +1,112 @@
+"""The queries as registered, over the driver's smallest tables."""
+
+import zlib
+from collections import Counter
+from pathlib import Path
+
+import corpus_pipeline
+import duckdb
+import fixtures as fx
+import pytest
+from pricestrata.llm import langid, maxplus, poisson_mix, queries, secret_scan
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for p in Path(DATA).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}')")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, duck, name):
+    df = queries.queries()[name](spark, DATA)
+    want = duck.execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(df.columns) == sorted(columns)
+    got = sorted(str([r[c] for c in sorted(columns)]) for r in df.collect())
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    assert got == sorted(str([r[i] for i in order]) for r in want.fetchall())
+
+
+def test_one_query_for_each_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+
+
+@pytest.mark.parametrize(("name", "columns"), [
+    ("op2_hilbert_windows", ["query_id long", "rank int", "vec_id long", "score double"]),
+    ("op3_virtual_slots", ["doc_id long", "size long", "text_crc32 long", "law string", "shard int", "slot long", "grown_shard int"]),
+    ("op6_word_backoff_langid", ["doc_id long", "held_out boolean", "lang_pred string", "score double"]),
+    ("op7_bootstrapped_pii", ["doc_id long", "n_email long", "n_ip long", "n_card long", "n_phone long", "base_sha256 string", "spans string"]),
+    ("op8_token_efficiency_secrets", ["doc_id long", "n_assign long", "n_access long", "n_hex long", "base_sha256 string", "spans string"]),
+    ("op9_simhash_components", ["doc_id long", "fingerprint string", "component_id long"]),
+])
+def test_contracts(spark, name, columns):
+    df = queries.queries()[name](spark, DATA)
+    kinds = {c: {"bigint": "long"}.get(t, t) for c, t in df.dtypes}
+    assert [f"{c} {kinds[c]}" for c in (x.split()[0] for x in columns)] == columns
+
+
+def test_held_out_accuracy(spark):
+    docs = {r["doc_id"]: r["lang"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = [r for r in queries.op6_word_backoff_langid(spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
+    assert sum(r["lang_pred"] == docs[r["doc_id"]] for r in got) / len(got) > 0.98
+
+
+def brute_pipeline(rows, model):
+    rows = [r for r in rows if (p := model.predict(r["text"], {}))[0] != "und" and p[1] >= corpus_pipeline.LEAST_SCORE]
+    fps = [(r["doc_id"], fx.simhash(r["text"])) for r in rows]
+    ids = fx.component_ids(fps)
+    rows = [r for r, (d, f) in zip(rows, fps) if d is not None and ids[f] == d]
+    rows = list({r["doc_id"]: r for r in rows}.values())
+    enc = secret_scan.encoder(secret_scan.vocabulary_path())
+    rows = [r for r in rows if not any(secret_scan.all_spans(r["text"], enc))]
+    size = Counter()
+    for r in rows:
+        size[r["source"]] += len(r["text"].encode())
+    weight = {s: b**poisson_mix.TEMPERATURE for s, b in size.items()}
+    rate = {s: w / sum(weight.values()) * sum(size.values()) / size[s] for s, w in weight.items()}
+    out = []
+    pieces = maxplus.pieces(maxplus.vocabulary_path())
+    import hashlib
+    import math
+
+    for r in rows:
+        u = int(hashlib.md5(f"{r['doc_id']}:{poisson_mix.SEED}:0".encode()).hexdigest()[:13], 16) / 2**52
+        m, n = rate[r["source"]], 0
+        p = c = math.exp(-m)
+        while c <= u:
+            n += 1
+            p *= m / n
+            c += p
+        ids, score = pieces.encode(r["text"])
+        out += [(r["doc_id"], zlib.crc32(ids.tobytes()), score)] * n
+    return sorted(out)
+
+
+def shown(df):
+    import numpy as np
+
+    return sorted((r["doc_id"], zlib.crc32(np.array(r["ids"], "<i4").tobytes()), r["score"]) for r in df.collect())
+
+
+def test_pipeline_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = langid.Model(langid.sampled(docs))
+    assert shown(corpus_pipeline.run(spark, DATA)) == brute_pipeline([r.asDict() for r in docs.collect()], model)
+
+
+def test_pipeline_on_awkward_and_empty_documents(spark, tmp_path):
+    docs = fx.documents(spark, [r for r in fx.awkward() if r[0] is not None])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    model = langid.Model(langid.sampled(docs))
+    assert shown(corpus_pipeline.run(spark, str(tmp_path))) == brute_pipeline([r.asDict() for r in docs.collect()], model)
+    step = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        step = stage(spark, step, "")
+        assert step.columns == docs.columns
+    fx.documents(spark, []).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
