@@ -35,33 +35,28 @@ def group_split(df: DataFrame, group: str, shares: tuple[float, ...] = (0.7, 0.1
 def group_folds(df: DataFrame, group: str, k: int = 4) -> DataFrame:
     """(group, n, fold): the largest groups first (ties by key), each to the fold of fewest rows so far.
 
-    The greedy rule needs sizes only; groups of one size are dealt out at once, so the driver sees a row
-    for each distinct size and not for each group.
+    The greedy rule needs sizes only, so the driver sees a row for each distinct size and not for each
+    group. Once no two folds differ by a size or more, groups of it go round the folds in one order.
     """
     sizes = df.dropna(subset=[group]).groupBy(group).agg(F.count("*").alias("n"))
     counts = sorted(((r["n"], r["groups"]) for r in sizes.groupBy("n").agg(F.count("*").alias("groups")).collect()), reverse=True)
     load, runs = [0] * k, []
     for n, groups in counts:
-        while groups:
-            low = min(load)
-            lightest = [i for i in range(k) if load[i] == low]
-            higher = [x for x in load if x > low]
-            rounds = max(1, min(groups // len(lightest), -(-(min(higher) - low) // n) if higher else groups // len(lightest))) if groups >= len(lightest) else 1
-            order = lightest[: min(len(lightest), groups)]
-            runs.append((n, rounds, order))
-            for i in order:
-                load[i] += n * rounds
-            groups -= rounds * len(order)
-    starts: dict[int, int] = {}
-    fold = F.lit(None).cast("int")
-    for n, rounds, order in runs:
-        first = starts.get(n, 0)
-        last = first + rounds * len(order)
-        starts[n] = last
-        inside = (F.col("n") == n) & (F.col("place") >= first) & (F.col("place") < last)
-        fold = F.when(inside, F.element_at(F.array(*map(F.lit, order)), ((F.col("place") - first) % len(order) + 1).cast("int"))).otherwise(fold)
+        at = 0
+        while at < groups and max(load) - min(load) >= n:
+            i = load.index(min(load))
+            runs.append((n, at, at + 1, [i]))
+            load[i] += n
+            at += 1
+        if at < groups:
+            order = sorted(range(k), key=lambda i: (load[i], i))
+            runs.append((n, at, groups, order))
+            for j, i in enumerate(order):
+                load[i] += n * len(range(at + j, groups, k))
     place = F.row_number().over(Window.partitionBy("n").orderBy(group)) - 1
-    return sizes.withColumn("place", place).select(group, "n", fold.alias("fold"))
+    table = df.sparkSession.createDataFrame(runs, "n long, first long, last long, folds array<int>")
+    ranked = sizes.withColumn("place", place).join(table, "n").where((F.col("place") >= F.col("first")) & (F.col("place") < F.col("last")))
+    return ranked.select(group, "n", F.get("folds", ((F.col("place") - F.col("first")) % F.size("folds")).cast("int")).alias("fold"))
 
 
 def overlaps(df: DataFrame, part: str, columns: list[str]) -> DataFrame:

@@ -127,9 +127,7 @@ def test_splits_and_folds(spark, k):
     for g in sorted(sizes, key=lambda g: (-sizes[g], g)):
         want[g] = load.index(min(load))
         load[want[g]] += sizes[g]
-    assert {x["g"]: x["fold"] for x in S.group_folds(df, "g", k).collect()} .keys() == want.keys()
-    got = S.group_folds(df, "g", k).groupBy("fold").agg(F.sum("n").alias("n")).collect()
-    assert sorted(x["n"] for x in got) == sorted(load)
+    assert {x["g"]: x["fold"] for x in S.group_folds(df, "g", k).collect()} == want
     split = S.group_split(spark.range(10).toDF("g"), "g").groupBy("split").count().collect()
     assert {x["split"]: x["count"] for x in split} == {"train": 7, "validation": 2, "test": 1}
 
