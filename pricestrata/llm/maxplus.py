@@ -74,6 +74,8 @@ class Pieces:
     """The pieces of a model file, with the best segmentation of texts and the matrices of chunks."""
 
     def __init__(self, path: str) -> None:
+        import ahocorasick
+
         with open(path, "rb") as f:
             raw = f.read()
         self.ids: dict[str, int] = {}
@@ -100,6 +102,13 @@ class Pieces:
         # Where no piece spans a boundary, the parts on both sides are encoded apart.
         apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) or "\n" in p for p in self.ids)
         self.part = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n") if apart else re.compile("(?s).+")
+        # Texts of known characters alone are matched by an automaton of all pieces.
+        self.matches = ahocorasick.Automaton()
+        for p, i in self.ids.items():
+            self.matches.add_word(p, (len(p), scores[i]))
+        self.matches.make_automaton()
+        self.odd = re.compile("[^" + "".join(re.escape(p) for p in self.ids if len(p) == 1) + "]")
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.cache: dict[str, tuple[bytes, float]] = {}
 
     def normal(self, text: str) -> str:
@@ -118,6 +127,14 @@ class Pieces:
         else:
             for i, x in enumerate(entry[: len(text) + 1]):
                 best[i] = float(x)
+        if not self.odd.search(text):
+            # All matches by their ends, the longest first.
+            for e, (size, score) in self.matches.iter(text):
+                s = e + 1 - size
+                x = best[s] + score
+                if x > best[e + 1] and s < n:
+                    best[e + 1], back[e + 1] = x, s
+            return best, back
         get, end = self.table.get, len(text)
         for s in range(n):
             own = best[s]
@@ -150,15 +167,31 @@ class Pieces:
     def parts(self, names: list[str]) -> tuple[bytes, float]:
         """The ids (int32, joined) and the score of parts that stand apart."""
         cache = self.cache
-        if len(cache) > _CACHE:
-            cache.clear()
-        new = {p for p in names if p not in cache}
-        for p in new:
-            best, back = self.lattice(p, len(p))
-            found, _ = self.traced(p, back, len(p))
-            cache[p] = array("i", found).tobytes(), best[-1]
-        got = [cache[p] for p in names]
-        return b"".join([g[0] for g in got]), sum([g[1] for g in got])
+        got = list(map(cache.get, names))
+        if None in got:
+            new = {p for p, g in zip(names, got) if g is None}
+            if len(cache) > _CACHE:
+                cache.clear()
+                new = set(names)
+            for p in new:
+                self._learn(p)
+            got = list(map(cache.__getitem__, names))
+        ids, scores = zip(*got) if got else ((), ())
+        return b"".join(ids), sum(scores)
+
+    def _learn(self, p: str) -> tuple[bytes, float]:
+        """The entry of a part. Last characters that no piece joins to what stands before them have entries of their own."""
+        n = len(p)
+        while n > 1 and p[n - 2 : n] not in self.inside:
+            n -= 1
+        if n < len(p):
+            ends = [self.cache.get(x) or self._learn(x) for x in (p[:n], *p[n:])]
+            found = b"".join([e[0] for e in ends]), sum([e[1] for e in ends])
+        else:
+            best, back = self.lattice(p, n)
+            found = array("i", self.traced(p, back, n)[0]).tobytes(), best[-1]
+        self.cache[p] = found
+        return found
 
     def encode(self, text: str) -> tuple[np.ndarray, float]:
         ids, score = self.parts(self.part.findall(self.normal(text)))
