@@ -127,3 +127,35 @@ def log_uniform_search(space: dict[str, tuple[float, float] | list], n: int, see
         if len(out) == n:
             break
     return list(out.values())
+
+
+def forest_ranges(df: DataFrame, trees: str, prediction: str, rmse: float, low: float = 0.1, high: float = 0.9) -> DataFrame:
+    """df with a calibrated band and the quantiles of its array of single trees' predictions."""
+    from ..functions.numeric import sorted_quantile
+    from .market import confidence_band
+
+    if not 0 < low < 0.5 < high < 1:
+        raise ValueError("quantiles must lie on both sides of the median")
+    a, b = confidence_band(F.col(prediction), rmse)
+    return df.withColumns({"calibrated_low": a, "calibrated_high": b, "ensemble_low": F.greatest(sorted_quantile(F.col(trees), low), F.lit(0.0)), "ensemble_high": sorted_quantile(F.col(trees), high)})
+
+
+def tree_predictions(df: DataFrame, forest, features: str = "features") -> DataFrame:
+    """df with `trees`: what each tree of a fitted forest predicts, by its own transform."""
+    out = df
+    for i, tree in enumerate(forest.trees):
+        out = tree.copy().setPredictionCol(f"__tree_{i}").setFeaturesCol(features).transform(out)
+    names = [f"__tree_{i}" for i in range(len(forest.trees))]
+    return out.withColumn("trees", F.array(*names)).drop(*names)
+
+
+def pruning_sweep(df: DataFrame, group: str, features: list[str], importances: DataFrame, callback, shares: tuple[float, ...] = (0.1, 0.2, 0.3), k: int = 4) -> list[dict]:
+    """Grouped-CV MAE with the least important share of features left out, for each share."""
+    from .selection import least_important
+
+    out = []
+    for share in shares:
+        gone = {r[0] for r in least_important(importances, "feature", "importance", share).collect()}
+        kept = [f for f in features if f not in gone]
+        out.append({"share": share, "kept": len(kept), "mae": cv_summary(grouped_cv(df, group, kept, callback, k)).first()["mae_mean"]})
+    return out
