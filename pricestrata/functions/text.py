@@ -158,6 +158,43 @@ def shown_number(c: Column, digits: int = 0) -> Column:
     return F.regexp_replace(F.format_number(c, digits), ",", " ")
 
 
+# Features under other names than their own.
+FEATURE_LABELS = {
+    "subcategory": "Part type / placement",
+    "part_name": "Specific part label",
+    "category": "Part group",
+    "year_start": "Compatible year start",
+    "year_end": "Compatible year end",
+    "year_mid": "Vehicle generation midpoint",
+    "year_span": "Compatible year span",
+    "oem_number": "OEM number",
+    "mileage": "Mileage",
+    "model": "Vehicle model",
+    "brand": "Vehicle brand",
+    "quality_grade": "Quality grade",
+}
+
+
+def feature_label(c: Column) -> Column:
+    """A feature's name as shown; a null is the empty text."""
+    known = F.create_map(*(F.lit(x) for kv in FEATURE_LABELS.items() for x in kv))
+    return F.coalesce(F.try_element_at(known, c), display_label(F.replace(c, F.lit("_"), F.lit(" "))), F.lit(""))
+
+
+def feature_value(feature: Column, value: Column) -> Column:
+    """A feature's value, a text, as shown: whole years, half a year at most, kilometres with spaces, labels, `Missing`.
+
+    A number that is none is shown as it is.
+    """
+    number = value.try_cast("double")
+    whole = F.format_string("%d", number.cast("long"))
+    middle = F.when(number == F.floor(number), whole).otherwise(F.format_string("%.1f", number))
+    kilometres = F.concat(shown_number(number.cast("long")), F.lit(" km"))
+    special = F.when(feature.isin("year_start", "year_end"), whole).when(feature == "year_mid", middle).when(feature == "mileage", kilometres)
+    plain = F.when(feature.isin("year_start", "year_end", "year_mid", "mileage"), value).otherwise(display_label(value))
+    return F.when(value.isNull() | F.coalesce(F.isnan(number), F.lit(False)), "Missing").otherwise(F.coalesce(special, plain))
+
+
 def url_key(c: Column) -> Column:
     return F.lower(F.coalesce(F.try_url_decode(c), c))
 

@@ -90,3 +90,18 @@ def rolled_up(df: DataFrame, raw: str, groups: dict[str, str], value: str) -> Da
 def unambiguous(df: DataFrame, key: str, owner: str) -> DataFrame:
     """(key, owners, owner): owner where there is just one."""
     return df.dropna(subset=[key]).groupBy(key).agg(F.count_distinct(owner).alias("owners"), F.min(owner).alias("o")).select(key, "owners", F.when(F.col("owners") == 1, F.col("o")).alias(owner))
+
+
+def mi_binned(df: DataFrame, features: dict[str, Column], target: Column) -> DataFrame:
+    """(feature, rows, mutual_information) in nats, of bins of features with bins of the target.
+
+    A histogram estimate over all rows, where others sample rows and use nearest neighbours: it is
+    comparable between features of as many bins. Rows with a null on either side go; a feature
+    without any is missing from the result. Counts of bins are all that is shuffled twice.
+    """
+    pairs = F.array(*(F.struct(F.lit(n).alias("feature"), c.cast("string").alias("x")) for n, c in features.items()))
+    n = df.select(target.cast("string").alias("y"), F.explode(pairs).alias("s")).select("s.*", "y").dropna().groupBy("feature", "x", "y").agg(F.count("*").alias("n"))
+    over = lambda *by: F.sum("n").over(Window.partitionBy("feature", *by))
+    p = F.col("n") / over()
+    parts = n.select("feature", "n", (p * F.log(F.col("n") * over() / (over("x") * over("y")))).alias("v"))
+    return parts.groupBy("feature").agg(F.sum("n").alias("rows"), F.greatest(F.sum("v"), F.lit(0.0)).alias("mutual_information"))

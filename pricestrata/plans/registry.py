@@ -14,10 +14,13 @@ from ..functions import numeric as N
 from ..functions import pages as P
 from ..functions import text as X
 from ..operators import aggregates as A
+from ..operators import explain as E
 from ..operators import history as H
 from ..operators import keys as K
 from ..operators import market as M
+from ..operators import models as D
 from ..operators import quality as Q
+from ..operators import serving as V
 from ..operators import splits as S
 
 FLAGSHIP = "w1_w6_point_in_time"
@@ -581,3 +584,76 @@ def v1_v5_comparable_range(t):
 @query("SELECT DISTINCT p_brand AS option FROM part WHERE trim(p_brand) <> '' ORDER BY 1")
 def v3_options(t):
     return M.options(t("part"), "p_brand")
+
+
+# Models and their explanations
+
+
+@query(
+    "WITH n AS (SELECT f AS feature, x, floor(p_retailprice / 100)::INT AS y, count(*) AS n FROM (SELECT 'p_size' AS f, p_size::VARCHAR AS x, p_retailprice FROM part UNION ALL SELECT 'p_brand', p_brand, p_retailprice FROM part) GROUP BY ALL), "
+    "s AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature)::DOUBLE AS t, sum(n) OVER (PARTITION BY feature, x)::DOUBLE AS a, sum(n) OVER (PARTITION BY feature, y)::DOUBLE AS b FROM n) SELECT feature, sum(n)::BIGINT AS rows, round(greatest(sum(n / t * ln(n * t / (a * b))), 0), 4) AS mutual_information FROM s GROUP BY feature"
+)
+def a29_mutual_information(t):
+    out = A.mi_binned(t("part"), {"p_size": F.col("p_size"), "p_brand": F.col("p_brand")}, F.floor(F.col("p_retailprice") / 100))
+    return out.select("feature", "rows", r4(F.col("mutual_information"), "mutual_information"))
+
+
+@query(
+    "SELECT p_partkey, 'year_start' AS feature, 'Compatible year start' AS label, (1950 + p_size)::VARCHAR AS shown FROM part UNION ALL "
+    "SELECT p_partkey, 'year_mid', 'Vehicle generation midpoint', CASE WHEN p_size % 2 = 0 THEN (p_size // 2)::VARCHAR ELSE (p_size // 2)::VARCHAR || '.5' END FROM part UNION ALL "
+    "SELECT p_partkey, 'mileage', 'Mileage', replace(format('{:,}', p_size * 12345), ',', ' ') || ' km' FROM part UNION ALL SELECT p_partkey, 'repair_status', 'Repair status', 'Missing' FROM part"
+)
+def f19_feature_labels(t):
+    size = F.col("p_size")
+    own = {"year_start": 1950 + size, "year_mid": size / 2, "mileage": size * 12345, "repair_status": F.lit(None)}
+    rows = t("part").select("p_partkey", F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), v.cast("string").alias("value")) for k, v in own.items()))).alias("s")).select("p_partkey", "s.*")
+    return rows.select("p_partkey", "feature", X.feature_label(F.col("feature")).alias("label"), X.feature_value(F.col("feature"), F.col("value")).alias("shown"))
+
+
+_EFFECTS = (
+    "WITH b AS (SELECT p_size AS s, p_retailprice AS p FROM part WHERE p_partkey <= 4), e AS (SELECT p_partkey, 'p_size' AS feature, avg((p_size - s) * (p_retailprice + p) / 2) AS effect, avg(s * p) AS base FROM part, b GROUP BY p_partkey "
+    "UNION ALL SELECT p_partkey, 'p_retailprice', avg((p_retailprice - p) * (p_size + s) / 2), avg(s * p) FROM part, b GROUP BY p_partkey)"
+)
+
+
+def _product_effects(t):
+    """Of a product of two features both orders are all there are, so the effects are exact."""
+    part = t("part").withColumn("p_size", F.col("p_size").cast("double"))
+    return E.effects(part, "p_partkey", ["p_size", "p_retailprice"], part.where("p_partkey <= 4"), lambda df: df.withColumn("predicted", F.col("p_size") * F.col("p_retailprice")), pairs=5)
+
+
+@query(f"{_EFFECTS} SELECT e.p_partkey, feature, round(effect, 2) AS effect, round(base, 2) AS base, round(p_size * p_retailprice, 2) AS predicted FROM e JOIN part USING (p_partkey)")
+def m28_effects(t):
+    return _product_effects(t).select("p_partkey", "feature", *(F.round(c, 2).alias(c) for c in ("effect", "base", "predicted")))
+
+
+@query("SELECT count(*) AS rows, 0::BIGINT AS not_finite, 0::BIGINT AS too_large, true AS sound FROM part")
+def m29_checked_effects(t):
+    return E.checked(_product_effects(t), "p_partkey").select("rows", "not_finite", "too_large", "sound")
+
+
+@query(f"{_EFFECTS}, i AS (SELECT feature, avg(abs(effect)) AS a, avg(effect) AS m, median(abs(effect)) AS d FROM e GROUP BY feature) SELECT feature, round(a, 2) AS mean_abs, round(m, 2) AS mean, round(d, 2) AS median_abs, round(a / sum(a) OVER (), 4) AS share FROM i")
+def m30_effect_importances(t):
+    return E.importances(_product_effects(t)).select("feature", *(F.round(c, 2).alias(c) for c in ("mean_abs", "mean", "median_abs")), r4(F.col("share"), "share"))
+
+
+_PART_FEATURES = ["p_size", "p_brand", "p_type"]
+
+
+@query()
+def m8_m21_forest_cv(t):
+    """Out-of-fold errors by fold: forests depend on how rows are laid out, so there is no SQL for them."""
+    out = D.grouped_cv(t("part"), "p_name", _PART_FEATURES, D.fit_predict("forest", "p_retailprice", numTrees=8, maxDepth=5), 3)
+    return out.groupBy("fold").agg(*A.regression_metrics())
+
+
+@query()
+def m12_forest_ranges(t):
+    bundle = V.fitted(t("part"), _PART_FEATURES, "p_retailprice", metrics={"test_RMSE": 10.0}, numTrees=8, maxDepth=5)
+    return bundle.ranges(t("part"))
+
+
+@query()
+def m28_forest_effects(t):
+    bundle = V.fitted(t("part"), _PART_FEATURES, "p_retailprice", numTrees=8, maxDepth=5)
+    return E.effects(t("part"), "p_partkey", _PART_FEATURES, t("part").where("p_partkey <= 20"), bundle.predict, pairs=4)
