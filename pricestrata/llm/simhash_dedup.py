@@ -11,6 +11,12 @@ which is every pair of a small bucket. Components of these links leave only pair
 of larger buckets to be compared, so thousands of near copies cost a sort and not a square. Every link that joins two components is found, which is all that
 components need.
 
+64 bits cannot tell texts that share four fifths of their shingles: such pairs differ in 3 to 14 bits,
+and no few segments find 14. near_copies() therefore takes WIDE bits of five-word shingles. There a
+pair of that similarity differs in 15 % of the bits, give or take 1.6, and links at SHARE or fewer.
+Variants with one bit left out would need a thousand keys of a text at that share, so its candidates
+are texts that agree in a band of least hashes, of which similar texts share one nearly always.
+
 Nulls and texts of no words have the fingerprint zero, which links like any other. Repeated rows
 have equal fingerprints. An empty table gives an empty result. Other columns are not read.
 """
@@ -34,6 +40,11 @@ LAGS = 4
 SEED = 42
 _BLOCK = 1 << 15
 
+#: near_copies(): words of a shingle, 64-bit words of a fingerprint, and the share of bits that may differ.
+NEAR_WORDS, WIDE, SHARE = 5, 8, 0.16
+#: Candidates agree in all BAND least hashes of one of BANDS bands: 0.9994 of all pairs of similarity 0.8 do.
+BANDS, BAND = 14, 4
+
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     """The fingerprint as an unsigned number."""
@@ -119,3 +130,85 @@ def deduplicated(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> D
     first = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(named, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = first.groupBy("component").agg(F.min("least").alias("component_id"))
     return fps.join(first.select("fp", "component").join(least, "component").select("fp", "component_id"), "fp")
+
+
+_TURNS = (np.arange(1, WIDE + BANDS * BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A row of other hashes of h for each word of a fingerprint and each least hash, by splitmix64's finaliser."""
+    z = h[None, :] + _TURNS
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return z ^ z >> np.uint64(31)
+
+
+def sketch(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(digest of the words, the wide fingerprint as longs, the keys of its bands) of a whole text's distinct shingles.
+
+    A text of no words has no keys, so it links to equal texts alone.
+    """
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    line = b" ".join(parts)
+    digest = xxhash.xxh3_128_digest(line)
+    if not parts:
+        return digest, np.zeros(WIDE, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    ends, at = [], -1
+    for p in parts:
+        at += len(p) + 1
+        ends.append(at)
+    starts = [0, *(e + 1 for e in ends[:-1])]
+    one = xxhash.xxh64_intdigest
+    last = ends[NEAR_WORDS - 1 :] or [len(line)]
+    h = np.unique(np.fromiter((one(line[a:b], SEED) for a, b in zip(starts, last)), dtype=np.uint64, count=len(last)))
+    ones = np.zeros((WIDE, 64), dtype=np.int64)
+    least = np.full(BANDS * BAND, (1 << 64) - 1, dtype=np.uint64)
+    for i in range(0, len(h), 512):  # a block's hashes fit the cache
+        z = _mixed(h[i : i + 512])
+        bits = np.unpackbits(np.ascontiguousarray(z[:WIDE]).view(np.uint8).reshape(WIDE, -1, 8), axis=2, bitorder="little")
+        ones += bits.sum(axis=1, dtype=np.uint16)
+        least = np.minimum(least, z[WIDE:].min(axis=1))
+    wide = np.packbits(ones * 2 > len(h), axis=1, bitorder="little").view("<i8").reshape(WIDE)
+    keys = [xxhash.xxh64_intdigest(least[b * BAND : (b + 1) * BAND].tobytes(), b) for b in range(BANDS)]
+    return digest, wide, np.array(keys, dtype=np.uint64).view(np.int64)
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, w0 ..., keys) of every document."""
+    names = [f"w{k}" for k in range(WIDE)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [sketch(t.as_py()) for t in b.column(1)]
+            wide = np.array([g[1] for g in got], dtype=np.int64).reshape(-1, WIDE)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.binary()), *(pa.array(np.ascontiguousarray(wide[:, k])) for k in range(WIDE)), pa.array([g[2] for g in got], pa.list_(pa.int64()))], names=["doc_id", "digest", *names, "keys"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, digest binary, {', '.join(f'{n} long' for n in names)}, keys array<long>")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id): component_id is the smallest doc_id that links of near copies reach. Rows without an id take no part.
+
+    Equal texts are one node. Buckets are handled as in linked(): neighbours first, then what lies
+    across their components. The fingerprints join only nodes that share a bucket.
+    """
+    names = [f"w{k}" for k in range(WIDE)]
+    near = lambda a, b: sum((F.bit_count(a(n).bitwiseXOR(b(n))) for n in names), F.lit(0)) <= int(64 * WIDE * SHARE)
+    own = kept(sketches(docs.where(F.col("doc_id").isNotNull())))
+    texts = kept(own.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.any_value(n).alias(n) for n in names), F.any_value("keys").alias("keys")))
+    by = Window.partitionBy("key")
+    shared = texts.select("node", F.explode("keys").alias("key")).withColumn("n", F.count("*").over(by)).where("n > 1")
+    held = kept(shared.join(texts.select("node", *names), "node"))
+    lags = [F.lag(F.struct("node", *names), i).over(by.orderBy("node")) for i in range(1, LAGS + 1)]
+    tested = held.withColumn("before", F.array(*lags)).select("node", F.explode(F.filter("before", lambda x: x.isNotNull() & near(lambda n: x[n], F.col))).alias("x"))
+    first = kept(tested.select(F.col("x.node").alias("src"), F.col("node").alias("dst")).distinct())
+    named = kept(components(first))
+    left = held.where(F.col("n") > LAGS + 1).join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    left = kept(left.withColumn("a", F.min("component").over(by)).withColumn("b", F.max("component").over(by)).where("a <> b").select("key", "node", "component", *names))
+    a, b = (left.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "component", *names))) for side in "ab")
+    across = a.join(b, "key").where((F.col("a_component") < F.col("b_component")) & near(lambda n: F.col(f"a_{n}"), lambda n: F.col(f"b_{n}")))
+    links = first.unionAll(across.select(F.least("a_node", "b_node").alias("src"), F.greatest("a_node", "b_node").alias("dst")).distinct())
+    named = kept(components(links))
+    joined = kept(texts.select("digest", "node").join(named, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    least = joined.groupBy("component").agg(F.min("node").alias("component_id"))
+    return own.select("doc_id", "digest").join(joined.join(least, "component").select("digest", "component_id"), "digest").select("doc_id", "component_id")

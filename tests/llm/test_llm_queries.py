@@ -58,9 +58,8 @@ def test_held_out_accuracy(spark):
 
 def brute_pipeline(rows, model):
     rows = [r for r in rows if (p := model.predict(r["text"], {}))[0] != "und" and p[1] >= corpus_pipeline.LEAST_SCORE]
-    fps = [(r["doc_id"], fx.simhash(r["text"])) for r in rows]
-    ids = fx.component_ids(fps)
-    rows = [r for r, (d, f) in zip(rows, fps) if d is not None and ids[f] == d]
+    ids = fx.near_ids([(r["doc_id"], r["text"]) for r in rows])
+    rows = [r for r in rows if r["doc_id"] is not None and ids[r["doc_id"]] == r["doc_id"]]
     rows = list({r["doc_id"]: r for r in rows}.values())
     enc = secret_scan.encoder(secret_scan.vocabulary_path())
     rows = [r for r in rows if not any(secret_scan.all_spans(r["text"], enc))]

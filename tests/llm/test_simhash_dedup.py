@@ -46,3 +46,24 @@ def test_every_cut_links_all_pairs_and_no_other(spark, monkeypatch, rows):
 
 def test_empty_table(spark):
     assert simhash_dedup.deduplicated(fx.documents(spark, [])).count() == 0
+
+
+def test_near_copies_equal_brute_force(spark):
+    docs = fx.documents(spark, [r for r in fx.awkward() if r[0] is not None])
+    want = fx.near_ids([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert sorted(set(map(tuple, simhash_dedup.near_copies(docs).collect()))) == sorted(want.items())
+    assert simhash_dedup.near_copies(fx.documents(spark, [])).count() == 0 == simhash_dedup.near_copies(fx.documents(spark, [(None, "x", "en", "a")])).count()
+
+
+@pytest.mark.parametrize(("changed", "linked"), [(3, True), (5, True), (16, False), (40, False)])
+def test_near_copies_by_similarity_and_in_groups(spark, changed, linked):
+    """Copies of a text of 300 words: 3 changed words leave a similarity of 0.9, 5 of 0.85, 16 of 0.58; 60 strangers stay apart."""
+    r = random.Random(changed)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    base = [word() for _ in range(300)]
+    copy = [w if i % (300 // changed) != 3 or i // (300 // changed) >= changed else word() for i, w in enumerate(base)]
+    rows = [(1, " ".join(base), "en", "a"), (2, " ".join(copy).upper(), "en", "a"), (3, "  ".join(base), "de", "b")]
+    rows += [(10 + i, " ".join(word() for _ in range(80)), "en", "a") for i in range(60)]
+    rows += [(100 + i, " ".join([*base[:150], *(word() if j == i * 2 else w for j, w in enumerate(base[150:]))]) + " ending", "en", "a") for i in range(40)]
+    got = dict(map(tuple, simhash_dedup.near_copies(fx.documents(spark, rows)).collect()))
+    assert got[3] == 1 and got[2] == (1 if linked else 2) and all(got[10 + i] == 10 + i for i in range(60)) and all(got[100 + i] == 1 for i in range(40))
