@@ -12,10 +12,10 @@ of larger buckets to be compared, so thousands of near copies cost a sort and no
 components need.
 
 64 bits cannot tell texts that share four fifths of their shingles: such pairs differ in 3 to 14 bits,
-and no few segments find 14. near_copies() therefore takes WIDE bits of five-word shingles. There a
-pair of that similarity differs in 15 % of the bits, give or take 1.6, and links at SHARE or fewer.
-Variants with one bit left out would need a thousand keys of a text at that share, so its candidates
-are texts that agree in a band of least hashes, of which similar texts share one nearly always.
+and no few segments find 14. near_copies() therefore links exactly the candidates whose sets of distinct
+five-word shingles have a Jaccard similarity of 0.8 or more, counted on the whole texts. Candidates
+agree in a band of least hashes, of which similar texts share one nearly always, and differ in SHARE of
+WIDE bits at most: a pair at 0.8 differs in 15 %, give or take 1.6, and one of 4 and 5 shingles in 19 %.
 
 Nulls and texts of no words have the fingerprint zero, which links like any other. Repeated rows
 have equal fingerprints. An empty table gives an empty result. Other columns are not read.
@@ -40,8 +40,10 @@ LAGS = 4
 SEED = 42
 _BLOCK = 1 << 15
 
-#: near_copies(): words of a shingle, 64-bit words of a fingerprint, and the share of bits that may differ.
-NEAR_WORDS, WIDE, SHARE = 5, 8, 0.16
+#: near_copies(): words of a shingle, 64-bit words of a fingerprint, and the share of bits that a candidate may differ in.
+NEAR_WORDS, WIDE, SHARE = 5, 8, 0.25
+#: Turns in which neighbours in a bucket are compared, in another order each, before all that is left.
+TURNS = 3
 #: Candidates agree in all BAND least hashes of one of BANDS bands: 0.9994 of all pairs of similarity 0.8 do.
 BANDS, BAND = 14, 4
 
@@ -143,8 +145,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return z ^ z >> np.uint64(31)
 
 
-def sketch(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """(digest of the words, the wide fingerprint as longs, the keys of its bands) of a whole text's distinct shingles.
+def sketch(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray, int]:
+    """(digest of the words, the wide fingerprint as longs, the keys of its bands, their number) of a whole text's distinct shingles.
 
     A text of no words has no keys, so it links to equal texts alone.
     """
@@ -152,7 +154,7 @@ def sketch(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
     line = b" ".join(parts)
     digest = xxhash.xxh3_128_digest(line)
     if not parts:
-        return digest, np.zeros(WIDE, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return digest, np.zeros(WIDE, dtype=np.int64), np.zeros(0, dtype=np.int64), 0
     ends, at = [], -1
     for p in parts:
         at += len(p) + 1
@@ -170,45 +172,96 @@ def sketch(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
         least = np.minimum(least, z[WIDE:].min(axis=1))
     wide = np.packbits(ones * 2 > len(h), axis=1, bitorder="little").view("<i8").reshape(WIDE)
     keys = [xxhash.xxh64_intdigest(least[b * BAND : (b + 1) * BAND].tobytes(), b) for b in range(BANDS)]
-    return digest, wide, np.array(keys, dtype=np.uint64).view(np.int64)
+    return digest, wide, np.array(keys, dtype=np.uint64).view(np.int64), len(h)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, w0 ..., keys) of every document."""
+    """(doc_id, digest, w0 ..., keys, size) of every document."""
     names = [f"w{k}" for k in range(WIDE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [sketch(t.as_py()) for t in b.column(1)]
             wide = np.array([g[1] for g in got], dtype=np.int64).reshape(-1, WIDE)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.binary()), *(pa.array(np.ascontiguousarray(wide[:, k])) for k in range(WIDE)), pa.array([g[2] for g in got], pa.list_(pa.int64()))], names=["doc_id", "digest", *names, "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.binary()), *(pa.array(np.ascontiguousarray(wide[:, k])) for k in range(WIDE)), pa.array([g[2] for g in got], pa.list_(pa.int64())), pa.array([g[3] for g in got], pa.int64())], names=["doc_id", "digest", *names, "keys", "size"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, digest binary, {', '.join(f'{n} long' for n in names)}, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, digest binary, {', '.join(f'{n} long' for n in names)}, keys array<long>, size long")
+
+
+def shingles(text: str) -> set[bytes]:
+    """The distinct shingles of NEAR_WORDS words; a shorter text is one."""
+    parts = text.encode("utf-8", "surrogatepass").lower().split()
+    return {b" ".join(parts[i : i + NEAR_WORDS]) for i in range(max(1, len(parts) - NEAR_WORDS + 1))}
+
+
+def digested(docs: DataFrame) -> DataFrame:
+    """(node, digest, text): the texts beside the digest that sketches() gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests = [xxhash.xxh3_128_digest(b" ".join((t.as_py() or "").encode("utf-8", "surrogatepass").lower().split())) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), b.column(1)], names=["node", "digest", "text"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "node long, digest binary, text string")
+
+
+def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """The pairs (src, dst) of nodes whose texts in words (node, text) have a Jaccard similarity of 0.8 or more in distinct shingles."""
+    both = pairs.join(words.select(F.col("node").alias("src"), F.col("text").alias("a")), "src").join(words.select(F.col("node").alias("dst"), F.col("text").alias("b")), "dst")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, set()
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                one, other = shingles(a.as_py()), b.as_py()
+                if other != last:
+                    last, own = other, shingles(other)
+                keep.append(9 * len(one & own) >= 4 * (len(one) + len(own)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long").distinct()
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id): component_id is the smallest doc_id that links of near copies reach. Rows without an id take no part.
 
-    Equal texts are one node. Buckets are handled as in linked(): neighbours first, then what lies
-    across their components. The fingerprints join only nodes that share a bucket.
+    Equal texts are one node. In a bucket each node is first held against the LAGS before it: all pairs
+    of a small bucket. In larger ones TURNS orders join what they can, then every pair across what are
+    still different components is tested. Fingerprints join only nodes that share a bucket, texts only
+    candidates.
     """
     names = [f"w{k}" for k in range(WIDE)]
-    near = lambda a, b: sum((F.bit_count(a(n).bitwiseXOR(b(n))) for n in names), F.lit(0)) <= int(64 * WIDE * SHARE)
+
+    def near(a, b) -> Column:
+        alike = 5 * F.least(a("size"), b("size")) >= 4 * F.greatest(a("size"), b("size"))  # what 0.8 implies
+        return alike & (sum((F.bit_count(a(n).bitwiseXOR(b(n))) for n in names), F.lit(0)) <= int(64 * WIDE * SHARE))
+
     own = kept(sketches(docs.where(F.col("doc_id").isNotNull())))
-    texts = kept(own.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.any_value(n).alias(n) for n in names), F.any_value("keys").alias("keys")))
+    texts = kept(own.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.any_value(n).alias(n) for n in (*names, "size", "keys"))))
     by = Window.partitionBy("key")
-    shared = texts.select("node", F.explode("keys").alias("key")).withColumn("n", F.count("*").over(by)).where("n > 1")
-    held = kept(shared.join(texts.select("node", *names), "node"))
-    lags = [F.lag(F.struct("node", *names), i).over(by.orderBy("node")) for i in range(1, LAGS + 1)]
-    tested = held.withColumn("before", F.array(*lags)).select("node", F.explode(F.filter("before", lambda x: x.isNotNull() & near(lambda n: x[n], F.col))).alias("x"))
-    first = kept(tested.select(F.col("x.node").alias("src"), F.col("node").alias("dst")).distinct())
-    named = kept(components(first))
-    left = held.where(F.col("n") > LAGS + 1).join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    left = kept(left.withColumn("a", F.min("component").over(by)).withColumn("b", F.max("component").over(by)).where("a <> b").select("key", "node", "component", *names))
-    a, b = (left.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "component", *names))) for side in "ab")
-    across = a.join(b, "key").where((F.col("a_component") < F.col("b_component")) & near(lambda n: F.col(f"a_{n}"), lambda n: F.col(f"b_{n}")))
-    links = first.unionAll(across.select(F.least("a_node", "b_node").alias("src"), F.greatest("a_node", "b_node").alias("dst")).distinct())
-    named = kept(components(links))
+    shared = texts.select("node", "digest", F.explode("keys").alias("key")).withColumn("n", F.count("*").over(by)).where("n > 1")
+    held = kept(shared.join(texts.select("digest", *names, "size"), "digest").drop("digest"))
+    some = docs.select(F.col("doc_id").cast("long"), "text").join(held.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    words = kept(digested(some).join(texts.select("node", "digest"), ["node", "digest"], "left_semi").dropDuplicates(["node", "digest"]).select("node", "text"))
+    pair = lambda a, b: (F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
+    left, links = held.withColumn("component", F.col("node")), None
+    for turn in range(TURNS):
+        order = ["node"] if turn == 0 else [F.xxhash64(F.lit(turn), "key", "node"), "node"]
+        before = F.array(*(F.lag(F.struct("node", "component", "size", *names), i).over(by.orderBy(*order)) for i in range(1, LAGS + 1)))
+        fit = lambda x: x.isNotNull() & (x["component"] != F.col("component")) & near(lambda n: x[n], F.col)
+        tested = left.withColumn("before", before).select("node", F.explode(F.filter("before", fit)).alias("x")).select(*pair(F.col("x.node"), F.col("node"))).distinct()
+        found = kept(verified(tested, words))
+        links = found if links is None else links.unionAll(found)
+        named = kept(components(links))
+        left = held.where(F.col("n") > LAGS + 1).join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        left = kept(left.withColumn("a", F.min("component").over(by)).withColumn("b", F.max("component").over(by)).where("a <> b").drop("a", "b"))
+        if left.isEmpty():
+            break
+    a, b = (left.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "component", "size", *names))) for side in "ab")
+    met = (a["key"] == b["key"]) & (F.col("a_component") < F.col("b_component")) & near(lambda n: F.col(f"a_{n}"), lambda n: F.col(f"b_{n}"))
+    across = kept(a.join(b, met).select(*pair(F.col("a_node"), F.col("b_node"))).distinct())
+    named = kept(components(links.unionAll(verified(across, words))))
     joined = kept(texts.select("digest", "node").join(named, "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = joined.groupBy("component").agg(F.min("node").alias("component_id"))
     return own.select("doc_id", "digest").join(joined.join(least, "component").select("digest", "component_id"), "digest").select("doc_id", "component_id")

@@ -67,3 +67,35 @@ def test_near_copies_by_similarity_and_in_groups(spark, changed, linked):
     rows += [(100 + i, " ".join([*base[:150], *(word() if j == i * 2 else w for j, w in enumerate(base[150:]))]) + " ending", "en", "a") for i in range(40)]
     got = dict(map(tuple, simhash_dedup.near_copies(fx.documents(spark, rows)).collect()))
     assert got[3] == 1 and got[2] == (1 if linked else 2) and all(got[10 + i] == 10 + i for i in range(60)) and all(got[100 + i] == 1 for i in range(40))
+
+
+def test_near_copies_link_at_four_fifths_of_the_shingles_and_not_below(spark):
+    """Of 300 words, 6 changed ones leave a similarity of 0.816, and 7 of 0.789: on either side of 0.8 nothing is left to an estimate."""
+    r = random.Random(80)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    rows, want = [], {}
+    for i in range(60):
+        changed = 6 + i % 2
+        base = [word() for _ in range(300)]
+        rows += [(2 * i, " ".join(base), "en", "a"), (2 * i + 1, " ".join(word() if w % 40 == 20 and w // 40 < changed else base[w] for w in range(300)), "en", "a")]
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i + i % 2}
+    assert dict(map(tuple, simhash_dedup.near_copies(fx.documents(spark, rows)).collect())) == want
+
+
+def test_near_copies_of_a_dense_group_equal_all_pairs(spark):
+    """Copies with up to 3 changed words of 120: one bucket of many, with pairs on both sides of 0.8."""
+    r = random.Random(81)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    base = [word() for _ in range(120)]
+    texts = []
+    for _ in range(60):
+        changed = set(r.sample(range(120), r.randint(0, 3)))
+        texts.append(" ".join(word() if i in changed else w for i, w in enumerate(base)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in texts]
+    ids = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                ids = [min(ids[i], ids[j]) if x in (ids[i], ids[j]) else x for x in ids]
+    got = dict(map(tuple, simhash_dedup.near_copies(fx.documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()))
+    assert got == dict(enumerate(ids)) and 1 < len(set(ids)) < 60
