@@ -2,9 +2,10 @@
 
 Base kinds are assign, access and hex. The token-efficiency test adds kind random: a run of key-like
 characters is one if its characters per token under a byte-pair vocabulary stay at RATIO or below,
-since a vocabulary learnt from text has long tokens for text and short ones for noise. Known digests
-(hex of a digest's length), UUIDs, numbers and identifiers (runs without both letters and digits)
-are excluded first, and what overlaps a base span stays that span alone.
+since a vocabulary learnt from text has long tokens for text and short ones for noise. A name or path
+glued to a key would hide it in the mean, so the parts of a run between separators are tested like the
+run itself, the longest first. Known digests (hex of a digest's length), UUIDs and numbers are excluded
+first, and what overlaps a base span stays that span alone.
 
 Nulls count as empty texts. Repeated rows get equal rows. Columns other than doc_id and text are not
 read. An empty table gives an empty result.
@@ -33,6 +34,8 @@ ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the greedy runs of 32 and more
 RUN = re.compile(r"[A-Za-z0-9+/=_-]{%d,}" % LEAST)
+#: What parts a run, from its whole to its smallest parts: a key may itself hold characters that part others.
+PARTS = [re.compile(p) for p in (r"[A-Za-z0-9+/=_-]+", r"[A-Za-z0-9+/_-]+", r"[A-Za-z0-9+_-]+", r"[A-Za-z0-9+/]+", r"[A-Za-z0-9+]+")]
 WORDS = ("passw", "secret", "token", "apikey", "api_key")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 DIGESTS = {32, 40, 48, 56, 64, 96, 128}
@@ -60,7 +63,7 @@ def known(run: str) -> bool:
     plain = run.strip("-_=+/")
     if re.fullmatch("[0-9a-fA-F]+", plain) and len(plain) in DIGESTS or UUID.fullmatch(plain):
         return True
-    return not (re.search("[A-Za-z]", plain) and re.search("[0-9]", plain))
+    return not re.search("[A-Za-z]", plain)
 
 
 def ratio(run: str, enc) -> float:
@@ -76,14 +79,28 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return out + [(m.start(), 2, m.end(), "hex") for m in HEX.finditer(text)]
 
 
+def random_parts(run: str, enc, most: float, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The places of a run's random parts outside what is taken; of parts within one another, the longest random one."""
+    out, tested = [], set()
+    for part in PARTS if not known(run) else ():
+        for m in part.finditer(run):
+            a, b = m.span()
+            if b - a < LEAST or m.span() in tested or any(s < b and a < e for s, e in out + taken):
+                continue
+            tested.add(m.span())
+            if not known(m[0]) and ratio(m[0], enc) <= most:
+                out.append(m.span())
+    return sorted(out)
+
+
 def all_spans(text: str, enc, most: float = RATIO) -> tuple[list, list]:
     """The base spans, and those that token efficiency adds."""
     base = base_spans(text)
     more = []
     for m in RUN.finditer(text):
-        a, b = m.span()
-        if not known(m[0]) and not any(s < b and a < e for s, _, e, _ in base) and ratio(m[0], enc) <= most:
-            more.append((a, 3, b, "random"))
+        at = m.start()
+        taken = [(s - at, e - at) for s, _, e, _ in base if s < m.end() and at < e]
+        more += [(at + a, 3, at + b, "random") for a, b in random_parts(m[0], enc, most, taken)]
     return base, more
 
 

@@ -33,3 +33,13 @@ def test_documents_without_secrets_keep_every_column(spark):
 
 def test_empty_table(spark):
     assert scan.scanned(fx.documents(spark, [])).count() == 0
+
+
+def test_keys_are_found_beside_names_and_paths_and_without_digits():
+    key, letters = "k9XzQ2vLr8TnW4bYp0JfHs7D", "kQzXwvLrjTnWqbYpgJfHsxDcGmZA"
+    for glued in ("database_connection_credential=", "production/service/credentials/", "the-name-of-the-long-service-", "a_very_long_parameter_name_"):
+        assert [x[-len(key) :] for x in added(f"x {glued}{key} y")] == [key], glued
+    assert added(f"x {letters} y") == [letters]
+    assert [x[-len(letters) :] for x in added(f"x database_connection_credential={letters} y")] == [letters]
+    for fine in ("production/service/credentials/of/everything", "getUserAccountInformation"):
+        assert added(f"x {fine} y") == []
