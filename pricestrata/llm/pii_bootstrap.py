@@ -30,6 +30,8 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+\x01-]))[A-Za-z0-9._%+\x01-]++@[A-Za-z0-9-]++\
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9][0-9\x01]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+#: What every text with a candidate has.
+LIKELY = r"[0-9](?:[^0-9]*+[0-9]){3}"
 CANDIDATE = r"(?<![A-Za-z0-9_@.+-])(?=[A-Za-z_@.+-]*+[0-9])[A-Za-z0-9_@.+-]++"
 
 _SPANS = "array<struct<start:int,place:int,end:int,kind:string>>"
@@ -126,9 +128,10 @@ def extracted(docs: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, suppo
     """(doc_id, base, spans): arrays of spans (start, place, end, kind), positions in code points."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumn("row_key", F.xxhash64("text"))
-    base = kept(rows.select("doc_id", "row_key", base_spans(F.col("text")).alias("base"), F.col("text").rlike("[0-9]{4}").alias("likely")))
+    base = kept(rows.select("doc_id", "row_key", base_spans(F.col("text")).alias("base"), F.col("text").rlike(LIKELY).alias("likely")))
     concerned = base.where(F.col("likely") | (F.size("base") > 0)).select("doc_id", "row_key", "base").distinct()
-    near = rows.where(F.col("text").rlike("[0-9]{4}|[0-9@]")).join(concerned, ["doc_id", "row_key"])
+    a, b = rows.where(F.col("text").rlike("[0-9@]")).alias("a"), concerned.alias("b")
+    near = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.row_key") == F.col("b.row_key"))).select("a.doc_id", "a.row_key", "a.text", "b.base")
     seen = kept(occurrences(near))
     words = near.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).groupBy("word").agg(F.count("*").alias("times"))
     patterns = trusted_patterns(seen, words, rounds, trust, support)

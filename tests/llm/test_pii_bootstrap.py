@@ -32,3 +32,10 @@ def test_common_words_are_no_patterns(spark):
 
 def test_empty_table(spark):
     assert pii.counted(pii.extracted(fx.documents(spark, []))).count() == 0
+
+
+def test_identifiers_without_four_digits_in_a_row_and_rows_without_an_id(spark):
+    rows = [(i, f"some words here, contact: u{i}@mail{i}.example.org and more text follows", "en", "a") for i in range(20)]
+    rows += [(100, "contact: 482-917-553 x", "en", "a"), (None, "contact: 48-21-77-x9 x", "en", "a")]
+    got = {r["doc_id"]: r["spans"] for r in pii.counted(pii.extracted(fx.documents(spark, rows))).collect()}
+    assert got[100] == "context:9:20" and got[None] == "context:9:20"
