@@ -2,8 +2,8 @@
 
 Base spans are the seeds. A seed's lexical patterns are the word to its left and the word to its
 right. Candidates are identifier-like runs that no base span covers. Patterns and instances form a
-graph; a pattern scores the share of its occurrences, among all words of the documents concerned,
-that stand beside trusted instances, and an instance the chance that one of its trusted patterns is
+graph; a pattern scores the share of its occurrences, among all words of all documents and what
+precedes a boundary in them, that stand beside trusted instances, and an instance the chance that one of its trusted patterns is
 right. ROUNDS turns pass trust from seeds to patterns to instances. A candidate beside a pattern of
 TRUST or more, seen with SUPPORT distinct instances at least, becomes a span of kind context.
 
@@ -30,8 +30,9 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+\x01-]))[A-Za-z0-9._%+\x01-]++@[A-Za-z0-9-]++\
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9][0-9\x01]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: What every text with a candidate has.
+#: What every text with a candidate has; and where a candidate may begin within a word.
 LIKELY = r"[0-9](?:[^0-9]*+[0-9]){3}"
+BOUNDARY = r"(?<=[^A-Za-z0-9_@.+-])(?=[A-Za-z0-9_@.+-])"
 CANDIDATE = r"(?<![A-Za-z0-9_@.+-])(?=[A-Za-z_@.+-]*+[0-9])[A-Za-z0-9_@.+-]++"
 
 _SPANS = "array<struct<start:int,place:int,end:int,kind:string>>"
@@ -112,13 +113,23 @@ def occurrences(rows: DataFrame) -> DataFrame:
     return out.select("doc_id", "row_key", "start", "end", "trusted", "instance", "p.side", "p.word")
 
 
+def counted_words(texts: DataFrame) -> DataFrame:
+    """(side, word, times): how often each word, or what _left() sees of one before a BOUNDARY, stands in the texts."""
+    words = kept(texts.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("times")))
+    cut = words.withColumn("pieces", F.split(F.substring("word", 1, 41), BOUNDARY)).where(F.size("pieces") > 1)
+    starts = F.transform(F.sequence(F.lit(1), F.size("pieces") - 1), lambda i: F.array_join(F.slice("pieces", F.lit(1), i), ""))
+    left = words.unionAll(cut.select(F.explode(starts).alias("word"), "times")).groupBy("word").agg(F.sum("times").alias("times"))
+    return left.select(F.lit("L").alias("side"), "word", "times").unionAll(words.select(F.lit("R").alias("side"), "word", "times"))
+
+
 def trusted_patterns(seen: DataFrame, words: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, support: int = SUPPORT) -> DataFrame:
-    """(side, word, score) of the patterns that end at trust or more. words: (word, times) over the documents of seen."""
+    """(side, word, score) of the patterns that end at trust or more. words: (side, word, times) over all documents."""
     edges = kept(seen.groupBy("side", "word", "instance").agg(F.count("*").alias("n"), F.max(F.col("trusted").cast("double")).alias("seed")))
     score = edges.select("side", "word", "instance", "n", F.col("seed").alias("s"), "seed")
     for _ in range(rounds):
-        by = score.groupBy("side", "word").agg(F.sum(F.col("n") * F.col("s")).alias("good"), F.sum((F.col("s") > 0).cast("long")).alias("distinct"))
-        patterns = kept(by.where(F.col("distinct") >= support).join(words, "word").select("side", "word", F.least(F.col("good") / F.col("times"), F.lit(0.999)).alias("score")).where(F.col("score") >= trust))
+        by = score.groupBy("side", "word").agg(F.sum(F.col("n") * F.col("s")).alias("good"), F.sum((F.col("s") > 0).cast("long")).alias("distinct"), F.sum("n").alias("seen"))
+        times = F.greatest("seen", F.coalesce("times", F.lit(0)))
+        patterns = kept(by.where(F.col("distinct") >= support).join(words, ["side", "word"], "left").select("side", "word", F.least(F.col("good") / times, F.lit(0.999)).alias("score")).where(F.col("score") >= trust))
         doubt = edges.join(patterns, ["side", "word"]).groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.col("score"))))).alias("found"))
         score = edges.join(doubt, "instance", "left").select("side", "word", "instance", "n", F.greatest("seed", F.coalesce("found", F.lit(0.0))).alias("s"), "seed")
     return patterns
@@ -133,8 +144,7 @@ def extracted(docs: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, suppo
     a, b = rows.where(F.col("text").rlike("[0-9@]")).alias("a"), concerned.alias("b")
     near = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.row_key") == F.col("b.row_key"))).select("a.doc_id", "a.row_key", "a.text", "b.base")
     seen = kept(occurrences(near))
-    words = near.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).groupBy("word").agg(F.count("*").alias("times"))
-    patterns = trusted_patterns(seen, words, rounds, trust, support)
+    patterns = trusted_patterns(seen, kept(counted_words(rows)), rounds, trust, support)
     new = seen.where(~F.col("trusted")).join(patterns, ["side", "word"], "left_semi").select("doc_id", "row_key", F.struct("start", F.lit(4).alias("place"), "end", F.lit("context").alias("kind")).alias("s"))
     new = new.groupBy("doc_id", "row_key").agg(F.collect_set("s").alias("more"))
     a, b = base.alias("a"), new.alias("b")

@@ -39,3 +39,15 @@ def test_identifiers_without_four_digits_in_a_row_and_rows_without_an_id(spark):
     rows += [(100, "contact: 482-917-553 x", "en", "a"), (None, "contact: 48-21-77-x9 x", "en", "a")]
     got = {r["doc_id"]: r["spans"] for r in pii.counted(pii.extracted(fx.documents(spark, rows))).collect()}
     assert got[100] == "context:9:20" and got[None] == "context:9:20"
+
+
+def test_contexts_glued_to_their_identifiers(spark):
+    rows = [(i, f"x contact:u{i}@mail{i}.example.org z{i}", "en", "a") for i in range(20)] + [(100, "y contact:user-4821-77 q", "en", "a")]
+    got = {r["doc_id"]: r["spans"] for r in pii.counted(pii.extracted(fx.documents(spark, rows))).collect()}
+    assert got[100] == "context:10:22"
+
+
+def test_uses_in_all_documents_count_against_a_pattern(spark):
+    rows = [(i, f"a note u{i}@mail{i}.example.org z{i}", "en", "a") for i in range(20)] + [(50 + i, "a note of words", "en", "a") for i in range(20)] + [(100, "note 4821-9922 q", "en", "a")]
+    got = {r["doc_id"]: r["spans"] for r in pii.counted(pii.extracted(fx.documents(spark, rows))).collect()}
+    assert got[100] == ""
