@@ -11,11 +11,12 @@ which is every pair of a small bucket. Components of these links leave only pair
 of larger buckets to be compared, so thousands of near copies cost a sort and not a square. Every link that joins two components is found, which is all that
 components need.
 
-64 bits cannot tell texts that share four fifths of their shingles: such pairs differ in 3 to 14 bits,
-and no few segments find 14. near_copies() therefore links exactly the candidates whose sets of distinct
-five-word shingles have a Jaccard similarity of 0.8 or more, counted on the whole texts. Candidates
-agree in a band of least hashes, of which similar texts share one nearly always, and differ in SHARE of
-WIDE bits at most: a pair at 0.8 differs in 15 %, give or take 1.6, and one of 4 and 5 shingles in 19 %.
+A contract's fingerprints of shingles at a small radius cannot tell all texts that share four fifths of
+their shingles: such pairs differ in 3 to 14 of 64 bits. near_copies() therefore takes its candidates
+from the same deletion-variant signatures, but of PRINTS fingerprints of a text's distinct words, of
+which near copies share far more: pairs at 0.8 differ in 4 bits of 64 on average, or in 9 if one is the
+other without its last fifth. Short texts, whose bits vary more, have FEW_PRINTS of them. Candidates whose sets of distinct five-word shingles have a
+Jaccard similarity of 0.8 or more, counted on whole texts, link; no others do.
 
 Nulls and texts of no words have the fingerprint zero, which links like any other. Repeated rows
 have equal fingerprints. An empty table gives an empty result. Other columns are not read.
@@ -40,12 +41,13 @@ LAGS = 4
 SEED = 42
 _BLOCK = 1 << 15
 
-#: near_copies(): words of a shingle, 64-bit words of a fingerprint, and the share of bits that a candidate may differ in.
-NEAR_WORDS, WIDE, SHARE = 5, 8, 0.25
-#: Turns in which neighbours in a bucket are compared, in another order each, before all that is left.
-TURNS = 3
-#: Candidates agree in all BAND least hashes of one of BANDS bands: 0.9994 of all pairs of similarity 0.8 do.
-BANDS, BAND = 14, 4
+#: near_copies(): words of a shingle, fingerprints of a text, and of one of FEW distinct words or fewer.
+NEAR_WORDS, PRINTS, FEW, FEW_PRINTS = 5, 4, 64, 8
+#: 64-bit words of the wide fingerprint, the share of its bits and the bits of the other fingerprint that candidates may differ in.
+WIDE, SHARE, OTHER_BITS = 8, 0.25, 20
+#: Further turns in which neighbours in a bucket are compared, in another order each, before all that is left.
+TURNS = 2
+_CACHE = 200_000
 
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
@@ -84,33 +86,39 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def cuts(rows: int, radius: int = RADIUS) -> tuple[int, int]:
     """(segments, chosen): any pair within radius agrees, but for one bit at most, in some choice of so many segments.
 
-    That holds if chosen < 2 * segments / (radius - ...): the least differing `chosen` of `segments`
-    hold radius * chosen // segments differing bits at most. More rows take longer signatures, so
-    that few strangers share one; every choice finds the same pairs.
+    The least differing `chosen` of `segments` hold radius * chosen // segments differing bits at most,
+    which is one if segments > radius * chosen / 2. More rows take longer signatures, so that few
+    strangers share one; every choice finds all pairs within radius.
     """
     chosen = 1 if rows < 4_000_000 else 2 if rows < 200_000_000 else 3
     return radius * chosen // 2 + 1, chosen
 
 
-def signatures(fp: Column, segments: int, chosen: int) -> Column:
-    """The keys of a fingerprint: an array of longs."""
+def signatures(fp: Column, segments: int, chosen: int, which: Column | None = None) -> Column:
+    """The keys of a fingerprint: an array of longs. Keys of different `which` never meet."""
     edge = [round(i * 64 / segments) for i in range(segments + 1)]
     masks = [sum(1 << b for b in range(edge[i], edge[i + 1])) for i in range(segments)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
+    own = [] if which is None else [which]
     keys = []
     for pick in combinations(range(segments), chosen):
         mask = sum(masks[i] for i in pick)
-        keys += [F.xxhash64(F.lit(len(keys) + j), fp.bitwiseAND(F.lit(signed(mask & ~(1 << b))))) for j, b in enumerate(b for b in range(64) if mask >> b & 1)]
+        keys += [F.xxhash64(F.lit(len(keys) + j), *own, fp.bitwiseAND(F.lit(signed(mask & ~(1 << b))))) for j, b in enumerate(b for b in range(64) if mask >> b & 1)]
     return F.array(*keys)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows in as many partitions as a shuffle has: few bytes that become many are else one task's."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def linked(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, component): distinct fingerprints that link to others, and one fingerprint that names their component."""
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= radius
-    own = fps.select("fp").distinct()
+    own = kept(fps.select("fp").distinct())
     segments, chosen = cuts(own.count(), radius)
     by = Window.partitionBy("key")
-    keyed = own.select("fp", F.explode(signatures(F.col("fp"), segments, chosen)).alias("key"))
+    keyed = dealt(own).select("fp", F.explode(signatures(F.col("fp"), segments, chosen)).alias("key"))
     # A fingerprint against the LAGS before it: all pairs of a bucket of few, a chain through one of many.
     before = F.filter(F.array(*(F.lag("fp", i).over(by.orderBy("fp")) for i in range(1, LAGS + 1))), lambda x: x.isNotNull() & near(x, F.col("fp")))
     tested = keyed.withColumn("n", F.count("*").over(by)).withColumn("before", before)
@@ -134,134 +142,176 @@ def deduplicated(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> D
     return fps.join(first.select("fp", "component").join(least, "component").select("fp", "component_id"), "fp")
 
 
-_TURNS = (np.arange(1, WIDE + BANDS * BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    """A row of other hashes of h for each word of a fingerprint and each least hash, by splitmix64's finaliser."""
-    z = h[None, :] + _TURNS
+def _mixed(h: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    """A row of other hashes of h for each of turns, by splitmix64's finaliser."""
+    z = h[None, :] + (turns.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
     z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
     return z ^ z >> np.uint64(31)
 
 
-def sketch(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray, int]:
-    """(digest of the words, the wide fingerprint as longs, the keys of its bands, their number) of a whole text's distinct shingles.
+class _Words(dict):
+    """Hashes of words, kept for the next text."""
 
-    A text of no words has no keys, so it links to equal texts alone.
-    """
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _CACHE:
+            self.clear()
+        out = xxhash.xxh64_intdigest(word, SEED)
+        if len(word) < 64:
+            self[word] = out
+        return out
+
+
+def _hashed(text: str | None, words: _Words) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(digest of the words, hashes of the words, sorted distinct hashes of the shingles); a text shorter than a shingle is one."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    line = b" ".join(parts)
-    digest = xxhash.xxh3_128_digest(line)
+    digest = xxhash.xxh3_128_digest(b" ".join(parts))
+    h = np.fromiter(map(words.__getitem__, parts), dtype=np.uint64, count=len(parts))
     if not parts:
-        return digest, np.zeros(WIDE, dtype=np.int64), np.zeros(0, dtype=np.int64), 0
-    ends, at = [], -1
-    for p in parts:
-        at += len(p) + 1
-        ends.append(at)
-    starts = [0, *(e + 1 for e in ends[:-1])]
-    one = xxhash.xxh64_intdigest
-    last = ends[NEAR_WORDS - 1 :] or [len(line)]
-    h = np.unique(np.fromiter((one(line[a:b], SEED) for a, b in zip(starts, last)), dtype=np.uint64, count=len(last)))
-    ones = np.zeros((WIDE, 64), dtype=np.int64)
-    least = np.full(BANDS * BAND, (1 << 64) - 1, dtype=np.uint64)
+        return digest, h, h
+    n = max(1, len(h) - NEAR_WORDS + 1)
+    out = np.zeros(n, dtype=np.uint64)
+    for k in range(min(NEAR_WORDS, len(h))):
+        out = (out ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return digest, h, np.unique(out)
+
+
+def _majority(h: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    """64-bit fingerprints of a set of hashes, one for each of turns, as longs."""
+    ones = np.zeros((len(turns), 64), dtype=np.int64)
     for i in range(0, len(h), 512):  # a block's hashes fit the cache
-        z = _mixed(h[i : i + 512])
-        bits = np.unpackbits(np.ascontiguousarray(z[:WIDE]).view(np.uint8).reshape(WIDE, -1, 8), axis=2, bitorder="little")
-        ones += bits.sum(axis=1, dtype=np.uint16)
-        least = np.minimum(least, z[WIDE:].min(axis=1))
-    wide = np.packbits(ones * 2 > len(h), axis=1, bitorder="little").view("<i8").reshape(WIDE)
-    keys = [xxhash.xxh64_intdigest(least[b * BAND : (b + 1) * BAND].tobytes(), b) for b in range(BANDS)]
-    return digest, wide, np.array(keys, dtype=np.uint64).view(np.int64), len(h)
+        z = np.ascontiguousarray(_mixed(h[i : i + 512], turns))
+        ones += np.unpackbits(z.view(np.uint8).reshape(len(turns), -1, 8), axis=2, bitorder="little").sum(axis=1, dtype=np.uint16)
+    return np.packbits(ones * 2 > len(h), axis=1, bitorder="little").view("<i8").reshape(len(turns))
+
+
+def _node(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+def sketch(text: str | None, words: _Words) -> tuple[int, np.ndarray, np.ndarray, int]:
+    """(node, fingerprints of the distinct words, wide fingerprint of the shingles, their number) of a whole text.
+
+    A text of no words has no fingerprints, so it links to equal texts alone.
+    """
+    digest, h, shingles = _hashed(text, words)
+    if not len(h):
+        return _node(digest), np.zeros(0, np.int64), np.zeros(WIDE, np.int64), 0
+    h = np.unique(h)
+    prints = _majority(h, np.arange(1, 1 + (PRINTS if len(h) > FEW else FEW_PRINTS)))
+    return _node(digest), prints, _majority(shingles, np.arange(100, 100 + WIDE)), len(shingles)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, w0 ..., keys, size) of every document."""
-    names = [f"w{k}" for k in range(WIDE)]
+    """(doc_id, text_key, node, prints, wide, size) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, longs = _Words(), pa.list_(pa.int64())
         for b in batches:
-            got = [sketch(t.as_py()) for t in b.column(1)]
-            wide = np.array([g[1] for g in got], dtype=np.int64).reshape(-1, WIDE)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.binary()), *(pa.array(np.ascontiguousarray(wide[:, k])) for k in range(WIDE)), pa.array([g[2] for g in got], pa.list_(pa.int64())), pa.array([g[3] for g in got], pa.int64())], names=["doc_id", "digest", *names, "keys", "size"])
+            got = [sketch(t.as_py(), words) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], longs), pa.array([g[2] for g in got], longs), pa.array([g[3] for g in got], pa.int64())],
+                names=["doc_id", "text_key", "node", "prints", "wide", "size"],
+            )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, digest binary, {', '.join(f'{n} long' for n in names)}, keys array<long>, size long")
+    rows = docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, node long, prints array<long>, wide array<long>, size long")
 
 
-def shingles(text: str) -> set[bytes]:
-    """The distinct shingles of NEAR_WORDS words; a shorter text is one."""
-    parts = text.encode("utf-8", "surrogatepass").lower().split()
-    return {b" ".join(parts[i : i + NEAR_WORDS]) for i in range(max(1, len(parts) - NEAR_WORDS + 1))}
+def text_key(text: Column) -> Column:
+    """With the id, what tells a row of documents from others but its exact repeats."""
+    return F.xxhash64(text.cast("string"))
 
 
-def digested(docs: DataFrame) -> DataFrame:
-    """(node, digest, text): the texts beside the digest that sketches() gives."""
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(node, shingles): the sorted distinct 64-bit hashes of the shingles of (text), packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
         for b in batches:
-            digests = [xxhash.xxh3_128_digest(b" ".join((t.as_py() or "").encode("utf-8", "surrogatepass").lower().split())) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), b.column(1)], names=["node", "digest", "text"])
+            got = [_hashed(t.as_py(), words) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(g[0]) for g in got], pa.int64()), pa.array([g[2].tobytes() for g in got], pa.binary())], names=["node", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "node long, digest binary, text string")
+    return texts.select(F.col("text").cast("string")).mapInArrow(run, "node long, shingles binary")
 
 
-def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """The pairs (src, dst) of nodes whose texts in words (node, text) have a Jaccard similarity of 0.8 or more in distinct shingles."""
-    both = pairs.join(words.select(F.col("node").alias("src"), F.col("text").alias("a")), "src").join(words.select(F.col("node").alias("dst"), F.col("text").alias("b")), "dst")
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets, as sorted arrays, have a Jaccard similarity of 0.8 or more."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 9 * common >= 4 * (len(a) + len(b))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (src, dst) of nodes whose sets (node, shingles) are alike."""
+    both = pairs.join(sets.toDF("src", "a"), "src").join(sets.toDF("dst", "b"), "dst")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, set()
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                one, other = shingles(a.as_py()), b.as_py()
-                if other != last:
-                    last, own = other, shingles(other)
-                keep.append(9 * len(one & own) >= 4 * (len(one) + len(own)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+        for b in batches:
+            keep = [alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(b.column(2), b.column(3))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long").distinct()
+    return both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id): component_id is the smallest doc_id that links of near copies reach. Rows without an id take no part.
+    """(doc_id, text_key, component): documents of one component are near copies, directly or through others.
 
-    Equal texts are one node. In a bucket each node is first held against the LAGS before it: all pairs
-    of a small bucket. In larger ones TURNS orders join what they can, then every pair across what are
-    still different components is tested. Fingerprints join only nodes that share a bucket, texts only
-    candidates.
+    Equal texts are one node, named by 64 bits of its digest. Candidates share a deletion-variant
+    signature of a fingerprint of their distinct words, and differ in few bits of another one and of the
+    wide one; those whose shingle sets are alike link. In a bucket each node is first held against the
+    LAGS before it: all pairs of a small bucket. In larger ones TURNS more orders join what they can,
+    and then every pair across what are still different components is tested.
     """
-    names = [f"w{k}" for k in range(WIDE)]
-
-    def near(a, b) -> Column:
-        alike = 5 * F.least(a("size"), b("size")) >= 4 * F.greatest(a("size"), b("size"))  # what 0.8 implies
-        return alike & (sum((F.bit_count(a(n).bitwiseXOR(b(n))) for n in names), F.lit(0)) <= int(64 * WIDE * SHARE))
-
-    own = kept(sketches(docs.where(F.col("doc_id").isNotNull())))
-    texts = kept(own.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.any_value(n).alias(n) for n in (*names, "size", "keys"))))
+    own = kept(sketches(docs))
+    texts = kept(own.groupBy("node").agg(F.min("text_key").alias("text_key"), *(F.any_value(n).alias(n) for n in ("prints", "wide", "size"))))
+    segments, chosen = cuts(texts.count())
     by = Window.partitionBy("key")
-    shared = texts.select("node", "digest", F.explode("keys").alias("key")).withColumn("n", F.count("*").over(by)).where("n > 1")
-    held = kept(shared.join(texts.select("digest", *names, "size"), "digest").drop("digest"))
-    some = docs.select(F.col("doc_id").cast("long"), "text").join(held.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    words = kept(digested(some).join(texts.select("node", "digest"), ["node", "digest"], "left_semi").dropDuplicates(["node", "digest"]).select("node", "text"))
+    # Beside the key of one fingerprint goes another one, by which most strangers are told at once; 32 bits of a key keep shuffles small.
+    each = texts.select("node", "prints", F.posexplode("prints").alias("i", "fp")).withColumn("other", F.get("prints", F.when(F.col("i") == 0, 1).otherwise(0)))
+    keyed = dealt(each.select("node", "i", "fp", "other")).select("node", "other", F.explode(signatures(F.col("fp"), segments, chosen, F.col("i"))).alias("key")).withColumn("key", F.shiftright("key", 32).cast("int"))
+    held = kept(keyed.withColumn("n", F.count("*").over(by)).where("n > 1"))
+    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= OTHER_BITS
     pair = lambda a, b: (F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
-    left, links = held.withColumn("component", F.col("node")), None
-    for turn in range(TURNS):
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        """Those of the distinct pairs that link."""
+        side = lambda c: texts.select(F.col("node").alias(c), F.struct("wide", "size").alias(f"{c}_t"))
+        differ = F.aggregate(F.zip_with("src_t.wide", "dst_t.wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        sizes = 5 * F.least("src_t.size", "dst_t.size") >= 4 * F.greatest("src_t.size", "dst_t.size")  # what 0.8 implies
+        some = kept(pairs.join(side("src"), "src").join(side("dst"), "dst").where(sizes & (differ <= int(64 * WIDE * SHARE))).select("src", "dst"))
+        nodes = some.select(F.col("src").alias("node")).unionAll(some.select(F.col("dst").alias("node"))).distinct()
+        keys = texts.join(nodes, "node", "left_semi").select("text_key")
+        named = docs.select(text_key(F.col("text")).alias("text_key"), "text").join(keys, "text_key", "left_semi")
+        return kept(verified(some, kept(shingle_sets(named).dropDuplicates(["node"]))))
+
+    left, links, named = held.withColumn("component", F.col("node")), None, None
+    for turn in range(1 + TURNS):
         order = ["node"] if turn == 0 else [F.xxhash64(F.lit(turn), "key", "node"), "node"]
-        before = F.array(*(F.lag(F.struct("node", "component", "size", *names), i).over(by.orderBy(*order)) for i in range(1, LAGS + 1)))
-        fit = lambda x: x.isNotNull() & (x["component"] != F.col("component")) & near(lambda n: x[n], F.col)
-        tested = left.withColumn("before", before).select("node", F.explode(F.filter("before", fit)).alias("x")).select(*pair(F.col("x.node"), F.col("node"))).distinct()
-        found = kept(verified(tested, words))
+        before = F.array(*(F.lag(F.struct("node", "component", "other"), i).over(by.orderBy(*order)) for i in range(1, LAGS + 1)))
+        fit = lambda x: x.isNotNull() & (x["component"] != F.col("component")) & near(x["other"], F.col("other"))
+        found = tested(kept(left.withColumn("before", before).select("node", F.explode(F.filter("before", fit)).alias("x")).select(*pair(F.col("x.node"), F.col("node"))).distinct()))
         links = found if links is None else links.unionAll(found)
         named = kept(components(links))
         left = held.where(F.col("n") > LAGS + 1).join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
         left = kept(left.withColumn("a", F.min("component").over(by)).withColumn("b", F.max("component").over(by)).where("a <> b").drop("a", "b"))
         if left.isEmpty():
             break
-    a, b = (left.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "component", "size", *names))) for side in "ab")
-    met = (a["key"] == b["key"]) & (F.col("a_component") < F.col("b_component")) & near(lambda n: F.col(f"a_{n}"), lambda n: F.col(f"b_{n}"))
+    a, b = (left.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "component", "other"))) for side in "ab")
+    met = (a["key"] == b["key"]) & (F.col("a_component") < F.col("b_component")) & near(F.col("a_other"), F.col("b_other"))
     across = kept(a.join(b, met).select(*pair(F.col("a_node"), F.col("b_node"))).distinct())
-    named = kept(components(links.unionAll(verified(across, words))))
-    joined = kept(texts.select("digest", "node").join(named, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    least = joined.groupBy("component").agg(F.min("node").alias("component_id"))
-    return own.select("doc_id", "digest").join(joined.join(least, "component").select("digest", "component_id"), "digest").select("doc_id", "component_id")
+    if not across.isEmpty():
+        named = kept(components(links.unionAll(tested(across))))
+    return own.select("doc_id", "text_key", "node").join(named, "node", "left").select("doc_id", "text_key", F.coalesce("component", "node").alias("component"))
+
+
+def firsts(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that come first in their group of near copies: by id, those without one last."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    rows = near_copies(docs).groupBy("component", "doc_id", "text_key").agg(F.count("*").alias("copies"))
+    least = kept(rows.groupBy("component").agg(F.min(F.struct(order.alias("o"), "copies")).alias("m")).select("m.o.doc_id", "m.o.text_key", "m.copies"))
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), text_key(F.col("text")).alias("key"))
+    met = F.col("id").eqNullSafe(least["doc_id"]) & (F.col("key") == least["text_key"])
+    once = own.join(least.where("copies = 1"), met, "left_semi")
+    more = own.join(least.where("copies > 1"), met, "left_semi").dropDuplicates(["id", "key"])
+    return once.unionAll(more).select("row.*")

@@ -98,32 +98,27 @@ def component_ids(fps, radius=4):
     return {f: least.get(top(f)) for f in own}
 
 
-def wide_fingerprint(t):
-    """The 512 bits of a text's distinct five-word shingles; None for no words."""
-    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
-    if not w:
-        return None
-    full = (1 << 64) - 1
-    hs = {xxhash.xxh64(" ".join(w[i : i + 5]).encode(), seed=42).intdigest() for i in range(max(1, len(w) - 4))}
-    out = 0
-    for k in range(8):
-        counts = [0] * 64
-        for h in hs:
-            z = h + 0x9E3779B97F4A7C15 * (k + 1) & full
-            z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & full
-            z = (z ^ z >> 27) * 0x94D049BB133111EB & full
-            for b, c in enumerate(bin(z ^ z >> 31)[2:].zfill(64)[::-1]):
-                counts[b] += c == "1"
-        out |= sum(1 << b for b in range(64) if counts[b] * 2 > len(hs)) << 64 * k
-    return out
-
-
-def near_ids(rows):
-    """rows: (doc_id, text); the component of each id by all pairs of wide fingerprints. Texts of no words are one group."""
-    fps = [(d, wide_fingerprint(t)) for d, t in rows if d is not None]
-    none = (1 << 600) - 1
-    ids = component_ids([(d, none if f is None else f) for d, f in fps], radius=81)
-    return {d: ids[none if f is None else f] for d, f in fps}
+def near_groups(texts):
+    """A number for each text: that of its group, by all pairs of sets of five-word shingles at a similarity of 0.8 or more."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
+    group = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) / len(a | b) >= 0.8:
+                group = [group[j] if g == group[i] else g for g in group]
+    return group
+
+
+def near_firsts(rows):
+    """The places of the rows (dicts) that stay: the first of each group by id, those without one last."""
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, xxhash.xxh64_intdigest((r["text"] or "").encode(), 42) if r["text"] is not None else 42)
+    signed = lambda k: (*k[:2], k[2] - (1 << 64) if k[2] >> 63 else k[2])
+    least = {}
+    for i, g in enumerate(near_groups([r["text"] for r in rows])):
+        if g not in least or signed(key(rows[i])) < signed(key(rows[least[g]])):
+            least[g] = i
+    return sorted(least.values())
 
 
 def crc(t):

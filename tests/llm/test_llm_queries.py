@@ -58,9 +58,7 @@ def test_held_out_accuracy(spark):
 
 def brute_pipeline(rows, model):
     rows = [r for r in rows if (p := model.predict(r["text"], {}))[0] != "und" and p[1] >= corpus_pipeline.LEAST_SCORE]
-    ids = fx.near_ids([(r["doc_id"], r["text"]) for r in rows])
-    rows = [r for r in rows if r["doc_id"] is not None and ids[r["doc_id"]] == r["doc_id"]]
-    rows = list({r["doc_id"]: r for r in rows}.values())
+    rows = [rows[i] for i in fx.near_firsts(rows)]
     enc = secret_scan.encoder(secret_scan.vocabulary_path())
     rows = [r for r in rows if not any(secret_scan.all_spans(r["text"], enc))]
     size = Counter()
