@@ -4,13 +4,17 @@ A recording's samples are cut into overlapping frames, and each frame's spectrum
 pitch classes. Filters, boxes of added and subtracted classes and frames, are read off an integral
 image of these; each gives two bits, and a place's sixteen filters one packed 32-bit integer.
 
-Two recordings align at an offset if enough marks, pairs of packed integers APART places apart, are
-equal there (the offset's count in a histogram); the differing bits over the whole overlap measure
-how well. Recordings of one fingerprint
-form a class, named by its smallest id; only classes are compared.
-
-Null or short recordings have no integers and align with nothing. Repeated rows fall into one class.
-Columns other than the two named are not read. An empty table gives an empty result.
+Two recordings are compared if they share a mark: two packed integers APART places apart, or, for two
+recordings of SHORT integers or fewer, a single one. Equal marks vote for offsets, every place of a mark
+counting; at the offset of most votes the differing bits of every place of the overlap give the best
+segment, the run of places with the largest sum of (MOST_BITS - differing bits). Recordings align if that
+segment has LEAST places, or, of short recordings, half of the longer one's, and no more than ERROR of its
+bits differ. Recordings of one fingerprint form a class, named by its smallest id; classes are compared.
+
+Silence gives no marks. Null recordings and those of fewer than FRAME + (WIDTH - 1) * HOP samples have no
+integers and align with nothing. Recordings without an id are members of their class, but name none and
+are no queries. Repeated rows fall into one class. Columns other than the two named are not read. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept
@@ -33,7 +37,12 @@ WIDTH = 8
 #: A mark is two packed integers so many places apart: together they rarely agree by chance.
 APART = 8
 LOWEST, HIGHEST = 28.0, 3520.0
-VOTES = 4
+#: Recordings of so many integers or fewer also meet by single ones.
+SHORT = 16
+#: Places of the best segment, what its differing bits are held against place by place, and the share that may differ in all.
+LEAST, MOST_BITS, ERROR = 9, 10, 0.25
+#: A mark's pairs are dealt out to so many tasks, since many recordings may share it.
+SALTS = 16
 _BLOCK = 4096
 
 
@@ -105,12 +114,61 @@ def packed(frames: np.ndarray) -> np.ndarray:
     return out
 
 
-def marks(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(marks, places): the distinct marks of a recording, and the first place of each."""
-    h = hashes.astype(np.uint64)
-    pairs = (h[:-APART] << np.uint64(32) | h[APART:]).view(np.int64) if len(h) > APART else np.zeros(0, np.int64)
-    own, at = np.unique(pairs, return_index=True)
-    return own, at.astype(np.int32)
+@functools.lru_cache(maxsize=1)
+def silence() -> int:
+    """The packed integer of silence."""
+    return int(packed(np.zeros((WIDTH, CLASSES)))[0])
+
+
+def marks(hashes: np.ndarray, single: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(marks, places) of a recording: pairs of integers, or single ones; none where an integer is silence."""
+    h = hashes.astype(np.int64)
+    at = np.arange(len(h) if single else max(0, len(h) - APART))
+    heard = h[at] != silence()
+    if single:
+        return h[at][heard], at[heard]
+    heard &= h[at + APART] != silence()
+    at = at[heard]
+    return h[at] << 32 | h[at + APART], at
+
+
+def histogram(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
+    """Votes by offset of two recordings' packed integers: every two places of an equal mark vote."""
+    single = max(len(a), len(b)) <= SHORT
+    (m, p), (n, q) = marks(a, single), marks(b, single)
+    order = np.argsort(n, kind="stable")
+    n, q = n[order], q[order]
+    left, right = np.searchsorted(n, m, "left"), np.searchsorted(n, m, "right")
+    votes = np.zeros(len(a) + len(b), dtype=np.int64)
+    for i in np.flatnonzero(right > left):
+        np.add.at(votes, p[i] - q[left[i] : right[i]] + len(b), 1)
+    return {int(o) - len(b): int(votes[o]) for o in np.flatnonzero(votes)}
+
+
+def compared(a: np.ndarray, b: np.ndarray) -> tuple | None:
+    """(offset, votes, overlap, bit_errors, start, length, segment_errors) if two recordings align.
+
+    offset: the place of a at which b's first one lies; of those with equal votes the smallest in size,
+    then the earlier. bit_errors: the share of differing bits over the whole overlap. start (a place of a)
+    and length: the best segment, the earliest of equal ones.
+    """
+    votes = histogram(a, b)
+    if not votes:
+        return None
+    offset = min(votes, key=lambda o: (-votes[o], abs(o), o))
+    first, other = max(offset, 0), max(-offset, 0)
+    n = min(len(a) - first, len(b) - other)
+    bits = np.bitwise_count(a[first : first + n].astype(np.int64) ^ b[other : other + n].astype(np.int64)).astype(np.int64)
+    total = np.concatenate(([0], np.cumsum(MOST_BITS - bits)))
+    gain = total - np.minimum.accumulate(total)
+    end = int(np.argmax(gain))
+    start = int(np.argmin(total[: end + 1]))
+    length = end - start
+    wrong = int(bits[start:end].sum())
+    needed = min(LEAST, -(-max(len(a), len(b)) // 2))
+    if length < needed or wrong > ERROR * 32 * length:
+        return None
+    return offset, votes[offset], n, bits.sum() / (32 * n), first + start, length, wrong / (32 * length)
 
 
 def samples_of(raw: bytes) -> np.ndarray:
@@ -119,59 +177,98 @@ def samples_of(raw: bytes) -> np.ndarray:
 
 
 def fingerprints(recordings: DataFrame, media: Column, key: str = "doc_id") -> DataFrame:
-    """(rec_id, n_frames, hashes, marks, places) of a media column of mono unsigned 8-bit samples."""
+    """(rec_id, n_frames, hashes) of a media column of mono unsigned 8-bit samples; hashes are packed, 4 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, found, own, at = [], [], [], []
+            n, found = [], []
             for raw in b.column(1):
                 frames = chroma(samples_of(raw.as_py() or b""))
                 n.append(len(frames))
-                found.append(packed(frames))
-                m, p = marks(found[-1])
-                own.append(m)
-                at.append(p)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(own, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32()))], names=["rec_id", "n_frames", "hashes", "marks", "places"])
+                found.append(packed(frames).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(found, pa.binary())], names=["rec_id", "n_frames", "hashes"])
+
+    return recordings.select(F.col(key).cast("long"), media.cast("binary")).mapInArrow(run, "rec_id long, n_frames long, hashes binary")
 
-    schema = "rec_id long, n_frames long, hashes array<bigint>, marks array<bigint>, places array<int>"
-    return recordings.select(F.col(key).cast("long"), media.cast("binary")).mapInArrow(run, schema)
+
+def unpacked(hashes: bytes) -> np.ndarray:
+    return np.frombuffer(hashes, "<u4").astype(np.int64)
 
 
 def classes(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rec_id, n_frames, n_hashes, fp_key) of all recordings, and (fp_key, class_id, members, hashes, marks, places) of distinct fingerprints."""
-    keyed = prints.withColumn("fp_key", F.when(F.size("hashes") > 0, F.sha2(F.array_join(F.transform("hashes", lambda h: F.hex(h)), ",").cast("binary"), 256)))
-    by = keyed.where(F.col("fp_key").isNotNull()).groupBy("fp_key").agg(F.min("rec_id").alias("class_id"), F.count("*").alias("members"), F.first(F.struct("hashes", "marks", "places")).alias("f"))
-    return keyed.select("rec_id", "n_frames", F.size("hashes").alias("n_hashes"), "fp_key"), by.select("fp_key", "class_id", "members", "f.*")
+    """(rec_id, n_frames, n_hashes, fp_key) of all recordings, and (fp_key, class_id, members, hashes) of distinct fingerprints."""
+    size = F.octet_length("hashes")
+    none = F.concat(F.lit("none "), F.pmod(F.xxhash64("rec_id"), F.lit(4096)).cast("string"))  # many recordings may have no integers
+    keyed = prints.withColumn("fp_key", F.when(size > 0, F.sha2("hashes", 256)).otherwise(none))
+    by = keyed.where(size > 0).groupBy("fp_key").agg(F.min("rec_id").alias("class_id"), F.count("*").alias("members"), F.first("hashes").alias("hashes"))
+    return keyed.select("rec_id", "n_frames", F.floor(size / 4).cast("int").alias("n_hashes"), "fp_key"), by
 
 
-def alignments(asked: DataFrame, all_of: DataFrame, votes: int = VOTES) -> DataFrame:
-    """(query_class, class_id, offset, votes, overlap, bit_errors) of classes (class_id, hashes, marks, places).
+def marked(by: DataFrame, name: str) -> DataFrame:
+    """(name, single, mark): the distinct marks of classes (class_id, hashes)."""
 
-    offset: the frame of the query at which the other's first one lies. Each mark counts at its first
-    place in a recording; of offsets with equal votes the smallest in size, then the earlier, holds.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, single, found = [], [], []
+            for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                h = unpacked(raw)
+                for one in (False, True) if len(h) <= SHORT else (False,):
+                    own = np.unique(marks(h, one)[0])
+                    ids.append(np.full(len(own), i))
+                    single.append(np.full(len(own), one))
+                    found.append(own)
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(single), pa.bool_()), pa.array(np.concatenate(found), pa.int64())], names=[name, "single", "mark"])
+
+    return by.where(F.col("class_id").isNotNull()).select("class_id", "hashes").mapInArrow(run, f"{name} long, single boolean, mark long")
+
+
+def alignments(asked: DataFrame, all_of: DataFrame) -> DataFrame:
+    """(query_class, class_id, offset, votes, overlap, bit_errors, start, length, segment_errors): the classes that align with those asked.
+
+    Both sides: (class_id, hashes). See compared() for the columns.
     """
-    at = lambda df: df.select("class_id", F.explode(F.arrays_zip("marks", "places")).alias("m")).select("class_id", "m.marks", "m.places")
-    q = at(asked).toDF("query_class", "marks", "q_place")
-    hits = q.join(at(all_of), "marks").where("query_class <> class_id")
-    histogram = hits.groupBy("query_class", "class_id", (F.col("q_place") - F.col("places")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= votes)
-    best = histogram.groupBy("query_class", "class_id").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), (-F.col("offset")).alias("early"))).alias("b"))
-    best = best.select("query_class", "class_id", (-F.col("b.early")).alias("offset"), "b.votes")
-    both = best.join(asked.select(F.col("class_id").alias("query_class"), F.col("hashes").alias("a")), "query_class").join(all_of.select("class_id", F.col("hashes").alias("b")), "class_id")
-    start, other = F.greatest("offset", F.lit(0)), F.greatest(-F.col("offset"), F.lit(0))
-    n = F.least(F.size("a") - start, F.size("b") - other)
-    pairs = F.zip_with(F.slice("a", start + 1, n), F.slice("b", other + 1, n), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    errors = F.aggregate(pairs, F.lit(0), lambda s, x: s + x)
-    return both.select("query_class", "class_id", "offset", "votes", n.alias("overlap"), (errors / (32.0 * n)).alias("bit_errors"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    q = marked(asked, "query_class").withColumn("salt", salts)
+    every = marked(all_of, "class_id").withColumn("salt", F.pmod(F.xxhash64("class_id"), F.lit(SALTS)).cast("int"))
+    pairs = q.join(every, ["mark", "single", "salt"]).where("query_class <> class_id").select("query_class", "class_id").distinct()
+    both = kept(pairs).join(asked.select(F.col("class_id").alias("query_class"), F.col("hashes").alias("a")), "query_class").join(all_of.select("class_id", F.col("hashes").alias("b")), "class_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for one, other, x, y in zip(*(b.column(i).to_pylist() for i in range(4))):
+                found = compared(unpacked(x), unpacked(y))
+                if found:
+                    out.append((one, other, *found))
+            columns = list(zip(*out)) or [()] * len(_TYPES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES.values())], names=list(_TYPES))
+
+    return both.select("query_class", "class_id", "a", "b").mapInArrow(run, "query_class long, class_id long, offset int, votes long, overlap int, bit_errors double, start int, length int, segment_errors double")
+
+
+_TYPES = {
+    "query_class": pa.int64(), "class_id": pa.int64(), "offset": pa.int32(), "votes": pa.int64(), "overlap": pa.int32(),
+    "bit_errors": pa.float64(), "start": pa.int32(), "length": pa.int32(), "segment_errors": pa.float64(),
+}
 
 
 def matched(recordings: DataFrame, media: Column, is_query: Column, key: str = "doc_id") -> DataFrame:
-    """A row for each query recording and class that aligns with it, the own class first (offset 0); one with nulls if it has no integers."""
+    """A row for each recording, with its class, and for queries what aligns with that class and how the best of it does.
+
+    links: the other classes that align; linked_recordings: their members; best_class is the one of the
+    longest segment, then the fewest differing bits, then the smallest id. All of these are null for
+    recordings that are no query, and best_class also where nothing aligns.
+    """
     rows, by = classes(kept(fingerprints(recordings, media, key)))
     by = kept(by)
-    asked = rows.where(is_query).join(by.select("fp_key", F.col("class_id").alias("query_class")), "fp_key", "left").select("rec_id", "n_frames", "n_hashes", "query_class")
-    asked = kept(asked)
-    own = by.join(asked.select(F.col("query_class").alias("class_id")).distinct(), "class_id", "left_semi")
-    found = alignments(own, by)
-    same = own.select(F.col("class_id").alias("query_class"), "class_id", F.lit(0).alias("offset"), F.size("marks").cast("long").alias("votes"), F.size("hashes").alias("overlap"), F.lit(0.0).alias("bit_errors"))
-    found = found.unionByName(same).join(by.select("class_id", "members"), "class_id")
-    return asked.join(found, "query_class", "left")
+    rows = rows.join(by.select("fp_key", "class_id", "members"), "fp_key", "left").drop("fp_key")
+    rows = kept(rows.select("rec_id", "n_frames", "n_hashes", "class_id", "members", F.coalesce(is_query, F.lit(False)).alias("is_query")))
+    asked = by.join(rows.where("is_query").select("class_id").distinct(), "class_id", "left_semi")
+    found = alignments(asked, by).join(by.select("class_id", "members"), "class_id")
+    best = F.min(F.struct((-F.col("length")).alias("l"), "segment_errors", F.col("class_id").alias("best_class"), "offset", "votes", "overlap", "bit_errors", "start", "length")).alias("b")
+    links = found.groupBy(F.col("query_class").alias("class_id")).agg(F.count("*").alias("links"), F.sum("members").alias("linked_recordings"), best)
+    of_best = ["best_class", "offset", "votes", "overlap", "bit_errors", "start", "length", "segment_errors"]
+    some = [F.when(F.col("n_hashes") > 0, F.coalesce(c, F.lit(0))).alias(c) for c in ("links", "linked_recordings")]
+    told = rows.where("is_query").join(links, "class_id", "left").select(*rows.columns, *some, *(F.col(f"b.{c}").alias(c) for c in of_best))
+    return told.unionByName(rows.where(~F.col("is_query")), allowMissingColumns=True)

@@ -14,7 +14,8 @@ from .common import kept, table
 def op1_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table holds sound: a document's UTF-8 bytes are the samples. Queries are the rows whose id is divisible by 100."""
     found = chroma.matched(table(spark, sf_dir, "documents"), F.col("text"), F.col("rec_id") % 100 == 0)
-    return found.select(F.col("rec_id").alias("doc_id"), "n_frames", "n_hashes", "query_class", "class_id", "members", "offset", "votes", "overlap", F.round("bit_errors", 6).alias("bit_errors"))
+    errors = [F.round(c, 6).alias(c) for c in ("bit_errors", "segment_errors")]
+    return found.select(F.col("rec_id").alias("doc_id"), *[c for c in found.columns[1:] if not c.endswith("errors")], *errors)
 
 
 def op2_hilbert_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

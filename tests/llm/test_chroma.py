@@ -39,47 +39,87 @@ def test_packed_integers_equal_plain_sums():
     assert chroma.packed(frames).tolist() == plain(frames)
 
 
-def test_alignments(spark):
+def test_recordings_and_their_alignments(spark):
     song, other = tones(8, 1), tones(8, 2)
     hop = chroma.HOP
     rows = [(0, song), (1, song), (2, song[hop * 50 :]), (3, np.concatenate((other[: hop * 30], song[: hop * 400]))), (4, other), (5, song + np.random.default_rng(3).normal(0, 0.01, len(song)))]
-    docs = spark.createDataFrame([(i, pcm(x), 1) for i, x in rows] + [(100, None, 1), (200, b"", 1), (300, pcm(song), 1), (0, pcm(song), 1)], "doc_id long, media binary, votes int")
+    media = [(i, pcm(x), 1) for i, x in rows] + [(100, None, 1), (200, b"", 1), (300, pcm(song), 1), (0, pcm(song), 1), (None, pcm(song), 1), (None, None, 1)]
+    docs = spark.createDataFrame(media, "doc_id long, media binary, votes int")
     got = chroma.matched(docs, F.col("media"), F.col("rec_id") % 100 == 0).collect()
-    by = {(r["rec_id"], r["class_id"]): r for r in got}
-    assert by[0, 0]["members"] == 4 and by[0, 0]["bit_errors"] == 0 and by[300, 0]["offset"] == 0
-    assert by[0, 2]["offset"] == 50 and by[0, 2]["bit_errors"] < 0.01
-    assert by[0, 3]["offset"] == -30 and by[0, 3]["bit_errors"] < 0.15
-    assert by[0, 5]["offset"] == 0 and by[0, 5]["bit_errors"] < 0.2
-    assert (0, 4) not in by
-    assert {r["rec_id"] for r in got if r["class_id"] is None} == {100, 200}
-
-
-def test_matches_equal_brute_force(spark):
-    docs = fx.documents(spark)
+    assert len(got) == len(media)
+    by = {r["rec_id"]: r for r in got if r["rec_id"] is not None}
+    assert by[0]["members"] == 5 == by[300]["members"] and by[1]["class_id"] == by[300]["class_id"] == 0
+    assert by[0]["links"] == 3 == by[0]["linked_recordings"] and by[1]["links"] is None and by[100]["class_id"] is None is by[200]["links"]
+    assert by[0]["best_class"] == 5 and by[0]["offset"] == 0 and by[0]["length"] > by[2]["n_hashes"] and 0 < by[0]["bit_errors"] < 0.2
+    _, classes = chroma.classes(chroma.fingerprints(docs, F.col("media")))
+    found = {(r["query_class"], r["class_id"]): r for r in chroma.alignments(classes.where("class_id = 0"), classes).collect()}
+    assert set(found) == {(0, 2), (0, 3), (0, 5)}
+    assert found[0, 2]["offset"] == 50 and found[0, 2]["start"] == 50 and found[0, 2]["bit_errors"] == 0
+    assert found[0, 3]["offset"] == -30 and found[0, 3]["segment_errors"] < 0.1 and found[0, 3]["length"] > 350
+    assert found[0, 5]["offset"] == 0 and found[0, 5]["segment_errors"] < 0.2
+
+
+def brute(a, b):
+    """compared(), by loops over all places."""
+    single = max(len(a), len(b)) <= chroma.SHORT
+    none = chroma.silence()
+    mark = lambda h, i: None if h[i] == none or not single and (i + chroma.APART >= len(h) or h[i + chroma.APART] == none) else h[i] if single else (h[i], h[i + chroma.APART])
+    votes = {}
+    for i in range(len(a)):
+        for j in range(len(b)):
+            if mark(a, i) is not None and mark(a, i) == mark(b, j):
+                votes[i - j] = votes.get(i - j, 0) + 1
+    if not votes:
+        return None
+    offset = max(votes, key=lambda o: (votes[o], -abs(o), -o))
+    places = [i for i in range(len(a)) if 0 <= i - offset < len(b)]
+    bits = [(a[i] ^ b[i - offset]).bit_count() for i in places]
+    best = (0, 0, 0)
+    for i in range(len(bits)):
+        total = 0
+        for j in range(i, len(bits)):
+            total += chroma.MOST_BITS - bits[j]
+            if total > best[0]:
+                best = (total, i, j + 1)
+    _, i, j = best
+    wrong = sum(bits[i:j])
+    if j - i < min(chroma.LEAST, (max(len(a), len(b)) + 1) // 2) or wrong > chroma.ERROR * 32 * (j - i):
+        return None
+    return offset, votes[offset], len(bits), round(sum(bits) / 32 / len(bits), 9), places[0] + i, j - i, round(wrong / 32 / (j - i), 9)
+
+
+def test_alignments_equal_brute_force(spark):
+    """Offsets, votes, overlaps, bit errors and segments over awkward texts, near copies, repeats, silence and short ones."""
+    r = np.random.default_rng(8)
+    text = lambda n: "".join(r.choice(list("abcdefghij klmnopq rstuv"), n))
+    base, line = text(3000), text(64 * 3)
+    more = [base, base[:1500] + "X" + base[1501:], base[:1400] + text(1600), base[640:], line * 20, line * 30 + base[:800], "a" * 5000, "a" * 6000, text(800)]
+    more += [more[-1] + "tail of it", more[-1][:760], base[:1000], base[:1010], text(900), text(64 * 5) + base]
+    docs = fx.documents(spark, [*fx.awkward(), *((100 + 4 * i, t, "en", "a") for i, t in enumerate(more))])
     prints = {}
-    for r in docs.collect():
-        prints.setdefault(r["doc_id"], []).append(chroma.packed(chroma.chroma(chroma.samples_of((r["text"] or "").encode()))).tolist())
-    first = {}
-    for i, hs in prints.items():
-        for h in hs:
-            if h and i is not None:
-                first[tuple(h)] = min(i, first.get(tuple(h), i))
-    want = set()
-    for q in (i for i in prints if i is not None and i % 4 == 0):
-        a = prints[q][0]
-        want.add((q, first.get(tuple(a)), 0) if a else (q, None, None))
-        for b, c in first.items():
-            if not a or first[tuple(a)] == c:
-                continue
-            place = lambda h: {(h[i], h[i + chroma.APART]): i for i in reversed(range(len(h) - chroma.APART))}
-            pa, pb = place(a), place(list(b))
-            votes = {}
-            for m in pa.keys() & pb.keys():
-                votes[pa[m] - pb[m]] = votes.get(pa[m] - pb[m], 0) + 1
-            if votes and max(votes.values()) >= chroma.VOTES:
-                want.add((q, c, max(votes, key=lambda o: (votes[o], -abs(o), -o))))
-    got = chroma.matched(docs.where("doc_id is not null"), F.col("text"), F.col("rec_id") % 4 == 0).collect()
-    assert {(r["rec_id"], r["class_id"], r["offset"]) for r in got} == want
+    for row in docs.collect():
+        h = chroma.packed(chroma.chroma(chroma.samples_of((row["text"] or "").encode()))).tolist()
+        prints.setdefault(tuple(h), []).append(row["doc_id"])
+    first = {h: min((i for i in ids if i is not None), default=None) for h, ids in prints.items() if h}
+    members = {first[h]: len(ids) for h, ids in prints.items() if h}
+    asked = {c for h, c in first.items() if any(i is not None and i % 4 == 0 for i in prints[h])}
+    want = {}
+    for a, p in first.items():
+        for b, q in first.items():
+            if p in asked and q is not None and p != q and (found := brute(list(a), list(b))):
+                want[p, q] = found
+    rows, by = chroma.classes(chroma.fingerprints(docs, F.col("text")))
+    got = chroma.alignments(by.where(F.col("class_id").isin(sorted(asked))), by).collect()
+    assert len(want) > 20 and {(x[0], x[1]): (*x[2:5], round(x[5], 9), *x[6:8], round(x[8], 9)) for x in map(tuple, got)} == want
+    told = chroma.matched(docs, F.col("text"), F.col("rec_id") % 4 == 0).collect()
+    assert len(told) == docs.count()
+    for t in told:
+        if t["is_query"] and t["n_hashes"]:
+            own = [q for p, q in want if p == t["class_id"]]
+            assert t["links"] == len(own) and t["linked_recordings"] == sum(members[q] for q in own)
+            if own:
+                q = min(own, key=lambda q: (-want[t["class_id"], q][5], want[t["class_id"], q][6], q))
+                assert t["best_class"] == q and t["offset"] == want[t["class_id"], q][0]
 
 
 def test_empty_table(spark):
