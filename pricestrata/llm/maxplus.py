@@ -7,9 +7,12 @@ Scores are summed in doubles, so rank-like scores stay exact however long the te
 Ordinary texts are encoded whole. A giant text is cut into chunks of CHUNK characters. The state at a
 cut is how many characters beyond it the piece that crosses it reaches. Each chunk yields a matrix of
 the best scores from every state at its start to every state at its end; these combine by the
-max-plus product, associatively: within runs of RUN chunks first, then across runs. With the states
-known, every chunk is traced back by itself. Chunks and runs are rows, so a giant text is the work of
-many tasks, and no task holds more than a run's matrices or a text's runs.
+max-plus product, associatively: within runs of RUN chunks first, then across runs. That gives the best
+scores up to every cut. With them each chunk traces back from every state at its end to the one at its
+start that the tie rule leads to; these maps, too, combine associatively, and give the state at every
+cut. Each chunk is then traced back by itself, to the same pieces as in one pass over the whole text.
+Chunks and runs are rows, so a giant text is the work of many tasks, and no task holds more than a
+run's matrices or a text's runs.
 
 Nulls give null; an empty text has no pieces. Repeated rows get equal rows. Other columns are not
 read. Decoding gives the text back unless it holds U+2581, which stands for a space in pieces.
@@ -37,7 +40,8 @@ CHUNK = 16_384
 RUN = 64
 SPACE = "▁"
 _NONE = -np.inf
-_CACHE = 400_000
+#: Characters of the parts that are remembered, and of the longest one of them.
+_CACHE, _CACHED = 8_000_000, 256
 NORMAL, BYTE, USER = 1, 6, 4
 
 
@@ -110,6 +114,7 @@ class Pieces:
         self.odd = re.compile("[^" + "".join(re.escape(p) for p in self.ids if len(p) == 1) + "]")
         self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.cache: dict[str, tuple[bytes, float]] = {}
+        self.cached = 0
 
     def normal(self, text: str) -> str:
         """What is segmented: spaces become U+2581, with one more before the text."""
@@ -166,16 +171,13 @@ class Pieces:
 
     def parts(self, names: list[str]) -> tuple[bytes, float]:
         """The ids (int32, joined) and the score of parts that stand apart."""
-        cache = self.cache
-        got = list(map(cache.get, names))
+        if self.cached > _CACHE:
+            self.cache.clear()
+            self.cached = 0
+        got = list(map(self.cache.get, names))
         if None in got:
-            new = {p for p, g in zip(names, got) if g is None}
-            if len(cache) > _CACHE:
-                cache.clear()
-                new = set(names)
-            for p in new:
-                self._learn(p)
-            got = list(map(cache.__getitem__, names))
+            get = self.cache.get
+            got = [g or get(p) or self._learn(p) for p, g in zip(names, got)]
         ids, scores = zip(*got) if got else ((), ())
         return b"".join(ids), sum(scores)
 
@@ -190,7 +192,9 @@ class Pieces:
         else:
             best, back = self.lattice(p, n)
             found = array("i", self.traced(p, back, n)[0]).tobytes(), best[-1]
-        self.cache[p] = found
+        if len(p) <= _CACHED:
+            self.cache[p] = found
+            self.cached += len(p) + 40
         return found
 
     def encode(self, text: str) -> tuple[np.ndarray, float]:
@@ -229,12 +233,18 @@ class Pieces:
             out[i] = self.lattice(chunk[:p], p, unit(i))[0][p] + middle + tail
         return out
 
-    def back(self, chunk: str, ahead: str, enter: int, leave: int) -> bytes:
-        """The ids of a chunk's pieces (int32, joined) from one state to another."""
+    def entries(self, chunk: str, ahead: str, entry: np.ndarray) -> np.ndarray:
+        """The state at a chunk's start that each state at its end is traced back to, given the best scores up to its start; -1: not reached."""
+        n = len(chunk)
+        p, _, _ = self._ends(chunk)
+        if p >= 0:  # whatever the end, the trace passes this boundary
+            return np.full(self.longest, self.traced(chunk[:p], self.lattice(chunk[:p], p, entry)[1], p)[1])
+        best, back = self.lattice(chunk + ahead, n, entry)
+        return np.array([self.traced(chunk + ahead, back, n + j)[1] if n + j < len(best) and best[n + j] > _NONE else -1 for j in range(self.longest)])
+
+    def back(self, chunk: str, ahead: str, entry: np.ndarray, leave: int) -> bytes:
+        """The ids of a chunk's pieces (int32, joined) up to a state at its end, given the best scores up to its start."""
         n = len(chunk)
-        if enter > n:
-            return b""
-        entry = np.where(np.arange(self.longest) == enter, 0.0, _NONE)
         p, q, names = self._ends(chunk)
         pack = lambda x: array("i", x).tobytes()
         whole = chunk + ahead
@@ -255,18 +265,30 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[..., :, :, None] + b[..., None, :, :]).max(axis=-2)
 
 
-def states(matrices: list[np.ndarray], enter: int, leave: int) -> list[int]:
-    """The states at all cuts, the given ends included, along the best path."""
-    best = [np.where(np.arange(len(matrices[0])) == enter, 0.0, _NONE)]
+def prefixes(matrices: list[np.ndarray], entry: np.ndarray) -> list[np.ndarray]:
+    """The best scores of all states at every cut, the first one (entry) and the last one included."""
+    out = [entry]
     for m in matrices:
-        best.append((best[-1][:, None] + m).max(axis=0))
+        out.append((out[-1][:, None] + m).max(axis=0))
+    return out
+
+
+def followed(maps: list[np.ndarray], leave: int) -> list[int]:
+    """The states at all cuts, from the first to the last one (leave), by maps from the state at an end to that at the start."""
     out = [leave]
-    for f, m in zip(best[-2::-1], matrices[::-1]):
-        out.append(int(np.argmax(f + m[:, out[-1]])))
-    out[-1] = enter
+    for m in maps[::-1]:
+        out.append(int(m[out[-1]]))
     return out[::-1]
 
 
+def composed(maps: list[np.ndarray]) -> np.ndarray:
+    """One map in place of several that follow one another; -1 stays -1."""
+    out = np.arange(len(maps[0]))
+    for m in maps[::-1]:
+        out = np.where(out >= 0, m[out], -1)
+    return out
+
+
 def _giants(texts: DataFrame, path: str, chunk: int) -> DataFrame:
     """(text_key, ids, score) of (text_key, text): each text by its chunks."""
     size = pieces(path).longest
@@ -290,33 +312,60 @@ def _giants(texts: DataFrame, path: str, chunk: int) -> DataFrame:
     chunks = kept(chunks.mapInArrow(score, "text_key string, k long, chunk string, ahead string, m array<double>"))
     square = lambda column: [np.asarray(m, dtype=float).reshape(size, size) for m in column]
 
+    first = np.where(np.arange(size) == 0, 0.0, _NONE)
+
     def run_product(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
         return pd.DataFrame({"text_key": pdf["text_key"][:1], "run": pdf["run"][:1], "m": [functools.reduce(product, square(pdf["m"])).ravel()]})
 
-    def run_ends(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run_entries(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("run")
+        entry = prefixes(square(pdf["m"]), first)
+        return pd.DataFrame({"text_key": pdf["text_key"], "run": pdf["run"], "entry": entry[:-1], "score": entry[-1][0]})
+
+    def chunk_entries(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("k")
+        entry = prefixes(square(left["m"]), np.asarray(right["entry"].iloc[0], dtype=float))
+        return pd.DataFrame({"text_key": left["text_key"], "k": left["k"], "run": left["run"], "entry": entry[:-1], "score": right["score"].iloc[0]})
+
+    def map_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pieces(path)
+        for b in batches:
+            found = [own.entries(c, a, np.asarray(e)) for c, a, e in zip(*(b.column(i).to_pylist() for i in (2, 3, 5)))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int64()))], names=["text_key", "k", "chunk", "ahead", "run", "entry", "score", "origin"])
+
+    maps = lambda column: [np.asarray(m, dtype=np.int64) for m in column]
+
+    def run_map(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        return pd.DataFrame({"text_key": pdf["text_key"][:1], "run": pdf["run"][:1], "origin": [composed(maps(pdf["origin"]))]})
+
+    def run_leaves(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("run")
-        ms = square(pdf["m"])
-        at = states(ms, 0, 0)
-        total = functools.reduce(lambda f, m: (f[:, None] + m).max(axis=0), ms, np.where(np.arange(size) == 0, 0.0, _NONE))[0]
-        return pd.DataFrame({"text_key": pdf["text_key"], "run": pdf["run"], "enter": at[:-1], "leave": at[1:], "score": total})
+        return pd.DataFrame({"text_key": pdf["text_key"], "run": pdf["run"], "leave": followed(maps(pdf["origin"]), 0)[1:]})
 
-    def chunk_ends(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def chunk_leaves(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("k")
-        at = states(square(left["m"]), int(right["enter"].iloc[0]), int(right["leave"].iloc[0]))
-        return pd.DataFrame({"text_key": left["text_key"], "k": left["k"], "enter": at[:-1], "leave": at[1:], "score": right["score"].iloc[0]})
+        return pd.DataFrame({"text_key": left["text_key"], "k": left["k"], "leave": followed(maps(left["origin"]), int(right["leave"].iloc[0]))[1:]})
 
+    # Up: products by run, scores at the runs' and then at the chunks' starts.
     runs = chunks.select("text_key", "k", F.floor(F.col("k") / RUN).alias("run"), "m")
-    ends = runs.groupBy("text_key", "run").applyInPandas(run_product, "text_key string, run long, m array<double>").groupBy("text_key").applyInPandas(run_ends, "text_key string, run long, enter int, leave int, score double")
-    ends = runs.groupBy("text_key", "run").cogroup(ends.groupBy("text_key", "run")).applyInPandas(chunk_ends, "text_key string, k long, enter int, leave int, score double")
+    entry = runs.groupBy("text_key", "run").applyInPandas(run_product, "text_key string, run long, m array<double>").groupBy("text_key").applyInPandas(run_entries, "text_key string, run long, entry array<double>, score double")
+    entry = runs.groupBy("text_key", "run").cogroup(entry.groupBy("text_key", "run")).applyInPandas(chunk_entries, "text_key string, k long, run long, entry array<double>, score double")
+    known = chunks.drop("m").join(entry, ["text_key", "k"])
+    known = kept(known.mapInArrow(map_back, "text_key string, k long, chunk string, ahead string, run long, entry array<double>, score double, origin array<long>"))
+    # Down: maps by run, states at the runs' and then at the chunks' ends.
+    back = known.select("text_key", "k", "run", "origin")
+    leave = back.groupBy("text_key", "run").applyInPandas(run_map, "text_key string, run long, origin array<long>").groupBy("text_key").applyInPandas(run_leaves, "text_key string, run long, leave int")
+    leave = back.groupBy("text_key", "run").cogroup(leave.groupBy("text_key", "run")).applyInPandas(chunk_leaves, "text_key string, k long, leave int")
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(path)
         for b in batches:
-            ids = [np.frombuffer(own.back(*x), "<i4") for x in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(6), pa.array(ids, pa.list_(pa.int32()))], names=["text_key", "k", "score", "ids"])
+            ids = [np.frombuffer(own.back(c, a, np.asarray(e), leave), "<i4") for c, a, e, leave in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 6)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(5), pa.array(ids, pa.list_(pa.int32()))], names=["text_key", "k", "score", "ids"])
 
-    traced = chunks.drop("m").join(ends, ["text_key", "k"]).mapInArrow(trace, "text_key string, k long, score double, ids array<int>")
+    traced = known.drop("run", "origin").join(leave, ["text_key", "k"]).mapInArrow(trace, "text_key string, k long, score double, ids array<int>")
     rows = F.array_sort(F.collect_list(F.struct("k", "ids")))
     return traced.groupBy("text_key").agg(F.flatten(F.transform(rows, lambda r: r["ids"])).alias("ids"), F.first("score").alias("score"))
 
