@@ -19,7 +19,6 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import kept, once_a_process
 
 RATE = 11_025
 FRAME = 256
@@ -46,7 +45,7 @@ SALTS = 16
 _BLOCK = 4096
 
 
-@functools.lru_cache(maxsize=4)
+@once_a_process
 def fold(rate: int, frame: int) -> np.ndarray:
     """(bins, CLASSES): which pitch class each bin of the spectrum counts for."""
     f = np.fft.rfftfreq(frame, 1 / rate)
@@ -114,7 +113,7 @@ def packed(frames: np.ndarray) -> np.ndarray:
     return out
 
 
-@functools.lru_cache(maxsize=1)
+@once_a_process
 def silence() -> int:
     """The packed integer of silence."""
     return int(packed(np.zeros((WIDTH, CLASSES)))[0])

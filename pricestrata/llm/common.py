@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def once_a_process(make):
+    """make, whose results are kept by its arguments for as long as the process lives.
+
+    Functions reach executors by value, each time anew; what is kept stands beside them, in a module of
+    its own, and is not sent along.
+    """
+
+    @wraps(make)
+    def call(*args):
+        store = sys.modules.setdefault("pricestrata_kept", types.ModuleType("pricestrata_kept")).__dict__
+        key = f"{make.__module__}.{make.__qualname__}{args!r}"
+        if key not in store:
+            store[key] = make(*args)
+        return store[key]
+
+    return call
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

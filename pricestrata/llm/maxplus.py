@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import kept, once_a_process
 
 VOCABULARY = "piece_bpe_32k.model"
 GIANT = 65_536
@@ -255,7 +255,7 @@ class Pieces:
         return pack(head) + self.parts(names)[0] + pack(tail)
 
 
-@functools.lru_cache(maxsize=2)
+@once_a_process
 def pieces(path: str) -> Pieces:
     return Pieces(path)
 

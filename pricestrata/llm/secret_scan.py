@@ -14,7 +14,6 @@ read. An empty table gives an empty result.
 from __future__ import annotations
 
 import base64
-import functools
 import re
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_spans
+from .common import joined_spans, once_a_process
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 RATIO = 1.9
@@ -48,7 +47,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-@functools.lru_cache(maxsize=2)
+@once_a_process
 def encoder(path: str):
     import public_tokenizers
     import tiktoken

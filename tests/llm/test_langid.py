@@ -1,4 +1,9 @@
+import hashlib
+import math
+import re
+import unicodedata
 import zlib
+from collections import Counter
 
 import fixtures as fx
 from pricestrata.llm import langid
@@ -32,12 +37,81 @@ def test_neither_lang_nor_held_out_rows_matter(spark):
     assert sorted(map(str, a)) == sorted(map(str, b))
 
 
+def of_texts(samples):
+    counts = Counter((lang, w) for lang, text in samples for w in langid.word_pattern().findall(text.lower()))
+    return langid.Model.fitted([(*k, n) for k, n in counts.items()])
+
+
 def test_backoff_takes_the_longest_grams_seen():
-    model = langid.Model([("a", "abcd abcd"), ("b", "xbcd xbcd")])
+    model = of_texts([("a", "abcd abcd"), ("b", "xbcd xbcd")])
     assert model.rows_of("abcd") == [model.words["abcd"]]
     found = model.rows_of("zabc")
     assert found == [model.grams[3]["abc"]]
-    assert model.rows_of("qqq") == [model.grams[1][" "], model.grams[1][" "]]
+    assert model.rows_of("qqq") == [] and model.predict("qqq", {}) == ("a", 0.5)
+
+
+def words_of(text):
+    """Words by Unicode categories, character by character."""
+    out, own = [], ""
+    for c in (text or "").lower() + " ":
+        kind = unicodedata.category(c)[0]
+        if kind == "L" or kind == "M" and own:
+            own += c
+        else:
+            out += [own] if own else []
+            own = ""
+    return out
+
+
+def brute(rows, most):
+    """Predictions by plain counts and sums."""
+    best = {}
+    for d, text, lang in set(rows):
+        if lang is not None and d is not None and zlib.crc32(str(d).encode()) % 4 != 2:
+            best.setdefault(lang, []).append((hashlib.md5(str(d).encode()).hexdigest(), d, text))
+    langs = sorted(best)
+    counts = {lang: Counter(w for _, _, t in sorted(best[lang], key=lambda x: x[:2])[:most] for w in words_of(t)) for lang in langs}
+    grams = lambda w, k: [w[i] for i in range(len(w))] if k == 1 else [f" {w} "[i : i + k] for i in range(len(w) + 3 - k)]
+    tables = [counts] + [{lang: Counter() for lang in langs} for _ in range(4)]
+    for lang in langs:
+        for w, n in counts[lang].items():
+            for k in range(1, 5):
+                for g in grams(w, k):
+                    tables[k][lang][g] += n
+    seen = [{x for c in t.values() for x in c if sum(o[x] for o in t.values()) >= 2} for t in tables]
+
+    def posterior(k, x):
+        p = [math.log(tables[k][lang][x] + 0.5) - math.log(sum(n for y, n in tables[k][lang].items() if y in seen[k]) + 0.5 * len(seen[k])) for lang in langs]
+        total = math.log(sum(map(math.exp, p)))
+        return [x - total for x in p]
+
+    out = []
+    for d, text, _ in rows:
+        own = words_of(text)
+        if not own or not langs:
+            out.append((d, "und", 0.0))
+            continue
+        sums = [0.0] * len(langs)
+        for w in own:
+            found = [posterior(0, w)] if w in seen[0] else next((f for k in range(4, 0, -1) if (f := [posterior(k, g) for g in grams(w, k) if g in seen[k]])), [])
+            for p in found:
+                sums = [s + x / len(found) for s, x in zip(sums, p)]
+        top = max(sums)
+        out.append((d, langs[sums.index(top)], 1 / sum(math.exp((s - top) / len(own)) for s in sums)))
+    return out
+
+
+def test_predictions_equal_brute_force(spark):
+    """Over awkward texts: letter numbers, combining marks, repeated ids of two texts, a sample smaller than the table."""
+    rows = [(i, " ".join((EN if i % 3 else DE).split()[i % 7 : i % 7 + 9]), "en" if i % 3 else "de", "a") for i in range(80)]
+    rows += [(200 + i, t, None, "a") for i, t in enumerate(["½ ² ①", "Ⅷ Ⅻ", "cafe\u0301 u\u0308ber", "\u0301 x", "Ω ΣΑΣ", "Übermüdet foxtrott", None, "", "zzz qqq", EN * 400, "日本語 텍스트"])]
+    rows += [(5, "the other text of a known id", "en", "a"), rows[6], rows[6], (None, EN, "de", "a")]
+    got = langid.identified(fx.documents(spark, rows), 12).collect()
+    want = brute([(d, t, g) for d, t, g, _ in rows], 12)
+    shown = lambda x: sorted((str(a), b, round(c, 4)) for a, b, c in x)
+    assert shown((r["doc_id"], r["lang_pred"], r["score"]) for r in got) == shown(want)
+    und = {r["doc_id"] for r in got if r["lang_pred"] == "und"}
+    assert {200, 201, 206, 207} <= und and 202 not in und and re.fullmatch(langid.word_pattern(), "u\u0308ber")
 
 
 def test_nothing_to_learn_from(spark):

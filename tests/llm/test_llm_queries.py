@@ -92,14 +92,14 @@ def shown(df):
 
 def test_pipeline_equals_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    model = langid.Model(langid.sampled(docs))
+    model = langid.learnt(docs)
     assert shown(corpus_pipeline.run(spark, DATA)) == brute_pipeline([r.asDict() for r in docs.collect()], model)
 
 
 def test_pipeline_on_awkward_and_empty_documents(spark, tmp_path):
     docs = fx.documents(spark, [r for r in fx.awkward() if r[0] is not None])
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    model = langid.Model(langid.sampled(docs))
+    model = langid.learnt(docs)
     assert shown(corpus_pipeline.run(spark, str(tmp_path))) == brute_pipeline([r.asDict() for r in docs.collect()], model)
     step = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
@@ -107,3 +107,26 @@ def test_pipeline_on_awkward_and_empty_documents(spark, tmp_path):
         assert step.columns == docs.columns
     fx.documents(spark, []).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    """The driver alone has the repository on its path; it runs elsewhere."""
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path / "kept")!r}).getOrCreate()
+from pricestrata.llm import chroma, langid, maxplus, pseudo_likelihood, secret_scan, simhash_dedup
+docs = spark.createDataFrame([(i, "some words of text number %d and more" % (i // 2), "en", "a") for i in range(20)], "doc_id long, text string, lang string, source string")
+found = [langid.identified(docs), langid.clear(docs, langid.learnt(docs), 0.1), pseudo_likelihood.scored(docs), maxplus.decoded(maxplus.encoded(docs, giant=10, chunk=8)),
+         secret_scan.scanned(docs), simhash_dedup.firsts(docs), simhash_dedup.deduplicated(docs), chroma.matched(docs, F.col("text"), F.col("rec_id") % 2 == 0)]
+print("counts", [df.count() for df in found])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "counts [20, 20, 20, 20, 20, 10, 20, 20]" in out.stdout, out.stderr[-3000:]
