@@ -2,12 +2,15 @@
 
 Every source has a target rate: how often a document of it shall occur on average. A document's
 number of copies is the inverse of the Poisson distribution of that mean at a uniform number hashed
-from its id and a seed, so any run, retried task or subset gives the same copies. Copies are dealt
-out in the order of another hash: a global shuffle that is a range-partitioned sort.
-
-Nulls: a null source is a source of its own; a null text has no bytes, a null id hashes as "null".
-Repeated rows are repeated alike. A source of no bytes, or of weight 0, goes. An empty table stays
-empty. Columns of the input other than those used are kept; the added ones replace any of their name.
+from its id, its text and a seed, so any run, retried task or subset gives the same copies. Copies are
+dealt out by another hash and sorted by it in each partition: a global shuffle. The hash is uniform, so
+no pass over the data is needed to find the partitions' bounds.
+
+Nulls: a null source is a source of its own; a null text has no bytes and hashes like an empty one.
+Rows without an id draw for themselves: their place in the table as it is read joins the hash. Rows that
+share an id draw by their texts; exact repeats of id and text are one document and are repeated alike. A
+source of no bytes, or of weight 0, goes. An empty table stays empty. Columns of the input other than
+those used are kept; the added ones replace any of their name.
 """
 
 from __future__ import annotations
@@ -22,13 +25,13 @@ SEED = 20
 TEMPERATURE = 0.5
 #: A Poisson number of a larger mean is the sum of several of equal means, which keeps exp(-mean) exact.
 MEAN = 256.0
-#: Sources that may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 50_000
+#: Numbers of the sources' distribution functions that may be broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_NUMBERS = 4_000_000
 
 
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) of 52 bits, from the md5 of parts joined by colons."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *(F.coalesce(p.cast("string"), F.lit("null")) for p in parts)).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts)).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
 def cdf(mean: Column) -> Column:
@@ -61,17 +64,25 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     return out.select("mix_source", "mix_rate", "mix_parts", cdf(F.col("mix_rate") / F.col("mix_parts")).alias("mix_cdf"))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """What a row's draws are hashed from: id and text, and for rows without an id their place."""
+    place = F.when(doc_id.isNull(), F.concat(F.lit("null "), F.monotonically_increasing_id().cast("string"))).otherwise(doc_id.cast("string"))
+    return F.md5(F.concat_ws(":", place, F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))).cast("binary"))
+
+
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
-    """Each document as often as its Poisson number says, in the order of mix_key.
+    """Each document as often as its Poisson number says, dealt out and sorted by mix_key.
 
     Adds mix_rate, mix_copies, mix_copy (from 1) and mix_key (32 hex digits).
     """
     own = docs.drop("mix_rate", "mix_copies", "mix_copy", "mix_key")
     by = kept(rates(docs, weights, temperature))
-    side = F.broadcast(by) if by.count() <= BROADCAST_ROWS else by
-    drawn = lambda j: F.size(F.filter("mix_cdf", lambda c: c <= uniform(F.col("doc_id"), F.lit(seed), j)))
+    numbers = by.agg(F.sum(F.size("mix_cdf"))).first()[0] or 0
+    side = F.broadcast(by) if numbers <= BROADCAST_NUMBERS else by
+    drawn = lambda j: F.size(F.filter("mix_cdf", lambda c: c <= uniform(F.col("mix_row"), F.lit(seed), j)))
     copies = F.when(F.col("mix_parts") == 1, drawn(F.lit(0))).otherwise(F.aggregate(F.sequence(F.lit(0), F.col("mix_parts") - 1), F.lit(0), lambda n, j: n + drawn(j)))
-    out = own.join(side, own["source"].eqNullSafe(by["mix_source"])).withColumn("mix_copies", copies).where("mix_copies > 0")
-    out = out.select(*own.columns, "mix_rate", "mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy"))
-    key = F.md5(F.concat_ws(":", F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(seed).cast("string"), F.col("mix_copy").cast("string")).cast("binary"))
-    return out.withColumn("mix_key", key).orderBy("mix_key")
+    told = own.withColumn("mix_row", row_key(F.col("doc_id"), F.col("text")))
+    out = told.join(side, told["source"].eqNullSafe(by["mix_source"])).withColumn("mix_copies", copies).where("mix_copies > 0")
+    out = out.select(*own.columns, "mix_row", "mix_rate", "mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy"))
+    key = F.md5(F.concat_ws(":", F.lit("order"), F.col("mix_row"), F.lit(seed).cast("string"), F.col("mix_copy").cast("string")).cast("binary"))
+    return out.withColumn("mix_key", key).drop("mix_row").repartition("mix_key").sortWithinPartitions("mix_key")

@@ -90,10 +90,10 @@ w AS (SELECT source, b, pow(b::DOUBLE, {poisson_mix.TEMPERATURE}) AS w FROM s),
 r AS (SELECT source, w / (SELECT sum(w::DECIMAL(38, 12))::DOUBLE FROM w) * (SELECT sum(b)::BIGINT FROM w) / b AS rate FROM w),
 t AS (SELECT source, rate, greatest(ceil(rate / {poisson_mix.MEAN}), 1)::INT AS parts, rate / greatest(ceil(rate / {poisson_mix.MEAN}), 1) AS m FROM r),
 c(source, k, p, c) AS (SELECT source, 0, exp(-m), exp(-m) FROM t UNION ALL SELECT t.source, k + 1, p * m / (k + 1), c + p * m / (k + 1) FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE k < ceil(m + 12 * sqrt(m) + 30)),
-u AS (SELECT doc_id, d.source, rate, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{poisson_mix.SEED}:' || j), 1, 13))::BIGINT / 4503599627370496.0 AS u, row_number() OVER () AS place
-  FROM (SELECT doc_id, d.source, rate, unnest(range(parts)) AS j FROM documents d JOIN t ON d.source IS NOT DISTINCT FROM t.source) d),
-n AS (SELECT doc_id, u.source, rate, count(*) FILTER (c <= u) AS n FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source GROUP BY ALL)
-SELECT doc_id, source, round(rate, 9) AS mix_rate, n::INT AS mix_copies, i::INT AS mix_copy, md5('order:' || coalesce(doc_id::VARCHAR, 'null') || ':{poisson_mix.SEED}:' || i) AS mix_key FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM n WHERE n > 0)"""
+u AS (SELECT doc_id, d.source, rate, key, ('0x' || substr(md5(key || ':{poisson_mix.SEED}:' || j), 1, 13))::BIGINT / 4503599627370496.0 AS u
+  FROM (SELECT doc_id, d.source, rate, md5(doc_id || ':' || md5(coalesce(text, ''))) AS key, unnest(range(parts)) AS j FROM documents d JOIN t ON d.source IS NOT DISTINCT FROM t.source) d),
+n AS (SELECT doc_id, u.source, rate, key, count(*) FILTER (c <= u) AS n FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source GROUP BY ALL)
+SELECT doc_id, source, round(rate, 9) AS mix_rate, n::INT AS mix_copies, i::INT AS mix_copy, md5('order:' || key || ':{poisson_mix.SEED}:' || i) AS mix_key FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM n WHERE n > 0)"""
 
 
 def oracle_sql() -> dict[str, str]:

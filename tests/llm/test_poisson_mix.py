@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 
 def u(*parts):
-    return int(hashlib.md5(":".join("null" if p is None else str(p) for p in parts).encode()).hexdigest()[:13], 16) / 2**52
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:13], 16) / 2**52
+
+
+def key(r):
+    return hashlib.md5(f"{r['doc_id']}:{hashlib.md5((r['text'] or '').encode()).hexdigest()}".encode()).hexdigest()
 
 
 def drawn(mean, at):
@@ -31,12 +35,14 @@ def test_awkward_documents_equal_brute_force(spark):
     rate = {s: w / sum(weight.values()) * sum(size[s] for s in weight) / size[s] for s, w in weight.items()}
     want = []
     for r in rows:
-        n = drawn(rate[r["source"]], u(r["doc_id"], mix.SEED, 0)) if r["source"] in rate else 0
-        want += [(r["doc_id"], r["source"], n, k, hashlib.md5(f"order:{'null' if r['doc_id'] is None else r['doc_id']}:{mix.SEED}:{k}".encode()).hexdigest()) for k in range(1, n + 1)]
+        if r["doc_id"] is not None:
+            n = drawn(rate[r["source"]], u(key(r), mix.SEED, 0)) if r["source"] in rate else 0
+            want += [(r["doc_id"], r["source"], n, k, hashlib.md5(f"order:{key(r)}:{mix.SEED}:{k}".encode()).hexdigest()) for k in range(1, n + 1)]
     out = mix.mixed(docs)
-    got = [(r["doc_id"], r["source"], r["mix_copies"], r["mix_copy"], r["mix_key"]) for r in out.collect()]
+    got = [(r["doc_id"], r["source"], r["mix_copies"], r["mix_copy"], r["mix_key"]) for r in out.collect() if r["doc_id"] is not None]
     assert sorted(map(str, got)) == sorted(map(str, want))
-    assert [g[-1] for g in got] == sorted(g[-1] for g in got)
+    for part in out.select("mix_key").rdd.glom().collect():
+        assert part == sorted(part)
     assert set(docs.columns) - {"mix_copy"} <= set(out.columns)
 
 
@@ -58,6 +64,15 @@ def test_counts_have_the_poisson_mean_and_spread(spark, mean):
     assert abs(m - mean) < 5 * (mean / 3000) ** 0.5 and abs(v / mean - 1) < 5 * (1 / (3000 * mean) + 2 / 3000) ** 0.5  # the spread of a variance
 
 
+def test_rows_without_an_id_or_of_a_shared_one_draw_for_themselves(spark):
+    docs = fx.documents(spark, [(None, "the same", "en", "a")] * 1000 + [(7, f"text {i:4}", "en", "a") for i in range(1000)] + [(i + 10, "x" * 9, "en", "b") for i in range(1000)])
+    out = mix.mixed(docs, {"a": 2.0, "b": 1.0}).cache()
+    none, shared = (out.where(c) for c in ("doc_id is null", "doc_id = 7"))
+    share = 1 - math.exp(-out.where("source = 'a'").first()["mix_rate"])
+    assert abs(none.where("mix_copy = 1").count() / 1000 - share) < 0.08 and abs(shared.select("text").distinct().count() / 1000 - share) < 0.08
+    assert out.select("mix_key").distinct().count() == out.count()
+
+
 def test_given_weights_and_empty_tables(spark):
     docs = fx.documents(spark, [(i, "word " * 20, "en", "ab"[i % 2]) for i in range(4000)])
     n = {r["source"]: r["count"] for r in mix.mixed(docs, {"a": 3.0, "b": 1.0}).groupBy("source").count().collect()}
