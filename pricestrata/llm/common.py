@@ -48,7 +48,18 @@ def kept(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that kept() wrote and nothing will read again."""
+    for df in tables:
+        if path := getattr(df, "kept_at", None):
+            sc = df.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -68,7 +79,9 @@ def components(edges: DataFrame) -> DataFrame:
         parent = both.groupBy("src").agg(F.min(order("dst")).alias("m")).select(F.col("src").alias("node"), F.least(F.col("m"), order("src"))["v"].alias("component"))
         parent = kept(parent)
         a, b = (parent.select(F.col("node").alias(c), F.col("component").alias(f"{c}_p")) for c in ("src", "dst"))
+        before = left
         left = kept(left.join(a, "src").join(b, "dst").select(F.least("src_p", "dst_p").alias("src"), F.greatest("src_p", "dst_p").alias("dst")).where("src <> dst").distinct())
+        discard(before)
         if names is None:
             names = parent
         else:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, kept
+from .common import components, discard, kept
 
 WORDS = 4
 RADIUS = 4
@@ -43,10 +43,12 @@ _BLOCK = 1 << 15
 
 #: near_copies(): words of a shingle, fingerprints of a text, and of one of FEW distinct words or fewer.
 NEAR_WORDS, PRINTS, FEW, FEW_PRINTS = 5, 4, 64, 8
-#: 64-bit words of the wide fingerprint, the share of its bits and the bits of the other fingerprint that candidates may differ in.
-WIDE, SHARE, OTHER_BITS = 8, 0.25, 20
-#: Further turns in which neighbours in a bucket are compared, in another order each, before all that is left.
-TURNS = 2
+#: 64-bit words of the wide fingerprint; the share of its bits that candidates of few shingles, and of more, may differ in; and how many of its first 64.
+WIDE, SHARES, OTHER_BITS = 8, (0.25, 0.22), 19
+#: Of a bucket's nodes each is held against so many before it; one in so many signatures comes first; and the share of bits across loose groups.
+NEAR_LAGS, FIRST, ACROSS = 2, 16, 0.235
+#: Nodes and bytes of sets of a block; two blocks are in a task's memory.
+BLOCK_NODES, BLOCK_BYTES = 2048, 16 << 20
 _CACHE = 200_000
 
 
@@ -242,6 +244,67 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * common >= 4 * (len(a) + len(b))
 
 
+def alike_pairs(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Whether each set of a is alike each of b: common elements are counted for all pairs at once, by products of incidence matrices."""
+    sizes = [np.array([len(x) for x in side]) for side in (a, b)]
+    held = [np.repeat(np.arange(len(side)), n) for side, n in zip((a, b), sizes)]
+    flat = [np.concatenate(side) for side in (a, b)]
+    shared = np.intersect1d(*flat)
+    common = np.zeros((len(a), len(b)), dtype=np.float32)
+    at = [np.searchsorted(shared, x) for x in flat]
+    there = [(i < len(shared)) & (shared[np.minimum(i, len(shared) - 1)] == x) if len(shared) else np.zeros(len(x), bool) for i, x in zip(at, flat)]
+    for first in range(0, len(shared), 4096):
+        parts = []
+        for i, row, ok, side in zip(at, held, there, (a, b)):
+            here = ok & (i >= first) & (i < first + 4096)
+            m = np.zeros((len(side), 4096), dtype=np.float32)
+            m[row[here], i[here] - first] = 1
+            parts.append(m)
+        common += parts[0] @ parts[1].T
+    return 9 * common >= 4 * (sizes[0][:, None] + sizes[1][None, :])
+
+
+def joined(alike: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For a matrix of which rows are alike which columns: for each row and each column a row of its component, or -1."""
+    rows, none = np.arange(alike.shape[0]), alike.shape[0]
+    row, column = rows, np.full(alike.shape[1], none)
+    while True:
+        column = np.where(alike, row[:, None], none).min(axis=0, initial=none)
+        least = np.minimum(row, np.where(alike, column[None, :], none).min(axis=1, initial=none))
+        if (least == row).all():
+            return np.where(alike.any(axis=1), row, -1), np.where(column < none, column, -1)
+        row = least
+
+
+def verified_groups(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (src, dst) that join all nodes of a loose group in members (node, loose) whose sets (node, shingles) are alike.
+
+    Groups are cut into blocks of nodes and of bytes, and every two blocks are compared in a task's
+    memory, so a group of any size is many bounded tasks; each emits one link a node at most.
+    """
+    rows = members.join(sets, "node")
+    cut = F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES)).cast("int")
+    rows = rows.join(rows.groupBy("loose").agg(cut.alias("blocks")), "loose")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("loose", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "shingles")
+
+    def run(group: pa.Table) -> pa.Table:
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        block, node = group.column("block").to_numpy(), group.column("node").to_numpy()
+        own = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+        one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(one) and len(two):
+            for side, to in zip((one, two), joined(alike_pairs([own[k] for k in one], [own[k] for k in two]))):
+                src.append(node[side[to >= 0]])
+                dst.append(node[one[to[to >= 0]]])
+        src, dst = np.concatenate(src), np.concatenate(dst)
+        keep = src != dst
+        return pa.table({"src": np.minimum(src, dst)[keep], "dst": np.maximum(src, dst)[keep]})
+
+    return rows.groupBy("loose", "i", "j").applyInArrow(run, "src long, dst long").distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (src, dst) of nodes whose sets (node, shingles) are alike."""
     both = pairs.join(sets.toDF("src", "a"), "src").join(sets.toDF("dst", "b"), "dst")
@@ -258,51 +321,85 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, component): documents of one component are near copies, directly or through others.
 
     Equal texts are one node, named by 64 bits of its digest. Candidates share a deletion-variant
-    signature of a fingerprint of their distinct words, and differ in few bits of another one and of the
-    wide one; those whose shingle sets are alike link. In a bucket each node is first held against the
-    LAGS before it: all pairs of a small bucket. In larger ones TURNS more orders join what they can,
-    and then every pair across what are still different components is tested.
+    signature of a fingerprint of their distinct words, and differ in few bits of the wide fingerprint of
+    their shingles (its first word goes with the signature); those whose shingle sets are alike link.
+    A few signatures of every node come first and join most of a large group. Then all pairs of a small
+    bucket are tested, and in larger ones each node with the one before it. What the wide fingerprint
+    lets pass so far makes loose groups, of texts alike and almost alike. Where one holds
+    several components, every two of its nodes are compared, in blocks; in larger buckets every two of
+    different loose groups are, by a join.
     """
     own = kept(sketches(docs))
     texts = kept(own.groupBy("node").agg(F.min("text_key").alias("text_key"), *(F.any_value(n).alias(n) for n in ("prints", "wide", "size"))))
     segments, chosen = cuts(texts.count())
     by = Window.partitionBy("key")
-    # Beside the key of one fingerprint goes another one, by which most strangers are told at once; 32 bits of a key keep shuffles small.
-    each = texts.select("node", "prints", F.posexplode("prints").alias("i", "fp")).withColumn("other", F.get("prints", F.when(F.col("i") == 0, 1).otherwise(0)))
-    keyed = dealt(each.select("node", "i", "fp", "other")).select("node", "other", F.explode(signatures(F.col("fp"), segments, chosen, F.col("i"))).alias("key")).withColumn("key", F.shiftright("key", 32).cast("int"))
-    held = kept(keyed.withColumn("n", F.count("*").over(by)).where("n > 1"))
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= OTHER_BITS
     pair = lambda a, b: (F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
+    each = dealt(texts.select("node", F.element_at("wide", 1).alias("other"), F.posexplode("prints").alias("i", "fp")))
+    keyed = each.select("node", "other", F.explode(signatures(F.col("fp"), segments, chosen, F.col("i"))).alias("key")).withColumn("key", F.shiftright("key", 32).cast("int"))
 
-    def tested(pairs: DataFrame) -> DataFrame:
-        """Those of the distinct pairs that link."""
-        side = lambda c: texts.select(F.col("node").alias(c), F.struct("wide", "size").alias(f"{c}_t"))
-        differ = F.aggregate(F.zip_with("src_t.wide", "dst_t.wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        sizes = 5 * F.least("src_t.size", "dst_t.size") >= 4 * F.greatest("src_t.size", "dst_t.size")  # what 0.8 implies
-        some = kept(pairs.join(side("src"), "src").join(side("dst"), "dst").where(sizes & (differ <= int(64 * WIDE * SHARE))).select("src", "dst"))
-        nodes = some.select(F.col("src").alias("node")).unionAll(some.select(F.col("dst").alias("node"))).distinct()
+    def preceded(rows: DataFrame, order: list, lags: int) -> DataFrame:
+        """rows with before: the nodes among the lags before each in its bucket that may be near it."""
+        before = F.array(*(F.lag(F.struct("node", "other"), i).over(by.orderBy(*order)) for i in range(1, lags + 1)))
+        fit = F.filter(before, lambda x: x.isNotNull() & near(x["other"], F.col("other")))
+        return rows.withColumn("before", F.transform(fit, lambda x: x["node"]))
+
+    def pairs_of(rows: DataFrame) -> DataFrame:
+        return rows.select("node", F.explode("before").alias("x")).select(*pair(F.col("x"), F.col("node"))).distinct()
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
         keys = texts.join(nodes, "node", "left_semi").select("text_key")
         named = docs.select(text_key(F.col("text")).alias("text_key"), "text").join(keys, "text_key", "left_semi")
-        return kept(verified(some, kept(shingle_sets(named).dropDuplicates(["node"]))))
-
-    left, links, named = held.withColumn("component", F.col("node")), None, None
-    for turn in range(1 + TURNS):
-        order = ["node"] if turn == 0 else [F.xxhash64(F.lit(turn), "key", "node"), "node"]
-        before = F.array(*(F.lag(F.struct("node", "component", "other"), i).over(by.orderBy(*order)) for i in range(1, LAGS + 1)))
-        fit = lambda x: x.isNotNull() & (x["component"] != F.col("component")) & near(x["other"], F.col("other"))
-        found = tested(kept(left.withColumn("before", before).select("node", F.explode(F.filter("before", fit)).alias("x")).select(*pair(F.col("x.node"), F.col("node"))).distinct()))
-        links = found if links is None else links.unionAll(found)
+        return kept(shingle_sets(named).dropDuplicates(["node"]))
+
+    def tested(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Those of the distinct pairs that the wide fingerprint lets pass, and those that link."""
+        side = lambda c: texts.select(F.col("node").alias(c), F.struct("wide", "size").alias(f"{c}_t"))
+        differ = F.aggregate(F.zip_with("src_t.wide", "dst_t.wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        least, most = F.least("src_t.size", "dst_t.size"), F.greatest("src_t.size", "dst_t.size")
+        share = F.when(least < FEW, SHARES[0]).otherwise(SHARES[1])
+        fit = (5 * least >= 4 * most) & (differ <= 64 * WIDE * share)  # 0.8 implies the sizes
+        some = kept(pairs.join(side("src"), "src").join(side("dst"), "dst").where(fit).select("src", "dst"))
+        sets = sets_of(some.select(F.col("src").alias("node")).unionAll(some.select(F.col("dst").alias("node"))).distinct())
+        out = kept(verified(some, sets))
+        discard(sets)
+        return some, out
+
+    def apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
+        """The pairs whose nodes are of different components."""
+        of = lambda c: named.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
+        both = pairs.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+        return both.where(F.coalesce("src_c", "src") != F.coalesce("dst_c", "dst")).select("src", "dst")
+
+    many = F.col("n") > NEAR_LAGS + 1
+    held = preceded(keyed.withColumn("n", F.count("*").over(by)), ["node"], NEAR_LAGS)
+    held = held.withColumn("before", F.when(many, F.slice("before", 1, 1)).otherwise(F.col("before")))
+    held = kept(held.where(many | (F.size("before") > 0)))
+    some, links = tested(kept(pairs_of(held.where(F.col("key") % FIRST == 0))))
+    named = kept(components(links))
+    more, found = tested(kept(apart(pairs_of(held), named)))
+    some, links = some.unionAll(more), links.unionAll(found)
+    named = kept(components(links))
+    loose = kept(components(some).withColumnRenamed("component", "loose"))
+    both = loose.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = both.groupBy("loose").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
+    members = kept(both.join(several, "loose", "left_semi").select("node", "loose"))
+    if not members.isEmpty():
+        links = links.unionAll(kept(verified_groups(members, sets_of(members.select("node")))))
         named = kept(components(links))
-        left = held.where(F.col("n") > LAGS + 1).join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        left = kept(left.withColumn("a", F.min("component").over(by)).withColumn("b", F.max("component").over(by)).where("a <> b").drop("a", "b"))
-        if left.isEmpty():
-            break
-    a, b = (left.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "component", "other"))) for side in "ab")
-    met = (a["key"] == b["key"]) & (F.col("a_component") < F.col("b_component")) & near(F.col("a_other"), F.col("b_other"))
-    across = kept(a.join(b, met).select(*pair(F.col("a_node"), F.col("b_node"))).distinct())
+    # Across loose groups, in larger buckets.
+    told = texts.select("node", "wide").join(loose, "node", "left").withColumn("loose", F.coalesce("loose", "node"))
+    left = held.where(many).select("node", "key").join(told, "node")
+    left = kept(left.withColumn("a", F.min("loose").over(by)).withColumn("b", F.max("loose").over(by)).where("a <> b").drop("a", "b"))
+    a, b = (left.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "loose", "wide"))) for side in "ab")
+    differ = sum((F.bit_count(F.col("a_wide")[i].bitwiseXOR(F.col("b_wide")[i])) for i in range(WIDE)), F.lit(0))
+    met = (a["key"] == b["key"]) & (F.col("a_loose") < F.col("b_loose")) & (differ <= int(64 * WIDE * ACROSS))
+    across = kept(apart(a.join(b, met).select(*pair(F.col("a_node"), F.col("b_node"))).distinct(), named))
     if not across.isEmpty():
-        named = kept(components(links.unionAll(tested(across))))
-    return own.select("doc_id", "text_key", "node").join(named, "node", "left").select("doc_id", "text_key", F.coalesce("component", "node").alias("component"))
+        named = kept(components(links.unionAll(tested(across)[1])))
+    out = kept(own.select("doc_id", "text_key", "node").join(named, "node", "left").select("doc_id", "text_key", F.coalesce("component", "node").alias("component")))
+    discard(own, texts, held, left, members, across, named, loose)
+    return out
 
 
 def firsts(docs: DataFrame) -> DataFrame:
