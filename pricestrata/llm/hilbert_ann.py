@@ -1,19 +1,26 @@
 """Nearest neighbours by inner product, through shifted Hilbert orderings of projected vectors.
 
-Each of ORDERS orderings projects the vectors on DIMS random directions, shifts and squashes them
-into a grid, and sorts all rows by their place on the grid's Hilbert curve. The sorted rows are cut
-into key ranges (windows) of about ROWS rows. A query visits the window of its own key and as many
-neighbouring windows as hold the share REACH of all rows; exact inner products rerank each window,
-and the best of all orderings merge. The k-th best score of the home windows is a bound: neighbouring
-windows send back only what reaches it. For inner products a further coordinate brings all vectors to
-one length; a query has 0 there, so its nearest vector is the one of the largest product.
-
-REACH is large because the vectors at hand are close to isotropic: twenty neighbours at cosines of
-0.4 to 0.5 in 64 dimensions share little of any few projections. `recall()` measures what a setting
-finds against all products; see the README for figures. A corpus with real structure needs less.
-
-Rows whose vector is null, zero or holds a null or a non-finite component take no part. Ties go to
-the smaller vec_id. Of rows of one vec_id the smallest vector counts. An empty table gives an empty result.
+Each of ORDERS orderings projects the vectors on DIMS random directions, shifts and squashes them into a
+grid, and sorts all rows by their place on the grid's Hilbert curve: a range partitioning in Spark. The
+sorted rows are cut into windows of equal numbers of rows. A query visits the window of its own key and
+as many neighbouring ones as hold a share of the rows; exact inner products rerank each window, and the
+best of all orderings merge. The k-th best score of the home windows is a bound: neighbouring windows
+send back only what reaches it.
+
+For inner products rows are ordered in bands of norms, a factor of two each; a further coordinate brings
+a band's vectors to the length of its longest. Queries have unit length and 0 there, so their nearest vector is the one
+of the largest product. Long vectors thus don't squeeze others into a corner; every band is searched.
+
+The share of rows that a query is held against over all orderings is SHARE at 500 rows of a band and
+falls with the rows to the power FALL: the more rows, the nearer the nearest. It is large because the
+vectors at hand are isotropic: twenty neighbours at cosines of 0.4 to 0.5 in 64 dimensions share little of
+any few projections. The README has recall and products; a corpus with real structure needs less.
+
+Rows whose vector is null, zero or holds a null or a non-finite component take no part, nor do those of
+another length than most (of equally many, the greater). Ties go to the smaller vec_id. Of rows of one
+vec_id the smallest vector counts. Equal vectors ask once, and of equal vectors only those of the
+smallest k + 1 ids are candidates, as no others can be among anyone's nearest k. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -28,11 +35,15 @@ from pyspark.sql import functions as F
 from .common import kept
 
 K = 20
-ORDERS = 6
-DIMS = 3
-BITS = 10
-ROWS = 2048
-REACH = 0.25
+ORDERS = 16
+DIMS = 6
+BITS = 5
+#: A query is held against SHARE * (500 / rows) ** FALL of a band's rows, over all orderings.
+SHARE, FALL = 1.6, 0.17
+#: Windows on each side of a query's own, unless those would hold more than ROWS rows: then there are more of them.
+HALO, ROWS = 2, 2048
+#: Norms below 2 ** -LAST_BAND of the longest are one band.
+LAST_BAND = 20
 SEED = 7
 
 
@@ -101,76 +112,109 @@ def best(queries: np.ndarray, query_ids: np.ndarray, least: np.ndarray, rows: np
     """(query id, ids, scores) of the k nearest of rows that score least or more; equal rows score equal to the last bit."""
     for i in range(0, len(queries), 256):
         rough = queries[i : i + 256] @ rows.T
-        rough[query_ids[i : i + 256, None] == ids] = -np.inf
         for j, line in enumerate(rough):
-            n = min(k, int((line > -np.inf).sum()))
-            if not n:
-                continue
+            n = min(k, len(line))
             bound = max(np.partition(line, len(line) - n)[len(line) - n], least[i + j])
-            at = np.flatnonzero((line >= bound - 1e-9 * max(1.0, abs(bound))) & (line > -np.inf))
+            at = np.flatnonzero(line >= bound - 1e-9 * max(1.0, abs(bound)))
             exact = (rows[at] * queries[i + j]).sum(axis=1)
             first = np.lexsort((ids[at], -exact))[:n]
             first = first[exact[first] >= least[i + j]]
             yield query_ids[i + j], ids[at[first]], exact[first]
 
 
-def neighbours(vectors: DataFrame, is_query: Column, k: int = K, orders: int = ORDERS, reach: float = REACH, rows: int = ROWS) -> DataFrame:
+def windows_of(rows: int, orders: int) -> tuple[int, int]:
+    """(rows of a window, windows on each side of its own that a query visits) of a band of so many rows."""
+    share = min(1.0, SHARE * (500 / max(rows, 1)) ** FALL / orders)
+    size = min(ROWS, max(1, -(-int(share * rows) // (2 * HALO + 1))))
+    return size, max(HALO, round((share * rows / size - 1) / 2))
+
+
+def neighbours(vectors: DataFrame, is_query: Column, k: int = K, orders: int = ORDERS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query (rows for which is_query holds)."""
     spark = vectors.sparkSession
-    own = usable(vectors).groupBy("vec_id").agg(F.min("v").alias("v"))
-    own = kept(own.withColumn("n2", norm2(F.col("v"))).withColumn("width", F.size("v")).withColumn("query", is_query))
-    kind = dict(own.dtypes)["v"]
-    seen = own.agg(F.count("*").alias("n"), F.max("n2").alias("m"), F.max("width").alias("w"), F.min("width").alias("least")).first()
+    own = usable(vectors).withColumn("width", F.size("v"))
+    widths = own.groupBy("width").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("width")).limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
-    if not seen["n"]:
+    if not widths:
         return spark.createDataFrame([], schema)
-    if seen["w"] != seen["least"]:
-        raise ValueError(f"vectors of {seen['least']} and {seen['w']} components")
-    longest, width = float(seen["m"]) ** 0.5, seen["w"]
-    windows = max(1, round(seen["n"] / rows))
-    halo = int(np.ceil(reach * windows / 2))
+    width = widths[0]["width"]
+    own = own.where(F.col("width") == width).groupBy("vec_id").agg(F.min("v").alias("v"))
+    own = kept(own.withColumn("n2", norm2(F.col("v"))).withColumn("query", is_query))
+    kind = dict(own.dtypes)["v"]
+    longest = float(own.agg(F.max("n2")).first()[0]) ** 0.5
     planes = frames(width + 1, orders)
 
-    # Of equal vectors only the k + 1 of the smallest ids can be anyone's k nearest, so no key is hot.
     order = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    told = own.withColumn("order", order).where(F.col("order") <= k + 1).select("vec_id", "v", F.lit(False).alias("asks"))
-    told = told.unionAll(own.where("query").select("vec_id", "v", F.lit(True).alias("asks")))
+    band = F.least(F.floor(F.log2(longest / F.sqrt("n2")) + 1e-12), F.lit(LAST_BAND)).cast("int")
+    told = own.withColumn("order", order).where(F.col("order") <= k + 1).select("vec_id", "v", "n2", F.greatest(band, F.lit(0)).alias("band"), F.lit(False).alias("asks"))
+    told = kept(told)
+    bands = {r["band"]: (r["n"], float(r["m"]) ** 0.5) for r in told.groupBy("band").agg(F.count("*").alias("n"), F.max("n2").alias("m")).collect()}
+    rows_of = {b: n for b, (n, _) in bands.items()}
+    lengths = np.array([bands[b][1] if b in bands else 1.0 for b in range(max(bands) + 1)])
+    asked = kept(own.where("query").groupBy("v").agg(F.min("vec_id").alias("asker")))
+    queries = asked.select(F.col("asker").alias("vec_id"), "v", norm2(F.col("v")).alias("n2"), F.explode(F.array(*map(F.lit, sorted(rows_of)))).alias("band"), F.lit(True).alias("asks"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            v = _matrix(b.column(1)) / longest
-            asks = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            n2, band = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            asks = b.column(4).to_numpy(zero_copy_only=False).astype(bool)
+            v = _matrix(b.column(1)) / np.where(asks, np.sqrt(n2), lengths[band])[:, None]
             v = np.column_stack((v, np.where(asks, 0, np.sqrt(np.clip(1 - (v * v).sum(axis=1), 0, None)))))
             for o, plane in enumerate(planes):
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(len(v), o, np.int32)), pa.array(keys(v, plane)), b.column(2)], names=["vec_id", "v", "ordering", "key", "asks"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((band * orders + o).astype(np.int32)), pa.array(keys(v, plane)), b.column(4)], names=["vec_id", "v", "ordering", "key", "asks"])
 
-    placed = kept(told.mapInArrow(place, f"vec_id long, v {kind}, ordering int, key long, asks boolean"))
-    # The bounds of the windows: one row of (windows - 1) keys for each ordering.
-    steps = [i / windows for i in range(1, windows)] or [0.5]
-    bounds = {r["ordering"]: np.array(r["at"]) for r in placed.where(~F.col("asks")).groupBy("ordering").agg(F.percentile_approx("key", steps, 100_000).alias("at")).collect()}
-    if windows == 1:
-        bounds = {o: np.array([], dtype=np.int64) for o in bounds}
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The place of each row among its partition's rows of its ordering; a query's is that of the next row."""
+        from pyspark import TaskContext
 
+        part, seen = TaskContext.get().partitionId(), {}
+        for b in batches:
+            group, asks = b.column(2).to_numpy(), b.column(4).to_numpy(zero_copy_only=False).astype(bool)
+            place = np.zeros(len(group), dtype=np.int64)
+            for g in np.unique(group):
+                at = np.flatnonzero(group == g)
+                count = np.cumsum(~asks[at])
+                place[at] = seen.get(int(g), 0) + count - ~asks[at]
+                seen[int(g)] = seen.get(int(g), 0) + int(count[-1])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(4), pa.array(np.full(len(group), part, np.int32)), pa.array(place)], names=["vec_id", "v", "ordering", "asks", "part", "place"])
+
+    placed = kept(told.unionAll(queries).mapInArrow(place, f"vec_id long, v {kind}, ordering int, key long, asks boolean"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = placed.repartitionByRange(parts, "ordering", "key", "vec_id").sortWithinPartitions("ordering", "key", "vec_id")
+    numbered = kept(ranged.mapInArrow(number, f"vec_id long, v {kind}, ordering int, asks boolean, part int, place long"))
+    # How many rows of each ordering stand in earlier partitions: as many numbers as partitions and orderings.
+    counts = numbered.where(~F.col("asks")).groupBy("ordering", "part").agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("ordering").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = {(r["ordering"], r["part"]): r["upto"] for r in counts.withColumn("upto", earlier).collect()}
+
+    def offset(group: int, part: int) -> int:
+        return max((n for (g, p), n in before.items() if g == group and p < part), default=0)
+
+    offsets = {(g, p): offset(g, p) for g in range(orders * (max(rows_of) + 1)) for p in range(parts) if g // orders in rows_of}
+    cut = {b: windows_of(n, orders) for b, n in rows_of.items()}
     sent_as = f"vec_id long, v {kind}, ordering int, window long, asks boolean, least double"
 
-    def send(steps: list[int]):
-        """Rows to their own window, and queries to those at these steps from it."""
+    def send(home: bool):
+        """Rows to their own window, and queries to their own one or to its neighbours."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                order, key, asks = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
-                asks = asks.astype(bool)
-                home = np.zeros(len(key), dtype=np.int64)
-                for o in np.unique(order):
-                    home[order == o] = np.searchsorted(bounds[o], key[order == o], side="left")
-                for d in sorted({0, *steps}):
-                    to = home + d
-                    at = np.flatnonzero(((asks & (d in steps)) | (~asks & (d == 0))) & (to >= 0) & (to < windows))
+                group, part, place = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 4, 5))
+                asks = b.column(3).to_numpy(zero_copy_only=False).astype(bool)
+                window, halo, last = (np.zeros(len(group), dtype=np.int64) for _ in range(3))
+                for g, p in set(zip(group.tolist(), part.tolist())):
+                    at = (group == g) & (part == p)
+                    size, halo[at] = cut[g // orders]
+                    last[at] = (rows_of[g // orders] - 1) // size
+                    window[at] = np.minimum((place[at] + offsets[g, p]) // size, last[at])
+                for d in range(-halo.max(initial=0), halo.max(initial=0) + 1):
+                    goes = (d == 0) & (~asks | home) | asks & (not home) & (d != 0) & (abs(d) <= halo)
+                    at = np.flatnonzero(goes & (window + d >= 0) & (window + d <= last))
                     if len(at):
                         some = b.take(pa.array(at))
-                        yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.array(to[at]), some.column(4), some.column(5)], names=["vec_id", "v", "ordering", "window", "asks", "least"])
+                        yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.array(window[at] + d), some.column(3), some.column(6)], names=["vec_id", "v", "ordering", "window", "asks", "least"])
 
         return run
 
@@ -182,21 +226,21 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = K, orders: int = O
         if asks.any() and not asks.all():
             v = _matrix(group.column("v").chunk(0))
             least = group.column("least").to_numpy()[asks]
-            found = list(best(v[asks], ids[asks], np.where(np.isnan(least), -np.inf, least), v[~asks], ids[~asks], k))
+            found = list(best(v[asks], ids[asks], np.where(np.isnan(least), -np.inf, least), v[~asks], ids[~asks], k + 1))
         flat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
         query = np.repeat(np.array([q for q, _, _ in found], np.int64), [len(i) for _, i, _ in found])
-        return pa.table({"query_id": query, "vec_id": flat([i for _, i, _ in found], np.int64), "score": flat([s for _, _, s in found], np.float64)})
-
-    def searched(rows: DataFrame, steps: list[int]) -> DataFrame:
-        return rows.mapInArrow(send(steps), sent_as).groupBy("ordering", "window").applyInArrow(rerank, "query_id long, vec_id long, score double")
-
-    found = kept(searched(placed.withColumn("least", F.lit(None).cast("double")), [0]).distinct())
-    if halo and windows > 1:
-        order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        least = found.withColumn("order", order).where(F.col("order") <= k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
-        queries = placed.where("asks").join(least.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").select("vec_id", "v", "ordering", "key", "asks", "least")
-        rows_of = placed.where(~F.col("asks")).withColumn("least", F.lit(None).cast("double"))
-        more = searched(queries.unionAll(rows_of), [d for d in range(-halo, halo + 1) if d])
-        found = found.unionAll(more).distinct()
+        return pa.table({"asker": query, "vec_id": flat([i for _, i, _ in found], np.int64), "score": flat([s for _, _, s in found], np.float64)})
+
+    def searched(rows: DataFrame, home: bool) -> DataFrame:
+        return rows.mapInArrow(send(home), sent_as).groupBy("ordering", "window").applyInArrow(rerank, "asker long, vec_id long, score double")
+
+    found = kept(searched(numbered.withColumn("least", F.lit(None).cast("double")), True).distinct())
+    order = F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id"))
+    least = found.withColumn("order", order).where(F.col("order") <= k + 1).groupBy("asker").agg(F.when(F.count("*") == k + 1, F.min("score")).alias("least"))
+    again = numbered.where("asks").join(least.withColumnRenamed("asker", "vec_id"), "vec_id", "left").select(*numbered.columns, "least")
+    found = found.unionAll(searched(again.unionAll(numbered.where(~F.col("asks")).withColumn("least", F.lit(None).cast("double"))), False)).distinct()
+    found = found.withColumn("order", order).where(F.col("order") <= k + 1).select("asker", "vec_id", "score")
+    each = own.where("query").select(F.col("vec_id").alias("query_id"), "v").join(asked, "v").select("query_id", "asker")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = each.join(found, "asker").where("vec_id <> query_id").withColumn("rank", rank).where(F.col("rank") <= k)
+    return out.select("query_id", "rank", "vec_id", "score")
