@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .numeric import decimal_number
-from .text import null_if, strip, url_key
+from .text import clean_part_name, null_if, strip, url_key
 
 # The patterns of the site's texts, in the order in which they are tried.
 QUALITY = [
@@ -85,32 +85,57 @@ def years(text: Column) -> Column:
     return F.when(one(1) != "", F.concat(one(1), F.lit("-"), one(2)))
 
 
-def oem_number(text: Column) -> Column:
-    def one(p: str) -> Column:
-        c = F.regexp_replace(F.upper(found(text, p)), r"(?U)[^\w\-/]", "")
+def first_oem(*matches: Column) -> Column:
+    """The first of OEM's matches that is fine."""
+
+    def one(match: Column) -> Column:
+        c = F.regexp_replace(F.upper(match), r"(?U)[^\w\-/]", "")
         return F.when(F.length(c).between(6, 20), c)
 
-    return F.coalesce(*map(one, OEM))
+    return F.coalesce(*map(one, matches))
 
 
-def engine_code(text: Column) -> Column:
-    def one(p: str) -> Column:
-        c = strip(found(text, p))
+def first_engine(*matches: Column) -> Column:
+    """The first of ENGINE's matches that is fine."""
+
+    def one(match: Column) -> Column:
+        c = strip(match)
         fine = F.length(c).between(3, 8) & c.rlike("[A-Za-z]") & c.rlike("[0-9]") & ~c.rlike("^(19|20)")
         return F.when(fine, F.upper(F.replace(c, F.lit("-"), F.lit(""))))
 
-    return F.coalesce(*map(one, ENGINE))
+    return F.coalesce(*map(one, matches))
+
+
+def oem_number(text: Column) -> Column:
+    return first_oem(*(found(text, p) for p in OEM))
+
+
+def engine_code(text: Column) -> Column:
+    return first_engine(*(found(text, p) for p in ENGINE))
 
 
 def mileage(text: Column) -> Column:
     return F.coalesce(*(null_if(F.regexp_replace(found(text, p), r"[^\d]", ""), "").try_cast("bigint") for p in MILEAGE))
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) with the fields of each; pages that were refused have none."""
-    text = page_text(F.col("html"))
+def parsed(pages: DataFrame, brand: Column | None = None, model: Column | None = None) -> DataFrame:
+    """pages (page_id, url, html) with the fields of each; pages that were refused have none.
+
+    A part's name is cleaned of brand and model where these are given (columns of pages, or literals).
+    The page's text, and then every pattern's match, are columns of projections of their own, so each is
+    worked out once a page.
+    """
     refused = F.coalesce(F.col("html").rlike(r"(?is)<title[^>]*>\s*403"), F.lit(False)) | (F.coalesce(strip(F.col("html")), F.lit("")) == "")
-    return pages.where(~refused).select("page_id", "url", part_name(F.col("html")).alias("part_name"), price(F.col("html")).alias("price"), quality(text).alias("quality_grade"), years(text).alias("year"), oem_number(text).alias("oem_number"), engine_code(text).alias("engine_code"), mileage(text).alias("mileage"))
+    none = F.lit(None).cast("string")
+    own = pages.where(~refused).select(
+        "page_id", "url", price(F.col("html")).alias("price"), page_text(F.col("html")).alias("text"),
+        part_name(F.col("html")).alias("name"), (none if brand is None else brand).alias("brand"), (none if model is None else model).alias("model"))
+    oem, engine = ([found(F.col("text"), p).alias(f"{kind}_{i}") for i, p in enumerate(patterns)] for kind, patterns in (("oem", OEM), ("engine", ENGINE)))
+    text = F.col("text")
+    own = own.select("page_id", "url", "price", "name", "brand", "model", quality(text).alias("quality_grade"), years(text).alias("year"), mileage(text).alias("mileage"), *oem, *engine)
+    cleaned = F.when(F.coalesce("brand", "model").isNull(), F.col("name")).otherwise(clean_part_name(F.col("name"), F.col("brand"), F.col("model")))
+    at = lambda kind, patterns: [F.col(f"{kind}_{i}") for i in range(len(patterns))]
+    return own.select("page_id", "url", cleaned.alias("part_name"), "price", "quality_grade", "year", first_oem(*at("oem", OEM)).alias("oem_number"), first_engine(*at("engine", ENGINE)).alias("engine_code"), "mileage")
 
 
 def links(pages: DataFrame) -> DataFrame:

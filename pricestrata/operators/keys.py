@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,14 +23,17 @@ def longest_prefix(df: DataFrame, label: str, aliases: DataFrame) -> DataFrame:
     candidates are few and no pattern is tried on every row. Unresolved labels are models of no brand.
     """
     first = lambda c: F.get(F.split(F.col(c), "[ -]"), F.lit(0))
-    own = df.withColumn("__row", F.struct(*df.columns)).withColumn("__first", first(label)).select("__row", "__first", F.col(label).alias("__label")).distinct()
+    plain = lambda c: F.concat(F.regexp_replace(c, "[ -]+", " "), F.lit(" "))
+    own = df.select(F.col(label).alias("__label")).distinct().withColumn("__first", first("__label"))
     names = aliases.select("alias", F.col("brand").alias("__brand"), first("alias").alias("__first"))
-    plain = lambda c: F.regexp_replace(c, "[ -]+", " ")
-    hit = own.join(names, "__first", "left").withColumn("__hit", F.coalesce(F.startswith(F.concat(plain(F.col("__label")), F.lit(" ")), F.concat(plain(F.col("alias")), F.lit(" "))), F.lit(False)))
-    best = hit.groupBy("__row", "__label").agg(F.max(F.when(F.col("__hit"), F.struct(F.length("alias").alias("n"), "alias", "__brand"))).alias("b"))
+    hit = F.coalesce(F.startswith(plain("__label"), plain("alias")), F.lit(False))
+    longest = F.max(F.when(hit, F.struct(F.length("alias").alias("n"), "alias", "__brand"))).alias("b")
+    best = own.join(names, "__first", "left").groupBy("__label").agg(longest)
     rest = null_if(F.btrim(F.substring(F.col("__label"), F.col("b.n") + 1, F.length("__label")), F.lit(" -")), "")
-    found = best.select("__row", F.col("b.__brand").alias("brand"), F.when(F.col("b").isNull(), F.col("__label")).otherwise(rest).alias("model"))
-    return found.select(*(F.col(f"__row.{c}").alias(c) for c in df.columns if c not in ("brand", "model")), "brand", "model")
+    found = best.select("__label", F.col("b.__brand").alias("brand"), F.when(F.col("b").isNull(), F.col("__label")).otherwise(rest).alias("model"))
+    kept = df.withColumn("__own", F.col(label)).drop("brand", "model")
+    out = kept.join(found, F.col("__own").eqNullSafe(F.col("__label")), "left")
+    return out.select(*(c for c in df.columns if c not in ("brand", "model")), "brand", "model")
 
 
 def looks_like_taxonomy(df: DataFrame, model: str, category: str, subcategory: str) -> DataFrame:
@@ -75,7 +80,7 @@ def median_lookup(train: DataFrame, rows: DataFrame, keys: list[str], target: st
     by = train.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.median(target).alias("__median"))
     whole = train.agg(F.median(target)).first()[0]
     on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    joined = rows.join(by, on[0] if len(on) == 1 else on[0] & on[1] if len(on) == 2 else on[0] & on[1] & on[2], "left")
+    joined = rows.join(by, reduce(lambda a, b: a & b, on), "left")
     return joined.withColumn("predicted", F.coalesce("__median", F.lit(whole))).drop("__median", *(f"__{k}" for k in keys))
 
 

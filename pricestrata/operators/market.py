@@ -22,24 +22,30 @@ def comparable_range(queries: DataFrame, reference: DataFrame, levels: tuple[tup
 
     Levels are tried from narrow to broad, blank inputs left out; the first with ENOUGH rows holds. Its
     NEAREST rows by mileage (by order, without a mileage) give the 10th and 90th percentile, widened
-    around the prediction. Each level is an equi-join, so hot keys split and nothing is crossed.
+    around the prediction. Keys with ENOUGH rows are counted first, so a query meets the rows of the one
+    level that it takes, and never those of a broader key.
     """
     text = lambda c: F.lower(F.trim(F.col(c).cast("string")))
     ref = reference.where("price is not null")
-    parts = []
+    names = [[f"__{k}" for k in keys] for keys in levels]
+    asked, rows, able = [], [], None
     for i, keys in enumerate(levels):
-        asked = queries
+        a = queries
         for k in keys:
-            asked = asked.where(F.coalesce(text(k), F.lit("")) != "")
-        a = asked.select("query_id", F.col("mileage").alias("__m"), *(text(k).alias(f"__{k}") for k in keys))
-        b = ref.select(order, "price", F.col("mileage").alias("__rm"), *(text(k).alias(f"__{k}") for k in keys))
-        parts.append(a.join(b, [f"__{k}" for k in keys]).select("query_id", F.lit(i).alias("level"), order, "price", F.abs(F.col("__m") - F.col("__rm")).alias("away")))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionAll(p)
-    level = found.groupBy("query_id", "level").agg(F.count("*").alias("n")).where(F.col("n") >= ENOUGH).groupBy("query_id").agg(F.min("level").alias("level"))
+            a = a.where(F.coalesce(text(k), F.lit("")) != "")
+        asked.append(a.select("query_id", F.col("mileage").alias("__m"), *(text(k).alias(f"__{k}") for k in keys)))
+        rows.append(ref.select(order, "price", F.col("mileage").alias("__rm"), *(text(k).alias(f"__{k}") for k in keys)))
+        enough = rows[i].groupBy(*names[i]).agg(F.count("*").alias("n")).where(F.col("n") >= ENOUGH)
+        found = asked[i].join(enough, names[i]).select("query_id", F.lit(i).alias("level"))
+        able = found if able is None else able.unionAll(found)
+    level = able.groupBy("query_id").agg(F.min("level").alias("level"))
+    near = None
+    for i in range(len(levels)):
+        own = asked[i].join(level.where(F.col("level") == i), "query_id").join(rows[i], names[i])
+        own = own.select("query_id", "level", order, "price", F.abs(F.col("__m") - F.col("__rm")).alias("away"))
+        near = own if near is None else near.unionAll(own)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.asc_nulls_last("away"), order))
-    near = found.join(level, ["query_id", "level"]).withColumn("place", place).where(F.col("place") <= NEAREST)
+    near = near.withColumn("place", place).where(F.col("place") <= NEAREST)
     by = near.groupBy("query_id", "level").agg(F.percentile("price", 0.1).alias("p10"), F.percentile("price", 0.9).alias("p90"), F.count("*").alias("comparables"))
     least = F.greatest(SHARE * F.col("prediction"), F.lit(EUROS))
     out = queries.join(by, "query_id", "left")

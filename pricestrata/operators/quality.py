@@ -76,11 +76,16 @@ def require_no_nulls(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def lookup_join(df: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], unique_left: bool = False, marker: str | None = None) -> DataFrame:
-    """A left join to a table of unique keys; marker says `both` or `left_only`. Rows of df are neither lost nor repeated."""
+    """A left join to a table of unique keys; marker says `both` or `left_only`. Rows of df are neither lost nor repeated.
+
+    Columns of the right-hand table whose names df has, too, are kept as <name>_right.
+    """
     require_unique(right.dropna(subset=right_keys), right_keys)
     if unique_left:
         require_unique(df, left_keys)
-    renamed = right.dropna(subset=right_keys).select(*(F.col(c).alias(f"__key_{i}") for i, c in enumerate(right_keys)), *(c for c in right.columns if c not in right_keys and c not in df.columns), F.lit(True).alias("__found"))
+    keys = [F.col(c).alias(f"__key_{i}") for i, c in enumerate(right_keys)]
+    others = [F.col(c).alias(f"{c}_right" if c in df.columns else c) for c in right.columns if c not in right_keys]
+    renamed = right.dropna(subset=right_keys).select(*keys, *others, F.lit(True).alias("__found"))
     on = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__key_{i}") for i, c in enumerate(left_keys)])
     out = df.join(renamed, on, "left").drop(*(f"__key_{i}" for i in range(len(right_keys))))
     return (out.withColumn(marker, F.when(F.col("__found"), "both").otherwise("left_only")) if marker else out).drop("__found")

@@ -568,19 +568,61 @@ def g7_permuted_within(t):
 # Serving
 
 
+_LADDER = (("part_name", "brand", "model", "quality_grade"), ("part_name", "brand", "model"), ("part_name", "brand"), ("part_name",), ("subcategory", "brand"))
+_LADDER_SQL = " UNION ALL ".join(
+    f"SELECT query_id, {i} AS level, ref_id, r.price, abs(q.mileage - r.mileage) AS away FROM q JOIN r USING ({', '.join(keys)})" for i, keys in enumerate(_LADDER)
+)
+
+
 @query(
-    "WITH q AS (SELECT p_partkey AS query_id, lower(p_type) AS a, lower(p_brand) AS b, p_size AS mileage, 1200.0::DOUBLE AS prediction FROM part WHERE p_partkey % 40 = 0), r AS (SELECT p_partkey AS ref_id, lower(p_type) AS a, lower(p_brand) AS b, p_size AS m, p_retailprice AS price FROM part), "
-    "f AS (SELECT query_id, 0 AS level, ref_id, price, abs(mileage - m) AS away FROM q JOIN r USING (a, b) UNION ALL SELECT query_id, 1, ref_id, price, abs(mileage - m) FROM q JOIN r USING (b)), l AS (SELECT query_id, min(level) AS level FROM (SELECT query_id, level FROM f GROUP BY ALL HAVING count(*) >= 5) GROUP BY query_id), "
-    "n AS (SELECT f.* FROM f JOIN l USING (query_id, level) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY away, ref_id) <= 50), s AS (SELECT query_id, quantile_cont(price, 0.1) AS p10, quantile_cont(price, 0.9) AS p90, count(*) AS comparables FROM n GROUP BY query_id) "
-    "SELECT query_id, round(CASE WHEN p10 IS NULL THEN 1125.0 ELSE least(p10, 1080.0) END, 4) AS low, round(CASE WHEN p10 IS NULL THEN 1275.0 ELSE greatest(p90, 1320.0) END, 4) AS high, coalesce(comparables, 0) AS comparables, CASE WHEN p10 IS NULL THEN 'fallback' ELSE 'comparable_rows' END AS source, CASE WHEN comparables >= 20 THEN 'Strong' WHEN comparables >= 8 THEN 'Moderate' ELSE 'Limited' END AS support FROM q LEFT JOIN s USING (query_id)"
+    "WITH r AS (SELECT p_partkey AS ref_id, lower(p_name) AS part_name, lower(p_brand) AS brand, lower(p_type) AS model, p_size % 3 AS quality_grade, split_part(lower(p_name), ' ', 2) AS subcategory, p_size AS mileage, p_retailprice AS price FROM part), "
+    f"q AS (SELECT * RENAME (ref_id AS query_id) FROM r), f AS ({_LADDER_SQL}), "
+    "l AS (SELECT query_id, min(level) AS level FROM (SELECT query_id, level FROM f GROUP BY ALL HAVING count(*) >= 5) GROUP BY query_id), "
+    "n AS (SELECT f.* FROM f JOIN l USING (query_id, level) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY away, ref_id) <= 50), "
+    "s AS (SELECT query_id, any_value(level) AS level, quantile_cont(price, 0.1) AS p10, quantile_cont(price, 0.9) AS p90, count(*) AS comparables FROM n GROUP BY query_id) "
+    "SELECT query_id, round(CASE WHEN p10 IS NULL THEN 1125.0 ELSE least(p10, 1080.0) END, 4) AS low, round(CASE WHEN p10 IS NULL THEN 1275.0 ELSE greatest(p90, 1320.0) END, 4) AS high, coalesce(comparables, 0) AS comparables, "
+    "CASE WHEN p10 IS NULL THEN 'fallback' ELSE 'comparable_rows' END AS source, CASE WHEN comparables >= 20 THEN 'Strong' WHEN comparables >= 8 THEN 'Moderate' ELSE 'Limited' END AS support FROM q LEFT JOIN s USING (query_id)"
 )
 def v1_v5_comparable_range(t):
-    part = t("part").select(F.col("p_partkey").alias("ref_id"), "p_type", "p_brand", F.col("p_size").alias("mileage"), F.col("p_retailprice").alias("price"))
-    asked = part.where("ref_id % 40 = 0").select(F.col("ref_id").alias("query_id"), "p_type", "p_brand", "mileage", F.lit(1200.0).alias("prediction"))
-    out = M.comparable_range(asked, part, (("p_type", "p_brand"), ("p_brand",)))
+    """Every part asks, over the whole ladder."""
+    part = t("part").select(
+        F.col("p_partkey").alias("ref_id"), F.col("p_name").alias("part_name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("model"), (F.col("p_size") % 3).alias("quality_grade"),
+        F.get(F.split("p_name", " "), F.lit(1)).alias("subcategory"), F.col("p_size").alias("mileage"), F.col("p_retailprice").alias("price"))
+    asked = part.drop("price").withColumnRenamed("ref_id", "query_id").withColumn("prediction", F.lit(1200.0))
+    out = M.comparable_range(asked, part, _LADDER)
     return out.select("query_id", r4(F.col("low"), "low"), r4(F.col("high"), "high"), "comparables", "source", M.support_label(F.col("comparables")).alias("support"))
 
 
+@query(
+    "WITH a AS (SELECT DISTINCT split_part(lower(p_name), ' ', 1) AS alias FROM part), l AS (SELECT l_orderkey, l_linenumber, lower(p_name) AS label FROM lineitem LEFT JOIN part ON p_partkey = l_partkey) "
+    "SELECT label, upper(alias) AS brand, trim(substr(label, length(alias) + 1)) AS model, count(*) AS n FROM l LEFT JOIN a ON starts_with(label || ' ', alias || ' ') GROUP BY ALL"
+)
+def k1_repeated_labels(t):
+    """Rows that repeat keep their number."""
+    labels = t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey"), "left").select(F.lower("p_name").alias("label"))
+    aliases = t("part").select(F.get(F.split(F.lower("p_name"), " "), F.lit(0)).alias("alias")).distinct().withColumn("brand", F.upper("alias"))
+    return K.longest_prefix(labels, "label", aliases).groupBy("label", "brand", "model").agg(F.count("*").alias("n"))
+
+
+@query(
+    "WITH m AS (SELECT l_returnflag, l_linestatus, l_linenumber, l_discount, median(l_quantity) AS y FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY ALL) "
+    "SELECT l_linenumber, count(*) AS n, round(sum(coalesce(y, (SELECT median(l_quantity) FROM lineitem WHERE l_orderkey % 2 = 0))), 4) AS predicted FROM lineitem l LEFT JOIN m USING (l_returnflag, l_linestatus, l_linenumber, l_discount) WHERE l_orderkey % 2 = 1 GROUP BY l_linenumber"
+)
+def j8_four_key_lookup(t):
+    """Odd orders by the medians of even ones, over four keys."""
+    own = t("lineitem")
+    out = K.median_lookup(own.where("l_orderkey % 2 = 0"), own.where("l_orderkey % 2 = 1"), ["l_returnflag", "l_linestatus", "l_linenumber", "l_discount"], "l_quantity")
+    return out.groupBy("l_linenumber").agg(F.count("*").alias("n"), r4(F.sum("predicted"), "predicted"))
+
+
+@query("SELECT o_orderkey, o_custkey, c.c_custkey AS c_custkey, o.o_comment AS name, c.c_name AS name_right FROM (SELECT o_orderkey, o_custkey, o_orderstatus AS o_comment FROM orders) o LEFT JOIN customer c ON c_custkey = o_custkey")
+def j11_clashing_columns(t):
+    """Both tables' columns of one name stay."""
+    own = t("orders").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("name"))
+    right = t("customer").select(F.col("c_custkey").alias("key"), "c_custkey", F.col("c_name").alias("name"))
+    return Q.lookup_join(own, right, ["o_custkey"], ["key"]).select("o_orderkey", "o_custkey", "c_custkey", "name", "name_right")
+
+
 @query("SELECT DISTINCT p_brand AS option FROM part WHERE trim(p_brand) <> '' ORDER BY 1")
 def v3_options(t):
     return M.options(t("part"), "p_brand")
