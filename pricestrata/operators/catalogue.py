@@ -1,4 +1,4 @@
-"""Which columns may be features, by family of model, and the named lists of them that are compared."""
+"""Which columns may be features, and the named lists of them that are compared."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from .selection import variants
 # The columns of a model table, by where they come from.
 LISTING = ("part_name", "quality_grade", "oem_number", "mileage", "brand", "model", "category", "subcategory", "year_start", "year_end", "year_span", "year_mid", "repair_status")
 REGISTER = ("model_total_registered", "model_median_vehicle_age", "model_mean_vehicle_age", "model_median_mileage", "model_mean_mileage", "model_median_engine_cc", "model_median_power_kw", "model_median_mass_kg", "brand_total_registered", "brand_median_vehicle_age", "brand_mean_vehicle_age", "brand_median_mileage", "brand_mean_mileage")
-LIFECYCLE = tuple(f"{level}_firstreg_{measure}" for level in ("model", "brand") for measure in ("total_2014_2026", "recent_share", "old_share", "weighted_year", "peak_year", "peak_count", "year_span"))
+LIFECYCLE = ("model_firstreg_total_2014_2026", "model_firstreg_recent_share", "model_firstreg_old_share", "model_firstreg_weighted_year", "model_firstreg_peak_year", "model_firstreg_peak_count", "model_firstreg_year_span", "brand_firstreg_total_2014_2026", "brand_firstreg_recent_share", "brand_firstreg_old_share", "brand_firstreg_weighted_year", "brand_firstreg_peak_year", "brand_firstreg_peak_count", "brand_firstreg_year_span")
 REGISTER_MORE = ("model_share_of_market", "model_share_within_brand", "model_share_over_10y", "model_share_over_200k_km", "model_automatic_share", "model_petrol_share", "model_diesel_share", "model_ev_share", "model_hybrid_share", "model_turbo_share", "brand_median_engine_cc", "brand_median_power_kw", "brand_median_mass_kg", "brand_share_of_market", "brand_share_over_10y", "brand_share_over_200k_km", "brand_automatic_share", "brand_petrol_share", "brand_diesel_share", "brand_ev_share", "brand_hybrid_share", "brand_turbo_share")
 DYNAMICS = ("times_observed", "observed_span_days", "price_changed_flag", "price_change_count", "absolute_price_change", "relative_price_change_pct")
 OFFSETS = ("first_seen_day_offset", "last_seen_day_offset", "listing_midpoint_day_offset")
@@ -18,7 +18,6 @@ LISTING_DATES = ("first_seen_date", "last_seen_date")
 LEAKING = (*DYNAMICS, "price_changed_flag_so_far", "price_change_count_so_far", "absolute_price_change_so_far", "relative_price_change_pct_so_far", "last_seen_day_offset", "listing_midpoint_day_offset")
 
 OEM = "oem_number"
-FAMILIES = ("forest", "linear", "boosted")
 
 
 def pools(columns: list[str], target: str = "price") -> dict[str, list[str]]:
@@ -39,39 +38,19 @@ def pools(columns: list[str], target: str = "price") -> dict[str, list[str]]:
     }
 
 
-# Variants by family: the pool, and what is left out of it.
-_PLAN = {
-    "boosted": (
-        ("lifecycle", "lifecycle", ()),
-        ("lifecycle_without_oem", "lifecycle", (OEM,)),
-        ("extended", "extended", ()),
-        ("chosen", "chosen_safe", ()),
-        ("all", "safe", ()),
-        ("all_without_offsets", "safe", OFFSETS),
-        ("all_without_offsets_or_oem", "safe", (*OFFSETS, OEM)),
-    ),
-    "forest": (
-        ("extended", "extended", ()),
-        ("extended_without_oem", "extended", (OEM,)),
-        ("chosen", "chosen_safe", ()),
-        ("chosen_without_oem", "chosen_safe", (OEM,)),
-        ("all", "safe", ()),
-        ("all_without_oem", "safe", (OEM,)),
-        ("all_without_dates", "safe", OFFSETS),
-        ("all_without_dates_or_oem", "safe", (*OFFSETS, OEM)),
-    ),
-}
-_PLAN["linear"] = _PLAN["forest"]
+#: What a variant may leave out of its pool, by the end of its name.
+EXCLUSIONS = {"": (), "_without_oem": (OEM,), "_without_offsets": OFFSETS, "_without_offsets_or_oem": (*OFFSETS, OEM)}
+#: The pools that may be fitted: those without what leaks.
+FITTED = ("lifecycle", "extended", "chosen_safe", "safe")
 
 
-def catalogue(columns: list[str], family: str, target: str = "price") -> dict[str, list[str]]:
-    """Named feature lists for a family. Empty lists go, and of equal ones the first stays."""
-    if family not in FAMILIES:
-        raise ValueError(f"the family is one of {', '.join(FAMILIES)}")
+def catalogue(columns: list[str], target: str = "price") -> dict[str, list[str]]:
+    """Named feature lists: every pool that may be fitted, with every exclusion. Empty lists go, and of equal ones the first stays."""
     own = pools(columns, target)
     out: dict[str, list[str]] = {}
-    for name, pool, gone in _PLAN[family]:
-        out |= {k: v for k, v in variants(own[pool], {name: set(gone)}).items() if v not in out.values()}
+    for pool in FITTED:
+        cut = variants(own[pool], {pool + end: set(gone) for end, gone in EXCLUSIONS.items()})
+        out |= {name: found for name, found in cut.items() if found not in out.values()}
     return out
 
 
@@ -83,7 +62,7 @@ GROUPS = {
     "vehicle_age_usage": ("mileage", "mileage_missing_flag", "year_start", "year_end", "year_span", "year_mid"),
     "listing_history": ("observations_so_far", "days_since_first_seen_so_far", "first_seen_day_offset"),
 }
-PREFIXES = {"model_": "register_model_context", "brand_": "register_brand_context"}
+PREFIXES = {"model_": "traficom_model_context", "brand_": "traficom_brand_context"}
 
 
 def feature_groups(columns: list[str]) -> dict[str, str]:

@@ -104,16 +104,14 @@ def test_service(bundle):
 
 def test_catalogue():
     columns = ["product_id", "price", "part_name", "oem_number", "brand", "model_total_registered", "model_firstreg_peak_year", "model_ev_share", "times_observed", "first_seen_day_offset", "last_seen_day_offset", "last_seen_date", "own"]
-    got = catalogue.catalogue(columns, "boosted")
-    assert list(got) == ["lifecycle", "lifecycle_without_oem", "extended", "chosen", "all", "all_without_offsets", "all_without_offsets_or_oem"]
+    got = catalogue.catalogue(columns)
+    assert list(got) == [f"{pool}{end}" for pool, ends in (("lifecycle", 2), ("extended", 2), ("chosen_safe", 2), ("safe", 4)) for end in list(catalogue.EXCLUSIONS)[:ends]]
     assert got["lifecycle"] == ["part_name", "oem_number", "brand", "model_total_registered", "model_firstreg_peak_year"]
-    assert got["chosen"] == [*got["lifecycle"], "model_ev_share", "first_seen_day_offset"]
-    assert got["all"] == [*got["chosen"], "own"] and "own" in got["all_without_offsets_or_oem"] and "oem_number" not in got["all_without_offsets_or_oem"]
-    assert list(catalogue.catalogue(["part_name"], "forest")) == ["extended"] and catalogue.catalogue([], "linear") == {}
+    assert got["chosen_safe"] == [*got["lifecycle"], "model_ev_share", "first_seen_day_offset"]
+    assert got["safe"] == [*got["chosen_safe"], "own"] and "own" in got["safe_without_offsets_or_oem"] and "oem_number" not in got["safe_without_offsets_or_oem"]
+    assert list(catalogue.catalogue(["part_name"])) == ["lifecycle"] and catalogue.catalogue([]) == {}
     assert "times_observed" in catalogue.pools(columns)["usable"] and len(catalogue.LIFECYCLE) == 14
-    assert catalogue.feature_groups(["brand", "brand_median_mileage", "mileage", "x"]) == {"brand": "vehicle_identity", "brand_median_mileage": "register_brand_context", "mileage": "vehicle_age_usage", "x": "other"}
-    with pytest.raises(ValueError):
-        catalogue.catalogue(columns, "other")
+    assert catalogue.feature_groups(["brand", "brand_median_mileage", "mileage", "x"]) == {"brand": "vehicle_identity", "brand_median_mileage": "traficom_brand_context", "mileage": "vehicle_age_usage", "x": "other"}
 
 
 def test_mutual_information_of_equal_and_independent_columns(spark):
