@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MISSING = "__missing__"
@@ -117,9 +117,27 @@ def clean_part_name(name: Column, brand: Column, model: Column) -> Column:
     return F.coalesce(null_if(out, ""), F.lit("Unknown Part"))
 
 
+# Labels that are shown under other names.
+SHOWN_LABELS = {
+    "abs": "ABS",
+    "ac": "AC",
+    "vw": "VW",
+    "airbag control unit": "Airbag control unit",
+    "airbag krocksensor": "Airbag impact sensor",
+    "contact roll airbag": "Airbag contact roll",
+    "fuse box / electricity central": "Fuse box / electrical central",
+    "gear box / drive axle / middle axle": "Drivetrain",
+    "parkeringshjälp frontsensor": "Parking assist front sensor",
+    "kamera utvändig": "Exterior camera",
+    "dörr styrenhet": "Door control unit",
+    "ljusinställning lägesgivare": "Headlight level sensor",
+    "komfort styrdon": "Comfort control unit",
+}
+
+
 def label_key(c: Column) -> Column:
-    """A label without trailing remarks in brackets, in lower case."""
-    return F.lower(strip(F.regexp_replace(c, r"(\s*(\[[^\]]*\]|\([^)]*\)))+\s*$", "")))
+    """A label as shown, without trailing remarks in brackets, in lower case."""
+    return F.lower(strip(F.regexp_replace(display_label(c), r"(\s*(\[[^\]]*\]|\([^)]*\)))+\s*$", "")))
 
 
 def capitalised(c: Column) -> Column:
@@ -127,11 +145,11 @@ def capitalised(c: Column) -> Column:
 
 
 def display_label(c: Column) -> Column:
-    """A label as shown: without dangling separators, known locations spelt out, the first letter large."""
-    plain = collapse(strip(F.regexp_replace(c, r"[\s,\-]+$", "")))
-    shown = {k: " ".join(x for x in v if x) for k, v in LOCATIONS.items()}
-    known = reduce(lambda out, kv: F.when(F.lower(plain) == kv[0], kv[1]).otherwise(out), shown.items(), F.lit(None).cast("string"))
-    return F.coalesce(known, capitalised(plain))
+    """A label as shown: without dangling separators and "- ,e-" tails, known ones spelt out, the first letter large; a null is empty."""
+    plain = F.btrim(collapse(F.regexp_replace(strip(c), r"(?iU)(\s*-(\s*,?\s*e-)?|\s*,)+\s*$", "")), F.lit(" -"))
+    shown = SHOWN_LABELS | {k: " ".join(x for x in v if x) for k, v in LOCATIONS.items()}
+    known = F.try_element_at(F.create_map(*(F.lit(x) for kv in shown.items() for x in kv)), F.lower(plain))
+    return F.coalesce(known, capitalised(plain), F.lit(""))
 
 
 def side_and_position(*columns: Column) -> tuple[Column, Column]:
@@ -148,9 +166,21 @@ def side_and_position(*columns: Column) -> tuple[Column, Column]:
 
 
 def part_type(part_name: Column, subcategory: Column, category: Column) -> Column:
-    """The part's name unless that is only a place; then the subcategory, then the category."""
-    usable = lambda c: F.when(label_key(c).isin(*GENERIC_LABELS) | (F.coalesce(strip(c), F.lit("")) == ""), None).otherwise(c)
-    return F.coalesce(usable(part_name), usable(subcategory), usable(category), part_name)
+    """The part's name as shown, without remarks in round brackets, unless that is only a place; then the subcategory, then the category.
+
+    If all are places, the first that is not empty; if all are empty, `Unknown part`.
+    """
+    labels = [display_label(F.regexp_replace(part_name, r"\([^)]*\)", "")), display_label(subcategory), display_label(category)]
+    usable = [null_if(label, "") for label in labels]
+    return F.coalesce(*(F.when(~label_key(c).isin("", *GENERIC_LABELS), c) for c in usable), *usable, F.lit("Unknown part"))
+
+
+def part_options(df: DataFrame) -> DataFrame:
+    """The distinct parts of (subcategory, part_name) as they are offered: their raw labels, type, side and position."""
+    own = df.select("subcategory", "part_name").distinct()
+    side, position = side_and_position(F.col("part_name"), F.col("subcategory"))
+    kind = part_type(F.col("part_name"), F.col("subcategory"), F.lit(None).cast("string"))
+    return own.select(F.col("subcategory").alias("raw_subcategory"), F.col("part_name").alias("raw_part_name"), kind.alias("display_part_type"), side.alias("display_side"), position.alias("display_position"))
 
 
 def shown_number(c: Column, digits: int = 0) -> Column:

@@ -129,5 +129,11 @@ def coerced(df: DataFrame, fragments: tuple[str, ...], convert) -> DataFrame:
     return df.select(*(convert(F.col(c)).alias(c) if any(f in c for f in fragments) else F.col(c) for c in df.columns))
 
 
+def date_spans(df: DataFrame, split: str, column: str) -> DataFrame:
+    """(split, rows, missing, first, last, days): the dates of each split."""
+    c = F.col(column)
+    return df.groupBy(split).agg(F.count("*").alias("rows"), F.count(F.when(c.isNull(), 1)).alias("missing"), F.min(c).alias("first"), F.max(c).alias("last"), F.count_distinct(c).alias("days"))
+
+
 def same_columns(*frames: DataFrame) -> bool:
     return all(set(f.columns) == set(frames[0].columns) for f in frames)

@@ -20,6 +20,7 @@ from ..operators import keys as K
 from ..operators import market as M
 from ..operators import models as D
 from ..operators import quality as Q
+from ..operators import selection as L
 from ..operators import serving as V
 from ..operators import splits as S
 
@@ -628,6 +629,75 @@ def v3_options(t):
     return M.options(t("part"), "p_brand")
 
 
+# Labels, files and choices
+
+
+def _labels(t):
+    k, name = F.col("p_partkey") % 6, F.col("p_name")
+    label = F.when(k == 0, F.concat(name, F.lit(" - ,e-"))).when(k == 1, F.concat(F.lit(" "), name, F.lit(" -"))).when(k == 2, "ABS ").when(k == 3, "Left rear").when(k == 4, F.concat(name, F.lit("  x (left) [y]")))
+    return t("part").select("p_partkey", "p_name", label.alias("label"))
+
+
+@query(
+    "SELECT p_partkey, CASE p_partkey % 6 WHEN 2 THEN 'ABS' WHEN 3 THEN 'Left Rear' WHEN 5 THEN '' ELSE upper(p_name[1]) || p_name[2:] || CASE p_partkey % 6 WHEN 4 THEN ' x (left) [y]' ELSE '' END END AS shown, "
+    "CASE p_partkey % 6 WHEN 2 THEN 'abs' WHEN 3 THEN 'left rear' WHEN 5 THEN '' WHEN 4 THEN lower(p_name) || ' x' ELSE lower(p_name) END AS label_key FROM part"
+)
+def f15_f16_labels(t):
+    return _labels(t).select("p_partkey", X.display_label(F.col("label")).alias("shown"), X.label_key(F.col("label")).alias("label_key"))
+
+
+@query(
+    "SELECT DISTINCT p_name AS raw_subcategory, label AS raw_part_name, CASE k WHEN 2 THEN 'ABS' WHEN 3 THEN 'Left Rear' WHEN 4 THEN upper(p_name[1]) || p_name[2:] || ' x [y]' ELSE upper(p_name[1]) || p_name[2:] END AS display_part_type, "
+    "CASE WHEN k IN (3, 4) THEN 'Left' END AS display_side, CASE WHEN k = 3 THEN 'Rear' END AS display_position FROM (SELECT p_partkey % 6 AS k, p_name, CASE p_partkey % 6 WHEN 0 THEN p_name || ' - ,e-' WHEN 1 THEN ' ' || p_name || ' -' WHEN 2 THEN 'ABS ' WHEN 3 THEN 'Left rear' WHEN 4 THEN p_name || '  x (left) [y]' END AS label FROM part)"
+)
+def v3_f17_f18_part_options(t):
+    return X.part_options(_labels(t).select(F.col("p_name").alias("subcategory"), F.col("label").alias("part_name")))
+
+
+@query("SELECT o_orderstatus, count(*) AS rows, count(*) FILTER (WHERE d IS NULL) AS missing, min(d)::VARCHAR AS first, max(d)::VARCHAR AS last, count(DISTINCT d) AS days FROM (SELECT o_orderstatus, CASE WHEN o_orderkey % 7 > 0 THEN o_orderdate::DATE END AS d FROM orders) GROUP BY o_orderstatus")
+def f35_f38_date_spans(t):
+    day = F.when(F.col("o_orderkey") % 7 > 0, N.iso_date(F.date_format("o_orderdate", "yyyy-MM-dd"))).alias("day")
+    return rounded(Q.date_spans(t("orders").select("o_orderstatus", day), "o_orderstatus", "day"))
+
+
+@query("SELECT page_id, lower(url_decode(url)) AS url_key, CASE WHEN page_id % 2 = 0 THEN 'https://a.example/x/' ELSE 'https://a.example/' END || 'p/' || page_id AS joined FROM pages")
+def f21_f22_urls(t):
+    href = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("p/"), F.col("page_id").cast("string"))).otherwise(F.concat(F.lit("/p/"), F.col("page_id").cast("string")))
+    return t("pages").select("page_id", X.url_key(F.col("url")).alias("url_key"), X.url_join("https://a.example/x", href).alias("joined"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round_even(l_quantity / 4, 1) AS even FROM lineitem")
+def f47_half_even(t):
+    return t("lineitem").select("l_orderkey", "l_linenumber", N.half_even(F.col("l_quantity") / 4, 1).alias("even"))
+
+
+@query("SELECT o_custkey, round(quantile_cont(o_totalprice, 0.9), 4) AS q FROM orders GROUP BY o_custkey")
+def f50_sorted_quantile(t):
+    return t("orders").groupBy("o_custkey").agg(r4(N.sorted_quantile(F.collect_list("o_totalprice"), 0.9), "q"))
+
+
+@query("WITH r AS (SELECT p_brand, p_partkey, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS k FROM part) SELECT p_brand, p_partkey, p_retailprice FROM r ORDER BY k > 1, p_retailprice, p_brand, p_partkey LIMIT 40")
+def d7_finalists(t):
+    return L.finalists(t("part").select("p_brand", "p_partkey", "p_retailprice"), "p_brand", "p_partkey", ["p_retailprice"], 40)
+
+
+@query("SELECT p_partkey FROM part ORDER BY p_size, p_partkey DESC LIMIT (SELECT round_even(count(*) * 0.1, 0)::BIGINT FROM part)")
+def t4_least_important(t):
+    return L.least_important(t("part"), "p_partkey", "p_size", 0.1)
+
+
+@query("WITH s AS (SELECT p_brand, sum(p_size) AS v FROM part GROUP BY p_brand), r AS (SELECT *, row_number() OVER (ORDER BY abs(v) DESC, p_brand) AS k FROM s) SELECT CASE WHEN k <= 6 THEN p_brand ELSE 'other' END AS p_brand, sum(v)::BIGINT AS v, min(k)::BIGINT AS place FROM r GROUP BY 1")
+def v7_top_drivers(t):
+    out = L.top_drivers(t("part").groupBy("p_brand").agg(F.sum("p_size").alias("v")), "p_brand", "v")
+    return out.withColumn("place", F.col("place").cast("long"))
+
+
+@query("SELECT p_partkey, p_size AS base, p_size + p_partkey % 3 AS other, p_partkey % 3 AS delta FROM part")
+def m27_compared(t):
+    size, k = F.col("p_size").cast("long"), F.col("p_partkey").cast("long")
+    return L.compared(t("part").select("p_partkey", size.alias("m")), t("part").select("p_partkey", (size + k % 3).alias("m")), "p_partkey", "m")
+
+
 # Models and their explanations
 
 
