@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .aggregates import mi_binned
+
 
 def equal_filters(df: DataFrame, wanted: dict[str, object]) -> DataFrame:
     """Rows whose columns equal the given values as texts; None, "", "Any" and NaN ask for nothing."""
@@ -135,5 +137,41 @@ def date_spans(df: DataFrame, split: str, column: str) -> DataFrame:
     return df.groupBy(split).agg(F.count("*").alias("rows"), F.count(F.when(c.isNull(), 1)).alias("missing"), F.min(c).alias("first"), F.max(c).alias("last"), F.count_distinct(c).alias("days"))
 
 
+# What makes a feature suspicious, and from which value on (of unique_ratio: above it).
+SUSPICIONS = {"very_high_cardinality": ("unique_ratio", 0.50), "very_high_target_correlation": ("abs_corr_with_target", 0.95), "high_mutual_information": ("mutual_information", 1.0)}
+
+
+def suspicion(train: DataFrame, others: dict[str, DataFrame], features: list[str], target: str, target_bin: Column) -> DataFrame:
+    """A row for each feature: its values, gaps, values unseen by training rows, ties with the target, and flags joined by semicolons.
+
+    Numbers have a correlation with the target, texts the population deviation of the target's medians by
+    value (null is a value of its own there). Mutual information is that of values with target_bin, over all
+    rows. What is joined are counts of (feature, value), so no set of values is held in one place.
+    """
+    numeric = [c for c in features if c in numeric_columns(train)]
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in features))).alias("s")
+
+    def counted(df: DataFrame, *more: Column) -> DataFrame:
+        return df.select(pairs, *([F.col(target).cast("double").alias("y")] if more else [])).select("s.*", *(["y"] if more else [])).groupBy("feature", "value").agg(F.count("*").alias("n"), *more)
+
+    own = counted(train, F.median(F.when(~F.col("feature").isin(numeric), F.col("y"))).alias("median"))
+    out = own.groupBy("feature").agg(
+        F.count("value").alias("unique_count"),
+        (F.count("value") / F.sum("n")).alias("unique_ratio"),
+        (F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("missing_fraction"),
+        F.stddev_pop("median").alias("category_median_std"),
+    )
+    seen = own.dropna(subset=["value"]).select("feature", "value", F.lit(True).alias("seen"))
+    for name, df in others.items():
+        there = counted(df).dropna(subset=["value"]).join(seen, ["feature", "value"], "left")
+        unseen = F.sum(F.when(F.col("seen").isNull(), F.col("n")).otherwise(0)) / F.sum("n")
+        out = out.join(there.groupBy("feature").agg(unseen.alias(f"{name}_unseen_fraction")), "feature", "left")
+    tied = F.array(*(F.struct(F.lit(c).alias("feature"), (F.abs(F.corr(F.col(c).cast("double"), F.col(target).cast("double"))) if c in numeric else F.lit(None).cast("double")).alias("abs_corr_with_target")) for c in features))
+    out = out.join(train.agg(tied.alias("s")).select(F.explode("s").alias("s")).select("s.*"), "feature", "left")
+    out = out.join(mi_binned(train, {c: F.col(c) for c in features}, target_bin).drop("rows"), "feature", "left")
+    found = [F.when((F.col(c) > least) if c == "unique_ratio" else (F.col(c) >= least), flag) for flag, (c, least) in SUSPICIONS.items()]
+    return out.withColumn("suspicion_flags", F.concat_ws(";", *found))
+
+
 def same_columns(*frames: DataFrame) -> bool:
     return all(set(f.columns) == set(frames[0].columns) for f in frames)

@@ -692,7 +692,7 @@ def v7_top_drivers(t):
     return out.withColumn("place", F.col("place").cast("long"))
 
 
-@query("SELECT p_partkey, p_size AS base, p_size + p_partkey % 3 AS other, p_partkey % 3 AS delta FROM part")
+@query("SELECT p_partkey, p_size::BIGINT AS base, p_size + p_partkey % 3 AS other, p_partkey % 3 AS delta FROM part")
 def m27_compared(t):
     size, k = F.col("p_size").cast("long"), F.col("p_partkey").cast("long")
     return L.compared(t("part").select("p_partkey", size.alias("m")), t("part").select("p_partkey", (size + k % 3).alias("m")), "p_partkey", "m")
@@ -701,6 +701,24 @@ def m27_compared(t):
 # Models and their explanations
 
 
+@query(
+    "WITH a AS (SELECT p_partkey, p_retailprice AS y, f AS feature, x FROM (SELECT *, 'p_size' AS f, nullif(p_size, 7)::VARCHAR AS x FROM part UNION ALL SELECT *, 'p_name', p_name FROM part UNION ALL SELECT *, 'p_partkey', p_partkey::VARCHAR FROM part)), "
+    "t AS (SELECT * FROM a WHERE p_partkey % 2 = 0), c AS (SELECT feature, x, count(*) AS n, median(y) AS m FROM t GROUP BY ALL), "
+    "own AS (SELECT feature, count(x) AS unique_count, count(x) / sum(n) AS unique_ratio, coalesce(sum(n) FILTER (WHERE x IS NULL), 0) / sum(n) AS missing_fraction, CASE WHEN feature = 'p_name' THEN stddev_pop(m) END AS category_median_std FROM c GROUP BY feature), "
+    "v AS (SELECT feature, avg(CASE WHEN x IN (SELECT x FROM t WHERE t.feature = a.feature AND x IS NOT NULL) THEN 0.0 ELSE 1.0 END) AS unseen FROM a WHERE p_partkey % 2 = 1 AND x IS NOT NULL GROUP BY feature), "
+    "r AS (SELECT feature, abs(corr(x::DOUBLE, y)) AS r FROM t WHERE feature <> 'p_name' GROUP BY feature), "
+    "j AS (SELECT feature, x, floor(y / 100) AS b, count(*) AS n FROM t WHERE x IS NOT NULL GROUP BY ALL), k AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature)::DOUBLE AS s, sum(n) OVER (PARTITION BY feature, x)::DOUBLE AS p, sum(n) OVER (PARTITION BY feature, b)::DOUBLE AS q FROM j), "
+    "i AS (SELECT feature, greatest(sum(n / s * ln(n * s / (p * q))), 0) AS mi FROM k GROUP BY feature) "
+    "SELECT feature, unique_count, round(unique_ratio, 4) AS unique_ratio, round(missing_fraction, 4) AS missing_fraction, round(category_median_std, 4) AS category_median_std, round(unseen, 4) AS validation_unseen_fraction, round(r, 4) AS abs_corr_with_target, round(mi, 4) AS mutual_information, "
+    "concat_ws(';', CASE WHEN unique_ratio > 0.5 THEN 'very_high_cardinality' END, CASE WHEN r >= 0.95 THEN 'very_high_target_correlation' END, CASE WHEN mi >= 1 THEN 'high_mutual_information' END) AS suspicion_flags FROM own LEFT JOIN v USING (feature) LEFT JOIN r USING (feature) LEFT JOIN i USING (feature)"
+)
+def m24_suspicion(t):
+    part = t("part").withColumn("p_size", F.nullif("p_size", F.lit(7)))
+    even, odd = part.where("p_partkey % 2 = 0"), part.where("p_partkey % 2 = 1")
+    return rounded(Q.suspicion(even, {"validation": odd}, ["p_size", "p_name", "p_partkey"], "p_retailprice", F.floor(F.col("p_retailprice") / 100)))
+
+
+
 @query(
     "WITH n AS (SELECT f AS feature, x, floor(p_retailprice / 100)::INT AS y, count(*) AS n FROM (SELECT 'p_size' AS f, p_size::VARCHAR AS x, p_retailprice FROM part UNION ALL SELECT 'p_brand', p_brand, p_retailprice FROM part) GROUP BY ALL), "
     "s AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature)::DOUBLE AS t, sum(n) OVER (PARTITION BY feature, x)::DOUBLE AS a, sum(n) OVER (PARTITION BY feature, y)::DOUBLE AS b FROM n) SELECT feature, sum(n)::BIGINT AS rows, round(greatest(sum(n / t * ln(n * t / (a * b))), 0), 4) AS mutual_information FROM s GROUP BY feature"
