@@ -23,6 +23,7 @@ from ..operators import quality as Q
 from ..operators import selection as L
 from ..operators import serving as V
 from ..operators import splits as S
+from ..sources import files as R
 
 FLAGSHIP = "w1_w6_point_in_time"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -632,6 +633,50 @@ def v3_options(t):
 # Labels, files and choices
 
 
+@query(
+    "SELECT CASE WHEN p_partkey % 2 = 0 THEN p_partkey::VARCHAR END AS product_id, p_name AS part_name, p_size::VARCHAR AS price, p_brand AS brand, p_type AS category, "
+    "NULL::VARCHAR AS scrape_date, CASE WHEN p_partkey % 2 = 0 THEN 'even' ELSE 'odd' END AS route FROM part"
+)
+def s1_s8_snapshots(t):
+    """Files of two headers, one misspelt and one with a column too many and one too few, read as one table with the route of each row."""
+    part = t("part")
+    root = R.scratch_path(part.sparkSession)
+    own = {"part_name": "p_name", "price": "p_size", "brand": "p_brand", "category": "p_type"}
+    columns = [F.col(own[c]).alias(c) if c in own else F.lit("x").alias(c) for c in R.REQUIRED]
+    titled = part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("roduct_id"), *columns)
+    titled.toDF(*(c.replace("_", " ").title() if c != "roduct_id" else c for c in titled.columns)).write.option("header", True).csv(f"{root}/even")
+    part.where("p_partkey % 2 = 1").select(*columns, F.lit("more").alias("note")).write.option("header", True).csv(f"{root}/odd")
+    out = R.routed(R.read_snapshots(part.sparkSession, root), ("/even/", "/odd/"))
+    return out.select("product_id", "part_name", "price", "brand", "category", "scrape_date", F.btrim("route", F.lit("/")).alias("route"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+def s9_s16_s17_split_tables(t):
+    """A table written in two places, by status, and read as one."""
+    own = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    root = R.scratch_path(own.sparkSession)
+    paths = [f"{root}/{i}" for i in range(2)]
+    for i, path in enumerate(paths):
+        R.write_table(own.where(F.col("o_orderkey") % 2 == i).withColumn("status", F.col("o_orderstatus")), path, by=["status"])
+    return R.read_splits(own.sparkSession, [f"{p}/status={s}" for p in paths for s in ("F", "O", "P")])
+
+
+@query("SELECT 'run_' || k AS name, k::BIGINT AS rows FROM range(3) r(k)")
+def s11_s12_s19_reports(t):
+    spark = t("region").sparkSession
+    root = R.scratch_path(spark)
+    for k in range(3):
+        R.write_report(spark, {"name": f"run_{k}", "rows": k}, f"{root}/{k}")
+    return R.read_reports(spark, f"{root}/*/*.txt", ["name"]).select("name", "rows")
+
+
+@query("SELECT true AS same, count(*) AS rows FROM customer")
+def s18_s21_round_trip(t):
+    own = t("customer")
+    return own.agg(F.lit(R.round_trip(own, R.scratch_path(own.sparkSession))).alias("same"), F.count("*").alias("rows"))
+
+
+
 def _labels(t):
     k, name = F.col("p_partkey") % 6, F.col("p_name")
     label = F.when(k == 0, F.concat(name, F.lit(" - ,e-"))).when(k == 1, F.concat(F.lit(" "), name, F.lit(" -"))).when(k == 2, "ABS ").when(k == 3, "Left rear").when(k == 4, F.concat(name, F.lit("  x (left) [y]")))

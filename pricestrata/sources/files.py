@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The columns of a listing file, and those that it must have.
 LISTING = ("product_id", "part_name", "price", "quality_grade", "year", "oem_number", "engine_code", "mileage", "brand", "model", "category", "subcategory", "scrape_date", "scrape_timestamp")
 REQUIRED = ("part_name", "price", "quality_grade", "year", "oem_number", "mileage", "brand", "model", "category", "subcategory", "engine_code")
 # Fixed value: a header's misspelling.
 RENAMED = {"roduct_id": "product_id"}
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share: spark.checkpoint.dir, or a folder of this machine where that is unset (tests)."""
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='pricestrata-')).rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
 def header_name(c: str) -> str:
     return "_".join(c.replace("﻿", "").strip().lower().split())
 
