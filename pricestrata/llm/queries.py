@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chroma, hilbert_ann, langid, maxplus, pii_bootstrap, poisson_mix, pseudo_likelihood, secret_scan, simhash_dedup, slots
+from . import chroma, hard_negatives, hilbert_ann, langid, maxplus, pii_bootstrap, poisson_mix, pseudo_likelihood, quality, secret_scan, simhash_dedup, slots, whitening
 from .common import kept, table
 
 
@@ -63,6 +63,20 @@ def op10_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame
     return pseudo_likelihood.scored(table(spark, sf_dir, "documents"))
 
 
+def op11_vantage_annulus_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose vec_id is divisible by 50; a seventh of the labels is moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 50 == 0)
+
+
+def op12_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_exact_scatter_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

@@ -33,7 +33,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 @pytest.mark.parametrize(("name", "columns"), [
@@ -42,6 +42,9 @@ def test_one_query_for_each_operator():
     ("op6_word_backoff_langid", ["doc_id long", "held_out boolean", "lang_pred string", "score double"]),
     ("op7_bootstrapped_pii", ["doc_id long", "n_email long", "n_ip long", "n_card long", "n_phone long", "base_sha256 string", "spans string"]),
     ("op8_token_efficiency_secrets", ["doc_id long", "n_assign long", "n_access long", "n_hex long", "base_sha256 string", "spans string"]),
+    ("op11_vantage_annulus_negatives", ["anchor_id long", "positive_id long", "rank int", "negative_id long", "positive_score long", "negative_score long"]),
+    ("op12_nb_svm_quality", ["doc_id long", "held_out boolean", "score double", "predicted int"]),
+    ("op13_exact_scatter_whitening", ["vec_id long", "component int", "n long", "deviation long", "whitened double", "explained double", "identity_error double"]),
     ("op9_simhash_components", ["doc_id long", "fingerprint string", "component_id long"]),
 ])
 def test_contracts(spark, name, columns):
