@@ -187,16 +187,25 @@ def learnt(docs: DataFrame, labels: DataFrame, learns: Column, sample: int = SAM
                 found = features(b.column(1)[i].as_py())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(2).slice(i, 1), pa.array([found.astype("<i4").tobytes()], pa.binary())], names=["doc_id", "good", "found"])
 
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        found = [np.frombuffer(v.as_py(), "<i4") for b in got for v in b.column(1)]
+        model = fit(found, np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in got] or [np.zeros(0)]) == 1)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), *(pa.array([v], pa.float64()) for v in model[1:])], names=["weights", "constant", "slope", "shift"])
+
     kind = dict(own.dtypes)["doc_id"]
-    # Copies of an id may be many more than its labels: they are cut to the bound, too.
-    got = own.mapInArrow(read, f"doc_id {kind}, good int, found binary").orderBy(order, "doc_id", "good", "found").limit(sample).toArrow()
-    return fit([np.frombuffer(v.as_py(), "<i4").astype(np.int64) for v in got.column("found")], got.column("good").to_numpy() == 1)
+    # Copies of an id may be many more than its labels: they are cut to the bound, too. The bounded sample is fitted in one task.
+    got = own.mapInArrow(read, f"doc_id {kind}, good int, found binary").orderBy(order, "doc_id", "good", "found").limit(sample)
+    model = got.select("good", "found").mapInArrow(made, "weights binary, constant double, slope double, shift double").toArrow()
+    if not model.num_rows:
+        return fit([], np.zeros(0, bool))
+    return Model(np.frombuffer(model.column("weights")[0].as_py(), np.float64), *(model.column(c)[0].as_py() for c in ("constant", "slope", "shift")))
 
 
 def scored(docs: DataFrame, model: Model, is_held_out: Column) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs."""
     kind = dict(docs.dtypes)["doc_id"]
-    weights = docs.sparkSession.sparkContext.broadcast(model.weights.astype(np.float64))
+    weights = docs.sparkSession.sparkContext.broadcast(model.weights)
     constants = tuple(model[1:])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
