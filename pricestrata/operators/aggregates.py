@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
+from .ranges import with_quantiles
 
 
 def group_summary(df: DataFrame, keys: list[str], measures: list[str], shares: dict[str, Column] | None = None, keep_nulls: bool = True) -> DataFrame:
@@ -13,8 +14,8 @@ def group_summary(df: DataFrame, keys: list[str], measures: list[str], shares: d
     own = df if keep_nulls else df.dropna(subset=keys)
     from ..functions.numeric import share
 
-    stats = [a for m in measures for a in (F.avg(m).alias(f"{m}_mean"), F.median(m).alias(f"{m}_median"))]
-    return own.groupBy(*keys).agg(F.count("*").alias("n"), *stats, *(share(c).alias(n) for n, c in (shares or {}).items()))
+    by = own.groupBy(*keys).agg(F.count("*").alias("n"), *(F.avg(m).alias(f"{m}_mean") for m in measures), *(share(c).alias(n) for n, c in (shares or {}).items()))
+    return with_quantiles(by, own, keys, {m: F.col(m) for m in measures}, {"median": 0.5})
 
 
 def with_shares(df: DataFrame, n: str, parent: list[str]) -> DataFrame:
@@ -41,7 +42,10 @@ def value_counts(df: DataFrame, columns: list[str], top: int | None = None, keep
 
 def described(df: DataFrame, column: str, percents: tuple[float, ...] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
     """count, mean, std, min, percentiles and max of a column: one row."""
-    return df.agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), *(F.percentile(column, p).alias(f"p{round(100 * p)}") for p in percents), F.max(column).alias("max"))
+    one = df.agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    names = {f"p{round(100 * p)}": p for p in percents}
+    out = with_quantiles(one, df, [], {"q": F.col(column)}, names)
+    return out.select("count", "mean", "std", "min", *(F.col(f"q_{n}").alias(n) for n in names), "max")
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -60,16 +64,24 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def regression_metrics(y: str = "actual", p: str = "predicted") -> list[Column]:
-    """Aggregates: n, mae, rmse, r2, median absolute error, spreads and two relative errors."""
+    """Aggregates: n, mae, rmse, r2, spreads and two relative errors."""
     e = F.col(y) - F.col(p)
-    return [F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.when(F.var_pop(y) > 0, 1 - F.sum(e * e) / (F.var_pop(y) * F.count("*"))).alias("r2"), F.median(F.abs(e)).alias("median_ae"), F.avg(y).alias("target_mean"), F.stddev_pop(y).alias("target_std"), F.stddev_pop(p).alias("prediction_std"), F.avg(F.abs(e) / F.greatest(F.col(y), F.lit(1.0))).alias("mape"), F.avg(-e).alias("bias")]
+    return [F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.when(F.var_pop(y) > 0, 1 - F.sum(e * e) / (F.var_pop(y) * F.count("*"))).alias("r2"), F.avg(y).alias("target_mean"), F.stddev_pop(y).alias("target_std"), F.stddev_pop(p).alias("prediction_std"), F.avg(F.abs(e) / F.greatest(F.col(y), F.lit(1.0))).alias("mape"), F.avg(-e).alias("bias")]
+
+
+def errors_by(df: DataFrame, keys: list[str], y: str = "actual", p: str = "predicted", *more: Column) -> DataFrame:
+    """Regression metrics by keys, and median_ae, the exact median of absolute errors."""
+    by = df.groupBy(*keys).agg(*regression_metrics(y, p), *more)
+    return with_quantiles(by, df, keys, {"ae": F.abs(F.col(y) - F.col(p))}, {"median": 0.5}).withColumnRenamed("ae_median", "median_ae")
 
 
 def group_errors(df: DataFrame, group: str, y: str, p: str, least: int = 20, within: tuple[int, ...] = (10, 20, 50)) -> DataFrame:
     """Errors by group of `least` rows or more, the worst first."""
     ae = F.abs(F.col(y) - F.col(p))
     shares = [F.avg((ae <= w).cast("int")).alias(f"within_{w}") for w in within]
-    return df.groupBy(group).agg(*regression_metrics(y, p), *shares).where(F.col("n") >= least).orderBy(F.desc("mae"), F.desc("n"), group)
+    enough = df.groupBy(F.col(group).alias("__group")).agg(F.count("*").alias("__n")).where(F.col("__n") >= least)
+    own = df.join(enough, F.col(group).eqNullSafe(F.col("__group")), "left_semi")
+    return errors_by(own, [group], y, p, *shares).orderBy(F.desc("mae"), F.desc("n"), group)
 
 
 def fold_summary(df: DataFrame, metrics: list[str]) -> DataFrame:

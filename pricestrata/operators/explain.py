@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import rolled_up
+from .ranges import with_quantiles
 
 #: Background rows held by the driver, at most: the bound of what every task is sent.
 BACKGROUND = 1000
@@ -91,7 +92,8 @@ def raw_effects(encoded: DataFrame, key: str, raw_of: Column, effect: str = "eff
 
 def importances(explained: DataFrame) -> DataFrame:
     """(feature, mean_abs, mean, median_abs, share) over all explained rows, the largest first."""
-    by = explained.groupBy("feature").agg(F.avg(F.abs("effect")).alias("mean_abs"), F.avg("effect").alias("mean"), F.median(F.abs("effect")).alias("median_abs"))
+    by = explained.groupBy("feature").agg(F.avg(F.abs("effect")).alias("mean_abs"), F.avg("effect").alias("mean"))
+    by = with_quantiles(by, explained, ["feature"], {"abs": F.abs("effect")}, {"median": 0.5}).withColumnRenamed("abs_median", "median_abs")
     total = F.sum("mean_abs").over(Window.partitionBy())  # a row for each feature
     return by.withColumn("share", F.coalesce(F.when(total != 0, F.col("mean_abs") / total), F.lit(0.0))).orderBy(F.desc("mean_abs"), "feature")
 

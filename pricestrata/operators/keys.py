@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import contains_word, null_if
 from .aggregates import unambiguous
 from .quality import member
+from .ranges import quantile_table
 
 # Words that tell a part's category from a vehicle's model.
 TAXONOMY = r"engine|brake|fuel|airbag|suspension|gear ?box|axle|electric|databox|sensor|transmitter|vehicle exterior|drive axle|middle axle"
@@ -77,8 +78,9 @@ def match_share(flag: Column) -> Column:
 
 def median_lookup(train: DataFrame, rows: DataFrame, keys: list[str], target: str) -> DataFrame:
     """rows with `predicted`: the median target of equal keys in train (nulls equal nulls), or of all of train."""
-    by = train.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.median(target).alias("__median"))
-    whole = train.agg(F.median(target)).first()[0]
+    by = quantile_table(train, keys, {"y": F.col(target)}, {"median": 0.5}).toDF(*(f"__{k}" for k in keys), "__median")
+    found = quantile_table(train, [], {"y": F.col(target)}, {"median": 0.5}).first()
+    whole = found[0] if found else None
     on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
     joined = rows.join(by, reduce(lambda a, b: a & b, on), "left")
     return joined.withColumn("predicted", F.coalesce("__median", F.lit(whole))).drop("__median", *(f"__{k}" for k in keys))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import sequenced
+
 ENOUGH, NEAREST = 5, 50
 # The least half-width of a range, as a share and in euros, and that of the fallback.
 SHARE, EUROS, FALLBACK = 0.10, 15.0, 75.0
@@ -22,29 +24,44 @@ def comparable_range(queries: DataFrame, reference: DataFrame, levels: tuple[tup
 
     Levels are tried from narrow to broad, blank inputs left out; the first with ENOUGH rows holds. Its
     NEAREST rows by mileage (by order, without a mileage) give the 10th and 90th percentile, widened
-    around the prediction. Keys with ENOUGH rows are counted first, so a query meets the rows of the one
-    level that it takes, and never those of a broader key.
+    around the prediction. Keys with ENOUGH rows are counted first, so a query looks at the one level that it takes.
+
+    Queries and rows are merged in one order of (key, mileage), upwards and downwards, in ranges; a query
+    then takes the NEAREST places after its own on either side. So it meets twice NEAREST rows with a mileage at most, and
+    NEAREST others, however many rows its key has.
     """
     text = lambda c: F.lower(F.trim(F.col(c).cast("string")))
+    named = lambda i, keys: F.to_json(F.array(F.lit(str(i)), *(text(k) for k in keys))).alias("__key")
     ref = reference.where("price is not null")
-    names = [[f"__{k}" for k in keys] for keys in levels]
-    asked, rows, able = [], [], None
+    asked = rows = None
     for i, keys in enumerate(levels):
-        a = queries
+        a, r = queries, ref
         for k in keys:
             a = a.where(F.coalesce(text(k), F.lit("")) != "")
-        asked.append(a.select("query_id", F.col("mileage").alias("__m"), *(text(k).alias(f"__{k}") for k in keys)))
-        rows.append(ref.select(order, "price", F.col("mileage").alias("__rm"), *(text(k).alias(f"__{k}") for k in keys)))
-        enough = rows[i].groupBy(*names[i]).agg(F.count("*").alias("n")).where(F.col("n") >= ENOUGH)
-        found = asked[i].join(enough, names[i]).select("query_id", F.lit(i).alias("level"))
-        able = found if able is None else able.unionAll(found)
-    level = able.groupBy("query_id").agg(F.min("level").alias("level"))
-    near = None
-    for i in range(len(levels)):
-        own = asked[i].join(level.where(F.col("level") == i), "query_id").join(rows[i], names[i])
-        own = own.select("query_id", "level", order, "price", F.abs(F.col("__m") - F.col("__rm")).alias("away"))
-        near = own if near is None else near.unionAll(own)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.asc_nulls_last("away"), order))
+            r = r.where(text(k).isNotNull())
+        a = a.select("query_id", F.lit(i).alias("level"), F.col("mileage").cast("double").alias("__m"), named(i, keys))
+        r = r.select(named(i, keys), F.col(order).alias("__order"), "price", F.col("mileage").cast("double").alias("__rm"))
+        asked, rows = (a, r) if asked is None else (asked.unionAll(a), rows.unionAll(r))
+    enough = rows.groupBy("__key").agg(F.count("*").alias("n")).where(F.col("n") >= ENOUGH).select("__key")
+    first = asked.join(enough, "__key").groupBy("query_id").agg(F.min(F.struct("level", "__m", "__key")).alias("s")).select("query_id", "s.*")
+    own = rows.join(first.select("__key").distinct(), "__key", "left_semi")
+    # One order for both: of equal mileages rows upwards come after a query, and downwards before it.
+    sides = F.explode(F.array(F.lit(1), F.lit(-1))).alias("side")
+    nothing = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    kinds = dict(rows.dtypes) | dict(first.dtypes)
+    a = own.where("__rm is not null").select("__key", sides, "__order", "price", "__rm", nothing("query_id", kinds["query_id"]), nothing("level", "int"), F.lit(1).alias("is_row"))
+    b = first.where("__m is not null").select("__key", sides, nothing("__order", kinds["__order"]), nothing("price", kinds["price"]), F.col("__m").alias("__rm"), "query_id", "level", F.lit(0).alias("is_row"))
+    merged = a.unionAll(b).withColumns({"value": F.col("side") * F.col("__rm"), "flag": F.when(F.col("is_row") == 1, 0).otherwise(-F.col("side"))})
+    merged = sequenced(merged, ["__key", "side"], ["value", "flag", "__order"], ("is_row",))
+    placed = merged.where("is_row = 1").select("__key", "side", (F.col("before_is_row") + 1).alias("at"), "__order", "price", "__rm")
+    wanted = merged.where("is_row = 0").select("query_id", "level", "__key", "side", F.col("__rm").alias("__m"), F.explode(F.sequence(F.col("before_is_row") + 1, F.col("before_is_row") + NEAREST)).alias("at"))
+    near = wanted.join(placed, ["__key", "side", "at"]).select("query_id", "level", "__order", "price", F.abs(F.col("__m") - F.col("__rm")).alias("away"))
+    # Rows without a mileage come last, and a query without one takes any: the first of each key will do.
+    start = F.row_number().over(Window.partitionBy("__key").orderBy("__order"))
+    for some, who in ((own.where("__rm is null"), F.col("__m").isNotNull()), (own, F.col("__m").isNull())):
+        few = some.select("__key", "__order", "price").withColumn("k", start).where(F.col("k") <= NEAREST).drop("k")
+        near = near.unionAll(first.where(who).join(few, "__key").select("query_id", "level", "__order", "price", nothing("away", "double")))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.asc_nulls_last("away"), "__order"))
     near = near.withColumn("place", place).where(F.col("place") <= NEAREST)
     by = near.groupBy("query_id", "level").agg(F.percentile("price", 0.1).alias("p10"), F.percentile("price", 0.9).alias("p90"), F.count("*").alias("comparables"))
     least = F.greatest(SHARE * F.col("prediction"), F.lit(EUROS))

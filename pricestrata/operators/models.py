@@ -10,7 +10,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .aggregates import fold_summary, regression_metrics
+from .aggregates import errors_by, fold_summary
 from .quality import numeric_columns, text_columns
 from .splits import group_folds, group_split, permuted
 
@@ -84,8 +84,7 @@ def grouped_cv(df: DataFrame, group: str, features: list[str], callback, k: int
 
 
 def cv_summary(predictions: DataFrame) -> DataFrame:
-    by = predictions.groupBy("fold").agg(*regression_metrics())
-    return fold_summary(by, ["mae", "rmse", "r2", "median_ae"])
+    return fold_summary(errors_by(predictions, ["fold"]), ["mae", "rmse", "r2", "median_ae"])
 
 
 def ranked_candidates(df: DataFrame, group: str, target: str, candidates: list[dict], k: int = 4) -> list[dict]:
@@ -111,7 +110,7 @@ def permutation_importance(df: DataFrame, features: list[str], columns: list[str
 
 def shuffled_target(train: DataFrame, target: str, key: str) -> DataFrame:
     """train with its targets dealt out anew: what is learnt from it is worth nothing."""
-    return permuted(train.withColumn("__all", F.lit(1)), target, key, ["__all"]).drop("__all")
+    return permuted(train, target, key, [])
 
 
 def log_uniform_search(space: dict[str, tuple[float, float] | list], n: int, seed: int = 42) -> list[dict]:

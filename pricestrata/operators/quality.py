@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .aggregates import mi_binned
+from .ranges import quantile_table
 
 
 def equal_filters(df: DataFrame, wanted: dict[str, object]) -> DataFrame:
@@ -109,21 +110,26 @@ def repeats(df: DataFrame, keys: list[str], flag: str = "repeated") -> DataFrame
 
 def distinct_labels(df: DataFrame, label: str, raw: str) -> DataFrame:
     """Labels that stand for several raw values get the raw value in brackets."""
-    n = F.size(F.collect_set(raw).over(Window.partitionBy(label)))
-    return df.withColumn(label, F.when(n > 1, F.concat(F.col(label), F.lit(" ["), F.col(raw), F.lit("]"))).otherwise(F.col(label)))
+    w = Window.partitionBy(label)
+    return df.withColumn(label, F.when(F.min(raw).over(w) != F.max(raw).over(w), F.concat(F.col(label), F.lit(" ["), F.col(raw), F.lit("]"))).otherwise(F.col(label)))
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """(column, rows, missing, missing_percent, distinct, least, largest, mean, median): a row for each column, in one pass."""
+    """(column, rows, missing, missing_percent, distinct, least, largest, mean, median): a row for each column."""
     numeric = set(numeric_columns(df))
     aggregates = [F.count("*").alias("rows")]
     for c in df.columns:
         n = F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")
-        aggregates.append(F.struct(F.count(F.when(F.col(c).isNull(), 1)).alias("missing"), F.count_distinct(c).alias("distinct"), F.min(F.col(c).cast("string") if c not in numeric else n.cast("string")).alias("least_text"), F.min(n).alias("least"), F.max(n).alias("largest"), F.avg(n).alias("mean"), F.median(n).alias("median")).alias(f"s_{c}"))
+        aggregates.append(F.struct(F.count(F.when(F.col(c).isNull(), 1)).alias("missing"), F.count_distinct(c).alias("distinct"), F.min(F.col(c).cast("string") if c not in numeric else n.cast("string")).alias("least_text"), F.min(n).alias("least"), F.max(n).alias("largest"), F.avg(n).alias("mean")).alias(f"s_{c}"))
     wide = df.agg(*aggregates)
     rows = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"s_{c}").alias("s")) for c in df.columns)))
-    out = wide.select("rows", rows.alias("r"))
-    return out.select("r.column", "rows", "r.s.missing", F.try_divide(100.0 * F.col("r.s.missing"), F.col("rows")).alias("missing_percent"), "r.s.distinct", "r.s.least", "r.s.largest", "r.s.mean", "r.s.median")
+    if wanted := [c for c in df.columns if c in numeric]:
+        medians = quantile_table(df, [], {c: F.col(c) for c in wanted}, {"median": 0.5})
+        median = F.explode(F.array(*(F.struct(F.lit(c).alias("of"), F.col(f"{c}_median").alias("median")) for c in wanted))).alias("m")
+        out = wide.select("rows", rows.alias("r")).join(F.broadcast(medians.select(median).select("m.*")), F.col("r.column") == F.col("of"), "left")  # a row for each column
+    else:
+        out = wide.select("rows", rows.alias("r"), F.lit(None).cast("double").alias("median"))
+    return out.select("r.column", "rows", "r.s.missing", F.try_divide(100.0 * F.col("r.s.missing"), F.col("rows")).alias("missing_percent"), "r.s.distinct", "r.s.least", "r.s.largest", "r.s.mean", "median")
 
 
 def coerced(df: DataFrame, fragments: tuple[str, ...], convert) -> DataFrame:
@@ -151,10 +157,12 @@ def suspicion(train: DataFrame, others: dict[str, DataFrame], features: list[str
     numeric = [c for c in features if c in numeric_columns(train)]
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in features))).alias("s")
 
-    def counted(df: DataFrame, *more: Column) -> DataFrame:
-        return df.select(pairs, *([F.col(target).cast("double").alias("y")] if more else [])).select("s.*", *(["y"] if more else [])).groupBy("feature", "value").agg(F.count("*").alias("n"), *more)
+    def counted(df: DataFrame) -> DataFrame:
+        return df.select(pairs).select("s.*").groupBy("feature", "value").agg(F.count("*").alias("n"))
 
-    own = counted(train, F.median(F.when(~F.col("feature").isin(numeric), F.col("y"))).alias("median"))
+    texts = train.select(pairs, F.col(target).cast("double").alias("y")).select("s.*", "y").where(~F.col("feature").isin(numeric))
+    medians = quantile_table(texts, ["feature", "value"], {"y": F.col("y")}, {"median": 0.5}).toDF("f", "v", "median")
+    own = counted(train).join(medians, (F.col("feature") == F.col("f")) & F.col("value").eqNullSafe(F.col("v")), "left").drop("f", "v")
     out = own.groupBy("feature").agg(
         F.count("value").alias("unique_count"),
         (F.count("value") / F.sum("n")).alias("unique_ratio"),

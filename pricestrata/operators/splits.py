@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import sequenced
+
 SEED = 42
 
 
@@ -53,9 +57,9 @@ def group_folds(df: DataFrame, group: str, k: int = 4) -> DataFrame:
             runs.append((n, at, groups, order))
             for j, i in enumerate(order):
                 load[i] += n * len(range(at + j, groups, k))
-    place = F.row_number().over(Window.partitionBy("n").orderBy(group)) - 1
+    sizes = sequenced(sizes, ["n"], [group]).withColumn("place", F.col("place") - 1)
     table = df.sparkSession.createDataFrame(runs, "n long, first long, last long, folds array<int>")
-    ranked = sizes.withColumn("place", place).join(table, "n").where((F.col("place") >= F.col("first")) & (F.col("place") < F.col("last")))
+    ranked = sizes.join(table, "n").where((F.col("place") >= F.col("first")) & (F.col("place") < F.col("last")))
     return ranked.select(group, "n", F.get("folds", ((F.col("place") - F.col("first")) % F.size("folds")).cast("int")).alias("fold"))
 
 
@@ -77,8 +81,9 @@ def sampled(df: DataFrame, key: str, n: int, salt: object = SEED) -> DataFrame:
 
 
 def permuted(df: DataFrame, column: str, key: str, within: list[str], salt: object = SEED) -> DataFrame:
-    """df with a column's values dealt out anew within groups, by ranks of hashes."""
-    w = Window.partitionBy(*within)
-    own = df.withColumn("__to", F.row_number().over(w.orderBy(key)))
-    values = df.select(*within, F.row_number().over(w.orderBy(hashed(F.col(key), salt), key)).alias("__to"), F.col(column).alias("__value"))
-    return own.join(values, [*within, "__to"]).withColumn(column, F.col("__value")).drop("__to", "__value")
+    """df with a column's values dealt out anew within groups, by ranks of hashes. Without groups, within all rows."""
+    own = sequenced(df, within, [key], place="__to")
+    shuffled = sequenced(df.select(*within, key, F.col(column).alias("__value"), hashed(F.col(key), salt).alias("__h")), within, ["__h", key], place="__from")
+    values = shuffled.select(*(F.col(c).alias(f"__w{i}") for i, c in enumerate(within)), "__from", "__value")
+    met = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__w{i}")) for i, c in enumerate(within)), F.col("__to") == F.col("__from"))
+    return own.join(values, met).select(*(F.col("__value").alias(c) if c == column else F.col(c) for c in df.columns))

@@ -14,15 +14,18 @@ from ..functions import numeric as N
 from ..functions import pages as P
 from ..functions import text as X
 from ..operators import aggregates as A
+from ..operators import encoding as C
 from ..operators import explain as E
 from ..operators import history as H
 from ..operators import keys as K
 from ..operators import market as M
 from ..operators import models as D
 from ..operators import quality as Q
+from ..operators import ranges as G
 from ..operators import selection as L
 from ..operators import serving as V
 from ..operators import splits as S
+from ..operators import trees as B
 from ..sources import files as R
 
 FLAGSHIP = "w1_w6_point_in_time"
@@ -199,7 +202,9 @@ def a6_d6_lifecycle(t):
 
 @query("SELECT count(DISTINCT p_brand) AS brands, count(DISTINCT p_type) AS types, percentile_cont(0.25) WITHIN GROUP (ORDER BY p_retailprice) AS q25, mode(p_size) FILTER (p_size = 7) AS size_mode FROM part")
 def a7_a8_a25_distinct_quantile_mode(t):
-    return t("part").agg(F.count_distinct("p_brand").alias("brands"), F.count_distinct("p_type").alias("types"), F.percentile("p_retailprice", 0.25).alias("q25"), F.mode(F.when(F.col("p_size") == 7, F.col("p_size")), True).alias("size_mode"))
+    part = t("part")
+    one = part.agg(F.count_distinct("p_brand").alias("brands"), F.count_distinct("p_type").alias("types"), F.mode(F.when(F.col("p_size") == 7, F.col("p_size")), True).alias("size_mode"))
+    return G.with_quantiles(one, part, [], {"q": F.col("p_retailprice")}, {"25": 0.25}).select("brands", "types", F.col("q_25").alias("q25"), "size_mode")
 
 
 @query(
@@ -223,7 +228,10 @@ def a11_pair_counts(t):
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers, round(avg(l_extendedprice), 4) AS mean, round(median(l_extendedprice), 4) AS median FROM lineitem GROUP BY ALL")
 def a12_rows_distinct_mean_median(t):
-    return t("lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.count_distinct("l_suppkey").alias("suppliers"), r4(F.avg("l_extendedprice"), "mean"), r4(F.median("l_extendedprice"), "median"))
+    keys = ["l_returnflag", "l_linestatus"]
+    by = t("lineitem").groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct("l_suppkey").alias("suppliers"), r4(F.avg("l_extendedprice"), "mean"))
+    out = G.with_quantiles(by, t("lineitem"), keys, {"price": F.col("l_extendedprice")}, {"median": 0.5})
+    return out.select(*by.columns, r4(F.col("price_median"), "median"))
 
 
 @query(
@@ -260,7 +268,7 @@ def _metrics(df):
 
 @query(f"SELECT {_METRICS} FROM {_PREDICTED}")
 def a20_a21_regression_metrics(t):
-    out = _predicted(t).agg(*A.regression_metrics())
+    out = A.errors_by(_predicted(t), [])
     return out.select("n", *_metrics(out))
 
 
@@ -283,7 +291,7 @@ def a18_f45_error_bands(t):
 )
 def a19_f46_quantile_bands(t):
     own = _predicted(t)
-    edges = own.agg(N.quantile_edges(F.col("actual")).alias("e")).first()["e"]
+    edges = G.edges(own, F.col("actual"))
     return own.groupBy(N.bin_of(F.col("actual"), F.lit(edges)).alias("bin"), (F.col("predicted") > F.col("actual")).alias("over")).agg(F.count("*").alias("n"))
 
 
@@ -309,12 +317,15 @@ def a24_rolled_up_importance(t):
 
 @query("SELECT round(stddev_pop(m), 4) AS spread FROM (SELECT median(p_retailprice) AS m FROM part GROUP BY p_brand)")
 def a26_spread_of_medians(t):
-    return t("part").groupBy("p_brand").agg(F.median("p_retailprice").alias("m")).agg(r4(F.stddev_pop("m"), "spread"))
+    medians = G.quantile_table(t("part"), ["p_brand"], {"price": F.col("p_retailprice")}, {"median": 0.5})
+    return medians.agg(r4(F.stddev_pop("price_median"), "spread"))
 
 
 @query("SELECT round(avg(n), 4) AS mean, median(n) AS median, max(n) AS largest FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)")
 def a27_group_sizes(t):
-    return t("orders").groupBy("o_custkey").agg(F.count("*").alias("n")).agg(r4(F.avg("n"), "mean"), F.median("n").alias("median"), F.max("n").alias("largest"))
+    sizes = t("orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    one = sizes.agg(r4(F.avg("n"), "mean"), F.max("n").alias("largest"))
+    return G.with_quantiles(one, sizes, [], {"n": F.col("n")}, {"median": 0.5}).select("mean", F.col("n_median").alias("median"), "largest")
 
 
 @query("SELECT l_partkey, count(DISTINCT l_suppkey) AS owners, CASE WHEN count(DISTINCT l_suppkey) = 1 THEN min(l_suppkey) END AS l_suppkey FROM lineitem GROUP BY l_partkey")
@@ -381,8 +392,9 @@ def w7_w10_full_history(t):
 )
 def w8_w9_ranks_and_deltas(t):
     b = t("part").groupBy("p_brand").agg(F.avg("p_retailprice").alias("mae"), F.stddev_pop("p_retailprice").alias("rmse"))
-    whole = Window.partitionBy()
-    return b.select("p_brand", F.dense_rank().over(Window.orderBy("mae")).alias("mae_rank"), F.dense_rank().over(Window.orderBy("rmse")).alias("rmse_rank"), r4(F.col("mae") - F.max(F.when(F.col("p_brand") == "Brand#11", F.col("mae"))).over(whole), "mae_delta"))
+    base = b.agg(F.max(F.when(F.col("p_brand") == "Brand#11", F.col("mae"))).alias("base"))
+    ranked = G.dense_ranked(b, {"mae_rank": "mae", "rmse_rank": "rmse"}).join(F.broadcast(base))  # one row
+    return ranked.select("p_brand", F.col("mae_rank").cast("int").alias("mae_rank"), F.col("rmse_rank").cast("int").alias("rmse_rank"), r4(F.col("mae") - F.col("base"), "mae_delta"))
 
 
 # Sorting and sets
@@ -544,7 +556,12 @@ def g1_g3_group_split(t):
     return S.group_split(t("customer").select((F.col("c_nationkey") * 1000 + F.col("c_custkey") % 40).alias("g")), "g")
 
 
-@query()
+@query(
+    "WITH RECURSIVE s AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, o_custkey) AS k FROM s), "
+    "f(k, o_custkey, n, fold, loads) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::INT, [0, 0, 0, 0]::BIGINT[] UNION ALL "
+    "SELECT r.k, r.o_custkey, r.n, (list_position(loads, list_min(loads)) - 1)::INT, list_transform(range(1, 5), lambda i: loads[i] + CASE WHEN i = list_position(loads, list_min(loads)) THEN r.n ELSE 0 END)::BIGINT[] FROM f JOIN r ON r.k = f.k + 1) "
+    "SELECT o_custkey, n, fold FROM f WHERE k > 0"
+)
 def g2_group_folds(t):
     return S.group_folds(t("orders"), "o_custkey")
 
@@ -718,7 +735,8 @@ def f47_half_even(t):
 
 @query("SELECT o_custkey, round(quantile_cont(o_totalprice, 0.9), 4) AS q FROM orders GROUP BY o_custkey")
 def f50_sorted_quantile(t):
-    return t("orders").groupBy("o_custkey").agg(r4(N.sorted_quantile(F.collect_list("o_totalprice"), 0.9), "q"))
+    out = G.quantile_table(t("orders"), ["o_custkey"], {"price": F.col("o_totalprice")}, {"q": 0.9})
+    return out.select("o_custkey", r4(F.col("price_q"), "q"))
 
 
 @query("WITH r AS (SELECT p_brand, p_partkey, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS k FROM part) SELECT p_brand, p_partkey, p_retailprice FROM r ORDER BY k > 1, p_retailprice, p_brand, p_partkey LIMIT 40")
@@ -819,7 +837,7 @@ _PART_FEATURES = ["p_size", "p_brand", "p_type"]
 def m8_m21_forest_cv(t):
     """Out-of-fold errors by fold: forests depend on how rows are laid out, so there is no SQL for them."""
     out = D.grouped_cv(t("part"), "p_name", _PART_FEATURES, D.fit_predict("forest", "p_retailprice", numTrees=8, maxDepth=5), 3)
-    return out.groupBy("fold").agg(*A.regression_metrics())
+    return A.errors_by(out, ["fold"])
 
 
 @query()
@@ -832,3 +850,94 @@ def m12_forest_ranges(t):
 def m28_forest_effects(t):
     bundle = V.fitted(t("part"), _PART_FEATURES, "p_retailprice", numTrees=8, maxDepth=5)
     return E.effects(t("part"), "p_partkey", _PART_FEATURES, t("part").where("p_partkey <= 20"), bundle.predict, pairs=4)
+
+
+# (tree, node, feature, threshold, left, right, value): two small trees over size, price and key.
+_TREES = [
+    (0, 0, 0, 20.0, 1, 2, None), (0, 1, 1, 1200.0, 3, 4, None), (0, 2, 0, 40.0, 5, 6, None), (0, 3, -1, None, -1, -1, 1.0), (0, 4, -1, None, -1, -1, 5.0), (0, 5, 1, 1500.0, 7, 8, None),
+    (0, 6, -1, None, -1, -1, 10.0), (0, 7, -1, None, -1, -1, 2.0), (0, 8, -1, None, -1, -1, 3.0), (1, 0, 2, 50.0, 1, 2, None), (1, 1, -1, None, -1, -1, -4.0), (1, 2, 0, 30.0, 3, 4, None), (1, 3, -1, None, -1, -1, 0.5), (1, 4, -1, None, -1, -1, 7.0),
+]
+_TREE_SQL = [
+    lambda s, p: f"(CASE WHEN {s} <= 20 THEN CASE WHEN {p} <= 1200 THEN 1.0 ELSE 5.0 END WHEN {s} <= 40 THEN CASE WHEN {p} <= 1500 THEN 2.0 ELSE 3.0 END ELSE 10.0 END)",
+    lambda s, k: f"(CASE WHEN {k} <= 50 THEN -4.0 WHEN {s} <= 30 THEN 0.5 ELSE 7.0 END)",
+]
+
+
+def _pair_effect(tree, first: tuple[str, str], second: tuple[str, str], of_first: bool) -> str:
+    """The Shapley value of one of two features, each given as (the row's value, the background's)."""
+    (x, b), (y, c) = first, second
+    return f"(({tree(x, c)} - {tree(b, c)} + {tree(x, y)} - {tree(b, y)}) / 2)" if of_first else f"(({tree(b, y)} - {tree(b, c)} + {tree(x, y)} - {tree(x, c)}) / 2)"
+
+
+_S, _P, _K = ("r.p_size", "g.p_size"), ("r.p_retailprice", "g.p_retailprice"), ("r.p_partkey % 101", "g.p_partkey % 101")
+_TREE_EFFECTS = [
+    ("p_size", f"{_pair_effect(_TREE_SQL[0], _S, _P, True)} + {_pair_effect(_TREE_SQL[1], _S, _K, True)}"),
+    ("p_retailprice", _pair_effect(_TREE_SQL[0], _S, _P, False)),
+    ("key", _pair_effect(_TREE_SQL[1], _S, _K, False)),
+]
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT r.p_partkey, '{name}' AS feature, round(avg(({effect})::DOUBLE), 4) + 0.0::DOUBLE AS effect, round(avg(({_TREE_SQL[0](_S[1], _P[1])} + {_TREE_SQL[1](_S[1], _K[1])})::DOUBLE), 4) AS base, "
+        f"({_TREE_SQL[0](_S[0], _P[0])} + {_TREE_SQL[1](_S[0], _K[0])})::DOUBLE AS predicted FROM part r, (SELECT * FROM part WHERE p_partkey <= 30) g GROUP BY r.p_partkey, r.p_size, r.p_retailprice"
+        for name, effect in _TREE_EFFECTS
+    )
+)
+def m28_tree_effects(t):
+    """Of two small trees: the path walk against the definition of Shapley values."""
+    part = t("part")
+    rows = part.select("p_partkey", F.array(F.col("p_size").cast("double"), F.col("p_retailprice").cast("double"), (F.col("p_partkey") % 101).cast("double")).alias("features"))
+    nodes = part.sparkSession.createDataFrame([(a, b, c, d, None, e, f, g) for a, b, c, d, e, f, g in _TREES], B.NODE_SCHEMA)
+    out = B.tree_effects(rows, "p_partkey", nodes, rows.where("p_partkey <= 30"), ["p_size", "p_retailprice", "key"])
+    return rounded(out).withColumn("effect", F.col("effect") + 0.0)  # no negative zeros
+
+
+@query("SELECT count(*) AS rows, 0::BIGINT AS not_finite, 0::BIGINT AS too_large, true AS sound, true AS exact FROM part")
+def m28_m29_tree_explainer(t):
+    """A fitted forest over encoded columns: its effects by raw feature add up to its own predictions."""
+    part = t("part")
+    bundle = V.fitted(part, _PART_FEATURES, "p_retailprice", numTrees=8, maxDepth=5)
+    found = B.model_effects(bundle, part, "p_partkey", part.where("p_partkey <= 20"))
+    own = bundle.predict(part).select("p_partkey", F.col("predicted").alias("own"))
+    met = found.groupBy("p_partkey").agg((F.sum("effect") + F.first("base")).alias("rebuilt")).join(own, "p_partkey")
+    exact = met.agg((F.max(F.abs(F.col("rebuilt") - F.col("own"))) < 1e-6).alias("exact"))
+    return E.checked(found, "p_partkey").select("rows", "not_finite", "too_large", "sound").join(F.broadcast(exact))  # one row each
+
+
+@query()
+def m9_m21_stopped_boosting(t):
+    """Out-of-fold errors by fold of boosting whose number of rounds groups held out of its training rows choose."""
+    callback = B.stopped_fit_predict("p_retailprice", "p_name", rounds=12, patience=3, maxDepth=3)
+    out = D.grouped_cv(t("part"), "p_name", ["p_size", "p_brand"], callback, 2)
+    return A.errors_by(out, ["fold"])
+
+
+@query(
+    "WITH l AS (SELECT 'p_name' AS c, p_name AS v FROM part WHERE p_partkey % 2 = 0 UNION SELECT 'p_type', p_type FROM part WHERE p_partkey % 2 = 0), k AS (SELECT c, v, (row_number() OVER (PARTITION BY c ORDER BY v) - 1)::DOUBLE AS code FROM l) "
+    "SELECT p_partkey, a.code AS p_name_code, b.code AS p_type_code FROM part LEFT JOIN (SELECT * FROM k WHERE c = 'p_name') a ON a.v = p_name LEFT JOIN (SELECT * FROM k WHERE c = 'p_type') b ON b.v = p_type"
+)
+def m6_frozen_levels(t):
+    """Levels of even parts, saved and read again; those that only odd parts have are missing."""
+    part = t("part")
+    spark, path = part.sparkSession, R.scratch_path(part.sparkSession)
+    C.FrozenLevels.of(part.where("p_partkey % 2 = 0"), ["p_name", "p_type"]).save(path)
+    return C.FrozenLevels.load(spark, path)(part).select("p_partkey", "p_name_code", "p_type_code")
+
+
+@query(
+    "WITH a AS (SELECT *, avg(o_totalprice) OVER () AS m FROM orders), "
+    "s AS (SELECT o_orderkey, m, sum(o_totalprice) OVER w AS s, count(*) OVER w AS n FROM a WINDOW w AS (PARTITION BY o_orderstatus ORDER BY md5(o_orderkey || ':42'), o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) "
+    "SELECT o_orderkey, round((coalesce(s, 0) + m) / (n + 1), 3) AS statistic FROM s"
+)
+def m10_ordered_statistics(t):
+    """Of three states, each a third of all orders or more."""
+    out = C.ordered_statistics(t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), "o_orderstatus", "o_totalprice", "o_orderkey")
+    return out.select("o_orderkey", F.round("statistic", 3).alias("statistic"))
+
+
+@query()
+def m10_m21_ordered_boosting(t):
+    """Out-of-fold errors by fold of boosting over ordered target statistics."""
+    callback = C.ordered_fit_predict("p_retailprice", "p_partkey", maxIter=6, maxDepth=3)
+    return A.errors_by(D.grouped_cv(t("part"), "p_name", _PART_FEATURES, callback, 2), ["fold"])

@@ -1,5 +1,5 @@
 import pytest
-from pricestrata.operators import models
+from pricestrata.operators import aggregates, models
 from pricestrata.sources import files
 from pricestrata.streaming import history
 from pyspark.sql import functions as F
@@ -16,12 +16,12 @@ def test_grouped_cv_keeps_groups_whole_and_shuffled_targets_are_worthless(spark,
     assert out.count() == 160 and out.groupBy("product_id").agg(F.count_distinct("fold").alias("k")).where("k > 1").count() == 0
     real = models.cv_summary(out).first()["r2_mean"]
     train, rest = rows.where("product_id % 4 > 0"), rows.where("product_id % 4 = 0")
-    wrong = run(models.shuffled_target(train, "price", "id"), rest, ["signal", "category"]).agg(*models.regression_metrics()).first()["r2"]
+    wrong = run(models.shuffled_target(train, "price", "id"), rest, ["signal", "category"]).agg(*aggregates.regression_metrics()).first()["r2"]
     assert real > 0.9 and wrong < real - 0.5
 
 
 def test_linear_and_boosted_models_and_permutation(spark, rows):
-    line = models.fit_predict("linear", regParam=0.0)(rows, rows, ["signal", "category"]).agg(*models.regression_metrics()).first()
+    line = models.fit_predict("linear", regParam=0.0)(rows, rows, ["signal", "category"]).agg(*aggregates.regression_metrics()).first()
     assert line["r2"] > 0.999
     run = models.fit_predict("boosted", maxIter=5)
     gain = models.permutation_importance(rows, ["signal", "category"], ["signal", "category"], "id", run, rows, ["category"])
