@@ -16,7 +16,7 @@ their shingles: such pairs differ in 3 to 14 of 64 bits. near_copies() therefore
 from the same deletion-variant signatures, but of PRINTS fingerprints of a text's distinct words, of
 which near copies share far more: pairs at 0.8 differ in 4 bits of 64 on average, or in 9 if one is the
 other without its last fifth. Short texts, whose bits vary more, have FEW_PRINTS of them; in others little
-words don't count, which strangers of one language share. Candidates whose sets of distinct five-word shingles have a
+words don't count, which strangers of one language share, unless nearly all words are little. Candidates whose sets of distinct five-word shingles have a
 Jaccard similarity of 0.8 or more, counted on whole texts, link; no others do.
 
 Nulls and texts of no words have the fingerprint zero, which links like any other. Repeated rows
@@ -43,7 +43,9 @@ SEED = 42
 _BLOCK = 1 << 15
 
 #: near_copies(): words of a shingle, fingerprints of a text, and of one of FEW distinct words or fewer; bytes of a little word.
-NEAR_WORDS, PRINTS, FEW, FEW_PRINTS, LITTLE = 5, 4, 64, 8, 3
+NEAR_WORDS, PRINTS, FEW, FEW_PRINTS, LITTLE = 5, 5, 64, 8, 3
+#: Of a text's distinct words so large a part at least (one in so many) is to be larger than little, or little words count.
+LEAST_LARGER = 8
 #: 64-bit words of the wide fingerprint; the share of its bits that candidates of few shingles, and of more, may differ in; and how many of its first 64.
 WIDE, SHARES, OTHER_BITS = 8, (0.25, 0.22), 19
 #: Of a bucket's nodes each is held against so many before it; one in so many signatures comes first; and the share of bits across loose groups.
@@ -194,39 +196,43 @@ def _node(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
-def sketch(text: str | None, words: _Words) -> tuple[int, int, np.ndarray, np.ndarray, int]:
-    """(node, number of the first print, prints, wide fingerprint of the shingles, their number) of a whole text.
+def sketch(text: str | None, words: _Words) -> tuple[int, list[int | None], np.ndarray, int]:
+    """(node, prints, wide fingerprint of the shingles, their number) of a whole text.
 
-    Prints 0 to FEW_PRINTS - 1 are of all distinct words, for texts of few; the others leave out words of
-    LITTLE bytes or fewer, which strangers of one language share. Texts between have both, as near copies
-    of one number of words have 5 / 4 times as many at most. A text of no words has no prints, so it links
-    to equal texts alone.
+    A print's place in the list says which one it is; those that a text does not have are null. The first FEW_PRINTS
+    are of all distinct words, for texts of few. PRINTS others leave out words of LITTLE bytes or fewer, which strangers of
+    one language share; where most words are little ones, the last PRINTS, of all words, take their place. Texts near a
+    border have both kinds, as near copies have 5 / 4 times as many words at most, and as many little ones.
+    A text of no words has no prints, so it links to equal texts alone.
     """
     digest, h, little, shingles = _hashed(text, words)
     if not len(h):
-        return _node(digest), 0, np.zeros(0, np.int64), np.zeros(WIDE, np.int64), 0
+        return _node(digest), [], np.zeros(WIDE, np.int64), 0
     every, larger = np.unique(h), np.unique(h[~little])
-    parts = [_majority(every, np.arange(1, 1 + FEW_PRINTS))] if len(every) * 4 <= FEW * 5 else []
-    if len(every) > FEW:
-        parts.append(_majority(larger, np.arange(50, 50 + PRINTS)))
-    first = 0 if len(every) * 4 <= FEW * 5 else FEW_PRINTS
-    return _node(digest), first, np.concatenate(parts), _majority(shingles, np.arange(100, 100 + WIDE)), len(shingles)
+    prints: list[int | None] = [None] * (FEW_PRINTS + 2 * PRINTS)
+    if len(every) * 4 <= FEW * 5:
+        prints[:FEW_PRINTS] = _majority(every, np.arange(1, 1 + FEW_PRINTS)).tolist()
+    if len(every) > FEW and len(larger) * LEAST_LARGER > len(every):
+        prints[FEW_PRINTS : FEW_PRINTS + PRINTS] = _majority(larger, np.arange(50, 50 + PRINTS)).tolist()
+    if len(every) > FEW and len(larger) * LEAST_LARGER <= 2 * len(every):
+        prints[FEW_PRINTS + PRINTS :] = _majority(every, np.arange(70, 70 + PRINTS)).tolist()
+    return _node(digest), prints, _majority(shingles, np.arange(100, 100 + WIDE)), len(shingles)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, node, first, prints, wide, size) of every document."""
+    """(doc_id, text_key, node, prints, wide, size) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, longs = _Words(), pa.list_(pa.int64())
         for b in batches:
             got = [sketch(t.as_py(), words) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), *(pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.int32(), longs, longs, pa.int64())))],
-                names=["doc_id", "text_key", "node", "first", "prints", "wide", "size"],
+                [b.column(0), b.column(1), *(pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), longs, longs, pa.int64())))],
+                names=["doc_id", "text_key", "node", "prints", "wide", "size"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, node long, first int, prints array<long>, wide array<long>, size long")
+    return rows.mapInArrow(run, "doc_id long, text_key long, node long, prints array<long>, wide array<long>, size long")
 
 
 def text_key(text: Column) -> Column:
@@ -338,13 +344,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
     different loose groups are, by a join.
     """
     own = kept(sketches(docs))
-    texts = kept(own.groupBy("node").agg(F.min("text_key").alias("text_key"), *(F.any_value(n).alias(n) for n in ("first", "prints", "wide", "size"))))
+    texts = kept(own.groupBy("node").agg(F.min("text_key").alias("text_key"), *(F.any_value(n).alias(n) for n in ("prints", "wide", "size"))))
     segments, chosen = cuts(texts.count())
     by = Window.partitionBy("key")
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= OTHER_BITS
     pair = lambda a, b: (F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
-    each = dealt(texts.select("node", F.element_at("wide", 1).alias("other"), "first", F.posexplode("prints").alias("i", "fp")))
-    keyed = each.select("node", "other", F.explode(signatures(F.col("fp"), segments, chosen, F.col("first") + F.col("i"))).alias("key")).withColumn("key", F.shiftright("key", 32).cast("int"))
+    each = dealt(texts.select("node", F.element_at("wide", 1).alias("other"), F.posexplode("prints").alias("i", "fp")).where("fp is not null"))
+    keyed = each.select("node", "other", F.explode(signatures(F.col("fp"), segments, chosen, F.col("i"))).alias("key")).withColumn("key", F.shiftright("key", 32).cast("int"))
 
     def preceded(rows: DataFrame, order: list, lags: int) -> DataFrame:
         """rows with before: the nodes among the lags before each in its bucket that may be near it."""

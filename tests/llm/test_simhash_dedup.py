@@ -102,7 +102,7 @@ def test_near_copies_link_at_four_fifths_of_the_shingles_and_not_below(spark):
     assert groups(spark, texts) == brute(texts) and sum(len(g) == 2 for g in brute(texts)) == 30
 
 
-@pytest.mark.parametrize("size", [14, 100])
+@pytest.mark.parametrize("size", [14, 60, 100, 200])
 def test_recall_of_short_texts(spark, size):
     """Pairs of texts of few words that differ in their last words, just above the bound: the hardest, as whole stretches of words are missing."""
     r = random.Random(size)
@@ -113,7 +113,7 @@ def test_recall_of_short_texts(spark, size):
         texts += [" ".join(base), " ".join(base[:-drop])]
     want = [g for g in brute(texts) if len(g) > 1]
     got = groups(spark, texts)
-    assert len(want) == 150 and all(len(g) == 1 or g in want for g in got) and sum(g in got for g in want) >= 0.85 * len(want)
+    assert len(want) == 150 and all(len(g) == 1 or g in want for g in got) and sum(g in got for g in want) >= 0.9 * len(want)
 
 
 def test_near_copies_of_a_dense_group_equal_all_pairs(spark):
@@ -126,3 +126,18 @@ def test_near_copies_of_a_dense_group_equal_all_pairs(spark):
         texts.append(" ".join(word(r) if i in changed else w for i, w in enumerate(base)))
     got = groups(spark, texts)
     assert got == brute(texts) and 1 < len(got) < 60
+
+
+def test_texts_of_little_words_have_prints_and_no_common_bucket(spark):
+    """Numbers below a thousand, single characters, and texts on both sides of the border: strangers share no bucket, near copies link."""
+    r = random.Random(82)
+    little = [" ".join(str(r.randrange(1000)) for _ in range(400)) for _ in range(20)]
+    signs = [" ".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(300)) for _ in range(20)]
+    mixed = [" ".join(word(r) if r.random() < 0.02 * i else str(r.randrange(1000)) for _ in range(400)) for i in range(20)]
+    texts = [*little, *signs, *mixed]
+    near = [" ".join(w if i not in (50, 150, 250) else "other" for i, w in enumerate(t.split())) for t in texts]
+    got = groups(spark, [*texts, *near])
+    assert got == brute([*texts, *near]) == sorted([i, i + 60] for i in range(60))
+    words = simhash_dedup._Words()
+    prints = [(i, p) for t in texts for i, p in enumerate(simhash_dedup.sketch(t, words)[1]) if p is not None]
+    assert len(prints) == len(set(prints)) and all(any(p is not None for p in simhash_dedup.sketch(t, words)[1]) for t in texts)
