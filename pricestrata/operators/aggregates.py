@@ -48,18 +48,19 @@ def described(df: DataFrame, column: str, percents: tuple[float, ...] = (0.01, 0
     return out.select("count", "mean", "std", "min", *(F.col(f"q_{n}").alias(n) for n in names), "max")
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Of two numbers over rows that have both (an aggregate); null if either is constant."""
+    x, y = (F.when(a.isNotNull() & b.isNotNull(), c.cast("double")) for c in (a, b))
+    n, sx, sy = F.count(x), F.sum(x), F.sum(y)
+    top = n * F.sum(x * y) - sx * sy
+    low = (n * F.sum(x * x) - sx * sx) * (n * F.sum(y * y) - sy * sy)
+    return F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0) & (low > 0), top / F.sqrt(low))
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, correlation) of all pairs of columns, over rows that have both; null if either is constant."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-
-    def one(a: str, b: str) -> Column:
-        x, y = (F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(c).cast("double")) for c in (a, b))
-        n, sx, sy = F.count(x), F.sum(x), F.sum(y)
-        top = n * F.sum(x * y) - sx * sy
-        low = (n * F.sum(x * x) - sx * sx) * (n * F.sum(y * y) - sy * sy)
-        return F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0) & (low > 0), top / F.sqrt(low))
-
-    wide = df.agg(*(one(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)))
+    wide = df.agg(*(correlation(F.col(a), F.col(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)))
     return wide.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{i}`").alias("correlation")) for i, (a, b) in enumerate(pairs)))).alias("r")).select("r.*")
 
 
@@ -84,6 +85,22 @@ def group_errors(df: DataFrame, group: str, y: str, p: str, least: int = 20, wit
     return errors_by(own, [group], y, p, *shares).orderBy(F.desc("mae"), F.desc("n"), group)
 
 
+def error_bands(df: DataFrame, band: Column, y: str = "actual", p: str = "predicted") -> DataFrame:
+    """(band, n, mae, mape): errors by band; the relative error is of rows whose actual value is above 1."""
+    ae = F.abs(F.col(y) - F.col(p))
+    return df.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.avg(ae).alias("mae"), F.avg(F.when(F.col(y) > 1, ae / F.col(y))).alias("mape"))
+
+
+def with_empty(counts: DataFrame, values: dict[str, list], n: str = "n") -> DataFrame:
+    """counts with a row, of n 0, for each combination of the given values that it lacks."""
+    grid = counts.sparkSession.range(1).select()
+    for c, own in values.items():
+        grid = grid.select("*", F.explode(F.array(*map(F.lit, own))).alias(c))
+    kinds = dict(counts.dtypes)
+    grid = grid.select(*(F.col(c).cast(kinds[c]).alias(c) for c in values))
+    return grid.join(counts, list(values), "full").withColumn(n, F.coalesce(n, F.lit(0).cast(kinds[n]))).select(*counts.columns)
+
+
 def fold_summary(df: DataFrame, metrics: list[str]) -> DataFrame:
     """Mean, population deviation, least and largest of each metric over folds: one row."""
     return df.agg(*(f(m).alias(f"{m}_{n}") for m in metrics for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))))

@@ -44,6 +44,16 @@ def full_history(df: DataFrame, entity: str, date: str, price: str, *ties: str)
     return out.withColumns({"span_days": F.datediff("last_seen", "first_seen"), "absolute_change": change, "percent_change": F.when(F.col("first_price") != 0, ratio(change, F.col("first_price")) * 100)})
 
 
+def with_day_offsets(frames: dict[str, DataFrame], dates: dict[str, str], reference: str) -> dict[str, DataFrame]:
+    """frames, each with the days of its dates (name: date column) since the first `reference` day of all of them."""
+    every = None
+    for df in frames.values():
+        least = df.agg(F.min(reference).alias("d"))
+        every = least if every is None else every.unionAll(least)
+    first = every.agg(F.min("d")).first()[0]
+    return {n: df.withColumns({name: F.datediff(F.col(c), F.lit(first)) for name, c in dates.items()}) for n, df in frames.items()}
+
+
 def fullest_per_day(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Of rows with equal keys the one with most values, then the earliest."""
     filled = sum((F.col(c).isNotNull().cast("int") for c in df.columns), F.lit(0))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .aggregates import mi_binned
+from .aggregates import correlation, mi_binned
 from .ranges import quantile_table
 
 
@@ -99,6 +99,21 @@ def member(df: DataFrame, keys: list[str], other: DataFrame, other_keys: list[st
     return lookup_join(df, other.select(*other_keys).dropna().distinct(), keys, other_keys, marker=flag).withColumn(flag, F.col(flag) == "both")
 
 
+def require_matched(df: DataFrame, marker: str, keys: list[str]) -> DataFrame:
+    """df, a join with a marker, without it, if every row has found its key."""
+    lost = df.where(F.col(marker) == "left_only").select(*keys).limit(5).collect()
+    if lost:
+        raise ValueError(f"keys without a match: {[tuple(r) for r in lost]}")
+    return df.drop(marker)
+
+
+def coverage_change(now: DataFrame, before: DataFrame) -> DataFrame:
+    """(column, missing, missing_percent, missing_before, delta) of two profiles; a column that one run lacks has nulls there."""
+    old = before.select("column", F.col("missing").alias("missing_before"), F.col("missing_percent").alias("__p"))
+    both = now.select("column", "missing", "missing_percent").join(old, "column", "full")
+    return both.select("column", "missing", "missing_percent", "missing_before", (F.col("missing_percent") - F.col("__p")).alias("delta"))
+
+
 def keep_first(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("__place", place).where("__place = 1").drop("__place")
@@ -174,7 +189,7 @@ def suspicion(train: DataFrame, others: dict[str, DataFrame], features: list[str
         there = counted(df).dropna(subset=["value"]).join(seen, ["feature", "value"], "left")
         unseen = F.sum(F.when(F.col("seen").isNull(), F.col("n")).otherwise(0)) / F.sum("n")
         out = out.join(there.groupBy("feature").agg(unseen.alias(f"{name}_unseen_fraction")), "feature", "left")
-    tied = F.array(*(F.struct(F.lit(c).alias("feature"), (F.abs(F.corr(F.col(c).cast("double"), F.col(target).cast("double"))) if c in numeric else F.lit(None).cast("double")).alias("abs_corr_with_target")) for c in features))
+    tied = F.array(*(F.struct(F.lit(c).alias("feature"), (F.abs(correlation(F.col(c), F.col(target))) if c in numeric else F.lit(None).cast("double")).alias("abs_corr_with_target")) for c in features))
     out = out.join(train.agg(tied.alias("s")).select(F.explode("s").alias("s")).select("s.*"), "feature", "left")
     out = out.join(mi_binned(train, {c: F.col(c) for c in features}, target_bin).drop("rows"), "feature", "left")
     found = [F.when((F.col(c) > least) if c == "unique_ratio" else (F.col(c) >= least), flag) for flag, (c, least) in SUSPICIONS.items()]

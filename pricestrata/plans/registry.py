@@ -14,6 +14,8 @@ from ..functions import numeric as N
 from ..functions import pages as P
 from ..functions import text as X
 from ..operators import aggregates as A
+from ..operators import audit as I
+from ..operators import crawl as W
 from ..operators import encoding as C
 from ..operators import explain as E
 from ..operators import history as H
@@ -27,6 +29,7 @@ from ..operators import serving as V
 from ..operators import splits as S
 from ..operators import trees as B
 from ..sources import files as R
+from ..streaming import history as T
 
 FLAGSHIP = "w1_w6_point_in_time"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -279,20 +282,23 @@ def a16_a17_group_errors(t):
 
 
 @query(
-    f"SELECT band, count(*) AS n, round(avg(abs(actual - predicted)), 3) AS mae FROM (SELECT *, CASE WHEN actual >= 0 AND actual < 10000 THEN 'low' WHEN actual >= 10000 AND actual < 50000 THEN 'middle' WHEN actual >= 50000 AND actual < 1000000 THEN 'high' END AS band FROM {_PREDICTED}) GROUP BY band"
+    f"SELECT band, count(*) AS n, round(avg(abs(actual - predicted)), 3) AS mae, round(avg(CASE WHEN actual > 1 THEN abs(actual - predicted) / actual END), 4) AS mape FROM (SELECT *, CASE WHEN actual >= 0 AND actual < 10000 THEN 'low' WHEN actual >= 10000 AND actual < 50000 THEN 'middle' WHEN actual >= 50000 AND actual < 1000000 THEN 'high' END AS band FROM {_PREDICTED}) GROUP BY band"
 )
 def a18_f45_error_bands(t):
     band = N.fixed_bins(F.col("actual"), [0, 10_000, 50_000, 1_000_000], ["low", "middle", "high"], right=False)
-    return _predicted(t).groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("actual") - F.col("predicted"))), 3).alias("mae"))
+    return A.error_bands(_predicted(t), band).select("band", "n", F.round("mae", 3).alias("mae"), r4(F.col("mape"), "mape"))
 
 
 @query(
-    f"WITH p AS {_PREDICTED}, e AS (SELECT quantile_cont(actual, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS q FROM p) SELECT CAST(greatest(len(list_filter(q, lambda x: x < actual)) - 1, 0) AS INT) AS bin, predicted > actual AS over, count(*) AS n FROM p, e GROUP BY ALL"
+    f"WITH p AS {_PREDICTED}, e AS (SELECT quantile_cont(actual, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS q FROM p), c AS (SELECT CAST(greatest(len(list_filter(q, lambda x: x < actual)) - 1, 0) AS INT) AS bin, predicted > actual AS over, count(*) AS n FROM p, e WHERE actual > 5000 GROUP BY ALL) "
+    "SELECT bin, over, coalesce(n, 0)::BIGINT AS n FROM (SELECT * FROM (SELECT unnest(range(6))::INT AS bin), (SELECT unnest([true, false]) AS over)) LEFT JOIN c USING (bin, over)"
 )
 def a19_f46_quantile_bands(t):
+    """Every band in both directions, also those without rows."""
     own = _predicted(t)
     edges = G.edges(own, F.col("actual"))
-    return own.groupBy(N.bin_of(F.col("actual"), F.lit(edges)).alias("bin"), (F.col("predicted") > F.col("actual")).alias("over")).agg(F.count("*").alias("n"))
+    counts = own.where("actual > 5000").groupBy(N.bin_of(F.col("actual"), F.lit(edges)).alias("bin"), (F.col("predicted") > F.col("actual")).alias("over")).agg(F.count("*").alias("n"))
+    return A.with_empty(counts, {"bin": list(range(6)), "over": [True, False]})
 
 
 @query(f"SELECT round(avg(mae), 3) AS mae_mean, round(stddev_pop(mae), 3) AS mae_std, round(min(mae), 3) AS mae_min, round(max(mae), 3) AS mae_max FROM (SELECT l_suppkey % 4 AS fold, avg(abs(actual - predicted)) AS mae FROM {_PREDICTED} GROUP BY ALL)")
@@ -941,3 +947,90 @@ def m10_m21_ordered_boosting(t):
     """Out-of-fold errors by fold of boosting over ordered target statistics."""
     callback = C.ordered_fit_predict("p_retailprice", "p_partkey", maxIter=6, maxDepth=3)
     return A.errors_by(D.grouped_cv(t("part"), "p_name", _PART_FEATURES, callback, 2), ["fold"])
+
+
+# Audits, crawls and streams
+
+
+@query(
+    "WITH s AS (SELECT p_partkey % 3 AS k, p_name, p_size, p_brand, p_retailprice FROM part), g AS (SELECT count(DISTINCT k) AS k FROM s GROUP BY p_name), d AS (SELECT count(DISTINCT k) AS k FROM s GROUP BY p_size, p_brand, p_retailprice) "
+    "SELECT 'group_overlap' AS \"check\", CASE WHEN sum(k * (k - 1) / 2) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, sum(k * (k - 1) / 2)::BIGINT AS hits, '' AS detail FROM g UNION ALL "
+    "SELECT 'cross_split_exact_duplicates', CASE WHEN sum(k * (k - 1) / 2) > 0 THEN 'FAIL' ELSE 'PASS' END, sum(k * (k - 1) / 2)::BIGINT, '' FROM d UNION ALL SELECT 'target_in_features', 'PASS', 0, '' UNION ALL "
+    "SELECT 'deterministic_or_near_target_numeric_features', 'FAIL', 1, 'twice' UNION ALL SELECT 'future_or_listing_history_columns', 'PASS', 0, '' UNION ALL SELECT 'split_specific_preparation', 'WARN', 1, 'first_seen_day_offset'"
+)
+def m25_integrity(t):
+    """Three splits of parts that share names; one feature is twice the target, and one an offset of dates."""
+    own = t("part").select("p_name", "p_size", "p_brand", "p_retailprice", (F.col("p_retailprice") * 2 + 1).alias("twice"), F.lit(3).alias("first_seen_day_offset"), (F.col("p_partkey") % 3).alias("k"))
+    splits = {n: own.where(F.col("k") == i).drop("k") for i, n in enumerate(("train", "validation", "test"))}
+    return I.integrity(splits, ["p_size", "p_brand", "twice", "first_seen_day_offset"], "p_retailprice", "p_name")
+
+
+_NEAR_SQL = (
+    "WITH h AS (SELECT i::BIGINT AS n, coalesce(sum(1.0::DOUBLE / i) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 0.5772156649015329 AS psi FROM range(1, 6001) r(i)), "
+    "s AS (SELECT p_partkey AS k, sqrt(p_partkey) AS x, ln(p_retailprice) AS y, p_brand AS b FROM part ORDER BY md5(p_partkey || ':42'), p_partkey LIMIT 5000), "
+    "z AS (SELECT k, b, x / (SELECT stddev_pop(x) FROM s) AS x, y / (SELECT stddev_pop(y) FROM s) AS y, count(*) OVER (PARTITION BY b) AS c FROM s), "
+    "d AS (SELECT p.k, p.c, p.b = q.b AS same, abs(p.x - q.x) AS dx, abs(p.y - q.y) AS dy FROM z p, z q), "
+    "r AS (SELECT k, any_value(c) AS c, (min(greatest(dx, dy), 4))[4] AS r, (min(dy, 4) FILTER (same))[least(4, any_value(c))] AS own FROM d GROUP BY k), "
+    "m AS (SELECT d.k, any_value(r.c) AS c, greatest(count(*) FILTER (dx < r), 1) AS nx, greatest(count(*) FILTER (dy < r), 1) AS ny, greatest(count(*) FILTER (dy < own), 1) AS m FROM d JOIN r USING (k) GROUP BY d.k), "
+    "one AS (SELECT count(*) AS n FROM s) "
+)
+
+
+@query(
+    f"{_NEAR_SQL} SELECT 'root' AS feature, any_value(one.n) AS rows, round(greatest((SELECT psi FROM h WHERE h.n = any_value(one.n)) + (SELECT psi FROM h WHERE h.n = 3) - avg(a.psi) - avg(b.psi), 0), 3) AS mutual_information FROM m JOIN h a ON a.n = nx JOIN h b ON b.n = ny, one UNION ALL "
+    "SELECT 'p_brand', any_value(one.n), round(greatest((SELECT psi FROM h WHERE h.n = any_value(one.n)) + avg(k.psi) - avg(c.psi) - avg(a.psi), 0), 3) FROM m JOIN h k ON k.n = least(3, c - 1) JOIN h c ON c.n = m.c JOIN h a ON a.n = m.m, one"
+)
+def a29_nearest_information(t):
+    """By third neighbours, of a number and of a text with the price."""
+    out = I.mutual_information(t("part"), {"root": F.sqrt("p_partkey"), "p_brand": F.col("p_brand")}, F.log("p_retailprice"), "p_partkey", noise=0.0)
+    return out.select("feature", "rows", F.round("mutual_information", 3).alias("mutual_information"))
+
+
+@query(
+    "WITH RECURSIVE l AS (SELECT 'page ' || page_id AS p, unnest(regexp_extract_all(html, '<a\\s[^>]*href=[\"'']([^\"'']+)[\"'']', 1, 'is')) AS h FROM pages), e AS (SELECT p AS src, h AS dst FROM l UNION SELECT h, p FROM l), "
+    "f(node, round) AS (SELECT 'page 0', 0 UNION SELECT dst, round + 1 FROM f JOIN e ON src = node WHERE round < 5) SELECT node, min(round)::INT AS round FROM f GROUP BY node"
+)
+def s15_frontier(t):
+    """Pages are reached through links that they share; five rounds from one page."""
+    found = P.links(t("pages")).select(F.concat(F.lit("page "), F.col("page_id")).alias("p"), F.col("href").alias("h"))
+    links = found.select(F.col("p").alias("src"), F.col("h").alias("dst")).unionAll(found.select("h", "p"))
+    return W.reached(links, t("pages").where("page_id = 0").select(F.concat(F.lit("page "), F.col("page_id")).alias("node")), 5)
+
+
+@query(_SQL["w1_w6_point_in_time"])
+def w2_w6_streamed_history(t):
+    """Snapshots come in files that are out of order; what is kept in the end is what all rows at once give."""
+    own = t("events").select("user_id", "event_id", F.col("ts").cast("date").alias("d"), "value")
+    spark, root = own.sparkSession, R.scratch_path(own.sparkSession)
+    own.repartition(6, F.md5(F.col("event_id").cast("string").cast("binary"))).write.parquet(f"{root}/in")
+    stream = T.snapshots(spark, f"{root}/in", own.schema, 2)
+    T.keep_histories(stream, f"{root}/kept", "user_id", "d", "value", "event_id", buckets=4).awaitTermination()
+    return rounded(T.histories(spark, f"{root}/kept").select("event_id", "user_id", "observations_so_far", "days_since_first_seen", "first_price", "price_change_event", "price_changes_so_far", "absolute_change_so_far", "relative_change_so_far"))
+
+
+@query()
+def m22_ablations(t):
+    """Errors of a linear model for each list of features."""
+    own = t("part").withColumn("p_key_id", F.col("p_partkey"))
+    features = ["p_size", "p_brand", "p_key_id"]
+    groups = L.token_groups(features, {"id_like": ("_id",), "size": ("size",)})
+    variants = I.ablations(own, features, groups, ["p_size", "p_brand"])
+    return I.ablated(own.where("p_partkey % 4 > 0"), own.where("p_partkey % 4 = 0"), variants, D.fit_predict("linear", "p_retailprice", regParam=0.1))
+
+
+@query()
+def m18_m19_ranked_candidates(t):
+    """Candidates by their errors over group folds."""
+    candidates = [{"name": n, "kind": "linear", "features": f, "options": {"regParam": 0.1}} for n, f in (("size", ["p_size"]), ("key", ["p_partkey"]), ("both", ["p_size", "p_partkey"]))]
+    found = D.ranked_candidates(t("part"), "p_name", "p_retailprice", candidates, 2)
+    return t("part").sparkSession.createDataFrame([(i + 1, c["name"], c["mae"], c["rmse"]) for i, c in enumerate(found)], "place int, name string, mae double, rmse double")
+
+
+@query()
+def m26_pruning(t):
+    """Errors without the least important features, by share left out."""
+    part = t("part")
+    weights = part.agg(*(F.abs(F.corr(c, "p_retailprice")).alias(c) for c in ("p_size", "p_partkey")))
+    importances = weights.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("importance")) for c in ("p_size", "p_partkey")))).alias("s")).select("s.*")
+    found = D.pruning_sweep(part, "p_name", ["p_size", "p_partkey"], importances, D.fit_predict("linear", "p_retailprice", regParam=0.1), (0.1, 0.5), 2)
+    return part.sparkSession.createDataFrame([(c["share"], c["kept"], c["mae"]) for c in found], "share double, kept int, mae double")
