@@ -29,6 +29,7 @@ from ..operators import serving as V
 from ..operators import splits as S
 from ..operators import trees as B
 from ..sources import files as R
+from ..sources import ladder as Y
 from ..streaming import history as T
 
 FLAGSHIP = "w1_w6_point_in_time"
@@ -1034,3 +1035,22 @@ def m26_pruning(t):
     importances = weights.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("importance")) for c in ("p_size", "p_partkey")))).alias("s")).select("s.*")
     found = D.pruning_sweep(part, "p_name", ["p_size", "p_partkey"], importances, D.fit_predict("linear", "p_retailprice", regParam=0.1), (0.1, 0.5), 2)
     return part.sparkSession.createDataFrame([(c["share"], c["kept"], c["mae"]) for c in found], "share double, kept int, mae double")
+
+
+@query(
+    "SELECT s_suppkey::VARCHAR AS id, CASE s_suppkey % 3 WHEN 0 THEN s_name || ' dörr €' WHEN 1 THEN s_name || ' dörr' ELSE s_name || ' €' END AS name, CASE s_suppkey % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'iso-8859-1' ELSE 'cp1252' END AS encoding, false AS broken FROM supplier UNION ALL "
+    "SELECT NULL, s_suppkey || ',' || s_name || ',more', 'utf-8', true FROM supplier WHERE s_suppkey % 3 = 0"
+)
+def s2_s23_reading_ladder(t):
+    """Suppliers in files of three encodings, one with lines of a field too many."""
+    own = t("supplier").select(F.col("s_suppkey").cast("string").alias("id"), "s_name", (F.col("s_suppkey") % 3).alias("k"))
+    spark, root = own.sparkSession, R.scratch_path(own.sparkSession)
+    line = lambda *ends: F.concat("id", F.lit(","), "s_name", *map(F.lit, ends))
+    latin = lambda *ends: F.encode(line(*ends), "ISO-8859-1").cast("string")
+    for k, value in ((0, F.explode(F.array(line(" dörr €"), line(",more")))), (1, latin(" dörr")), (2, latin(" \x80"))):
+        body = own.where(F.col("k") == k).select(F.lit(1).alias("o"), value.alias("value"))
+        whole = spark.range(1).select(F.lit(0).alias("o"), F.lit("\ufeffId,Name" if k == 0 else "id,name").alias("value")).unionAll(body)
+        whole.coalesce(1).sortWithinPartitions("o").select("value").write.text(f"{root}/{k}")
+    read = Y.read_ladder(spark, f"{root}/*/*.txt")
+    fine = read.rows.join(read.encodings, "source_file").select("id", "name", "encoding", F.lit(False).alias("broken"))
+    return fine.unionAll(read.quarantine.select(F.lit(None).cast("string"), "text", "encoding", F.lit(True)))
