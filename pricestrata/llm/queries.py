@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chroma, hard_negatives, hilbert_ann, langid, maxplus, pii_bootstrap, poisson_mix, pseudo_likelihood, quality, secret_scan, simhash_dedup, slots, whitening
-from .common import kept, table
+from .common import kept, shared_dir, table
 
 
 def op1_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +24,7 @@ def op2_hilbert_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = kept(slots.records(table(spark, sf_dir, "documents")))
-    versions = slots.slot_maps(slots.SHARDS + 1)
-    maps = kept(slots.map_table(spark, {v: versions[v - 1] for v in (slots.SHARDS, slots.SHARDS + 1)}))
+    maps = slots.stored_maps(spark, f"{shared_dir(spark)}/slot-map-{slots.SLOTS}", slots.SHARDS)
     return slots.shard_records(rows, maps, slots.SHARDS)
 
 

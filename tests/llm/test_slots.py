@@ -1,6 +1,7 @@
 from collections import Counter
 
 import fixtures as fx
+import pytest
 from pricestrata.llm import slots
 
 
@@ -54,3 +55,34 @@ def test_id_and_shard_count_decide(spark):
 
 def test_empty_table(spark):
     assert run(spark, fx.documents(spark, [])) == []
+
+
+def test_a_stored_map_is_read_again_and_edited_by_bytes(spark, tmp_path):
+    path = str(tmp_path / "map")
+    first = slots.stored_maps(spark, path, 4, 64).collect()
+    assert sorted({r["version"] for r in first}) == [4, 5]
+    slots.write_map(spark, path, 5, [0] * 64)  # what is there is read, and not made again
+    assert {r["shard"] for r in slots.stored_maps(spark, path, 4, 64).where("version = 5").collect()} == {0}
+    docs = spark.createDataFrame([(i, "x" * (2000 if i % 7 == 0 else 10)) for i in range(400)], "doc_id long, text string")
+    rows = slots.records(docs, 64)
+    bytes_of = {r["vslot"]: r["slot_bytes"] for r in slots.slot_sizes(rows).collect()}
+    load = lambda v: [sum(bytes_of.get(r["vslot"], 0) for r in slots.read_map(spark, path, v).collect() if r["shard"] == s) for s in range(4)]
+    own = str(tmp_path / "bytes")
+    slots.write_map(spark, own, 1, slots.slot_maps(4, 64)[3])
+    path = own
+    assert slots.rebalance(spark, own, 1, slots.slot_sizes(rows), 4, 64) == 2
+    assert max(load(2)) - min(load(2)) < max(load(1)) - min(load(1)) and sum(load(2)) == sum(load(1))
+    with pytest.raises(ValueError, match="is there"):
+        slots.rebalance(spark, own, 1, slots.slot_sizes(rows), 4, 64)
+
+
+def test_places_of_a_hot_null_id_and_of_repeated_rows(spark):
+    """Most rows have no id; they, and equal rows, have gapless places in the order of slot, id, checksum and size."""
+    docs = spark.createDataFrame([(None if i % 3 else i, f"text {i % 50}") for i in range(900)], "doc_id long, text string").repartition(7)
+    got = slots.shard_records(slots.records(docs), slots.map_table(spark, {v: slots.slot_maps(5)[v - 1] for v in (4, 5)}), 4).collect()
+    assert len(got) == 900
+    for shard in {r["shard"] for r in got}:
+        own = sorted((r for r in got if r["shard"] == shard), key=lambda r: r["slot"])
+        assert [r["slot"] for r in own] == list(range(len(own)))
+        order = [(r["virtual_slot"], r["doc_id"] is not None, r["doc_id"] or 0, r["text_crc32"], r["size"]) for r in own]
+        assert order == sorted(order)
