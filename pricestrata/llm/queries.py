@@ -109,6 +109,19 @@ n AS (SELECT doc_id, u.source, rate, key, count(*) FILTER (c <= u) AS n FROM u J
 SELECT doc_id, source, round(rate, 9) AS mix_rate, n::INT AS mix_copies, i::INT AS mix_copy, md5('order:' || key || ':{poisson_mix.SEED}:' || i) AS mix_key FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM n WHERE n > 0)"""
 
 
+def _op11_sql() -> str:
+    """All products of anchors and rows."""
+    n = hard_negatives
+    return f"""
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor({n.SCALE} * c::DOUBLE)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+p AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS s FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+q AS (SELECT anchor_id, vec_id AS positive_id, s AS positive_score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, vec_id) <= {n.POSITIVES}),
+m AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, s AS negative_score
+  FROM q JOIN p USING (anchor_id) WHERE NOT same AND {n.LOW} * positive_score <= 100 * s AND 100 * s <= {n.HIGH} * positive_score)
+SELECT * FROM m WHERE rank <= {n.NEGATIVES}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL of the operators that it can express; it assumes distinct doc_ids. The others are tested against brute force."""
-    return {"op3_virtual_slots": _op3_sql(), "op4_poisson_mixture": _op4_sql()}
+    """SQL of the operators that it can express; it assumes distinct ids. The others are tested against brute force."""
+    return {"op3_virtual_slots": _op3_sql(), "op4_poisson_mixture": _op4_sql(), "op11_vantage_annulus_negatives": _op11_sql()}
