@@ -685,12 +685,13 @@ def s9_s16_s17_split_tables(t):
     return R.read_splits(own.sparkSession, [f"{p}/status={s}" for p in paths for s in ("F", "O", "P")])
 
 
-@query("SELECT 'run_' || k AS name, k::BIGINT AS rows FROM range(3) r(k)")
+@query("SELECT o_orderstatus AS name, count(*) AS rows FROM orders GROUP BY o_orderstatus")
 def s11_s12_s19_reports(t):
-    spark = t("region").sparkSession
+    """A report for each status of orders, written and read again."""
+    spark = t("orders").sparkSession
     root = R.scratch_path(spark)
-    for k in range(3):
-        R.write_report(spark, {"name": f"run_{k}", "rows": k}, f"{root}/{k}")
+    for r in t("orders").groupBy("o_orderstatus").count().orderBy("o_orderstatus").collect():  # three statuses
+        R.write_report(spark, {"name": r["o_orderstatus"], "rows": r["count"]}, f"{root}/{r['o_orderstatus']}")
     return R.read_reports(spark, f"{root}/*/*.txt", ["name"]).select("name", "rows")
 
 
