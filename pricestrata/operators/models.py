@@ -10,6 +10,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import scratch_path
 from .aggregates import errors_by, fold_summary
 from .quality import numeric_columns, text_columns
 from .splits import group_folds, group_split, permuted
@@ -71,9 +72,13 @@ def fit_predict(kind: str = "forest", target: str = "price", logged: bool = Fals
     return run
 
 
-def grouped_cv(df: DataFrame, group: str, features: list[str], callback, k: int = 4) -> DataFrame:
-    """Out-of-fold predictions of all rows, with fold and errors. Groups stay whole."""
-    rows = df.join(group_folds(df, group, k).select(group, "fold"), group).persist()
+def grouped_cv(df: DataFrame, group: str, features: list[str], callback, k: int = 4, folded: bool = False) -> DataFrame:
+    """Out-of-fold predictions of all rows, with fold and errors. Groups stay whole. folded: df has its fold already."""
+    rows = df
+    if not folded:
+        path = scratch_path(df.sparkSession)
+        df.join(group_folds(df, group, k).select(group, "fold"), group).write.parquet(path)
+        rows = df.sparkSession.read.parquet(path)
     parts = []
     for i in range(k):
         parts.append(callback(rows.where(F.col("fold") != i), rows.where(F.col("fold") == i), features))

@@ -24,6 +24,7 @@ from ..operators import market as M
 from ..operators import models as D
 from ..operators import quality as Q
 from ..operators import ranges as G
+from ..operators import search as J
 from ..operators import selection as L
 from ..operators import serving as V
 from ..operators import splits as S
@@ -1055,3 +1056,11 @@ def s2_s23_reading_ladder(t):
     read = Y.read_ladder(spark, f"{root}/*/*.txt")
     fine = read.rows.join(read.encodings, "source_file").select("id", "name", "encoding", F.lit(False).alias("broken"))
     return fine.unionAll(read.quarantine.select(F.lit(None).cast("string"), "text", "encoding", F.lit(True)))
+
+
+@query()
+def m16_m17_m18_search(t):
+    """Screening, refinement and group folds of linear models over two lists of features: a row for each finalist."""
+    part = t("part")
+    found = J.searched(part.where("p_partkey % 4 > 0"), part.where("p_partkey % 4 = 0"), "p_name", "p_retailprice", {"key": ["p_partkey"], "both": ["p_partkey", "p_size"]}, {"regParam": (0.01, 10.0)}, "linear", 1, 2, 1, 2)
+    return found.ranked
