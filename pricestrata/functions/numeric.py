@@ -102,6 +102,16 @@ def day_offset(c: Column, origin: Column) -> Column:
     return F.datediff(c, origin)
 
 
+def local_stamp(c: Column | None = None, zone: str = "Europe/Helsinki") -> tuple[Column, Column]:
+    """The date, and the time to the second with its offset (ISO 8601), that clocks of a zone show at a moment; none: now."""
+    at = F.date_trunc("second", F.current_timestamp() if c is None else c).cast("timestamp_ntz")
+    there, utc = (F.convert_timezone(F.current_timezone(), F.lit(z), at) for z in (zone, "UTC"))
+    minutes = F.timestamp_diff("MINUTE", utc, there)
+    sign = F.when(minutes < 0, "-").otherwise("+")
+    offset = F.format_string("%s%02d:%02d", sign, F.floor(F.abs(minutes) / 60), F.abs(minutes) % 60)
+    return F.date_format(there, "yyyy-MM-dd"), F.concat(F.date_format(there, "yyyy-MM-dd'T'HH:mm:ss"), offset)
+
+
 def to_euros(prediction: Column, logged: bool, largest: float) -> Column:
     """Predictions as prices: of logarithms, bounded before exp; nothing not a number, nothing below 0."""
     finite = (prediction == prediction) & ~F.isnan(prediction) & (F.abs(prediction) < float("inf"))

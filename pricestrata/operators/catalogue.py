@@ -54,6 +54,27 @@ def catalogue(columns: list[str], target: str = "price") -> dict[str, list[str]]
     return out
 
 
+# The lists that each family of models compares, the first one first.
+FAMILIES = {
+    "boosted": ("lifecycle", "lifecycle_without_oem", "extended", "chosen_safe", "safe", "safe_without_offsets", "safe_without_offsets_or_oem"),
+    "forest": ("extended", "extended_without_oem", "chosen_safe", "chosen_safe_without_oem", "safe", "safe_without_oem", "safe_without_offsets", "safe_without_offsets_or_oem"),
+}
+FAMILIES["linear"] = FAMILIES["forest"]
+
+
+def family_catalogue(columns: list[str], kind: str, target: str = "price") -> dict[str, list[str]]:
+    """The lists of a family in its own order. Empty ones go, and of equal ones the first stays."""
+    if kind not in FAMILIES:
+        raise ValueError(f"no such family: {kind}")
+    own, out = pools(columns, target), {}
+    for name in FAMILIES[kind]:
+        pool = next(p for p in sorted(FITTED, key=len, reverse=True) if name.startswith(p))
+        found = [c for c in own[pool] if c not in EXCLUSIONS[name.removeprefix(pool)]]
+        if found and found not in out.values():
+            out[name] = found
+    return out
+
+
 # The groups that explanations are summed by, and the prefixes of what the register says.
 GROUPS = {
     "part_taxonomy": ("part_name", "category", "subcategory"),

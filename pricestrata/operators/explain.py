@@ -85,6 +85,18 @@ def checked(explained: DataFrame, key: str) -> DataFrame:
     return one.withColumn("sound", F.coalesce((F.col("rows") > 0) & (F.col("not_finite") == 0) & (F.col("too_large") == 0) & (F.col("worst_error") <= F.col("allowed_error")), F.lit(False)))
 
 
+def raw_feature(encoded: Column, raw: list[str]) -> Column:
+    """The raw feature of an encoded column's name: `num__` and a feature, or `cat__`, a feature, `_` and a level.
+
+    The longest feature that fits is taken, as names and levels may hold `_`; what fits none is its own feature.
+    """
+    level = F.when(F.startswith(encoded, F.lit("cat__")), F.substring(encoded, F.lit(6), F.length(encoded)))
+    out = level
+    for f in sorted(raw, key=len):  # the longest last, and so asked first
+        out = F.when((level == f) | F.startswith(level, F.lit(f"{f}_")), f).otherwise(out)
+    return F.when(F.startswith(encoded, F.lit("num__")), F.substring(encoded, F.lit(6), F.length(encoded))).otherwise(F.coalesce(out, encoded))
+
+
 def raw_effects(encoded: DataFrame, key: str, raw_of: Column, effect: str = "effect") -> DataFrame:
     """(key, feature, effect): effects of encoded columns summed by the raw feature that raw_of names."""
     return encoded.groupBy(key, raw_of.alias("feature")).agg(F.sum(effect).alias("effect"))

@@ -58,11 +58,11 @@ def estimator(kind: str, **options):
     return made(featuresCol="features", labelCol="__target", predictionCol="__prediction", **(defaults | options))
 
 
-def fit_predict(kind: str = "forest", target: str = "price", logged: bool = False, **options) -> Callable[[DataFrame, DataFrame, list[str]], DataFrame]:
+def fit_predict(kind: str = "forest", target: str = "price", logged: bool = False, min_frequency: int = 5, **options) -> Callable[[DataFrame, DataFrame, list[str]], DataFrame]:
     """A callback: fit on the first table, and the second with `actual` and `predicted`."""
 
     def run(train: DataFrame, rows: DataFrame, features: list[str]) -> DataFrame:
-        prepare = Features(train, features, scale=kind == "linear")
+        prepare = Features(train, features, min_frequency, kind == "linear")
         label = F.log(F.col(target)) if logged else F.col(target).cast("double")
         model = estimator(kind, **options).fit(prepare(train).withColumn("__target", label))
         out = model.transform(prepare(rows))

@@ -17,6 +17,7 @@ from ..operators import aggregates as A
 from ..operators import audit as I
 from ..operators import crawl as W
 from ..operators import encoding as C
+from ..operators import experiments as O
 from ..operators import explain as E
 from ..operators import history as H
 from ..operators import keys as K
@@ -1064,3 +1065,98 @@ def m16_m17_m18_search(t):
     part = t("part")
     found = J.searched(part.where("p_partkey % 4 > 0"), part.where("p_partkey % 4 = 0"), "p_name", "p_retailprice", {"key": ["p_partkey"], "both": ["p_partkey", "p_size"]}, {"regParam": (0.01, 10.0)}, "linear", 1, 2, 1, 2)
     return found.ranked
+
+
+# Experiments on a fixed split
+
+
+_LISTS = {"customer": O.Variant(["o_custkey", "o_absent"]), "order": O.Variant(["o_orderkey"]), "again": O.Variant(["o_custkey"]), "leak": O.Variant(["o_twice"], False)}
+_SETTINGS = {"log": O.Config("linear", True), "raw": O.Config("linear", note="the price itself")}
+_GRID = (
+    "WITH o AS (SELECT o_orderkey % 5 AS k, o_totalprice AS y, o_custkey AS a, o_orderkey AS b, o_totalprice * 2 + 1 AS c FROM orders), "
+    "l AS (SELECT k, y, unnest([1, 2, 3]) AS priority, unnest(['customer', 'order', 'leak']) AS variant, unnest([a, b, c])::DOUBLE AS x FROM o), "
+    "s AS (SELECT *, CASE config WHEN 'log' THEN ln(y) ELSE y END AS z FROM l, (SELECT unnest(['log', 'raw']) AS config)), "
+    "m AS (SELECT variant, config, regr_slope(z, x) AS u, regr_intercept(z, x) AS v, max(y) AS top FROM s WHERE k > 1 GROUP BY ALL), "
+    "e AS (SELECT variant, config, priority, avg(abs(y - p)) AS mae, sqrt(avg((y - p) ** 2)) AS rmse, count(*) AS n FROM (SELECT s.*, CASE config WHEN 'log' THEN least(exp(u * x + v), 10 * top) ELSE greatest(u * x + v, 0) END AS p FROM s JOIN m USING (variant, config) WHERE k = 1) GROUP BY ALL), "
+    "g AS (SELECT *, row_number() OVER (ORDER BY variant = 'leak', mae, rmse, priority, config) AS place FROM e) "
+)
+
+
+def _order_splits(t):
+    own = t("orders").select("o_orderkey", "o_custkey", "o_totalprice", (F.col("o_totalprice") * 2 + 1).alias("o_twice"))
+    k = F.col("o_orderkey") % 5
+    return own.where(k > 1), own.where(k == 1), own.where(k == 0)
+
+
+@query(_GRID + "SELECT variant, config, priority, variant <> 'leak' AS trusted, CASE variant WHEN 'customer' THEN 'o_absent' ELSE '' END AS missing, n AS rows, round(mae, 3) AS mae, round(rmse, 3) AS rmse, place::INT AS place, place = 1 AS selected FROM g")
+def m33_experiment_grid(t):
+    """Three lists of features, one of which holds the target and may not win, by two settings; a fourth list is the first one again."""
+    train, validation, _ = _order_splits(t)
+    out = O.grid(train, validation, "o_totalprice", _LISTS, _SETTINGS)
+    return out.select("variant", "config", "priority", "trusted", F.concat_ws(",", "missing").alias("missing"), "rows", F.round("mae", 3).alias("mae"), F.round("rmse", 3).alias("rmse"), "place", "selected")
+
+
+@query(
+    _GRID + ", w AS (SELECT variant, config FROM g WHERE place = 1), h AS (SELECT * FROM s JOIN w USING (variant, config)), f AS (SELECT regr_slope(z, x) AS u, regr_intercept(z, x) AS v, count(*) AS fit_rows FROM h WHERE k > 0), "
+    "d AS (SELECT y, CASE config WHEN 'log' THEN exp(u * x + v) ELSE greatest(u * x + v, 0) END AS p, fit_rows FROM h, f WHERE k = 0) "
+    "SELECT any_value(w.variant) AS variant, any_value(w.config) AS config, 1 AS feature_count, any_value(fit_rows) AS fit_rows, count(*) AS test_rows, round(avg(abs(y - p)), 3) AS mae, round(sqrt(avg((y - p) ** 2)), 3) AS rmse, round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 4) AS r2 FROM d, w"
+)
+def m32_s20_held_out(t):
+    """The grid's reports are written, the best one is read again, fitted on both parts, and judged on the third."""
+    train, validation, test = _order_splits(t)
+    found = O.grid(train, validation, "o_totalprice", _LISTS, _SETTINGS)
+    path = R.scratch_path(train.sparkSession)
+    O.write_reports(found, found.select("variant", "config", F.lit(0).alias("fold"), "mae"), path)
+    out = O.held_out(train, validation, test, "o_totalprice", O.read_best(train.sparkSession, path), "linear")
+    return out.select("variant", "config", "feature_count", "fit_rows", "test_rows", F.round("mae", 3).alias("mae"), F.round("rmse", 3).alias("rmse"), r4(F.col("r2"), "r2"))
+
+
+@query(
+    "SELECT * FROM (SELECT 'o_orderkey' AS feature, 'excluded' AS status, 'a key' AS reason, 1.0 AS filled_share UNION ALL SELECT 'o_totalprice_later', 'leaking', 'of a later day', round(count(CASE WHEN o_totalprice > 100000 THEN 1 END) / count(*), 4) FROM orders "
+    "UNION ALL SELECT 'o_custkey', 'kept', 'in the list before', 1.0 UNION ALL SELECT 'o_orderstatus', 'new', 'in the table and not in the list before', round(count(CASE WHEN o_orderstatus <> 'F' THEN 1 END) / count(*), 4) FROM orders UNION ALL SELECT 'o_absent', 'missing', 'in the list before and not in the table', NULL)"
+)
+def m34_feature_audit(t):
+    own = t("orders").select("o_orderkey", "o_custkey", "o_totalprice", F.nullif("o_orderstatus", F.lit("F")).alias("o_orderstatus"), F.when(F.col("o_totalprice") > 100000, 1).alias("o_totalprice_later"))
+    out = O.feature_audit(own, "o_totalprice", ["o_custkey", "o_absent"], {"o_orderkey": "a key"}, {"o_totalprice_later": "of a later day"})
+    return out.withColumn("filled_share", r4(F.col("filled_share"), "filled_share"))
+
+
+@query(
+    "SELECT p_partkey, 'p_brand' AS feature, p_size + 1 AS effect FROM part UNION ALL SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'p_brand_group' ELSE 'p' END, p_size * 2 FROM part "
+    "UNION ALL SELECT p_partkey, 'p_size', p_size * 3 FROM part UNION ALL SELECT p_partkey, 'own', p_size * 4 FROM part"
+)
+def f20_raw_features(t):
+    """Effects of encoded columns by raw feature: names that begin other names, and levels that hold the mark between both."""
+    levels = F.array(
+        F.struct(F.concat(F.lit("cat__p_brand_"), F.translate("p_brand", "#", "_")).alias("encoded"), F.col("p_size").alias("effect")),
+        F.struct(F.lit("cat__p_brand").alias("encoded"), F.lit(1).alias("effect")),
+        F.struct(F.when(F.col("p_partkey") % 2 == 0, "cat__p_brand_group_a_b").otherwise("cat__p_x").alias("encoded"), (F.col("p_size") * 2).alias("effect")),
+        F.struct(F.lit("num__p_size").alias("encoded"), (F.col("p_size") * 3).alias("effect")),
+        F.struct(F.lit("own").alias("encoded"), (F.col("p_size") * 4).alias("effect")),
+    )
+    rows = t("part").select("p_partkey", F.explode(levels).alias("s")).select("p_partkey", "s.*")
+    return E.raw_effects(rows, "p_partkey", E.raw_feature(F.col("encoded"), ["p", "p_brand", "p_brand_group", "p_size"]))
+
+
+@query(
+    "WITH e AS (SELECT event_id, date_trunc('second', ts::TIMESTAMP) AS u, timezone('Europe/Helsinki', timezone('UTC', date_trunc('second', ts::TIMESTAMP))) AS h FROM events) "
+    "SELECT event_id, strftime(h, '%Y-%m-%d') AS scrape_date, strftime(h, '%Y-%m-%dT%H:%M:%S') || CASE date_diff('hour', u, h) WHEN 3 THEN '+03:00' ELSE '+02:00' END AS scrape_timestamp FROM e"
+)
+def f39_local_stamps(t):
+    day, time = N.local_stamp(F.col("ts"))
+    return t("events").select("event_id", day.alias("scrape_date"), time.alias("scrape_timestamp"))
+
+
+@query(
+    "SELECT 'semicolon' AS form, s_suppkey::VARCHAR AS id, s_name || ' ä;ö' AS name FROM supplier UNION ALL SELECT 'comma', s_suppkey::VARCHAR, s_name || ', \"left\"' FROM supplier"
+)
+def s1_s3_delimited(t):
+    """Suppliers in a file of semicolons in ISO-8859-1, and in one of commas with blanks before quoted texts that hold commas and quotes."""
+    own = t("supplier")
+    spark, root = own.sparkSession, R.scratch_path(own.sparkSession)
+    own.select(F.col("s_suppkey").alias("ID"), F.concat("s_name", F.lit(" ä;ö")).alias("Name")).write.options(header=True, sep=";", encoding="ISO-8859-1").csv(f"{root}/semicolon")
+    line = F.concat_ws(", ", "s_suppkey", F.concat(F.lit('"'), "s_name", F.lit(', ""left"""')))
+    titled = spark.range(1).select(F.lit(0).alias("o"), F.lit(" ID , Name ").alias("value")).unionAll(own.select(F.lit(1), line))
+    titled.coalesce(1).sortWithinPartitions("o").select("value").write.text(f"{root}/comma")
+    a = R.read_csv(spark, f"{root}/semicolon", ";", "ISO-8859-1")
+    return a.select(F.lit("semicolon").alias("form"), "id", "name").unionAll(R.read_csv(spark, f"{root}/comma").select(F.lit("comma"), "id", "name"))
