@@ -11,8 +11,9 @@ segment, the run of places with the largest sum of (MOST_BITS - differing bits).
 segment has LEAST places, or, of short recordings, half of the longer one's, and no more than ERROR of its
 bits differ. Recordings of one fingerprint form a class, named by its smallest id; classes are compared.
 
-Silence gives no marks. Null recordings and those of fewer than FRAME + (WIDTH - 1) * HOP samples have no
-integers and align with nothing. Recordings without an id are members of their class, but name none and
+Silence gives no marks. Null recordings and those of fewer than frame + (WIDTH - 1) * hop samples have no
+integers and align with nothing. Very long ones are read in blocks of frames, and a mark that repeats in
+both of two votes by a Fourier transform, so that a steady tone takes no square of its length. Recordings without an id are members of their class, but name none and
 are no queries. Repeated rows fall into one class. Columns other than the two named are not read. An empty
 table gives an empty result.
 """
@@ -20,6 +21,7 @@ table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,24 @@ SALTS = 16
 _BLOCK = 4096
 
 
+class Sound(NamedTuple):
+    """How a media column's bytes are read: mono samples of 8 bits (unsigned) or 16 (signed, little-endian), and the frames cut of them.
+
+    A frame of n samples tells pitches rate / n apart: semitones above 17 * rate / n.
+    """
+
+    rate: int = RATE
+    frame: int = FRAME
+    hop: int = HOP
+    bits: int = 8
+
+
+#: Texts as samples; the frames are short, as texts are.
+TEXT = Sound()
+#: Music of 16 bits: semitones from 46 Hz up, eight frames a second.
+MUSIC = Sound(11_025, 4096, 1365, 16)
+
+
 @once_a_process
 def fold(rate: int, frame: int) -> np.ndarray:
     """(bins, CLASSES): which pitch class each bin of the spectrum counts for."""
@@ -131,6 +151,20 @@ def marks(hashes: np.ndarray, single: bool = False) -> tuple[np.ndarray, np.ndar
     return h[at] << 32 | h[at + APART], at
 
 
+def _repeated(m: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """The marks with more pairs of places than a transform of all places has steps."""
+    (own, k), (other, l) = np.unique(m, return_counts=True), np.unique(n, return_counts=True)
+    both, i, j = np.intersect1d(own, other, assume_unique=True, return_indices=True)
+    return both[k[i] * l[j] > 4 * size * np.log2(max(size, 2))]
+
+
+def _correlated(p: np.ndarray, q: np.ndarray, a: int, b: int) -> np.ndarray:
+    """How many pairs of places p below a and q below b lie at each offset p - q + b."""
+    size = 1 << (a + b).bit_length()
+    x, y = (np.bincount(at, minlength=size).astype(float) for at in (p, b - q))
+    return np.rint(np.fft.irfft(np.fft.rfft(x) * np.fft.rfft(y), size)).astype(np.int64)[: a + b]
+
+
 def histogram(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
     """Votes by offset of two recordings' packed integers: every two places of an equal mark vote."""
     single = max(len(a), len(b)) <= SHORT
@@ -139,8 +173,11 @@ def histogram(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
     n, q = n[order], q[order]
     left, right = np.searchsorted(n, m, "left"), np.searchsorted(n, m, "right")
     votes = np.zeros(len(a) + len(b), dtype=np.int64)
-    for i in np.flatnonzero(right > left):
-        np.add.at(votes, p[i] - q[left[i] : right[i]] + len(b), 1)
+    much = np.isin(m, _repeated(m, n, len(votes)))
+    for i in np.flatnonzero((right > left) & ~much):
+        votes[p[i] - q[left[i] : right[i]] + len(b)] += 1  # places of one mark differ
+    for mark in np.unique(m[much]):
+        votes += _correlated(p[m == mark], q[n == mark], len(a), len(b))
     return {int(o) - len(b): int(votes[o]) for o in np.flatnonzero(votes)}
 
 
@@ -170,19 +207,21 @@ def compared(a: np.ndarray, b: np.ndarray) -> tuple | None:
     return offset, votes[offset], n, bits.sum() / (32 * n), first + start, length, wrong / (32 * length)
 
 
-def samples_of(raw: bytes) -> np.ndarray:
-    """Mono unsigned 8-bit samples."""
+def samples_of(raw: bytes, bits: int = 8) -> np.ndarray:
+    """Mono samples of -1 to 1; of 16 bits a last odd byte goes."""
+    if bits == 16:
+        return np.frombuffer(raw, "<i2", len(raw) // 2).astype(np.float32) / 32768
     return (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
 
 
-def fingerprints(recordings: DataFrame, media: Column, key: str = "doc_id") -> DataFrame:
-    """(rec_id, n_frames, hashes) of a media column of mono unsigned 8-bit samples; hashes are packed, 4 bytes each."""
+def fingerprints(recordings: DataFrame, media: Column, key: str = "doc_id", sound: Sound = TEXT) -> DataFrame:
+    """(rec_id, n_frames, hashes) of a media column of samples; hashes are packed, 4 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, found = [], []
             for raw in b.column(1):
-                frames = chroma(samples_of(raw.as_py() or b""))
+                frames = chroma(samples_of(raw.as_py() or b"", sound.bits), sound.rate, sound.frame, sound.hop)
                 n.append(len(frames))
                 found.append(packed(frames).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(found, pa.binary())], names=["rec_id", "n_frames", "hashes"])
@@ -252,14 +291,14 @@ _TYPES = {
 }
 
 
-def matched(recordings: DataFrame, media: Column, is_query: Column, key: str = "doc_id") -> DataFrame:
+def matched(recordings: DataFrame, media: Column, is_query: Column, key: str = "doc_id", sound: Sound = TEXT) -> DataFrame:
     """A row for each recording, with its class, and for queries what aligns with that class and how the best of it does.
 
     links: the other classes that align; linked_recordings: their members; best_class is the one of the
     longest segment, then the fewest differing bits, then the smallest id. All of these are null for
     recordings that are no query, and best_class also where nothing aligns.
     """
-    rows, by = classes(kept(fingerprints(recordings, media, key)))
+    rows, by = classes(kept(fingerprints(recordings, media, key, sound)))
     by = kept(by)
     rows = rows.join(by.select("fp_key", "class_id", "members"), "fp_key", "left").drop("fp_key")
     rows = kept(rows.select("rec_id", "n_frames", "n_hashes", "class_id", "members", F.coalesce(is_query, F.lit(False)).alias("is_query")))

@@ -6,9 +6,9 @@ import sys
 import tempfile
 import types
 import uuid
-from functools import reduce, wraps
+from functools import wraps
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -94,7 +94,3 @@ def components(edges: DataFrame) -> DataFrame:
 def joined_spans(spans: list[tuple[int, int, int, str]]) -> str:
     """kind:start:end of (start, place of kind, end, kind), in that order, joined by commas."""
     return ",".join(f"{kind}:{start}:{end}" for start, _, end, kind in sorted(spans))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))

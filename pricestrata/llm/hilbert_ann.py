@@ -26,6 +26,7 @@ empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -186,13 +187,10 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = K, orders: int = O
     numbered = kept(ranged.mapInArrow(number, f"vec_id long, v {kind}, ordering int, asks boolean, part int, place long"))
     # How many rows of each ordering stand in earlier partitions: as many numbers as partitions and orderings.
     counts = numbered.where(~F.col("asks")).groupBy("ordering", "part").agg(F.count("*").alias("n"))
-    earlier = F.sum("n").over(Window.partitionBy("ordering").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    before = {(r["ordering"], r["part"]): r["upto"] for r in counts.withColumn("upto", earlier).collect()}
-
-    def offset(group: int, part: int) -> int:
-        return max((n for (g, p), n in before.items() if g == group and p < part), default=0)
-
-    offsets = {(g, p): offset(g, p) for g in range(orders * (max(rows_of) + 1)) for p in range(parts) if g // orders in rows_of}
+    own_rows = {(r["ordering"], r["part"]): r["n"] for r in counts.collect()}
+    offsets: dict[tuple[int, int], int] = {}
+    for g in (b * orders + o for b in rows_of for o in range(orders)):
+        offsets |= zip(((g, p) for p in range(parts)), accumulate((own_rows.get((g, p), 0) for p in range(parts)), initial=0))
     cut = {b: windows_of(n, orders) for b, n in rows_of.items()}
     sent_as = f"vec_id long, v {kind}, ordering int, window long, asks boolean, least double"
 

@@ -122,5 +122,37 @@ def test_alignments_equal_brute_force(spark):
                 assert t["best_class"] == q and t["offset"] == want[t["class_id"], q][0]
 
 
+def test_votes_of_marks_that_repeat_equal_plain_ones():
+    rng = np.random.default_rng(3)
+    other = rng.integers(0, 1 << 32, 300)
+    for a, b in ((np.concatenate((np.full(900, 77), other)), np.concatenate((other[:100], np.full(700, 77)))), (np.full(400, 5), np.full(900, 5)), (rng.integers(1, 3, 4000), rng.integers(1, 3, 3000))):
+        (m, p), (n, q) = chroma.marks(a), chroma.marks(b)
+        assert len(chroma._repeated(m, n, len(a) + len(b)))
+        want = np.unique((p[:, None] - q[None, :])[m[:, None] == n[None, :]], return_counts=True)
+        assert chroma.histogram(a, b) == dict(zip(*(x.tolist() for x in want)))
+    hum = np.full(300_000, 9)
+    assert chroma.compared(hum, hum)[:3] == (0, 300_000 - chroma.APART, 300_000)
+
+
+def test_music_tells_low_semitones_and_aligns(spark):
+    sound = chroma.MUSIC
+    for n in range(-36, 24):  # from 55 Hz up
+        x = np.sin(2 * np.pi * 440 * 2 ** (n / 12) * np.arange(3 * sound.rate) / sound.rate)
+        assert (chroma.chroma(x, sound.rate, sound.frame, sound.hop).argmax(axis=1) == n % 12).all()
+    rng = np.random.default_rng(5)
+
+    def tune(seconds):
+        notes = 110 * 2 ** (rng.integers(0, 36, seconds * 4) / 12)
+        return np.sin(2 * np.pi * np.cumsum(np.repeat(notes, sound.rate // 4)) / sound.rate)
+
+    song, other = tune(30), tune(30)
+    noisy = song[10 * sound.rate : 25 * sound.rate] + rng.normal(0, 0.05, 15 * sound.rate)
+    rows = [(0, song), (1, noisy), (2, other)]
+    docs = spark.createDataFrame([(i, bytearray((np.clip(x, -1, 1) * 30_000).astype("<i2").tobytes() + b"x")) for i, x in rows] + [(3, None)], "doc_id long, media binary")
+    got = {r["rec_id"]: r for r in chroma.matched(docs, F.col("media"), F.col("rec_id") >= 0, sound=sound).collect()}
+    assert got[0]["best_class"] == 1 and got[1]["best_class"] == 0 and got[2]["links"] == 0 and got[3]["n_hashes"] == 0
+    assert abs(got[0]["offset"] * sound.hop - 10 * sound.rate) < sound.frame and got[0]["length"] > 90
+
+
 def test_empty_table(spark):
     assert chroma.matched(fx.documents(spark, []), F.col("text"), F.col("rec_id") % 100 == 0).count() == 0
