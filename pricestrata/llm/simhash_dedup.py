@@ -13,10 +13,12 @@ components need.
 
 A contract's fingerprints of shingles at a small radius cannot tell all texts that share four fifths of
 their shingles: such pairs differ in 3 to 14 of 64 bits. near_copies() therefore takes its candidates
-from the same deletion-variant signatures, but of PRINTS fingerprints of a text's distinct words, of
-which near copies share far more: pairs at 0.8 differ in 4 bits of 64 on average, or in 9 if one is the
-other without its last fifth. Short texts, whose bits vary more, have FEW_PRINTS of them; in others little
-words don't count, which strangers of one language share, unless nearly all words are little. Candidates whose sets of distinct five-word shingles have a
+from a longer fingerprint, PRINTS times 64 bits, of a text's distinct words, of which near copies share far
+more: pairs at 0.8 differ in 4 bits of 64 on average, or in 9 if one is the other without its last fifth.
+Candidates agree in all bits of a band: bands are fixed sets of bits drawn from the whole of it. At 9 bits
+of 64 a band of 21 bits finds as many pairs a key as five deletion variants of a segment of that length, so there are
+fewer than half the keys to move. In texts that are not short little words don't count, which strangers of one language share, unless
+nearly all words are little. Candidates whose sets of distinct five-word shingles have a
 Jaccard similarity of 0.8 or more, counted on whole texts, link; no others do.
 
 Nulls and texts of no words have the fingerprint zero, which links like any other. Repeated rows
@@ -42,8 +44,8 @@ LAGS = 4
 SEED = 42
 _BLOCK = 1 << 15
 
-#: near_copies(): words of a shingle, fingerprints of a text, and of one of FEW distinct words or fewer; bytes of a little word.
-NEAR_WORDS, PRINTS, FEW, FEW_PRINTS, LITTLE = 5, 5, 64, 8, 3
+#: near_copies(): words of a shingle, fingerprints of a text; a short text has FEW distinct words or fewer; bytes of a little word.
+NEAR_WORDS, PRINTS, FEW, LITTLE = 5, 8, 64, 3
 #: Of a text's distinct words so large a part at least (one in so many) is to be larger than little, or little words count.
 LEAST_LARGER = 8
 #: 64-bit words of the wide fingerprint; the share of its bits that candidates of few shingles, and of more, may differ in; and how many of its first 64.
@@ -99,19 +101,38 @@ def cuts(rows: int, radius: int = RADIUS) -> tuple[int, int]:
     return radius * chosen // 2 + 1, chosen
 
 
-def signatures(fp: Column, segments: int, chosen: int, which: Column | None = None) -> Column:
-    """The keys of a fingerprint: an array of longs. Keys of different `which` never meet."""
+def signatures(fp: Column, segments: int, chosen: int) -> Column:
+    """The keys of a fingerprint: an array of longs."""
     edge = [round(i * 64 / segments) for i in range(segments + 1)]
     masks = [sum(1 << b for b in range(edge[i], edge[i + 1])) for i in range(segments)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    own = [] if which is None else [which]
     keys = []
     for pick in combinations(range(segments), chosen):
         mask = sum(masks[i] for i in pick)
-        keys += [F.xxhash64(F.lit(len(keys) + j), *own, fp.bitwiseAND(F.lit(signed(mask & ~(1 << b))))) for j, b in enumerate(b for b in range(64) if mask >> b & 1)]
+        keys += [F.xxhash64(F.lit(len(keys) + j), fp.bitwiseAND(F.lit(signed(mask & ~(1 << b))))) for j, b in enumerate(b for b in range(64) if mask >> b & 1)]
     return F.array(*keys)
 
 
+def bands(rows: int) -> tuple[int, int]:
+    """(bits of a band, bands). More rows take longer bands, so that few strangers share one, and more of them, so that recall stays."""
+    return (21, 144) if rows < 4_000_000 else (26, 256) if rows < 200_000_000 else (31, 512)
+
+
+def band_keys(texts: DataFrame, rows: int) -> DataFrame:
+    """(node, other, key) of texts (node, prints, wide): a key for each band of each kind of prints that a text has. Kinds never meet."""
+    width, number = bands(rows)
+    draw, masks = np.random.default_rng(SEED), []
+    for band in range(number):
+        bits = np.zeros(64 * PRINTS, dtype=np.uint8)
+        bits[draw.choice(len(bits), width, replace=False)] = 1
+        masks.append((band, np.packbits(bits, bitorder="little").view("<i8").tolist()))
+    drawn = F.broadcast(texts.sparkSession.createDataFrame(masks, "band int, mask array<long>"))
+    kinds = F.array(*(F.slice("prints", PRINTS * k + 1, PRINTS) for k in range(3)))
+    each = dealt(texts.select("node", F.element_at("wide", 1).alias("other"), F.posexplode(kinds).alias("kind", "fp")).where("get(fp, 0) is not null"))
+    key = F.xxhash64("kind", "band", *(F.col("fp")[k].bitwiseAND(F.col("mask")[k]) for k in range(PRINTS)))
+    return each.crossJoin(drawn).select("node", "other", F.shiftright(key, 32).cast("int").alias("key"))
+
+
 def dealt(rows: DataFrame) -> DataFrame:
     """rows in as many partitions as a shuffle has: few bytes that become many are else one task's."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -199,7 +220,7 @@ def _node(digest: bytes) -> int:
 def sketch(text: str | None, words: _Words) -> tuple[int, list[int | None], np.ndarray, int]:
     """(node, prints, wide fingerprint of the shingles, their number) of a whole text.
 
-    A print's place in the list says which one it is; those that a text does not have are null. The first FEW_PRINTS
+    A print's place in the list says which one it is; those that a text does not have are null. The first PRINTS
     are of all distinct words, for texts of few. PRINTS others leave out words of LITTLE bytes or fewer, which strangers of
     one language share; where most words are little ones, the last PRINTS, of all words, take their place. Texts near a
     border have both kinds, as near copies have 5 / 4 times as many words at most, and as many little ones.
@@ -209,13 +230,13 @@ def sketch(text: str | None, words: _Words) -> tuple[int, list[int | None], np.n
     if not len(h):
         return _node(digest), [], np.zeros(WIDE, np.int64), 0
     every, larger = np.unique(h), np.unique(h[~little])
-    prints: list[int | None] = [None] * (FEW_PRINTS + 2 * PRINTS)
+    prints: list[int | None] = [None] * (3 * PRINTS)
     if len(every) * 4 <= FEW * 5:
-        prints[:FEW_PRINTS] = _majority(every, np.arange(1, 1 + FEW_PRINTS)).tolist()
+        prints[:PRINTS] = _majority(every, np.arange(1, 1 + PRINTS)).tolist()
     if len(every) > FEW and len(larger) * LEAST_LARGER > len(every):
-        prints[FEW_PRINTS : FEW_PRINTS + PRINTS] = _majority(larger, np.arange(50, 50 + PRINTS)).tolist()
+        prints[PRINTS : 2 * PRINTS] = _majority(larger, np.arange(50, 50 + PRINTS)).tolist()
     if len(every) > FEW and len(larger) * LEAST_LARGER <= 2 * len(every):
-        prints[FEW_PRINTS + PRINTS :] = _majority(every, np.arange(70, 70 + PRINTS)).tolist()
+        prints[2 * PRINTS :] = _majority(every, np.arange(70, 70 + PRINTS)).tolist()
     return _node(digest), prints, _majority(shingles, np.arange(100, 100 + WIDE)), len(shingles)
 
 
@@ -331,13 +352,26 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
 
 
+def apart_in_buckets(rows: DataFrame, texts: DataFrame, loose: DataFrame) -> DataFrame:
+    """(node, key, loose, wide) of rows (node, key) whose bucket holds several loose groups.
+
+    A node's keys are gathered first, so that what it is joined with makes a row a node and not one a key.
+    """
+    by = Window.partitionBy("key")
+    keys = rows.groupBy("node").agg(F.collect_list("key").alias("keys")).join(loose, "node", "left")
+    each = keys.select("node", F.coalesce("loose", "node").alias("loose"), F.explode("keys").alias("key"))
+    left = each.withColumn("a", F.min("loose").over(by)).withColumn("b", F.max("loose").over(by)).where("a <> b")
+    keys = left.groupBy("node", "loose").agg(F.collect_list("key").alias("keys")).join(texts.select("node", "wide"), "node")
+    return kept(keys.select("node", F.explode("keys").alias("key"), "loose", "wide"))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, component): documents of one component are near copies, directly or through others.
 
-    Equal texts are one node, named by 64 bits of its digest. Candidates share a deletion-variant
-    signature of a fingerprint of their distinct words, and differ in few bits of the wide fingerprint of
-    their shingles (its first word goes with the signature); those whose shingle sets are alike link.
-    A few signatures of every node come first and join most of a large group. Then all pairs of a small
+    Equal texts are one node, named by 64 bits of its digest. Candidates share a band of the
+    fingerprint of their distinct words, and differ in few bits of the wide fingerprint of
+    their shingles (its first word goes with the band); those whose shingle sets are alike link.
+    A few bands of every node come first and join most of a large group. Then all pairs of a small
     bucket are tested, and in larger ones each node with the one before it. What the wide fingerprint
     lets pass so far makes loose groups, of texts alike and almost alike. Where one holds
     several components, every two of its nodes are compared, in blocks; in larger buckets every two of
@@ -345,12 +379,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """
     own = kept(sketches(docs))
     texts = kept(own.groupBy("node").agg(F.min("text_key").alias("text_key"), *(F.any_value(n).alias(n) for n in ("prints", "wide", "size"))))
-    segments, chosen = cuts(texts.count())
     by = Window.partitionBy("key")
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= OTHER_BITS
     pair = lambda a, b: (F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
-    each = dealt(texts.select("node", F.element_at("wide", 1).alias("other"), F.posexplode("prints").alias("i", "fp")).where("fp is not null"))
-    keyed = each.select("node", "other", F.explode(signatures(F.col("fp"), segments, chosen, F.col("i"))).alias("key")).withColumn("key", F.shiftright("key", 32).cast("int"))
+    keyed = band_keys(texts, texts.count())
 
     def preceded(rows: DataFrame, order: list, lags: int) -> DataFrame:
         """rows with before: the nodes among the lags before each in its bucket that may be near it."""
@@ -402,9 +434,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
         links = links.unionAll(kept(verified_groups(members, sets_of(members.select("node")))))
         named = kept(components(links))
     # Across loose groups, in larger buckets.
-    told = texts.select("node", "wide").join(loose, "node", "left").withColumn("loose", F.coalesce("loose", "node"))
-    left = held.where(many).select("node", "key").join(told, "node")
-    left = kept(left.withColumn("a", F.min("loose").over(by)).withColumn("b", F.max("loose").over(by)).where("a <> b").drop("a", "b"))
+    left = apart_in_buckets(held.where(many).select("node", "key"), texts, loose)
     a, b = (left.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "loose", "wide"))) for side in "ab")
     differ = sum((F.bit_count(F.col("a_wide")[i].bitwiseXOR(F.col("b_wide")[i])) for i in range(WIDE)), F.lit(0))
     met = (a["key"] == b["key"]) & (F.col("a_loose") < F.col("b_loose")) & (differ <= int(64 * WIDE * ACROSS))

@@ -141,3 +141,26 @@ def test_texts_of_little_words_have_prints_and_no_common_bucket(spark):
     words = simhash_dedup._Words()
     prints = [(i, p) for t in texts for i, p in enumerate(simhash_dedup.sketch(t, words)[1]) if p is not None]
     assert len(prints) == len(set(prints)) and all(any(p is not None for p in simhash_dedup.sketch(t, words)[1]) for t in texts)
+
+
+def test_a_text_has_few_keys_and_hard_pairs_share_one(spark):
+    """A key takes room on disk: there were 320 a text and more. Pairs that lack a last fifth of their words must still meet, at any number of rows."""
+    r = random.Random(83)
+    base = [[word(r) for _ in range(300)] for _ in range(100)]
+    docs = fx.documents(spark, [(i, " ".join(b[: 300 - 59 * half]), "en", "a") for i, b in enumerate(base) for half in (0, 1)])
+    texts = simhash_dedup.sketches(docs).cache()
+    for rows in (10, 5_000_000):
+        keys = simhash_dedup.band_keys(texts, rows)
+        ids = texts.select("node", "doc_id")
+        met = keys.join(ids, "node").groupBy("doc_id", "key").agg(F.count_distinct("node").alias("n")).where("n = 2").select("doc_id").distinct().count()
+        assert keys.count() == 200 * simhash_dedup.bands(rows)[1] and met >= 90
+    assert simhash_dedup.bands(1)[1] <= 144
+
+
+def test_buckets_of_several_groups_are_found_by_a_row_a_node(spark):
+    """500 nodes of one group in 40 buckets, one of which holds a stranger: no join makes a row a key, and that bucket comes back whole."""
+    rows = spark.createDataFrame([(n, k) for n in range(500) for k in range(40)] + [(900, 7)], "node long, key int")
+    texts = spark.createDataFrame([(n, [n] * simhash_dedup.WIDE) for n in [*range(500), 900]], "node long, wide array<long>")
+    loose = spark.createDataFrame([(n, 0) for n in range(500)], "node long, loose long")
+    got = simhash_dedup.apart_in_buckets(rows, texts, loose)
+    assert sorted((r["node"], r["key"], r["loose"], r["wide"][0]) for r in got.collect()) == sorted([*((n, 7, 0, n) for n in range(500)), (900, 7, 900, 900)])
