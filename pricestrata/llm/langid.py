@@ -24,6 +24,7 @@ import sys
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +43,19 @@ _CACHE = 300_000
 _FLUSH = 300_000
 
 
+#: What ASCII letters become in lower case, and a space for every other byte.
+_ASCII = bytes(c if 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+_LAST_SHORT = 0xFFFF
+
+
 @once_a_process
-def word_pattern() -> re.Pattern:
-    """A letter (Unicode category L), then letters and marks (M)."""
+def word_pattern(last: int = sys.maxunicode) -> re.Pattern:
+    """A letter (Unicode category L), then letters and marks (M); of the code points up to `last`."""
 
     def ranges(kinds: str) -> str:
         out, first = [], None
-        for c in range(sys.maxunicode + 2):
-            inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] in kinds
+        for c in range(last + 2):
+            inside = c <= last and unicodedata.category(chr(c))[0] in kinds
             if inside and first is None:
                 first = c
             elif not inside and first is not None:
@@ -60,6 +66,19 @@ def word_pattern() -> re.Pattern:
     return re.compile(f"[{ranges('L')}][{ranges('LM')}]*")
 
 
+def words_of(text: str | None) -> list[str]:
+    """The words of a text in lower case: what word_pattern() finds.
+
+    Ranges above 0xFFFF are tried one by one at each end of a word, so texts without such characters have a pattern without these ranges.
+    """
+    line = text or ""
+    if line.isascii():
+        return line.encode().translate(_ASCII).decode().split()
+    line = line.lower()
+    short = len(line.encode("utf-16-le", "surrogatepass")) == 2 * len(line)
+    return word_pattern(*[_LAST_SHORT] * short).findall(line)
+
+
 class Model:
     """words and grams give rows of scores: log posteriors of the languages. Made of plain values, so that workers need no code to load it."""
 
@@ -111,26 +130,22 @@ class Model:
         return []
 
     def predict(self, text: str | None, cache: dict[str, list[int]]) -> tuple[str, float]:
-        counts = Counter(word_pattern().findall((text or "").lower()))
+        counts = Counter(words_of(text))
         if not counts or not self.langs:
             return UNKNOWN, 0.0
-        rows: list[int] = []
-        weights: list[float] = []
-        for w, n in counts.items():
-            found = cache.get(w)
-            if found is None:
-                if len(cache) >= _CACHE:
-                    cache.clear()
-                found = self.rows_of(w)
-                if len(w) < 64:
-                    cache[w] = found
-            if len(found) == 1:
-                rows.append(found[0])
-                weights.append(n)
-            elif found:
-                rows += found
-                weights += [n / len(found)] * len(found)
-        total = np.asarray(weights) @ self.scores[rows] if rows else np.zeros(len(self.langs))
+        found = list(map(cache.get, counts))
+        if None in found:
+            for i, w in enumerate(counts):
+                if found[i] is None:
+                    if len(cache) >= _CACHE:
+                        cache.clear()
+                    found[i] = self.rows_of(w)
+                    if len(w) < 64:
+                        cache[w] = found[i]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        rows = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
+        share = np.fromiter(counts.values(), np.float64, len(found)) / np.maximum(sizes, 1)
+        total = np.repeat(share, sizes) @ self.scores[rows]
         best = int(np.argmax(total))
         mean = (total - total[best]) / counts.total()
         return self.langs[best], 1.0 / math.fsum(np.exp(mean))
@@ -179,7 +194,7 @@ def learnt(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
-                own.update((lang, w) for w in word_pattern().findall(text.as_py().lower()))
+                own.update((lang, w) for w in words_of(text.as_py()))
                 if len(own) > _FLUSH:
                     yield batch()
                     own.clear()

@@ -118,3 +118,16 @@ def test_nothing_to_learn_from(spark):
     got = langid.identified(fx.documents(spark, [(1, "some text", None, "a")])).collect()
     assert [tuple(r)[2:] for r in got] == [("und", 0.0)]
     assert langid.identified(fx.documents(spark, [])).count() == 0
+
+
+def test_words_are_those_of_the_whole_pattern_and_are_found_without_it(monkeypatch):
+    """ASCII, Latin and CJK texts, marks, signs above 0xFFFF and lone surrogates; the ranges above 0xFFFF took half of the time of texts that have none."""
+    texts = [None, "", EN.upper(), "a1b\x00c\x1cd_e\x85f", DE, "I\u0307stanbul \u0130I e\u0301\u0301x \u0301a", "\u6f22\u5b57 \u0e01\u0e34\u0e48 x", "\U00010400\U00010428 a\U0001f600b", "\ud800a \udc00", "\u212a \uab30"]
+    whole = langid.word_pattern()
+    assert [langid.words_of(t) for t in texts] == [whole.findall((t or "").lower()) for t in texts]
+    assert all(langid.words_of(chr(c) + "e\u0301") == whole.findall((chr(c) + "e\u0301").lower()) for c in range(0x11000))
+    asked = []
+    monkeypatch.setattr(langid, "word_pattern", lambda *last: asked.append(last) or whole)
+    of_texts([("a", "abcd abcd")]).predict(DE + EN, {})
+    langid.words_of(EN)
+    assert asked == [(), (0xFFFF,)]
