@@ -365,15 +365,29 @@ def apart_in_buckets(rows: DataFrame, texts: DataFrame, loose: DataFrame) -> Dat
     return kept(keys.select("node", F.explode("keys").alias("key"), "loose", "wide"))
 
 
+def apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """The pairs (src, dst) whose nodes have different components in named (node, component); a node that is not there is its own.
+
+    A node's pairs are gathered first, so that the joins make a row a node and not one a pair.
+    """
+    of = lambda c: named.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
+    one = pairs.groupBy("src").agg(F.collect_list("dst").alias("others")).join(of("src"), "src", "left")
+    each = one.select(F.struct("src", F.coalesce("src_c", "src").alias("c")).alias("one"), F.explode("others").alias("dst"))
+    two = each.groupBy("dst").agg(F.collect_list("one").alias("others")).join(of("dst"), "dst", "left")
+    left = F.filter("others", lambda x: x["c"] != F.coalesce("dst_c", "dst"))
+    return two.select(F.explode(left).alias("one"), "dst").select("one.src", "dst")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, component): documents of one component are near copies, directly or through others.
 
     Equal texts are one node, named by 64 bits of its digest. Candidates share a band of the
     fingerprint of their distinct words, and differ in few bits of the wide fingerprint of
     their shingles (its first word goes with the band); those whose shingle sets are alike link.
-    A few bands of every node come first and join most of a large group. Then all pairs of a small
-    bucket are tested, and in larger ones each node with the one before it. What the wide fingerprint
-    lets pass so far makes loose groups, of texts alike and almost alike. Where one holds
+    A few bands of every node come first. What the wide fingerprint lets pass makes loose groups, of texts
+    alike and almost alike, and these few bands join most of a large one. Then all pairs of a small
+    bucket are tested, and in larger ones each node with the one before it, unless one loose group holds
+    both: so a large group brings some pairs a node, and not one for each band. Where a loose group holds
     several components, every two of its nodes are compared, in blocks; in larger buckets every two of
     different loose groups are, by a join.
     """
@@ -411,19 +425,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
         discard(sets)
         return some, out
 
-    def apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
-        """The pairs whose nodes are of different components."""
-        of = lambda c: named.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
-        both = pairs.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
-        return both.where(F.coalesce("src_c", "src") != F.coalesce("dst_c", "dst")).select("src", "dst")
-
     many = F.col("n") > NEAR_LAGS + 1
     held = preceded(keyed.withColumn("n", F.count("*").over(by)), ["node"], NEAR_LAGS)
     held = held.withColumn("before", F.when(many, F.slice("before", 1, 1)).otherwise(F.col("before")))
     held = kept(held.where(many | (F.size("before") > 0)))
     some, links = tested(kept(pairs_of(held.where(F.col("key") % FIRST == 0))))
-    named = kept(components(links))
-    more, found = tested(kept(apart(pairs_of(held), named)))
+    # Nodes of one loose group need no further pairs: verified_groups() compares every two of them if they don't link already.
+    loose = kept(components(some))
+    more, found = tested(kept(apart(pairs_of(held), loose)))
+    discard(loose)
     some, links = some.unionAll(more), links.unionAll(found)
     named = kept(components(links))
     loose = kept(components(some).withColumnRenamed("component", "loose"))

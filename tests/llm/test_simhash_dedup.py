@@ -164,3 +164,21 @@ def test_buckets_of_several_groups_are_found_by_a_row_a_node(spark):
     loose = spark.createDataFrame([(n, 0) for n in range(500)], "node long, loose long")
     got = simhash_dedup.apart_in_buckets(rows, texts, loose)
     assert sorted((r["node"], r["key"], r["loose"], r["wide"][0]) for r in got.collect()) == sorted([*((n, 7, 0, n) for n in range(500)), (900, 7, 900, 900)])
+
+
+def test_a_loose_group_is_verified_in_blocks_and_not_by_pairs_of_every_band(spark, monkeypatch):
+    """150 texts of 300 words, 6 of them changed: loosely one group, of 50 that link. Each text brought a pair for almost every band to the joins."""
+    r, sizes, one = random.Random(84), [], simhash_dedup.verified
+    base = [word(r) for _ in range(300)]
+    texts = [" ".join(word(r) if i % 50 == k % 50 else w for i, w in enumerate(base)) for k in range(150)]
+    texts += [t + " end" for t in texts[:3]]
+    monkeypatch.setattr(simhash_dedup, "verified", lambda pairs, sets: sizes.append(pairs.count()) or one(pairs, sets))
+    assert groups(spark, texts) == brute(texts)
+    assert 20 < len(brute(texts)) < 60 and 100 < sum(sizes) < 12 * len(texts), sizes
+
+
+def test_pairs_apart(spark):
+    """A pair stays if its nodes have different components; one that is not named is its own."""
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 4), (1, 4), (5, 6)], "src long, dst long")
+    named = spark.createDataFrame([(1, 1), (2, 1), (4, 1)], "node long, component long")
+    assert sorted(map(tuple, simhash_dedup.apart(pairs, named).collect())) == [(1, 3), (2, 3), (3, 4), (5, 6)]
