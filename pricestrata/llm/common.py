@@ -62,6 +62,11 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Has the driver's JVM collect its garbage: Spark then removes the files of shuffles that nothing will read again."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (src, dst: longs), component being one node of each component.
 

@@ -9,10 +9,11 @@ multiply or mix:
 - A word's probability within its class is its share of the class's tokens in the whole corpus. The
   counts of all words are a table, however many there are; only those of the WORDS most frequent are
   broadcast, the others are joined.
-- A memory holds the windows whose neighbours hash to 0 modulo EVERY, so the same ones of every copy of
-  a passage, with how often each word stood between these neighbours anywhere in the corpus. There a
-  token's probability is (seen - 1 + PRIOR * p) / (windows - 1 + PRIOR), p being the network's: the
+- A memory holds all windows of the corpus: how often each word stood between the same neighbours anywhere.
+  There a token's probability is (seen - 1 + PRIOR * p) / (windows - 1 + PRIOR), p being the network's: the
   window itself doesn't count. The memory grows with the corpus, and passages that recur score high.
+  Chunks of documents count their own windows, as sorted arrays, and send each part of the range of hashes what
+  falls into it; a part adds up what all chunks sent, and answers each in the order of its arrays.
 
 A document's score is the sum of the log probabilities of all its tokens, each given both its sides.
 
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import discard, kept, swept
 
 TOP = 47
 CLASSES = 96
@@ -50,14 +51,16 @@ ROUNDS = 2
 RATE = 0.1
 BATCH = 4096
 CELL = 1 << 22
-EVERY = 32
+#: The memory holds the windows whose neighbours hash to 0 modulo this: all of them.
+EVERY = 1
+#: Tokens of a chunk, and windows of a part of the memory; a task holds one at a time.
+CHUNK, PART = 1 << 20, 1 << 21
 PRIOR = 1.0
 FAN = 64
 _SIDES = [*range(-REACH, 0), *range(1, REACH + 1)]
-_BLOCK = 1 << 15
+_BLOCK = 1 << 12
 #: Parts of one that a hidden number and a weight are rounded to: HIDDEN products of numbers below 1 and 2 ** 8 fit 53 bits.
 _GRID = float(1 << 20)
-_LINE = 1 << 20
 _FLUSH = 300_000
 
 
@@ -66,11 +69,27 @@ def ending_class(word: str) -> int:
     return TOP + 1 + zlib.crc32(word[-2:].encode("utf-8", "surrogatepass")) % (CLASSES - TOP - 1)
 
 
+def rare_number(word: str) -> int:
+    return WORDS + zlib.crc32(word.encode("utf-8", "surrogatepass")) % ((1 << 32) - WORDS)
+
+
 class Vocabulary(dict):
-    """A number for every word, its class in the lowest byte. Numbers from WORDS up are hashes of words that have no count here."""
+    """A number of 32 bits for every word, its class in the byte below. Numbers from WORDS up are hashes of words that have no count here."""
 
     def __missing__(self, word: str) -> int:
-        return WORDS + zlib.crc32(word.encode("utf-8", "surrogatepass")) << 8 | ending_class(word)
+        return rare_number(word) << 8 | ending_class(word)
+
+
+class _Noting(Vocabulary):
+    """Also lists the words that have no count, as they are met."""
+
+    def __init__(self, known: Iterator[tuple[str, int]]) -> None:
+        super().__init__(known)
+        self.met: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.met.append(word)
+        return super().__missing__(word)
 
 
 class Network:
@@ -103,10 +122,14 @@ class Network:
         """
         out = np.empty(max(0, len(x) - 2 * REACH))
         weights = np.rint(self.out.astype(np.float64) * _GRID) / _GRID
+        large = np.abs(self.bias).max() + np.abs(weights).sum(axis=0).max() >= 60  # hidden numbers are 1 at most
         for i in range(REACH, len(x) - REACH, _BLOCK):
             at = slice(i, min(i + _BLOCK, len(x) - REACH))
             h = np.rint(self.hidden(x, at) * np.float32(_GRID)).astype(np.float64) / _GRID
-            z = np.clip((h @ weights).astype(np.float32) + self.bias, -60, 60)
+            z = (h @ weights).astype(np.float32)
+            z += self.bias
+            if large:
+                np.clip(z, -60, 60, out=z)
             own = z[np.arange(len(z)), x[at]].astype(np.float64)
             out[at.start - REACH : at.stop - REACH] = own - np.log(np.exp(z, out=z).sum(axis=1).astype(np.float64))
         return out
@@ -119,7 +142,9 @@ class Network:
         if not n:
             return 0
         h = self.hidden(x, at)
-        p = np.exp(np.clip(h @ self.out + self.bias, -60, 60))
+        p = h @ self.out
+        p += self.bias
+        np.exp(np.clip(p, -60, 60, out=p), out=p)
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
         p *= (here / n).astype(np.float32)[:, None]
@@ -184,55 +209,177 @@ def classed(counts: DataFrame) -> tuple[list[tuple[str, int]], DataFrame, np.nda
     return top, rows.where(F.col("n") < least), mass
 
 
-_CODED = "row long, doc_id long, text_key long, n long, known double, codes binary, rare array<string>, place array<int>, context array<long>, word array<long>"
+_CODED = "row long, chunk long, doc_id long, text_key long, n long, codes binary, low binary, middle binary, high binary, rare array<string>"
+
+
+def contexts(x: np.ndarray) -> np.ndarray:
+    """Hashes of the neighbours at all places of x but the REACH first and last; x has words' ids + 1, and zeros outside texts."""
+    h = np.zeros(len(x) - 2 * REACH, dtype=np.uint64)
+    for d in _SIDES:
+        h ^= x[REACH + d : REACH + d + len(h)]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
 
 
 def windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places that the memory holds, and the hashes of their neighbours."""
+    """The places of a text that the memory holds, and the hashes of their neighbours."""
     x = np.zeros(len(ids) + 2 * REACH, dtype=np.uint64)
     x[REACH : REACH + len(ids)] = ids + 1
-    h = np.zeros(len(ids), dtype=np.uint64)
-    for d in _SIDES:
-        h = (h ^ x[REACH + d : REACH + d + len(ids)]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    at = np.flatnonzero((h % np.uint64(EVERY) == 0) & (ids >> 8 < WORDS))
+    h = contexts(x)
+    at = np.flatnonzero(h % np.uint64(EVERY) == 0)
     return at, h[at].view(np.int64)
 
 
 def coded(docs: DataFrame, top: list[tuple[str, int]], mass: np.ndarray) -> DataFrame:
-    """A row for each document: its tokens' classes, the log probabilities of broadcast words within them, its other words, its memory windows."""
-    shared = docs.sparkSession.sparkContext.broadcast((top, mass))
+    """A row for each document: its tokens' classes, the three bytes of their words' numbers (WORDS: a rare word), and its rare words.
+
+    chunk: the row of the first of those documents, in order, that have CHUNK tokens together.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(top)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, tokens = shared.value
-        own = Vocabulary((w, i << 8 | (i + 1 if i < TOP else ending_class(w))) for i, (w, _) in enumerate(words))
-        share = np.zeros(len(words) + 1)
-        for i, (w, n) in enumerate(words):
-            share[i] = np.log(n / tokens[own[w] & 255])
-        row = TaskContext.get().partitionId() << 40
-        longs = pa.list_(pa.int64())
+        own = _Noting((w, i << 8 | (i + 1 if i < TOP else ending_class(w))) for i, (w, _) in enumerate(shared.value))
+        row = chunk = TaskContext.get().partitionId() << 40
+        size = 0
         for b in batches:
-            out = []
-            for t in b.column(2):
+            each, ends, chunks, own.met = [np.zeros(0, np.int64)], [0], [], []
+            for i, t in enumerate(b.column(2)):
                 parts = (t.as_py() or "").lower().split()
-                ids = np.fromiter(map(own.__getitem__, parts), np.int64, len(parts))
-                number = ids >> 8
-                rare = number >= WORDS
-                at, context = windows(ids)
-                out.append((row, len(parts), share[number[~rare]].sum(), (ids & 255).astype(np.uint8).tobytes(), [parts[i] for i in np.flatnonzero(rare)], at.astype(np.int32), context, number[at]))
-                row += 1
-            c = list(zip(*out)) or [()] * 8
+                each.append(np.fromiter(map(own.__getitem__, parts), np.int64, len(parts)))
+                ends.append(len(own.met))
+                if size >= CHUNK:
+                    chunk, size = row + i, 0
+                chunks.append(chunk)
+                size += len(parts)
+            n = np.array([len(x) for x in each[1:]], dtype=np.int64)
+            flat = np.concatenate(each)
+            number = np.minimum(flat >> 8, WORDS)
+            offsets = pa.py_buffer(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
+            bytewise = [pa.Array.from_buffers(pa.binary(), len(n), [None, offsets, pa.py_buffer((x & 255).astype(np.uint8))]) for x in (flat, number, number >> 8, number >> 16)]
+            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(own.met, pa.string()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c[0], pa.int64()), b.column(0), b.column(1), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64()), pa.array(c[3], pa.binary()), pa.array(c[4], pa.list_(pa.string())), pa.array(c[5], pa.list_(pa.int32())), pa.array(c[6], longs), pa.array(c[7], longs)],
-                names=["row", "doc_id", "text_key", "n", "known", "codes", "rare", "place", "context", "word"],
+                [pa.array(np.arange(row, row + len(n))), pa.array(chunks, pa.int64()), b.column(0), b.column(1), pa.array(n), *bytewise, rare],
+                names=["row", "chunk", "doc_id", "text_key", "n", "codes", "low", "middle", "high", "rare"],
             )
+            row += len(n)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string"))
     return rows.mapInArrow(run, _CODED)
 
 
+class _Held:
+    """The tokens of some documents (rows of coded()) and their windows in the memory, in the order of neighbours and word."""
+
+    def __init__(self, docs: pa.Table) -> None:
+        self.n = docs["n"].to_numpy()
+        self.codes, low, middle, high = (np.frombuffer(b"".join(docs[c].to_pylist()), np.uint8) for c in ("codes", "low", "middle", "high"))
+        self.number = low | middle.astype(np.int64) << 8 | high.astype(np.int64) << 16
+        self.rare = np.flatnonzero(self.number == WORDS)
+        self.words = [w for ws in docs["rare"].to_pylist() for w in ws]
+        self.number[self.rare] = np.fromiter(map(rare_number, self.words), np.int64, len(self.words))
+        self.doc = np.repeat(np.arange(len(self.n)), self.n)
+        self.place = np.arange(len(self.doc)) + REACH * self.doc
+        self.length = len(self.doc) + REACH * (len(self.n) + 1)
+        h = contexts(self.line((self.number << 8 | self.codes) + 1, np.uint64))[self.place]
+        self.at = np.flatnonzero(h % np.uint64(EVERY) == 0)
+        h, word = h[self.at], self.number[self.at].astype(np.uint32)
+        self.order, _, first = sorted_windows(h, word)
+        self.h, self.word = h[self.order[first]], word[self.order[first]]
+        self.which = np.repeat(np.arange(len(first)), np.diff(first, append=len(h)))
+        self.times = np.bincount(self.which, minlength=len(first)).astype(np.uint32)
+
+    def line(self, values: np.ndarray, kind: type) -> np.ndarray:
+        """The documents' values one after the other, REACH zeros around each."""
+        x = np.zeros(self.length, dtype=kind)
+        x[self.place + REACH] = values
+        return x
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """A value for each window's token in the documents' order, of values for each different window."""
+        out = np.empty(len(self.at), dtype=values.dtype)
+        out[self.order] = values[self.which]
+        return out
+
+
+def sorted_windows(h: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by (h, word), and where in it another h, and another (h, word), begins."""
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    other = np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1]))
+    alike = np.flatnonzero(~other | ~np.append(other[1:], np.ones(min(1, len(h)), bool)))
+    order[alike] = order[alike][np.lexsort((word[order[alike]], h[alike]))]
+    word = word[order]
+    new = other.copy()
+    new[1:] |= word[1:] != word[:-1]
+    return order, np.flatnonzero(other), np.flatnonzero(new)
+
+
+def _bytewise(a: np.ndarray) -> bytes:
+    """All first bytes of the numbers, then all second ones: those of sorted or small numbers take little room in a shuffle."""
+    return a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+
+
+def _numbers(columns: list[bytes], kind: type) -> np.ndarray:
+    """What _bytewise() made of several arrays, as one."""
+    size = np.dtype(kind).itemsize
+    return np.concatenate([np.zeros(0, kind), *(np.ascontiguousarray(np.frombuffer(c, np.uint8).reshape(size, -1).T).view(kind).ravel() for c in columns)])
+
+
+_SENT = "part long, chunk long, first long, last long, h binary, word binary, times binary"
+_ANSWER = "chunk long, first long, last long, part long, seen binary, windows binary"
+
+
+def sent(texts: DataFrame, parts: int) -> DataFrame:
+    """What documents that lie together, first to last, send to each part of the memory: their different windows, and how often they have each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def message(docs: list[pa.RecordBatch]) -> pa.RecordBatch:
+            docs = pa.Table.from_batches(docs)
+            held = _Held(docs)
+            part = (held.h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+            cut = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+            to = [i for i in range(parts) if cut[i] < cut[i + 1]] or [0]  # one at least, so that no document is without an answer
+            columns = [[_bytewise(a[cut[i] : cut[i + 1]]) for i in to] for a in (held.h, held.word, held.times)]
+            same = [np.full(len(to), docs[c][k].as_py()) for c, k in (("chunk", 0), ("row", 0), ("row", -1))]
+            return pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), *map(pa.array, same), *(pa.array(c, pa.binary()) for c in columns)], names=["part", "chunk", "first", "last", "h", "word", "times"])
+
+        docs: list[pa.RecordBatch] = []
+        for b in batches:
+            chunk = b.column(0).to_numpy()
+            cut = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+            for i, j in zip(cut[:-1], cut[1:]):
+                if docs and i < j and docs[0].column(0)[0].as_py() != chunk[i]:
+                    yield message(docs)
+                    docs = []
+                if i < j:
+                    docs.append(b.slice(i, j - i))
+        if docs:
+            yield message(docs)
+
+    return texts.select("chunk", "row", "n", "codes", "low", "middle", "high", "rare").mapInArrow(run, _SENT)
+
+
+def answered(messages: DataFrame) -> DataFrame:
+    """For each message, and each of its windows: how often it is seen, and how many windows have these neighbours, in the whole corpus."""
+
+    def run(group: pa.Table) -> pa.Table:
+        h, word, times = (_numbers(group[c].to_pylist(), k) for c, k in (("h", np.uint64), ("word", np.uint32), ("times", np.uint32)))
+        order, other, new = sorted_windows(h, word)
+        times, sums = times[order].astype(np.int64), []
+        for first in (new, other):
+            out = np.empty(len(h), dtype=np.int64)
+            out[order] = np.repeat(np.add.reduceat(times, first), np.diff(first, append=len(h))) if len(h) else 0
+            sums.append(out)
+        ends = np.cumsum([len(x) // 8 for x in group["h"].to_pylist()])
+        each = [pa.array([_bytewise(x) for x in np.split(a, ends[:-1])], pa.binary()) for a in sums]
+        return pa.table([*(group[c] for c in ("chunk", "first", "last", "part")), *each], names=["chunk", "first", "last", "part", "seen", "windows"])
+
+    return messages.groupBy("part").applyInArrow(run, _ANSWER)
+
+
 def _trained_cell(codes: list[bytes], flat: np.ndarray, turn: int) -> tuple[int, np.ndarray]:
     """(tokens seen, parameters) after the steps of one round over a cell. A batch takes its places at even steps over the whole cell."""
     x, _ = line_of(codes)
@@ -291,41 +438,43 @@ def trained(texts: DataFrame, mass: np.ndarray, cell: int = CELL) -> np.ndarray:
     return flat
 
 
-def _scored(texts: DataFrame, flat: np.ndarray, top: list[tuple[str, int]], mass: np.ndarray) -> DataFrame:
-    """texts with base, the sum over broadcast words and of all classes, and own, the log probability at each memory window."""
-    share = np.array([n for _, n in top], dtype=np.float64)
-    shared = texts.sparkSession.sparkContext.broadcast((flat, np.log(share), np.log(np.maximum(mass, 1))))
+_SCORED = "row long, doc_id long, n long, held long, met long, base double, rare array<struct<word: string, p: double, seen: long, windows: long>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _scored(texts: DataFrame, answers: DataFrame, flat: np.ndarray, top: list[tuple[str, int]], mass: np.ndarray) -> DataFrame:
+    """Of each document the sum of log probabilities, without the shares of its rare words, and those with what their terms need."""
+    counts = np.log(np.array([n for _, n in top], dtype=np.float64))
+    shared = texts.sparkSession.sparkContext.broadcast((flat, counts, np.log(np.maximum(mass, 1))))
+
+    def some(docs: pa.Table, seen: np.ndarray, around: np.ndarray) -> pa.Table:
         flat, counts, tokens = shared.value
-        net = Network(flat)
-        for b in batches:
-            codes, places, words = b.column(4).to_pylist(), b.column(5).to_pylist(), b.column(7).to_pylist()
-            base, own, first = np.zeros(b.num_rows), [], 0
-            sizes = np.cumsum([len(c) for c in codes])
-            while first < b.num_rows:  # so many texts at a time that their tokens are _LINE, or one text
-                done = sizes[first - 1] if first else 0
-                last = max(first + 1, int(np.searchsorted(sizes, done + _LINE, "right")))
-                x, starts = line_of(codes[first:last])
-                p = net.log_probabilities(x)
-                for i, s in zip(range(first, last), starts - REACH):
-                    base[i] = p[s : s + len(codes[i])].sum()
-                    at, word = np.array(places[i], dtype=np.int64), np.array(words[i], dtype=np.int64)
-                    own.append(p[s + at] + counts[word] - tokens[np.frombuffer(codes[i], np.uint8)[at]])
-                first = last
-            base += b.column(3).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(base), b.column(6), b.column(7), pa.array(own, pa.list_(pa.float64()))], names=["row", "doc_id", "n", "base", "context", "word", "own"])
-
-    return texts.select("row", "doc_id", "n", "known", "codes", "place", "context", "word").mapInArrow(run, "row long, doc_id long, n long, base double, context array<long>, word array<long>, own array<double>")
-
-
-def remembered(texts: DataFrame) -> DataFrame:
-    """(row, met, gain): of a document's memory windows those met elsewhere, and what they add to its score."""
-    each = texts.select("row", F.explode(F.arrays_zip("context", "word", "own")).alias("w")).select("row", "w.*")
-    pairs = each.groupBy("context", "word").agg(F.count("*").alias("seen"))
-    often = pairs.groupBy("context").agg(F.sum("seen").alias("windows")).where("windows > 1")
-    mixed = F.log((F.col("seen") - 1 + PRIOR * F.exp("own")) / (F.col("windows") - 1 + PRIOR)) - F.col("own")
-    return each.join(pairs.join(often, "context"), ["context", "word"]).groupBy("row").agg(F.count("*").alias("met"), F.sum(mixed).alias("gain"))
+        held = _Held(docs)
+        p = Network(flat).log_probabilities(held.line(held.codes, np.uint8))[held.place]
+        sees, wide = np.ones(len(p), np.int64), np.ones(len(p), np.int64)
+        sees[held.at], wide[held.at] = held.spread(seen), held.spread(around)
+        score, often = p.copy(), held.number < WORDS
+        score[often] += counts[held.number[often]] - tokens[held.codes[often]]
+        mixed = np.flatnonzero(often & (wide > 1))
+        score[mixed] = np.log((sees[mixed] - 1 + PRIOR * np.exp(score[mixed])) / (wide[mixed] - 1 + PRIOR))
+        total = lambda weights, doc: np.bincount(doc, weights, len(held.n)).astype(np.float64)  # noqa: E731  of nothing it is whole
+        number = lambda doc: pa.array(np.bincount(doc, minlength=len(held.n)))
+        terms = pa.StructArray.from_arrays([pa.array(held.words, pa.string()), *(pa.array(a[held.rare]) for a in (p, sees, wide))], names=["word", "p", "seen", "windows"])
+        ends = np.concatenate(([0], np.cumsum(np.bincount(held.doc[held.rare], minlength=len(held.n))))).astype(np.int32)
+        return pa.table(
+            [docs["row"], docs["doc_id"], docs["n"], number(held.doc[held.at]), number(held.doc[wide > 1]), pa.array(total(score, held.doc)), pa.ListArray.from_arrays(pa.array(ends), terms)],
+            names=["row", "doc_id", "n", "held", "met", "base", "rare"],
+        )
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        docs, answers = docs.sort_by("row"), answers.sort_by([("first", "ascending"), ("part", "ascending")])
+        rows, first = docs["row"].to_numpy(), answers["first"].to_numpy()
+        cut, out = [*np.flatnonzero(np.diff(first, prepend=-1)).tolist(), len(first)], []
+        for i, j in zip(cut[:-1], cut[1:]):
+            a, b = np.searchsorted(rows, first[i]), np.searchsorted(rows, answers["last"][i].as_py(), "right")
+            out.append(some(docs.slice(a, b - a), *(_numbers(answers[c].slice(i, j - i).to_pylist(), np.int64) for c in ("seen", "windows"))))
+        return pa.concat_tables(out)
+
+    return texts.drop("text_key").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, _SCORED)
 
 
 def scored(docs: DataFrame, cell: int = CELL) -> DataFrame:
@@ -336,12 +485,19 @@ def scored(docs: DataFrame, cell: int = CELL) -> DataFrame:
     counts = kept(word_counts(docs))
     top, rest, mass = classed(counts)
     texts = kept(coded(docs, top, mass))
-    rows = kept(_scored(texts, trained(texts, mass, cell), top, mass))
-    tokens = F.element_at(F.array(*(F.lit(float(max(m, 1))) for m in mass)), F.col("class") + 1)
-    rare = texts.select("row", F.explode("rare").alias("word")).join(rest, "word").groupBy("row").agg(F.sum(F.log(F.col("n") / tokens)).alias("rest"))
-    out = rows.join(rare, "row", "left").join(remembered(rows), "row", "left")
-    total = F.col("base") + F.coalesce("rest", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0))
-    held = F.size("context").cast("long")
-    return out.select(
+    flat = trained(texts, mass, cell)
+    swept(docs.sparkSession)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(mass.sum()) // PART))
+    answers = kept(answered(sent(texts, parts)))
+    swept(docs.sparkSession)
+    rows = kept(_scored(texts, answers, flat, top, mass))
+    discard(texts, answers)
+    swept(docs.sparkSession)
+    share = F.log(F.col("n") / F.element_at(F.array(*(F.lit(float(max(m, 1))) for m in mass)), F.col("class") + 1))
+    mixed = F.log((F.col("seen") - 1 + PRIOR * F.exp(F.col("p") + share)) / (F.col("windows") - 1 + PRIOR)) - F.col("p")
+    terms = rows.select("row", F.explode("rare").alias("w")).select("row", "w.*").join(rest, "word")
+    terms = terms.groupBy("row").agg(F.sum(F.when(F.col("windows") > 1, mixed).otherwise(share)).alias("rest"))
+    total = F.col("base") + F.coalesce("rest", F.lit(0.0))
+    return rows.drop("rare").join(terms, "row", "left").select(
         "doc_id", F.col("n").alias("n_tokens"), total.alias("log_likelihood"), F.when(F.col("n") > 0, total / F.col("n")).alias("mean_log_likelihood"),
-        held.alias("memory_windows"), F.when(held > 0, F.coalesce("met", F.lit(0)) / held).alias("memory_share"))
+        F.col("held").alias("memory_windows"), F.when(F.col("held") > 0, F.col("met") / F.col("held")).alias("memory_share"))

@@ -130,3 +130,16 @@ def test_training_lowers_the_loss():
 def test_empty_table(spark):
     assert pl.scored(fx.documents(spark, [])).count() == 0
     assert [tuple(r) for r in pl.scored(fx.documents(spark, [(1, None, "en", "a")])).collect()] == [(1, 0, 0.0, None, 0, None)]
+
+
+def test_memory_holds_every_window_rare_words_too(spark, monkeypatch):
+    """As the settings stand, all tokens of a text are windows, and all of a repeated text's are met, those of rare words included."""
+    monkeypatch.setattr(pl, "WORDS", 60)
+    monkeypatch.setattr(pl, "CHUNK", 500)
+    docs = documents(spark)
+    top, _, mass = pl.classed(pl.word_counts(docs))
+    flat = pl.trained(pl.coded(docs, top, mass).cache(), mass, 512)
+    got = ordered(map(tuple, pl.scored(docs, 512).collect()))
+    want = ordered(brute([(r["doc_id"], r["text"]) for r in docs.collect()], flat))
+    assert len(got) == len(want) and all(near(g, w) for g, w in zip(got, want))
+    assert all(g[4] == g[1] for g in got) and all(g[5] == 1 for g in got if g[0] is not None and (g[0] < 8 or 100 <= g[0] < 108))
