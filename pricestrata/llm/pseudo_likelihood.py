@@ -54,7 +54,7 @@ CELL = 1 << 22
 #: The memory holds the windows whose neighbours hash to 0 modulo this: all of them.
 EVERY = 1
 #: Tokens of a chunk, and windows of a part of the memory; a task holds one at a time.
-CHUNK, PART = 1 << 20, 1 << 21
+CHUNK, PART = 1 << 20, 1 << 20
 PRIOR = 1.0
 FAN = 64
 _SIDES = [*range(-REACH, 0), *range(1, REACH + 1)]
@@ -109,10 +109,12 @@ class Network:
         return cls(np.concatenate((np.random.default_rng(11).normal(0, 0.1, n), np.log(share))))
 
     def hidden(self, x: np.ndarray, at: slice) -> np.ndarray:
-        z = 0.0
-        for side, d in zip(self.sides, _SIDES):
-            z = z + side[x[at.start + d : at.stop + d : at.step]]
-        return np.tanh(z)
+        z = sum(side.take(x[at.start + d : at.stop + d : at.step], axis=0) for side, d in zip(self.sides, _SIDES))
+        return np.tanh(z, out=z)
+
+    def large(self) -> bool:
+        """Whether a class's logit may be beyond 60 (hidden numbers are 1 at most)."""
+        return bool(np.abs(self.bias).max() + np.abs(self.out).sum(axis=0).max() >= 59)
 
     def log_probabilities(self, x: np.ndarray) -> np.ndarray:
         """Of the classes at all places of x but the REACH first and last.
@@ -122,7 +124,7 @@ class Network:
         """
         out = np.empty(max(0, len(x) - 2 * REACH))
         weights = np.rint(self.out.astype(np.float64) * _GRID) / _GRID
-        large = np.abs(self.bias).max() + np.abs(weights).sum(axis=0).max() >= 60  # hidden numbers are 1 at most
+        large = self.large()
         for i in range(REACH, len(x) - REACH, _BLOCK):
             at = slice(i, min(i + _BLOCK, len(x) - REACH))
             h = np.rint(self.hidden(x, at) * np.float32(_GRID)).astype(np.float64) / _GRID
@@ -144,10 +146,12 @@ class Network:
         h = self.hidden(x, at)
         p = h @ self.out
         p += self.bias
-        np.exp(np.clip(p, -60, 60, out=p), out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(y)), y] -= 1
-        p *= (here / n).astype(np.float32)[:, None]
+        if self.large():
+            np.clip(p, -60, 60, out=p)
+        np.exp(p, out=p)
+        share = (here / n).astype(np.float32)
+        p *= (share / p.sum(axis=1))[:, None]
+        p[np.arange(len(y)), y] -= share
         grad = Network(np.zeros_like(self.flat))
         grad.out[:] = h.T @ p
         grad.bias[:] = p.sum(axis=0)
@@ -156,7 +160,7 @@ class Network:
             c = x[at.start + place : at.stop + place : at.step]
             order = np.argsort(c, kind="stable")
             first = np.flatnonzero(np.diff(c[order], prepend=-1))
-            grad.sides[k][c[order][first]] = np.add.reduceat(d[order], first)
+            grad.sides[k][c[order][first]] = np.add.reduceat(d.take(order, axis=0), first)
         seen += grad.flat**2
         self.flat -= rate * grad.flat / (np.sqrt(seen) + 1e-6)
         return n
@@ -209,7 +213,10 @@ def classed(counts: DataFrame) -> tuple[list[tuple[str, int]], DataFrame, np.nda
     return top, rows.where(F.col("n") < least), mass
 
 
-_CODED = "row long, chunk long, doc_id long, text_key long, n long, codes binary, low binary, middle binary, high binary, rare array<string>"
+_CODED = "row long, chunk long, doc_id long, text_key long, n long, codes binary, byte0 binary, byte1 binary, byte2 binary, byte3 binary, rare array<string>"
+
+
+_BYTES = ["byte0", "byte1", "byte2", "byte3"]
 
 
 def contexts(x: np.ndarray) -> np.ndarray:
@@ -232,7 +239,7 @@ def windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def coded(docs: DataFrame, top: list[tuple[str, int]], mass: np.ndarray) -> DataFrame:
-    """A row for each document: its tokens' classes, the three bytes of their words' numbers (WORDS: a rare word), and its rare words.
+    """A row for each document: its tokens' classes, the four bytes of their words' numbers (from WORDS up: a rare word), and its rare words.
 
     chunk: the row of the first of those documents, in order, that have CHUNK tokens together.
     """
@@ -256,13 +263,12 @@ def coded(docs: DataFrame, top: list[tuple[str, int]], mass: np.ndarray) -> Data
                 size += len(parts)
             n = np.array([len(x) for x in each[1:]], dtype=np.int64)
             flat = np.concatenate(each)
-            number = np.minimum(flat >> 8, WORDS)
             offsets = pa.py_buffer(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
-            bytewise = [pa.Array.from_buffers(pa.binary(), len(n), [None, offsets, pa.py_buffer((x & 255).astype(np.uint8))]) for x in (flat, number, number >> 8, number >> 16)]
+            bytewise = [pa.Array.from_buffers(pa.binary(), len(n), [None, offsets, pa.py_buffer(np.ascontiguousarray(flat.view(np.uint8)[k::8]))]) for k in range(5)]
             rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(own.met, pa.string()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(row, row + len(n))), pa.array(chunks, pa.int64()), b.column(0), b.column(1), pa.array(n), *bytewise, rare],
-                names=["row", "chunk", "doc_id", "text_key", "n", "codes", "low", "middle", "high", "rare"],
+                names=["row", "chunk", "doc_id", "text_key", "n", "codes", *_BYTES, "rare"],
             )
             row += len(n)
 
@@ -275,11 +281,8 @@ class _Held:
 
     def __init__(self, docs: pa.Table) -> None:
         self.n = docs["n"].to_numpy()
-        self.codes, low, middle, high = (np.frombuffer(b"".join(docs[c].to_pylist()), np.uint8) for c in ("codes", "low", "middle", "high"))
-        self.number = low | middle.astype(np.int64) << 8 | high.astype(np.int64) << 16
-        self.rare = np.flatnonzero(self.number == WORDS)
-        self.words = [w for ws in docs["rare"].to_pylist() for w in ws]
-        self.number[self.rare] = np.fromiter(map(rare_number, self.words), np.int64, len(self.words))
+        self.codes, *parts = (np.frombuffer(b"".join(docs[c].to_pylist()), np.uint8) for c in ("codes", *_BYTES))
+        self.number = np.column_stack(parts).view("<u4").ravel().astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.n)), self.n)
         self.place = np.arange(len(self.doc)) + REACH * self.doc
         self.length = len(self.doc) + REACH * (len(self.n) + 1)
@@ -306,7 +309,7 @@ class _Held:
 
 def sorted_windows(h: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order by (h, word), and where in it another h, and another (h, word), begins."""
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     h = h[order]
     other = np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1]))
     alike = np.flatnonzero(~other | ~np.append(other[1:], np.ones(min(1, len(h)), bool)))
@@ -359,7 +362,7 @@ def sent(texts: DataFrame, parts: int) -> DataFrame:
         if docs:
             yield message(docs)
 
-    return texts.select("chunk", "row", "n", "codes", "low", "middle", "high", "rare").mapInArrow(run, _SENT)
+    return texts.select("chunk", "row", "n", "codes", *_BYTES).mapInArrow(run, _SENT)
 
 
 def answered(messages: DataFrame) -> DataFrame:
@@ -458,8 +461,10 @@ def _scored(texts: DataFrame, answers: DataFrame, flat: np.ndarray, top: list[tu
         score[mixed] = np.log((sees[mixed] - 1 + PRIOR * np.exp(score[mixed])) / (wide[mixed] - 1 + PRIOR))
         total = lambda weights, doc: np.bincount(doc, weights, len(held.n)).astype(np.float64)  # noqa: E731  of nothing it is whole
         number = lambda doc: pa.array(np.bincount(doc, minlength=len(held.n)))
-        terms = pa.StructArray.from_arrays([pa.array(held.words, pa.string()), *(pa.array(a[held.rare]) for a in (p, sees, wide))], names=["word", "p", "seen", "windows"])
-        ends = np.concatenate(([0], np.cumsum(np.bincount(held.doc[held.rare], minlength=len(held.n))))).astype(np.int32)
+        rare = np.flatnonzero(~often)
+        words = docs["rare"].combine_chunks().flatten()
+        terms = pa.StructArray.from_arrays([words, *(pa.array(a[rare]) for a in (p, sees, wide))], names=["word", "p", "seen", "windows"])
+        ends = np.concatenate(([0], np.cumsum(np.bincount(held.doc[rare], minlength=len(held.n))))).astype(np.int32)
         return pa.table(
             [docs["row"], docs["doc_id"], docs["n"], number(held.doc[held.at]), number(held.doc[wide > 1]), pa.array(total(score, held.doc)), pa.ListArray.from_arrays(pa.array(ends), terms)],
             names=["row", "doc_id", "n", "held", "met", "base", "rare"],
