@@ -30,12 +30,12 @@ Columns other than doc_id and text are not read. An empty table gives an empty r
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,10 +58,11 @@ CHUNK, PART = 1 << 20, 1 << 20
 PRIOR = 1.0
 FAN = 64
 _SIDES = [*range(-REACH, 0), *range(1, REACH + 1)]
-_BLOCK = 1 << 12
+_BLOCK = 1 << 11
 #: Parts of one that a hidden number and a weight are rounded to: HIDDEN products of numbers below 1 and 2 ** 8 fit 53 bits.
 _GRID = float(1 << 20)
-_FLUSH = 300_000
+#: Characters whose words are counted, and tokens that are coded, before a task passes them on.
+_FLUSH, _PASSED = 1 << 25, 1 << 21
 
 
 def ending_class(word: str) -> int:
@@ -80,16 +81,40 @@ class Vocabulary(dict):
         return rare_number(word) << 8 | ending_class(word)
 
 
-class _Noting(Vocabulary):
-    """Also lists the words that have no count, as they are met."""
+class _Words:
+    """The words of texts one after the other, in Arrow's memory; n has how many each text has."""
 
-    def __init__(self, known: Iterator[tuple[str, int]]) -> None:
-        super().__init__(known)
-        self.met: list[str] = []
+    def __init__(self) -> None:
+        self.lines: list[str] = []
+        self.n: list[int] = []
+        self.size = 0
+
+    def add(self, text: str | None) -> int:
+        parts = (text or "").lower().split()
+        if parts:
+            self.lines.append(" ".join(parts))
+            self.size += len(self.lines[-1])
+        self.n.append(len(parts))
+        return len(parts)
+
+    def encoded(self) -> tuple[pa.Array, np.ndarray]:
+        """The different words, a space after each, and each word's place among them."""
+        raw = np.frombuffer((" ".join(self.lines) + " ").encode("utf-8"), np.uint8)
+        ends = np.zeros(sum(self.n) + 1, np.int32)
+        ends[1:] = np.flatnonzero(raw == 32)[: len(ends) - 1] + 1
+        words = pa.Array.from_buffers(pa.string(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(raw)]).dictionary_encode()
+        return words.dictionary, words.indices.to_numpy()
+
+
+def _unspaced(words: pa.Array) -> pa.Array:
+    return pc.utf8_slice_codeunits(words, 0, -1)
 
-    def __missing__(self, word: str) -> int:
-        self.met.append(word)
-        return super().__missing__(word)
+
+def _unknown(words: pa.Array) -> np.ndarray:
+    """What Vocabulary gives words that have no count."""
+    endings = pc.utf8_slice_codeunits(words, -2).dictionary_encode()
+    classes = np.array([ending_class(w) for w in endings.dictionary.to_pylist()], dtype=np.int64)[endings.indices.to_numpy()]
+    return np.fromiter(map(rare_number, words.to_pylist()), np.int64, len(words)) << 8 | classes
 
 
 class Network:
@@ -100,6 +125,7 @@ class Network:
         at = np.cumsum([0, *(int(np.prod(s)) for s in shapes)])
         self.flat = np.array(flat, dtype=np.float32)
         self.sides, self.out, self.bias = (self.flat[at[i] : at[i + 1]].reshape(s) for i, s in enumerate(shapes))
+        self.top = self.flat[at[1] :].reshape(HIDDEN + 1, CLASSES)  # out, and bias as the weights of a hidden number that is 1
 
     @classmethod
     def start(cls, mass: np.ndarray) -> Network:
@@ -109,7 +135,9 @@ class Network:
         return cls(np.concatenate((np.random.default_rng(11).normal(0, 0.1, n), np.log(share))))
 
     def hidden(self, x: np.ndarray, at: slice) -> np.ndarray:
-        z = sum(side.take(x[at.start + d : at.stop + d : at.step], axis=0) for side, d in zip(self.sides, _SIDES))
+        z = self.sides[0].take(x[at.start + _SIDES[0] : at.stop + _SIDES[0] : at.step], axis=0)
+        for side, d in zip(self.sides[1:], _SIDES[1:]):
+            z += side.take(x[at.start + d : at.stop + d : at.step], axis=0)
         return np.tanh(z, out=z)
 
     def large(self) -> bool:
@@ -123,17 +151,21 @@ class Network:
         then depends on how a product of matrices orders it, nor a text's score on what shares its batch.
         """
         out = np.empty(max(0, len(x) - 2 * REACH))
-        weights = np.rint(self.out.astype(np.float64) * _GRID) / _GRID
-        large = self.large()
+        weights = np.rint(self.top.astype(np.float64) * _GRID) / _GRID
+        large, rows = self.large(), np.arange(_BLOCK)
+        ones, whole, single = np.ones((_BLOCK, HIDDEN + 1)), np.empty((_BLOCK, CLASSES)), np.empty((_BLOCK, CLASSES), np.float32)
         for i in range(REACH, len(x) - REACH, _BLOCK):
             at = slice(i, min(i + _BLOCK, len(x) - REACH))
-            h = np.rint(self.hidden(x, at) * np.float32(_GRID)).astype(np.float64) / _GRID
-            z = (h @ weights).astype(np.float32)
-            z += self.bias
+            n = at.stop - i
+            h = self.hidden(x, at)
+            h *= np.float32(_GRID)
+            np.multiply(np.rint(h, out=h), 1 / _GRID, out=ones[:n, :HIDDEN])
+            z = single[:n]
+            z[:] = np.matmul(ones[:n], weights, out=whole[:n])
             if large:
                 np.clip(z, -60, 60, out=z)
-            own = z[np.arange(len(z)), x[at]].astype(np.float64)
-            out[at.start - REACH : at.stop - REACH] = own - np.log(np.exp(z, out=z).sum(axis=1).astype(np.float64))
+            own = z[rows[:n], x[at]].astype(np.float64)
+            out[i - REACH : at.stop - REACH] = own - np.log(np.einsum("ij->i", np.exp(z, out=z)).astype(np.float64))
         return out
 
     def step(self, x: np.ndarray, at: slice, seen: np.ndarray, rate: float) -> int:
@@ -143,19 +175,21 @@ class Network:
         n = int(here.sum())
         if not n:
             return 0
-        h = self.hidden(x, at)
-        p = h @ self.out
-        p += self.bias
+        z = self.hidden(x, at)
+        h = np.ones((len(y), HIDDEN + 1), np.float32)
+        h[:, :HIDDEN] = z
+        p = h @ self.top
         if self.large():
             np.clip(p, -60, 60, out=p)
         np.exp(p, out=p)
         share = (here / n).astype(np.float32)
-        p *= (share / p.sum(axis=1))[:, None]
+        p *= (share / np.einsum("ij->i", p))[:, None]
         p[np.arange(len(y)), y] -= share
         grad = Network(np.zeros_like(self.flat))
-        grad.out[:] = h.T @ p
-        grad.bias[:] = p.sum(axis=0)
-        d = (p @ self.out.T) * (1 - h * h)
+        np.matmul(h.T, p, out=grad.top)
+        z *= z
+        d = p @ self.out.T
+        d *= np.subtract(1, z, out=z)
         for k, place in enumerate(_SIDES):
             c = x[at.start + place : at.stop + place : at.step]
             order = np.argsort(c, kind="stable")
@@ -178,15 +212,18 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all documents; tasks add up their own words before anything is moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Counter = Counter()
-        batch = lambda: pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["word", "n"])
+        def out() -> pa.RecordBatch:
+            words, places = own.encoded()
+            return pa.RecordBatch.from_arrays([_unspaced(words), pa.array(np.bincount(places, minlength=len(words)))], names=["word", "n"])
+
+        own = _Words()
         for b in batches:
             for t in b.column(0):
-                own.update((t.as_py() or "").lower().split())
-                if len(own) > _FLUSH:
-                    yield batch()
-                    own.clear()
-        yield batch()
+                own.add(t.as_py())
+                if own.size > _FLUSH:
+                    yield out()
+                    own = _Words()
+        yield out()
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -243,66 +280,96 @@ def coded(docs: DataFrame, top: list[tuple[str, int]], mass: np.ndarray) -> Data
 
     chunk: the row of the first of those documents, in order, that have CHUNK tokens together.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(top)
+    numbers = [i << 8 | (i + 1 if i < TOP else ending_class(w)) for i, (w, _) in enumerate(top)]
+    shared = docs.sparkSession.sparkContext.broadcast((pa.array([w + " " for w, _ in top], pa.string()), np.array([*numbers, 0], dtype=np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own = _Noting((w, i << 8 | (i + 1 if i < TOP else ending_class(w))) for i, (w, _) in enumerate(shared.value))
+        known, numbers = shared.value
         row = chunk = TaskContext.get().partitionId() << 40
         size = 0
+
+        def out(b: pa.RecordBatch, own: _Words, chunks: list[int]) -> pa.RecordBatch:
+            words, places = own.encoded()
+            at = pc.index_in(words, value_set=known)
+            missing = at.is_null().to_numpy(zero_copy_only=False)
+            rare = _unspaced(words.filter(at.is_null()))
+            number = numbers[at.fill_null(0).to_numpy()]
+            number[missing] = _unknown(rare)
+            flat, met = number[places], missing[places]
+            ends = np.concatenate(([0], np.cumsum(own.n))).astype(np.int32)
+            offsets = pa.py_buffer(ends)
+            bytewise = [pa.Array.from_buffers(pa.binary(), len(own.n), [None, offsets, pa.py_buffer(np.ascontiguousarray(flat.view(np.uint8)[k::8]))]) for k in range(5)]
+            rares = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(met)))[ends], pa.int32()), rare.take(pa.array((np.cumsum(missing) - 1)[places[met]])))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(row - len(own.n), row)), pa.array(chunks, pa.int64()), b.column(0), b.column(1), pa.array(own.n, pa.int64()), *bytewise, rares],
+                names=["row", "chunk", "doc_id", "text_key", "n", "codes", *_BYTES, "rare"],
+            )
+
         for b in batches:
-            each, ends, chunks, own.met = [np.zeros(0, np.int64)], [0], [], []
+            first, own, chunks, held = 0, _Words(), [], 0  # the first document that is not yet passed on
             for i, t in enumerate(b.column(2)):
-                parts = (t.as_py() or "").lower().split()
-                each.append(np.fromiter(map(own.__getitem__, parts), np.int64, len(parts)))
-                ends.append(len(own.met))
+                n = own.add(t.as_py())
                 if size >= CHUNK:
-                    chunk, size = row + i, 0
+                    chunk, size = row, 0
                 chunks.append(chunk)
-                size += len(parts)
-            n = np.array([len(x) for x in each[1:]], dtype=np.int64)
-            flat = np.concatenate(each)
-            offsets = pa.py_buffer(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
-            bytewise = [pa.Array.from_buffers(pa.binary(), len(n), [None, offsets, pa.py_buffer(np.ascontiguousarray(flat.view(np.uint8)[k::8]))]) for k in range(5)]
-            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(own.met, pa.string()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + len(n))), pa.array(chunks, pa.int64()), b.column(0), b.column(1), pa.array(n), *bytewise, rare],
-                names=["row", "chunk", "doc_id", "text_key", "n", "codes", *_BYTES, "rare"],
-            )
-            row += len(n)
+                size += n
+                held += n
+                row += 1
+                if held >= _PASSED or i + 1 == b.num_rows:
+                    yield out(b.slice(first, i + 1 - first), own, chunks)
+                    first, own, chunks, held = i + 1, _Words(), [], 0
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string"))
     return rows.mapInArrow(run, _CODED)
 
 
 class _Held:
-    """The tokens of some documents (rows of coded()) and their windows in the memory, in the order of neighbours and word."""
+    """The tokens of some documents (rows of coded()) and the order of their windows in the memory, by neighbours and word.
 
-    def __init__(self, docs: pa.Table) -> None:
+    keys: also the different windows in that order, and how often each is there.
+    """
+
+    def __init__(self, docs: pa.Table, keys: bool = False) -> None:
         self.n = docs["n"].to_numpy()
-        self.codes, *parts = (np.frombuffer(b"".join(docs[c].to_pylist()), np.uint8) for c in ("codes", *_BYTES))
-        self.number = np.column_stack(parts).view("<u4").ravel().astype(np.int64)
-        self.doc = np.repeat(np.arange(len(self.n)), self.n)
-        self.place = np.arange(len(self.doc)) + REACH * self.doc
+        self.codes, number = self.tokens(docs)
+        self.doc = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n)
         self.length = len(self.doc) + REACH * (len(self.n) + 1)
-        h = contexts(self.line((self.number << 8 | self.codes) + 1, np.uint64))[self.place]
-        self.at = np.flatnonzero(h % np.uint64(EVERY) == 0)
-        h, word = h[self.at], self.number[self.at].astype(np.uint32)
+        x = number.astype(np.uint64)
+        x <<= np.uint64(8)
+        x |= self.codes
+        x += np.uint64(1)
+        h = contexts(self.line(x))[self.places()]
+        del x
+        self.at = slice(None) if EVERY == 1 else np.flatnonzero(h % np.uint64(EVERY) == 0)
+        h, word = h[self.at], number[self.at]
         self.order, _, first = sorted_windows(h, word)
-        self.h, self.word = h[self.order[first]], word[self.order[first]]
-        self.which = np.repeat(np.arange(len(first)), np.diff(first, append=len(h)))
-        self.times = np.bincount(self.which, minlength=len(first)).astype(np.uint32)
-
-    def line(self, values: np.ndarray, kind: type) -> np.ndarray:
+        times = np.diff(first, append=len(h))
+        self.which = np.repeat(np.arange(len(first), dtype=np.int32), times)
+        self.number = number
+        if keys:
+            self.h, self.word, self.times = h[self.order[first]], word[self.order[first]], times.astype(np.uint32)
+
+    @staticmethod
+    def tokens(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The class of each token, and its word's number."""
+        codes, *parts = (np.frombuffer(b"".join(docs[c].to_pylist()), np.uint8) for c in ("codes", *_BYTES))
+        return codes, np.column_stack(parts).view("<u4").ravel()
+
+    def places(self) -> np.ndarray:
+        """Of each token in line(), less REACH."""
+        return np.arange(len(self.doc)) + REACH * self.doc.astype(np.int64)
+
+    def line(self, values: np.ndarray) -> np.ndarray:
         """The documents' values one after the other, REACH zeros around each."""
-        x = np.zeros(self.length, dtype=kind)
-        x[self.place + REACH] = values
+        x = np.zeros(self.length, dtype=values.dtype)
+        x[REACH:][self.places()] = values
         return x
 
     def spread(self, values: np.ndarray) -> np.ndarray:
         """A value for each window's token in the documents' order, of values for each different window."""
-        out = np.empty(len(self.at), dtype=values.dtype)
+        out = np.empty(len(self.order), dtype=values.dtype)
         out[self.order] = values[self.which]
         return out
 
@@ -321,14 +388,26 @@ def sorted_windows(h: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _bytewise(a: np.ndarray) -> bytes:
-    """All first bytes of the numbers, then all second ones: those of sorted or small numbers take little room in a shuffle."""
-    return a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+    """How many bytes the largest of the numbers takes, all first bytes, then all second ones: small or sorted numbers take little room."""
+    size = next(k for k in (1, 2, 4, 8) if not len(a) or int(a.max()) < 1 << 8 * k)
+    out, each = np.empty((size, len(a)), np.uint8), a.astype(f"<u{size}").view(np.uint8)
+    for k in range(size):
+        out[k] = each[k::size]
+    return bytes([size]) + out.tobytes()
+
+
+def _count(column: bytes) -> int:
+    return (len(column) - 1) // column[0]
 
 
 def _numbers(columns: list[bytes], kind: type) -> np.ndarray:
     """What _bytewise() made of several arrays, as one."""
-    size = np.dtype(kind).itemsize
-    return np.concatenate([np.zeros(0, kind), *(np.ascontiguousarray(np.frombuffer(c, np.uint8).reshape(size, -1).T).view(kind).ravel() for c in columns)])
+    out, at = np.empty(sum(map(_count, columns)), kind), 0
+    for c in columns:
+        size, n = c[0], _count(c)
+        out[at : at + n] = np.ascontiguousarray(np.frombuffer(c, np.uint8, offset=1).reshape(size, n).T).view(f"<u{size}").ravel()
+        at += n
+    return out
 
 
 _SENT = "part long, chunk long, first long, last long, h binary, word binary, times binary"
@@ -341,7 +420,7 @@ def sent(texts: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def message(docs: list[pa.RecordBatch]) -> pa.RecordBatch:
             docs = pa.Table.from_batches(docs)
-            held = _Held(docs)
+            held = _Held(docs, keys=True)
             part = (held.h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
             cut = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
             to = [i for i in range(parts) if cut[i] < cut[i + 1]] or [0]  # one at least, so that no document is without an answer
@@ -376,7 +455,7 @@ def answered(messages: DataFrame) -> DataFrame:
             out = np.empty(len(h), dtype=np.int64)
             out[order] = np.repeat(np.add.reduceat(times, first), np.diff(first, append=len(h))) if len(h) else 0
             sums.append(out)
-        ends = np.cumsum([len(x) // 8 for x in group["h"].to_pylist()])
+        ends = np.cumsum([_count(x) for x in group["h"].to_pylist()])
         each = [pa.array([_bytewise(x) for x in np.split(a, ends[:-1])], pa.binary()) for a in sums]
         return pa.table([*(group[c] for c in ("chunk", "first", "last", "part")), *each], names=["chunk", "first", "last", "part", "seen", "windows"])
 
@@ -452,9 +531,10 @@ def _scored(texts: DataFrame, answers: DataFrame, flat: np.ndarray, top: list[tu
     def some(docs: pa.Table, seen: np.ndarray, around: np.ndarray) -> pa.Table:
         flat, counts, tokens = shared.value
         held = _Held(docs)
-        p = Network(flat).log_probabilities(held.line(held.codes, np.uint8))[held.place]
-        sees, wide = np.ones(len(p), np.int64), np.ones(len(p), np.int64)
+        sees, wide = np.ones(len(held.doc), seen.dtype), np.ones(len(held.doc), around.dtype)
         sees[held.at], wide[held.at] = held.spread(seen), held.spread(around)
+        del held.order, held.which
+        p = Network(flat).log_probabilities(held.line(held.codes))[held.places()]
         score, often = p.copy(), held.number < WORDS
         score[often] += counts[held.number[often]] - tokens[held.codes[often]]
         mixed = np.flatnonzero(often & (wide > 1))
@@ -500,7 +580,7 @@ def scored(docs: DataFrame, cell: int = CELL) -> DataFrame:
     swept(docs.sparkSession)
     share = F.log(F.col("n") / F.element_at(F.array(*(F.lit(float(max(m, 1))) for m in mass)), F.col("class") + 1))
     mixed = F.log((F.col("seen") - 1 + PRIOR * F.exp(F.col("p") + share)) / (F.col("windows") - 1 + PRIOR)) - F.col("p")
-    terms = rows.select("row", F.explode("rare").alias("w")).select("row", "w.*").join(rest, "word")
+    terms = rows.select("row", F.explode("rare").alias("w")).select("row", "w.*").join(rest.hint("shuffle_hash"), "word")
     terms = terms.groupBy("row").agg(F.sum(F.when(F.col("windows") > 1, mixed).otherwise(share)).alias("rest"))
     total = F.col("base") + F.coalesce("rest", F.lit(0.0))
     return rows.drop("rare").join(terms, "row", "left").select(

@@ -143,3 +143,33 @@ def test_memory_holds_every_window_rare_words_too(spark, monkeypatch):
     want = ordered(brute([(r["doc_id"], r["text"]) for r in docs.collect()], flat))
     assert len(got) == len(want) and all(near(g, w) for g, w in zip(got, want))
     assert all(g[4] == g[1] for g in got) and all(g[5] == 1 for g in got if g[0] is not None and (g[0] < 8 or 100 <= g[0] < 108))
+
+
+def test_messages_are_small(spark):
+    """What parts of the memory answer takes a few bytes for each window, so that an executor holds little of it at once."""
+    docs = documents(spark)
+    top, _, mass = pl.classed(pl.word_counts(docs))
+    answers = pl.answered(pl.sent(pl.coded(docs, top, mass).cache(), 4)).collect()
+    assert answers and sum(len(r["seen"]) + len(r["windows"]) for r in answers) < 4 * mass.sum()
+    for kind, values in ((np.uint64, [0, 2**64 - 1]), (np.uint32, [2**32 - 1]), (np.int64, [255]), (np.int64, [256, 3]), (np.int64, [65_536]), (np.int64, [2**40, 1]), (np.int64, [])):
+        a = np.array(values, dtype=kind)
+        assert pl._numbers([pl._bytewise(a), pl._bytewise(a[:0]), pl._bytewise(a[::-1])], kind).tolist() == values + values[::-1]
+
+
+def test_words_are_those_of_python(spark, monkeypatch):
+    monkeypatch.setattr(pl, "WORDS", 3)
+    monkeypatch.setattr(pl, "_FLUSH", 20)
+    monkeypatch.setattr(pl, "_PASSED", 4)
+    texts = ["b b b a", None, "", "İX ΟΔΟΣ Straße\x1cx y z \U0001d400\U0001f600 é", " \x85\n", "b b b b b ​ q", "a a A", "ΟΔΟΣ z"]
+    docs = fx.documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    counts = Counter(w for t in texts for w in (t or "").lower().split())
+    assert {r["word"]: r["n"] for r in pl.word_counts(docs).collect()} == counts
+    top, _, mass = pl.classed(pl.word_counts(docs))
+    assert [w for w, _ in top] == ["b", "a"]
+    own = pl.Vocabulary((w, i << 8 | i + 1) for i, (w, _) in enumerate(top))
+    for r in pl.coded(docs, top, mass).collect():
+        words = (texts[r["doc_id"]] or "").lower().split()
+        got = [sum(r[f"byte{k}"][i] << 8 * k for k in range(4)) << 8 | r["codes"][i] for i in range(len(words))]
+        assert len(r["codes"]) == r["n"] == len(words) and r["rare"] == [w for w in words if w not in own]
+        assert [g for g, w in zip(got, words) if w in own] == [own[w] for w in words if w in own]
+        assert [g & 255 for g in got] == [own[w] & 255 for w in words] and all(g >> 8 >= pl.WORDS for g, w in zip(got, words) if w not in own)
