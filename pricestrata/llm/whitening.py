@@ -20,7 +20,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept
@@ -118,6 +118,11 @@ def components(n: int, scattered: np.ndarray, k: int = COMPONENTS) -> tuple[np.n
     return chosen * signs[:, None], found, np.maximum(values[first], 0) / trace if trace > 0 else np.full(len(first), np.nan), bits
 
 
+def _whole(value: Column) -> Column:
+    """A sum that doesn't depend on the order of rows: of decimals, each rounded to 20 digits after the point."""
+    return F.sum(value.cast("decimal(38,20)"))
+
+
 def whitened(vectors: DataFrame, k: int = COMPONENTS, scale: int = SCALE) -> DataFrame:
     """A row for each vector and component, of SCHEMA."""
     spark = vectors.sparkSession
@@ -148,9 +153,11 @@ def whitened(vectors: DataFrame, k: int = COMPONENTS, scale: int = SCALE) -> Dat
                 yield pa.RecordBatch.from_arrays([b.column(0), fits, values, pa.array(map(str, deviation), pa.string())], names=["vec_id", "deviation", "whitened", "deviation_text"])
 
     out = kept(rows.select("vec_id", "c").mapInArrow(turn, "vec_id long, deviation long, whitened array<double>, deviation_text string"))
-    at = range(len(variances))
-    measured = out.agg(*(F.covar_pop(F.col("whitened")[i], F.col("whitened")[j]).alias(f"c{i}_{j}") for i in at for j in at if i <= j)).first().asDict()
-    errors = [abs(measured[f"c{i}_{j}"] - (i == j)) for i in at for j in at if i <= j and measured[f"c{i}_{j}"] is not None]
+    at = [(i, j) for i in range(len(variances)) for j in range(i, len(variances))]
+    column = lambda i: F.col("whitened")[i]
+    sums = out.agg(*(_whole(column(i)).alias(f"s{i}") for i in range(len(variances))), *(_whole(column(i) * column(j)).alias(f"p{i}_{j}") for i, j in at)).first().asDict()
+    mean = {k: Fraction(v) / n for k, v in sums.items() if v is not None}
+    errors = [abs(float(mean[f"p{i}_{j}"] - mean[f"s{i}"] * mean[f"s{j}"] - (i == j))) for i, j in at if f"p{i}_{j}" in mean]
     shares = F.array(*(F.lit(float(v)) if v == v else F.lit(None).cast("double") for v in explained))
     each = out.select("vec_id", "deviation", "deviation_text", F.posexplode("whitened").alias("place", "whitened"))
     return each.select(

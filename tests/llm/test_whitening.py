@@ -53,6 +53,14 @@ def test_result_does_not_depend_on_partitions(spark):
     assert a == b
 
 
+def test_identity_error_does_not_depend_on_the_order_of_rows(spark):
+    rows = cloud(200)
+    orders = [rows, rows[::-1], *(random.Random(k).sample(rows, len(rows)) for k in range(3))]
+    # coalesce() keeps the order of rows
+    got = {w.whitened(spark.createDataFrame(o, "vec_id long, embedding array<double>").coalesce(1)).first()["identity_error"] for o in orders}
+    assert len(got) == 1 and max(got) < 1e-12
+
+
 def test_awkward_rows(spark):
     nan, inf = float("nan"), float("inf")
     fine = cloud(40)
