@@ -6,11 +6,16 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterator
 from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: components(): so few edges are left to one task.
+FEW_EDGES = 4096
+
 
 def once_a_process(make):
     """make, whose results are kept by its arguments for as long as the process lives.
@@ -67,31 +72,59 @@ def swept(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def merged(edges: DataFrame) -> DataFrame:
+    """(node, component) for every node of a few edges (src, dst), in one task; component is the smallest node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            up.setdefault(x, x)
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for b in batches:
+            for src, dst in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                one, two = sorted((root(src), root(dst)))
+                up[two] = one
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([root(x) for x in up], pa.int64())], names=["node", "component"])
+
+    return edges.select("src", "dst").coalesce(1).mapInArrow(run, "node long, component long")
+
+
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """(node, component) for every node of edges (src, dst: longs), component being one node of each component.
 
     Contraction: every node joins its neighbour of the lowest hash, the edges are renamed, and what
     remains is contracted again with other hashes; a round leaves a constant share of the nodes. No
     round gathers a node's neighbours, so a node with very many is only a key of a partial aggregate.
+    The last edges, `few` at most however many there were, take one task and not as many rounds again:
+    a round is two tables of as many tasks as a shuffle has, all of which the driver keeps account of.
     """
     names: DataFrame | None = None
     left = kept(edges.where(F.col("src") != F.col("dst")).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
     turn = 0
     spark = edges.sparkSession
-    while not left.isEmpty():
+    while number := left.count():
         order = lambda c, t=turn: F.struct(F.xxhash64(F.lit(t), F.col(c)).alias("h"), F.col(c).alias("v"))
-        both = left.select("src", "dst").unionAll(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        parent = both.groupBy("src").agg(F.min(order("dst")).alias("m")).select(F.col("src").alias("node"), F.least(F.col("m"), order("src"))["v"].alias("component"))
-        parent = kept(parent)
-        a, b = (parent.select(F.col("node").alias(c), F.col("component").alias(f"{c}_p")) for c in ("src", "dst"))
-        before = left
-        left = kept(left.join(a, "src").join(b, "dst").select(F.least("src_p", "dst_p").alias("src"), F.greatest("src_p", "dst_p").alias("dst")).where("src <> dst").distinct())
-        discard(before)
+        if number <= few:
+            parent = kept(merged(left))
+        else:
+            both = left.select("src", "dst").unionAll(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+            parent = kept(both.groupBy("src").agg(F.min(order("dst")).alias("m")).select(F.col("src").alias("node"), F.least(F.col("m"), order("src"))["v"].alias("component")))
         if names is None:
             names = parent
         else:
             step = parent.select(F.col("node").alias("component"), F.col("component").alias("next"))
             names = names.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+        if number <= few:
+            discard(left)
+            break
+        a, b = (parent.select(F.col("node").alias(c), F.col("component").alias(f"{c}_p")) for c in ("src", "dst"))
+        before = left
+        left = kept(left.join(a, "src").join(b, "dst").select(F.least("src_p", "dst_p").alias("src"), F.greatest("src_p", "dst_p").alias("dst")).where("src <> dst").distinct())
+        discard(before)
         turn += 1
     return names if names is not None else spark.createDataFrame([], "node long, component long")
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, discard, kept
+from .common import components, discard, kept, swept
 
 WORDS = 4
 RADIUS = 4
@@ -389,7 +389,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     bucket are tested, and in larger ones each node with the one before it, unless one loose group holds
     both: so a large group brings some pairs a node, and not one for each band. Where a loose group holds
     several components, every two of its nodes are compared, in blocks; in larger buckets every two of
-    different loose groups are, by a join.
+    different loose groups are, by a join. After each large step the driver collects its garbage: plans and
+    accounts of what is done with would else fill its memory.
     """
     own = kept(sketches(docs))
     texts = kept(own.groupBy("node").agg(F.min("text_key").alias("text_key"), *(F.any_value(n).alias(n) for n in ("prints", "wide", "size"))))
@@ -423,6 +424,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
         sets = sets_of(some.select(F.col("src").alias("node")).unionAll(some.select(F.col("dst").alias("node"))).distinct())
         out = kept(verified(some, sets))
         discard(sets)
+        swept(docs.sparkSession)
         return some, out
 
     many = F.col("n") > NEAR_LAGS + 1
@@ -437,12 +439,14 @@ def near_copies(docs: DataFrame) -> DataFrame:
     some, links = some.unionAll(more), links.unionAll(found)
     named = kept(components(links))
     loose = kept(components(some).withColumnRenamed("component", "loose"))
+    swept(docs.sparkSession)
     both = loose.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = both.groupBy("loose").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
     members = kept(both.join(several, "loose", "left_semi").select("node", "loose"))
     if not members.isEmpty():
         links = links.unionAll(kept(verified_groups(members, sets_of(members.select("node")))))
         named = kept(components(links))
+        swept(docs.sparkSession)
     # Across loose groups, in larger buckets.
     left = apart_in_buckets(held.where(many).select("node", "key"), texts, loose)
     a, b = (left.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "loose", "wide"))) for side in "ab")
@@ -453,6 +457,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
         named = kept(components(links.unionAll(tested(across)[1])))
     out = kept(own.select("doc_id", "text_key", "node").join(named, "node", "left").select("doc_id", "text_key", F.coalesce("component", "node").alias("component")))
     discard(own, texts, held, left, members, across, named, loose)
+    swept(docs.sparkSession)
     return out
 
 
